@@ -1,0 +1,88 @@
+"""SimHash against brute force: every pair of fingerprints is compared, links are closed by union-find."""
+
+import random
+import re
+
+import pytest
+import xxhash
+from meshwright.llm import simhash
+from meshwright.llm.components import components
+from pyspark.sql import functions as F
+
+
+def brute_fingerprint(text):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_classes(fps):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "A b", "A B C d", "É a b \x1c c\x0bd", "x " * 40000, "Zoë und\tÜber " * 3])
+def test_fingerprint(text):
+    assert simhash.fingerprint(None if text is None else text.encode()) == brute_fingerprint(text)
+
+
+def test_shingle_hash_is_spark_xxhash64(spark):
+    row = spark.sql("select xxhash64('a b c') h").first()
+    assert row.h & (2**64 - 1) == xxhash.xxh64_intdigest(b"a b c", seed=42)
+
+
+@pytest.mark.parametrize("limit", [4096, 8, 2])
+def test_links_equal_brute_force(spark, limit):
+    rng = random.Random(limit)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for f in list(fps)[:25]:  # chains and clouds of near values
+        for _ in range(14):
+            f ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
+            fps.add(f)
+    hub = rng.getrandbits(64)  # one crowded bucket: all share the upper half
+    fps |= {hub ^ sum(1 << b for b in rng.sample(range(32), rng.randint(1, 4))) for _ in range(150)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(s,) for s in signed], "fp bigint").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        links = simhash.fingerprint_links(frame, limit)
+        roots = {r.node: r.root for r in components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [roots.get(s, s) for s in signed]
+    want = brute_classes(fps)
+    assert len({*zip(got, want)}) == len(set(got)) == len(set(want))
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    rows = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
+    got = dict(components(spark.createDataFrame(rows, "a bigint, b bigint")).collect())
+    assert got == {**{i: 1 for i in range(1, 61)}, **{100 + i: 100 for i in range(40)}}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_documents(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(5, base), (3, base), (9, base.replace("w150", "other")), (4, "something else entirely here"), (None, base), (11, None), (8, " "), (None, "alone with a null id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("root", F.lit("clash")).withColumn("fp", F.lit(1))
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
+    want = {5: 3, 3: 3, 9: 3, 4: 4, 11: 8, 8: 8}
+    assert {a: b for a, b in got if a is not None} == want and len(got) == len(rows)
+    assert sorted((b is None, b) for a, b in got if a is None) == [(False, 3), (True, None)]
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 3, 4, 8]
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
