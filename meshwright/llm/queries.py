@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, simhash
+from . import bpe, line_dedup, mixing, simhash
 from .common import read
 
 
@@ -14,6 +14,17 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary that the contract names; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -45,5 +56,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-QUERIES = {"op2_simhash_dedup": op2_simhash_dedup, "op8_line_dedup": op8_line_dedup, "op9_mix_sources": op9_mix_sources}
+QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup, "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op8_line_dedup": op8_line_dedup, "op9_mix_sources": op9_mix_sources,
+}
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
