@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, simhash, topk
+from . import bpe, chat, line_dedup, mixing, quality_rules, simhash, topk
 from .common import read
 
 
@@ -50,6 +50,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(table.unionByName(extra), tokenizer_path())
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -83,6 +88,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup, "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op7_quality_rules": op7_quality_rules,
     "op4_exact_topk": op4_exact_topk, "op10_chat_format": op10_chat_format, "op8_line_dedup": op8_line_dedup, "op9_mix_sources": op9_mix_sources,
 }
 ORACLE_SQL = {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL}
