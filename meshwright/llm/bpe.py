@@ -8,8 +8,8 @@ that it was copied from and the time of the copy, and an added arc one to the ar
 the automaton of 50,000 merges is a few arrays. Transitions that a text needs are resolved through
 these references once and then kept in a table.
 
-A word has exactly one path through the automaton that spells its bytes. Prefixes of it are correct
-tokenizations too, so a table of the last label of each prefix, filled left to right, finds it.
+A word has exactly one path through the automaton that spells its bytes, and so has each prefix; a
+walk that tries long arcs first and marks dead positions finds it.
 Decoding emits the labels of the arcs.
 
 Defined results: a null text is read as empty, has no ids and decodes to the empty text. Texts of any
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 #: How byte-level vocabularies pre-split text (fixed value: the vocabulary was built with it).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a piece table, and the longest piece kept in it.
-TABLE_LIMIT, PIECE_LIMIT = 150_000, 64
+TABLE_LIMIT, PIECE_LIMIT = 250_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,7 +60,7 @@ class Automaton:
         self.lost: dict[tuple[int, int], int] = {}
         for time, (a, b) in enumerate(merges):
             self._gadget(time, vocab[a], vocab[b], vocab[a + b])
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         self.lost[u, v] = time
@@ -68,11 +68,12 @@ class Automaton:
 
     def allows(self, state: int, arc: int) -> bool:
         """Whether the state behind a label has an arc, in the finished automaton."""
-        known = self.table.get((state, arc))
+        key = state << 32 | arc
+        known = self.table.get(key)
         if known is None:
-            if len(self.table) >= 4 * TABLE_LIMIT:
+            if len(self.table) >= 2 * TABLE_LIMIT:
                 self.table.clear()
-            known = self.table[state, arc] = self._resolve(state, arc)
+            known = self.table[key] = self._resolve(state, arc)
         return known
 
     def _resolve(self, state: int, arc: int) -> bool:
@@ -93,23 +94,35 @@ class Automaton:
                 now, state, arc = born[arc], self.state_of[state], self.arc_of[arc]
 
     def encode(self, word: bytes) -> list[int]:
-        """The ids of one pre-split word."""
-        got = self.ids.get(word)
-        if len(word) == 1:
-            return [got]
-        n, ids, allows, longest = len(word), self.ids, self.allows, self.longest
-        last = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                label = ids.get(word[start:end])
-                if label is not None and (start == 0 or allows(last[start], label)):
-                    last[end] = label
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
+        """The ids of one pre-split word: the one path that spells it.
+
+        Each position is reached by one path at most, so a position from which no arc leads on is
+        never tried again, and the longest arcs are tried first.
+        """
+        whole = self.ids.get(word)
+        if whole is not None and len(word) == 1:
+            return [whole]
+        n, get, allows, longest = len(word), self.ids.get, self.allows, self.longest
+        out: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        at, end = 0, min(len(word), longest)
+        while at < n:
+            while end > at:
+                if end not in dead:
+                    label = get(word[at:end])
+                    if label is not None and (not out or allows(out[-1], label)):
+                        break
+                end -= 1
+            if end > at:
+                out.append(label)
+                starts.append(at)
+                at, end = end, min(n, end + longest)
+            else:
+                dead.add(at)
+                out.pop()
+                end, at = at - 1, starts.pop()
+        return out
 
 
 class Pieces(dict):
@@ -148,7 +161,8 @@ class Coder:
         by_length = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
         self.split = regex.compile(PRE_SPLIT)
-        self.word = Pieces(lambda w: np.array(self.automaton.encode(w.encode()), dtype="<u4").tobytes())
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.labels))]
+        self.word = Pieces(lambda w: b"".join(map(self.packed.__getitem__, self.automaton.encode(w.encode()))))
         self.spaced = Pieces(self._spaced)
 
     def _spaced(self, piece: str) -> bytes | None:
