@@ -63,3 +63,19 @@ def ascii_lower(c: Column) -> Column:
 def crc_bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
+    """(doc_id, text, label): documents with an agreed label 0 or 1 for which keep holds, at most limit ids.
+
+    Ids are taken in the order of their hash, so the sample is the same in each run. It bounds what a
+    classifier is fitted on; nothing else is decided by it.
+    """
+    agreed = (
+        labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(keep)
+        .groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most"))
+        .filter("label = most").select("doc_id", "label")
+    )
+    ids = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    return materialize(texts.join(F.broadcast(ids), "doc_id").repartition(8, "doc_id"))
