@@ -4,12 +4,12 @@ The kernel of two words counts the letter subsequences of length ORDER that they
 weighted down by what it skips in the word: LETTER_GAP for a skipped letter, OTHER_GAP for any other
 character. A landmark found in one piece counts 1; one with characters inserted or set apart counts
 somewhat less, and one spread over another word's letters little. Landmarks are stems typical of toxic
-training documents (maximal runs of letter n-grams that these documents hold far more often than
-others) and frequent words of the others. A sentence is the largest kernel value that any of its
+training documents (letter n-grams that these documents hold far more often than others, and runs
+of them) and frequent words of the others. A sentence is the largest kernel value that any of its
 words has with each landmark, mapped by the inverse square root of the landmarks' own kernel matrix
 (Nyström). A linear SVM is trained on labelled sentences: of a toxic document the one that scores
 highest, chosen anew in each round, and of others those that come closest; besides, toxic landmarks
-with inserted characters. A document scores by its highest sentence, through a logistic curve fitted
+alone, as they are and with inserted characters. A document scores by its highest sentence, through a logistic curve fitted
 on documents not trained on.
 
 Single letters in a row are also read as one word. Words longer than WINDOW letters are read in
@@ -35,14 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, labelled_sample
 
-ORDER, LETTER_GAP, OTHER_GAP, SHARED = 4, 0.5, 0.95, 0.7
+ORDER, LETTER_GAP, OTHER_GAP, SHARED = 4, 0.4, 0.99, 0.7
 WINDOW, STRIDE = 32, 16
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, LONGEST_LANDMARK = 30, 4, 16
 #: A stem's n-grams stand in this share of toxic documents at least, and this many times as often as in others.
-STEM_SHARE, STEM_ODDS, GRAM_SIZES, GRAM_BITS = 0.02, 8, (4, 5), 19
+STEM_SHARE, STEM_ODDS, GRAM_SIZES, GRAM_BITS = 0.02, 20, (4, 5), 19
 TRAIN_DOCS = 6000
 #: Sentences of one training document that reach the driver, the most similar to toxic landmarks first.
 SENTENCES = 4
+#: Weight of clean sentences in training, against one of the toxic ones.
+CLEAN_WEIGHT = 10
 TABLE_LIMIT = 300_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENDS = b".!?"
@@ -51,6 +53,9 @@ OTHER = 255
 _CODE = np.full(256, OTHER, dtype=np.uint8)
 _CODE[0], _CODE[97:123], _CODE[128:] = 0, np.arange(1, 27), np.arange(27, 155)
 _BREAK = b"\x01"
+#: Stands before the first letter of a word, and of stems that begin words; matched like a letter.
+_START = b"\x02"
+_CODE[2] = 155
 
 
 def lower(text: bytes) -> bytes:
@@ -58,7 +63,7 @@ def lower(text: bytes) -> bytes:
 
 
 def letters(word: bytes) -> bytes:
-    return lower(word.strip(_EDGES))
+    return _START + lower(word.strip(_EDGES))
 
 
 def _matrix(words: list[bytes]) -> np.ndarray:
@@ -149,7 +154,7 @@ class Table:
             p = letters(w)
             if len(p) > WINDOW:
                 pieces += [(p[i : i + WINDOW], w) for i in range(0, len(p) - STRIDE, STRIDE)]
-            elif len(p) >= ORDER:
+            elif len(p) > ORDER:
                 pieces.append((p, w))
         pieces.sort(key=lambda x: len(x[0]))  # so that short words aren't padded to long ones
         best: dict[bytes, np.ndarray] = {}
@@ -247,16 +252,39 @@ def toxic_grams(sample: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def stems(text: bytes, typical: np.ndarray) -> set[bytes]:
-    """Maximal runs of letters that typical n-grams cover."""
+    """Typical n-grams of a text, and the maximal runs of letters that they cover, with _START where they begin a word."""
     raw = lower(text)
     edge = np.zeros(len(raw) + 1, dtype=np.int64)
+    spans: list[tuple[int, int]] = []
     for which, places, h in _grams(text):
-        at = places[typical[which, h]]
+        at, n = places[typical[which, h]], GRAM_SIZES[which]
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + GRAM_SIZES[which], -1)
+        np.add.at(edge, at + n, -1)
+        spans += [(a, a + n) for a in at.tolist()]
     covered = np.r_[0, (np.cumsum(edge) > 0)[:-1].astype(np.int8), 0]
     starts, stops = np.flatnonzero(np.diff(covered) == 1), np.flatnonzero(np.diff(covered) == -1)
-    return {raw[a:b] for a, b in zip(starts.tolist(), stops.tolist()) if b - a <= LONGEST_LANDMARK}
+    spans += [(a, b) for a, b in zip(starts.tolist(), stops.tolist()) if b - a < LONGEST_LANDMARK]
+    inside = lambda a: a > 0 and (raw[a - 1] >= 128 or 97 <= raw[a - 1] <= 122)
+    return {raw[a:b] if inside(a) else _START + raw[a:b] for a, b in spans}
+
+
+def pick_stems(docs: dict[bytes, set[int]]) -> list[bytes]:
+    """Toxic landmarks from {stem: toxic documents that hold it}: the most widespread stems that no landmark
+    chosen before finds, each made as long as it can be without losing more than a tenth of its
+    documents. Stems within words (endings, mostly) are taken only for documents that lack the others."""
+    chosen: list[bytes] = []
+    covered: set[int] = set()
+    for stem in sorted(docs, key=lambda s: (_START not in s, -len(docs[s]), -len(s), s)):
+        if len(chosen) == TOXIC_LANDMARKS:
+            break
+        if chosen and Landmarks(chosen, 0).kernel([stem]).max() > 0.6 or any(stem in c for c in chosen):
+            continue
+        if _START not in stem and len(docs[stem] - covered) < max(3, 0.1 * len(docs[stem])):
+            continue
+        longest = max((s for s in docs if stem in s and len(docs[s]) >= 0.9 * len(docs[stem])), key=lambda s: (len(s), len(docs[s]), s))
+        chosen.append(longest)
+        covered |= docs[longest]
+    return chosen
 
 
 def choose_landmarks(sample: DataFrame) -> tuple[Landmarks | None, int, int]:
@@ -266,30 +294,29 @@ def choose_landmarks(sample: DataFrame) -> tuple[Landmarks | None, int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for t in batch.column("text").to_pylist() for s in stems(t, held.value)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["stem"])
+            found = [(i, s) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for s in stems(t, held.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["doc_id", "stem"])
 
-    counted = sample.filter("label = 1").select("text").mapInArrow(run, "stem binary").groupBy("stem").count()
-    most = counted.filter(F.col("count") >= max(3, int(STEM_SHARE * n1))).orderBy(F.desc("count"), "stem").limit(500).collect()
-    chosen: list[bytes] = []
-    for stem in (bytes(r.stem) for r in most):
-        if len(chosen) < TOXIC_LANDMARKS and not (chosen and Landmarks(chosen, 0).kernel([stem]).max() > 0.9):
-            chosen.append(stem)
+    counted = sample.filter("label = 1").select("doc_id", "text").mapInArrow(run, "doc_id bigint, stem binary").groupBy("stem").agg(F.collect_set("doc_id").alias("docs"))
+    # Both factors are bounded: stems by the limit, documents by the sample.
+    most = counted.filter(F.size("docs") >= max(3, int(STEM_SHARE * n1))).orderBy(F.desc(F.size("docs")), "stem").limit(1000).collect()
+    chosen = pick_stems({bytes(r.stem): set(r.docs) for r in most})
     if not chosen:
         return None, n1, n0
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"[a-z]{{{ORDER},12}}"), F.lit(0)))).alias("w")
     common = sample.filter("label = 0").select(word).groupBy("w").count().orderBy(F.desc("count"), "w").limit(CLEAN_LANDMARKS).collect()
-    return Landmarks(chosen + [r.w.encode() for r in common if r.w.encode() not in chosen], len(chosen)), n1, n0
+    return Landmarks(chosen + [_START + r.w.encode() for r in common if _START + r.w.encode() not in chosen], len(chosen)), n1, n0
 
 
 def with_insertions(word: bytes, rng: np.random.Generator) -> list[bytes]:
-    """The word with a character inserted at a random place, and with one between all letters."""
-    other = bytes([rng.choice(np.frombuffer(b"-*._xzq0", dtype=np.uint8))])
+    """The word with a sign or digit inserted at a random place, and with one between all letters."""
+    word = word.removeprefix(_START)
+    other = bytes([rng.choice(np.frombuffer(b"-*._~0", dtype=np.uint8))])
     at = int(rng.integers(1, len(word)))
     return [word[:at] + other + word[at:], other.join(bytes([c]) for c in word)]
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, epochs: int = 300) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, epochs: int = 300) -> tuple[np.ndarray, float]:
     """A linear SVM (squared hinge, y in -1, 1) by Newton steps over the rows within the margin."""
     z = np.c_[x, np.ones(len(x))]
     penalty = np.diag(np.r_[np.full(x.shape[1], ridge), 1e-6])
@@ -324,8 +351,12 @@ class Model:
         self.landmarks, self.w, self.b, self.slope, self.intercept = landmarks, w, b, slope, intercept
 
     def margin(self, sentences: np.ndarray) -> float:
-        """Of the highest sentence. One without any likeness to a landmark has the bias as its margin."""
-        return float(max(self.b, (sentences @ self.w + self.b).max())) if len(sentences) else self.b
+        """Of the highest sentence, within the SVM's own margin of 1: what lies beyond is as certain.
+
+        A sentence without any likeness to a landmark has the bias as its margin.
+        """
+        top = max(self.b, (sentences @ self.w + self.b).max()) if len(sentences) else self.b
+        return float(np.clip(top, -1, 1))
 
     def probability(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.intercept, -30, 30))))
@@ -364,7 +395,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
     calibrate = rng.random(len(bags)) < 0.2
     if len({*y[calibrate]}) < 2 or len({*y[~calibrate]}) < 2:
         calibrate[:] = False
-    made = landmarks.kernel([v for w in landmarks.words[:toxic] for _ in range(3) for v in with_insertions(w, rng)])
+    made = landmarks.kernel([_START + v for w in landmarks.words[:toxic] for v in (w.removeprefix(_START), *with_insertions(w, rng), *with_insertions(w, rng))])
     clean = np.concatenate([b for b, label_, c in zip(bags, y, calibrate) if label_ == 0 and not c])
     w = np.r_[np.ones(toxic), np.zeros(m - toxic)]  # of kernel values; the first witnesses are the most alike
     b = 0.0
@@ -373,7 +404,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
         witness = np.array([bag[int(np.argmax(bag @ w))] for bag, label_, c in zip(bags, y, calibrate) if label_ == 1 and not c and bag.any()] or zero)
         x = np.concatenate([witness, made, clean])
         target = np.r_[np.ones(len(witness) + len(made)), -np.ones(len(clean))]
-        weight = np.r_[np.full(len(witness), 0.5 / len(witness)), np.full(len(made), 0.2 / len(made)), np.full(len(clean), 1 / len(clean))] * len(x)
+        weight = np.r_[np.full(len(witness), 0.5 / len(witness)), np.full(len(made), 1 / len(made)), np.full(len(clean), CLEAN_WEIGHT / len(clean))] * len(x)
         v, b = train_svm(x @ whiten, target, weight)
         w = whiten @ v
     model = Model(landmarks, w.astype(np.float32), b, 1.0, 0.0)
