@@ -247,6 +247,21 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     return _with(docs, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], text_col, ids)
 
 
+def encode_checked(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """docs with ids, n_tokens, and intact: whether decoding the ids gives the text back."""
+    source = _broadcast(docs.sparkSession, tokenizer_path)
+
+    def coded(texts):
+        coder = _coder(source)
+        packed = [coder.encode(t.as_py()) for t in texts]
+        arrays = [np.frombuffer(p, dtype="<u4").astype(np.int32) for p in packed]
+        intact = [coder.decode(p) == (t.as_py() or "") for p, t in zip(packed, texts)]
+        return [pa.array(arrays, type=pa.list_(pa.int32())), pa.array([len(a) for a in arrays], type=pa.int64()), pa.array(intact, type=pa.bool_())]
+
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("intact", T.BooleanType())]
+    return _with(docs, added, text_col, coded)
+
+
 def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """docs with the decoded text of an array of ids added; a null array decodes to the empty text."""
     source = _broadcast(docs.sparkSession, tokenizer_path)

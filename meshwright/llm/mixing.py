@@ -112,16 +112,17 @@ def fragments(stream: DataFrame, block_words: int, max_epochs: int = MAX_EPOCHS)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
-        weights: tuple[int, ...] = WEIGHTS, min_block: int = 64, max_slots: int = 1 << 20) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, min_block: int = 64, max_slots: int = 1 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken, copies, first_slot): one row per document.
 
     taken is the number of words that the schedule takes, repeats counted; copies is in how many
     passes it takes the document's middle; first_slot is the earliest slot that holds a part of it.
     Blocks have min_block words, or more where the schedule would exceed max_slots slots. Blocks
     that no slot reaches (a few per source, the sequence's discrepancy) follow behind the last slot.
+    carry names further columns of docs to keep.
     """
     spark = docs.sparkSession
-    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry))
     n_rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block_words = max(min_block, -(-total // max_slots))
     n_slots = -(-total // block_words)
@@ -139,5 +140,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     return stream.join(parts, key, "left").select(
         "doc_id", "size", "source", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), "first_slot", *key,
+        F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), "first_slot", *key, *carry,
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as the mix has them: each row as often as the schedule passes its middle, so three times at most.
+
+    Rows equal in all columns share a name, and their copies are summed.
+    """
+    name = {"k_id": F.coalesce(F.col(id_col), F.lit(0).cast("bigint")), "k_row": F.xxhash64(F.col(id_col).isNull(), *map(F.col, docs.columns))}
+    named = docs.withColumns(name)
+    mixed = mix(named, id_col, text_col, source_col, carry=("k_id", "k_row"), **options)
+    times = mixed.filter("copies > 0").groupBy("k_id", "k_row").agg(F.sum("copies").cast("int").alias("copies"))
+    rows = named.dropDuplicates(["k_id", "k_row"]).join(times.hint("shuffle_hash"), ["k_id", "k_row"])
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
