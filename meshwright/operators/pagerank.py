@@ -43,8 +43,7 @@ def with_importance(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
     """nodes with centrality (rank over calls and imports) and importance (centrality raised by change frequency)."""
     ranks = pagerank(edges.filter(F.col("edge_type").isin("CALLS", "IMPORTS")), **options).withColumnRenamed("rank", "fresh")
     joined = nodes.join(ranks, "node_id", "left")
-    centrality = F.coalesce("fresh", "centrality_score", F.lit(0.0))
+    centrality = F.coalesce("fresh", F.lit(0.0))  # a node off these edges has none, whatever it had before
     return joined.withColumns({
-        "centrality_score": centrality,
-        "importance_score": F.when(F.col("fresh").isNotNull(), centrality * (1 + F.coalesce("change_frequency", F.lit(0.0)))).otherwise(F.coalesce("importance_score", F.lit(0.0))),
+        "centrality_score": centrality, "importance_score": centrality * (1 + F.coalesce("change_frequency", F.lit(0.0))),
     }).drop("fresh")

@@ -57,7 +57,7 @@ def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     known = nodes.select("repo_id", "node_id")
     from_known = raw.join(known.withColumnRenamed("node_id", "src_id"), ["repo_id", "src_id"], "left_semi")
     named = nodes.groupBy("repo_id", F.col("name").alias("k_name")).agg(F.count("*").alias("n"), F.min("node_id").alias("by_name")).filter("n = 1").drop("n")
-    paths = _last(nodes, "file_path", "by_path")
+    paths = _last(nodes.filter(F.col("node_type").isin("File", "ConfigFile")), "file_path", "by_path")
     e = from_known.join(known.select("repo_id", F.col("node_id").alias("dst_ref"), F.col("node_id").alias("by_id")), ["repo_id", "dst_ref"], "left")
     e = e.join(_last(nodes, "fqn", "by_fqn").withColumnRenamed("k_by_fqn", "dst_ref"), ["repo_id", "dst_ref"], "left")
     # An import names up to one file for each suffix; the first suffix that is found counts.

@@ -34,10 +34,19 @@ ALLOWED_PAIRS = (
 )
 SCHEMA_VERSION = 2
 
-FILES = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+_TYPES |= {"array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def struct(columns: str) -> T.StructType:
+    """'name type, ..' as a schema, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+FILES = struct(
     "repo_id string, rel_path string, language string, extension string, size_bytes bigint, content binary, content_hash string"
 )
-NODES = T.StructType.fromDDL(
+NODES = struct(
     "repo_id string, node_id string, node_type string, name string, fqn string, language string, docstring string, tags array<string>,"
     "change_frequency double, centrality_score double, importance_score double, last_modified_commit string,"
     "file_path string, start_line int, end_line int, extension string, size_bytes bigint, content_hash string, dir_path string,"
@@ -47,11 +56,11 @@ NODES = T.StructType.fromDDL(
     "orm_framework string, fields array<string>, test_framework string, is_parametrized boolean, targets array<string>, format string,"
     "file_ord string, node_ord int"
 )
-RAW_EDGES = T.StructType.fromDDL(
+RAW_EDGES = struct(
     "repo_id string, edge_id string, edge_type string, src_id string, dst_ref string, confidence double, imported_names array<string>,"
     "is_dynamic boolean, is_conditional boolean, is_mixin boolean, access_pattern string, file_path string, edge_ord int"
 )
 EDGES = T.StructType([f for f in RAW_EDGES if f.name not in ("dst_ref", "file_path", "edge_ord")] + [T.StructField("dst_id", T.StringType())])
-EMBEDDINGS = T.StructType.fromDDL(
+EMBEDDINGS = struct(
     "repo_id string, node_id string, embedding array<float>, document string, node_type string, fqn string, file_path string, language string, importance_score double"
 )
