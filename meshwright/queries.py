@@ -321,7 +321,7 @@ def name_resolution_cascade(spark, sf):
     testgraph.views(spark, sf, "nation", "orders")
     own = testgraph.nodes(spark, sf).filter("node_type <> 'ConfigFile'").select("node_id", "node_type", "name", "fqn", "file_path")
     nodes = own.unionByName(spark.sql(_MODS).select("node_id", "node_type", "name", "fqn", "file_path")).withColumns({"repo_id": F.lit(""), "file_ord": F.col("node_id"), "node_ord": F.lit(0)})
-    raw = spark.sql(_RAW).withColumns({"repo_id": F.lit(""), "file_path": F.lit("x.py"), "confidence": F.lit(0.9), "edge_ord": F.col("o_orderkey"), "edge_id": F.concat("edge_type", "src_id", F.col("o_orderkey").cast("string"))})
+    raw = spark.sql(_RAW).withColumns({"repo_id": F.lit(""), "file_path": F.lit("x.py"), "confidence": F.lit(0.9), "edge_ord": F.col("o_orderkey"), "edge_id": F.concat_ws(":", "edge_type", "src_id", F.col("o_orderkey").cast("string"))})
     return resolve.resolve_edges(raw, nodes).select("edge_type", "src_id", F.col("o_orderkey").alias("ref"), "dst_id", F.col("confidence"))
 
 
