@@ -21,4 +21,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet and read it back: a reliable, columnar checkpoint that cuts lineage."""
     path = f"{shared_dir(df.sparkSession)}/meshwright/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_kept: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that materialize() has written; call it once results are stored. Returns how many."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _kept:
+        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

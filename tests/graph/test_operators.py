@@ -104,3 +104,12 @@ def test_glob():
 
     m = lambda p, s: bool(re.match(glob_regex([p]), s))
     assert m("**/dist/**", "a/dist/b/c") and m("*.py", "a/b.py") and not m("*.py", "a.pyc") and not re.match(glob_regex([]), "x") and m("a?c", "abc")
+
+
+def test_materialized_tables_are_released(spark):
+    from meshwright import tables
+
+    tables.release(spark)
+    df = tables.materialize(spark.range(5).withColumn("s", F.lit("x")))
+    assert df.count() == 5 and df.columns == ["id", "s"]
+    assert tables.release(spark) == 1 and tables.release(spark) == 0
