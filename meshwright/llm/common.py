@@ -1,13 +1,14 @@
-"""What the operators share: table reading, tables kept in the shared folder, small column helpers."""
+"""What the operators share: table reading, training samples, small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
+__all__ = ["SPACE_CHARS", "WORD", "ascii_lower", "crc_bucket", "labelled_sample", "materialize", "read"]
+
 #: The white space that separates words in every contract of this package.
 SPACE_CHARS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,43 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` where the cluster names one.
-
-    Only a session without that setting (tests, a single machine) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="meshwright-")
-        shared_dir.own = named
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    This cuts lineage the way a reliable checkpoint does (a lost executor loses nothing), but is
-    columnar and compressed, so later readers can prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meshwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _kept.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_kept: list[str] = []
-
-
-def release(spark: SparkSession) -> int:
-    """Delete every table that materialize() wrote; call it once results are stored. Returns how many."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _kept:
-        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII takes the fast built-in, which then does the same."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

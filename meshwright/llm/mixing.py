@@ -31,31 +31,52 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(src, source, source_size, target, quota, lo, hi): one row per source, src its rank by code point.
+def in_parts(df: DataFrame, order: Column) -> DataFrame:
+    """df with part: range partitions in that order, kept as written, so that order can be restored part by part."""
+    return materialize(df.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+
+
+def before_each(df: DataFrame, value: Column, order: Column, out: str) -> DataFrame:
+    """df (with part) with the sum of value over all rows before each one in order.
+
+    Sums of parts, one row a part, give where a part starts; a window within the part does the rest.
+    """
+    sums = df.groupBy("part").agg(F.sum(value).alias("_sum"))
+    starts = sums.select("part", F.coalesce(F.sum("_sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_inside", inside).join(starts, "part").withColumn(out, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
 
-    Water-filling in closed form: with sources ordered by cap over weight, the first one whose cap
-    is not below the level that it and the rest would share gives the water level; levels fall from
-    there on, so it is the highest of those that fit. The windows without a key run over one row per
-    source, after aggregation.
+
+def water_level(sources: DataFrame) -> float:
+    """The level at which targets (the level times weight, cap at most) sum to the total of sizes.
+
+    Raising the level caps more sources, which raises it again, until no more are capped: a scalar
+    aggregation a round, as in resharing the excess.
     """
+    total, weights = sources.agg(F.sum(F.col("source_size").cast("double")), F.sum("w")).first()
+    level, capped = (total or 0.0) / (weights or 1.0), -1
+    while True:
+        over = F.col("cap") <= level * F.col("w")
+        row = sources.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~over, F.col("w")))).first()
+        if row[0] == capped or not row[2]:
+            return level
+        capped, level = row[0], (total - row[1]) / row[2]
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(src, source, source_size, target, quota, lo, hi): one row per source, src its rank by code point."""
+    order = F.asc_nulls_last("source")
+    per_source = in_parts(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), order)
+    src = before_each(per_source, F.lit(1), order, "src")
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int")).cast("double")
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per_source.withColumn("src", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1).withColumn("w", w)
-    cap = (F.col("source_size") * max_epochs).cast("double")
-    by_level = W.orderBy(cap / F.col("w"), "src")
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    leveled = ranked.withColumn("level", level)
-    water = F.max(F.when(F.col("level") <= cap / F.col("w"), F.col("level"))).over(everything)
-    filled = leveled.withColumn("water", water).withColumn("target", F.least(cap, F.col("water") * F.col("w")))
-    total = F.sum("target").over(everything)
-    below = F.coalesce(F.sum("target").over(W.orderBy("src").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return filled.select(
+    weighted = materialize(src.withColumn("src", F.col("src").cast("int")).withColumn("w", w).withColumn("cap", (F.col("source_size") * max_epochs).cast("double")))
+    filled = weighted.withColumn("target", F.least("cap", F.lit(water_level(weighted)) * F.col("w")))
+    total = filled.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    placed = before_each(filled, F.col("target"), F.asc("src"), "below")
+    share = lambda c: F.lit(None).cast("double") if not total else c / total
+    return placed.select(
         "src", "source", "source_size", "target", F.round("target").cast("bigint").alias("quota"),
-        (F.when(total > 0, below / total)).alias("lo"), (F.when(total > 0, (below + F.col("target")) / total)).alias("hi"),
+        share(F.col("below")).alias("lo"), share(F.col("below") + F.col("target")).alias("hi"),
     )
 
 
@@ -81,13 +102,14 @@ def golden_slots(spark, n_slots: int, sources: DataFrame) -> DataFrame:
 def shuffled_stream(sizes: DataFrame, sources: DataFrame, n_rows: int, seed: int) -> DataFrame:
     """sizes with src, bucket, nth and start: each document's place in its source's shuffled stream of words.
 
-    Order is by hash. Sums per hash bucket give where a bucket starts; within a bucket, which holds
+    Order is by a 60-bit hash of seed and id. Sums per hash bucket give where a bucket starts; within a bucket, which holds
     about BUCKET_ROWS documents, a running sum does the rest.
     """
     bits = max(0, (max(1, n_rows) // BUCKET_ROWS).bit_length())
-    bucket = F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("bigint")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    bucket = F.shiftright("u", 60 - bits)
     keyed = (
-        sizes.withColumn("u", F.xxhash64(F.lit(seed), "doc_id"))
+        sizes.withColumn("u", hashed)
         .withColumn("bucket", bucket)
         .join(sources.select(F.col("source").alias("s"), "src", "source_size", "target", "quota"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")

@@ -95,7 +95,42 @@ FROM marked GROUP BY doc_id
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
+
+
+#: The same mix without buckets and parts: one window per order, targets in closed form (the first
+#: source by cap over weight that the rest's level leaves uncapped gives the level).
+OP9_SQL = """
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 15))::BIGINT AS u FROM documents),
+total AS (SELECT sum(size)::BIGINT AS t FROM sizes),
+shape AS (SELECT t, greatest(64, (t + 1048575) // 1048576)::BIGINT AS b FROM total),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src,
+         [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM sizes GROUP BY source),
+lev AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+         (t - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY source_size / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY source_size / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per, total),
+tar AS (SELECT *, least(cap, (SELECT max(level) FROM lev WHERE level <= cap / w) * w) AS target FROM lev),
+src AS (
+  SELECT *, round(target)::BIGINT AS quota, coalesce(sum(target) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo,
+         sum(target) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS hi FROM tar),
+points AS (SELECT slot, slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range(0, (t + b - 1) // b)) AS slot FROM shape)),
+slots AS (SELECT src, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS r FROM points JOIN src ON x >= lo AND x < hi),
+stream AS (
+  SELECT doc_id, size, s.*, coalesce(sum(size) OVER (PARTITION BY src ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sizes z JOIN src s ON z.source IS NOT DISTINCT FROM s.source),
+cut AS (
+  SELECT doc_id, src, e * source_size + start AS a, least(e * source_size + start + size, quota) AS z
+  FROM stream, (VALUES (0), (1), (2)) v(e) WHERE size > 0 AND e * source_size + start < quota),
+parts AS (SELECT doc_id, src, a, z, unnest(range((a // b)::BIGINT, ((z - 1) // b + 1)::BIGINT)) AS r FROM cut, shape),
+took AS (
+  SELECT doc_id, sum(least(z, (p.r + 1) * b) - greatest(a, p.r * b))::BIGINT AS taken, min(coalesce(slot, (t + b - 1) // b + p.r))::BIGINT AS first_slot
+  FROM parts p CROSS JOIN shape LEFT JOIN slots s ON s.src = p.src AND s.r = p.r GROUP BY doc_id)
+SELECT doc_id, size, source_size, round(target, 3) AS target, coalesce(taken, 0)::BIGINT AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot FROM stream LEFT JOIN took USING (doc_id)
+"""
 
 
 QUERIES = {
@@ -104,4 +139,4 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op4_exact_topk": op4_exact_topk, "op10_chat_format": op10_chat_format, "op8_line_dedup": op8_line_dedup, "op9_mix_sources": op9_mix_sources,
 }
-ORACLE_SQL = {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
