@@ -160,7 +160,7 @@ class QueryEngine:
         """A budgeted context for the reviewer of a diff."""
         nodes, edges = self.store.nodes, self.store.edges
         if self.config.repo_id:
-            nodes = nodes.filter(F.col("repo_id") == self.config.repo_id)
+            nodes = nodes.filter(F.coalesce("repo_id", F.lit("")).isin("", self.config.repo_id))  # a node without a repository fits any
         changed = diffs.parse_diff(diff)
         touched = materialize(review.seeds(diffs.hunks(self.spark, diff), nodes).join(nodes.select("node_id", "tags"), "node_id"))
         if touched.isEmpty():

@@ -155,3 +155,11 @@ def node_block(node_type: Column, fqn: Column, signature: Column, docstring: Col
         F.concat(F.lit("**File:** `"), location(file_path, start, end), F.lit("`")),
         F.when(F.size(related) > 0, F.concat(F.lit("**Relationships:**\n"), F.array_join(shown, "\n"))),
     )
+
+
+def line_count(start: Column, end: Column) -> Column:
+    return end - start + 1
+
+
+def span_text(file_path: Column, start: Column, end: Column) -> Column:
+    return F.format_string("%s:%d-%d", file_path, start, end)

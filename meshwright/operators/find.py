@@ -64,3 +64,33 @@ def tests_of(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def counts(table: DataFrame, by: str) -> DataFrame:
     return table.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def by_id(nodes: DataFrame, node_id: str) -> DataFrame:
+    return nodes.filter(F.col("node_id") == node_id)
+
+
+def of_type(nodes: DataFrame, node_type: str, limit: int | None = None) -> DataFrame:
+    return best_first(nodes.filter(F.col("node_type") == node_type), limit)
+
+
+def files(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(F.col("node_type") == "File").orderBy("file_path")
+
+
+def most_important(nodes: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    return best_first(nodes, limit)
+
+
+def exported(edges: DataFrame, edge_type: str) -> DataFrame:
+    """(src_id, dst_id) of all edges of a type, e.g. for a graph library."""
+    return edges.filter(F.col("edge_type") == edge_type).select("src_id", "dst_id")
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes in ids (node_id), and the edges between them."""
+    wanted = ids.select("node_id").distinct()
+    inner = edges
+    for end in ("src_id", "dst_id"):
+        inner = inner.join(wanted.withColumnRenamed("node_id", end), end, "left_semi")
+    return nodes.join(wanted, "node_id", "left_semi"), inner

@@ -6,11 +6,12 @@ the next version and then moves the pointer, so readers never see a half-written
 
 from __future__ import annotations
 
-from functools import reduce
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sql import register
 from ..schema import EDGES, EMBEDDINGS, NODES, RAW_EDGES, SCHEMA_VERSION
 
 TABLES = {"nodes": NODES, "edges": EDGES, "raw_edges": RAW_EDGES, "embeddings": EMBEDDINGS}
@@ -44,7 +45,10 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        if self.schema_version() < SCHEMA_VERSION:
+        found = self.schema_version()
+        if found > SCHEMA_VERSION:
+            warnings.warn(f"the graph has schema version {found}, newer than {SCHEMA_VERSION}", stacklevel=2)
+        elif found < SCHEMA_VERSION:
             self._set_meta(schema_version=str(SCHEMA_VERSION))
 
     def _fs(self, path: str):
@@ -113,10 +117,8 @@ class GraphStore:
 
     def sql(self, query: str, **params) -> DataFrame:
         """SQL over the views nodes and edges, with named parameters."""
+        register(self.spark)
         for name in ("nodes", "edges", "embeddings"):
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(query, args=params)
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

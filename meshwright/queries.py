@@ -233,6 +233,32 @@ def sql_passthrough(spark, sf):
     return spark.sql("SELECT language, count(*) AS n FROM graph_nodes JOIN graph_edges ON src_id = node_id WHERE edge_type = :kind GROUP BY language", args={"kind": "CALLS"})
 
 
+@query(f"WITH {NODES}, {EDGES}, w AS (SELECT node_id FROM nodes WHERE language = 'json') SELECT edge_type, count(*)::BIGINT AS n FROM edges WHERE src_id IN (SELECT node_id FROM w) AND dst_id IN (SELECT node_id FROM w) GROUP BY 1")
+def subgraph(spark, sf):
+    nodes = testgraph.nodes(spark, sf)
+    return find.counts(find.subgraph(nodes, testgraph.edges(spark, sf), nodes.filter("language = 'json'"))[1], "edge_type")
+
+
+@query(f"WITH {EDGES} SELECT src_id, dst_id FROM edges WHERE edge_type = 'CALLS'")
+def export_calls(spark, sf):
+    return find.exported(testgraph.edges(spark, sf), "CALLS")
+
+
+@query(f"WITH {NODES} SELECT node_id, file_path || ':' || start_line || '-' || end_line AS span, end_line - start_line + 1 AS lines FROM nodes WHERE file_path IS NOT NULL")
+def source_spans(spark, sf):
+    n = testgraph.nodes(spark, sf).filter("file_path is not null")
+    return n.select("node_id", fn.span_text(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("span"), fn.line_count(F.col("start_line"), F.col("end_line")).alias("lines"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS short, greatest(1, floor(length(text) / 3.5)::INT) AS tokens, substr(sha256(source || ':' || doc_id::VARCHAR), 1, 16) AS node FROM documents")
+def sql_functions(spark, sf):
+    from .functions import sql
+
+    sql.register(spark)
+    testgraph.views(spark, sf, "documents")
+    return spark.sql("SELECT doc_id, shorten(text, 40) AS short, estimated_tokens(text) AS tokens, graph_node_id(source, CAST(doc_id AS STRING)) AS node FROM documents")
+
+
 # Traversal
 
 _POPULAR = "(SELECT dst_id FROM succ GROUP BY dst_id ORDER BY count(*) DESC, dst_id LIMIT 1)"
