@@ -31,6 +31,19 @@ def row_key(id_col: Column, text: Column) -> list[Column]:
     return [F.coalesce(id_col, F.lit(0).cast("bigint")).alias("k_id"), F.xxhash64(id_col.isNull(), text).alias("k_text")]
 
 
+#: Names of the row key in frames that carry their caller's columns.
+KEY = ["__k_id", "__k_text"]
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.withColumns(dict(zip(KEY, row_key(F.col(id_col), F.col(text_col)))))
+
+
+def keyed(names: DataFrame) -> DataFrame:
+    """A frame with k_id and k_text, these renamed to join a with_row_key() frame."""
+    return names.withColumnsRenamed(dict(zip(("k_id", "k_text"), KEY)))
+
+
 def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
     """One row per document: its key, its number of lines, and (hash, position, first) of its long lines.
 
@@ -119,20 +132,23 @@ def apply_bitmap(text: Column, keep_runs: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text added, one row for each row of docs.
+    """docs with n_lines, n_dropped and kept_text added (in place of columns so named), one row for each row of docs.
 
     Texts meet their bitmaps in one shuffled hash join whose build side is the small bitmaps.
     """
-    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
-    keyed = docs.withColumns(dict(zip(("k_id", "k_text"), row_key(F.col(id_col), F.col(text_col)))))
-    joined = keyed.join(bitmaps.hint("shuffle_hash"), ["k_id", "k_text"])
-    whole = F.when(F.col("n_dropped") == 0, F.coalesce(text_col, F.lit("")))
+    added = ("n_lines", "n_dropped", "kept_text")
+    bitmaps = keyed(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)).withColumnsRenamed({"n_lines": "__n_lines", "n_dropped": "__n_dropped", "keep_runs": "__keep_runs"})
+    joined = with_row_key(docs, id_col, text_col).join(bitmaps.hint("shuffle_hash"), KEY)
+    whole = F.when(F.col("__n_dropped") == 0, F.coalesce(text_col, F.lit("")))
     # Lines are split once per dropped document: a let-binding through a one-element array.
     kept = F.element_at(
         F.transform(
             F.array(split_lines(F.col(text_col))),
-            lambda a: F.array_join(F.flatten(F.transform("keep_runs", lambda r: F.slice(a, r.start + 1, r.length))), "\n"),
+            lambda a: F.array_join(F.flatten(F.transform("__keep_runs", lambda r: F.slice(a, r.start + 1, r.length))), "\n"),
         ),
         1,
     )
-    return joined.select(*docs.columns, F.col("n_lines").cast("bigint").alias("n_lines"), "n_dropped", whole.otherwise(kept).alias("kept_text"))
+    return joined.select(
+        *(c for c in docs.columns if c not in added),
+        F.col("__n_lines").cast("bigint").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), whole.otherwise(kept).alias("kept_text"),
+    )

@@ -171,9 +171,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows equal in all columns share a name, and their copies are summed.
     """
-    name = {"k_id": F.coalesce(F.col(id_col), F.lit(0).cast("bigint")), "k_row": F.xxhash64(F.col(id_col).isNull(), *map(F.col, docs.columns))}
-    named = docs.withColumns(name)
-    mixed = mix(named, id_col, text_col, source_col, carry=("k_id", "k_row"), **options)
-    times = mixed.filter("copies > 0").groupBy("k_id", "k_row").agg(F.sum("copies").cast("int").alias("copies"))
-    rows = named.dropDuplicates(["k_id", "k_row"]).join(times.hint("shuffle_hash"), ["k_id", "k_row"])
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    key = ["__k_id", "__k_row"]
+    named = docs.withColumns({key[0]: F.coalesce(F.col(id_col), F.lit(0).cast("bigint")), key[1]: F.xxhash64(F.col(id_col).isNull(), *map(F.col, docs.columns))})
+    mixed = mix(named, id_col, text_col, source_col, carry=tuple(key), **options)
+    times = mixed.filter("copies > 0").groupBy(*key).agg(F.sum("copies").cast("int").alias("__copies"))
+    rows = named.dropDuplicates(key).join(times.hint("shuffle_hash"), key)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, crc_bucket, materialize
-from .line_dedup import row_key
+from .line_dedup import KEY, keyed, row_key, with_row_key
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -205,5 +205,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs that judge() keeps, as they are."""
     kept = judge(docs, labels, id_col, text_col).filter("kept")
     names = kept.select(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("k_id"), "k_text").distinct()
-    keyed = docs.withColumns(dict(zip(("k_id", "k_text"), row_key(F.col(id_col), F.col(text_col)))))
-    return keyed.join(names.hint("shuffle_hash"), ["k_id", "k_text"], "left_semi").select(*docs.columns)
+    return with_row_key(docs, id_col, text_col).join(keyed(names).hint("shuffle_hash"), KEY, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .line_dedup import row_key
+from .line_dedup import KEY, keyed, row_key, with_row_key
 
 MAX_BITS = 3
 #: Members beyond which a bucket is indexed anew by the other half.
@@ -215,5 +215,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(docs, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k_text")).alias("s"))
     kept = first.select(F.coalesce("s.doc_id", F.lit(0).cast("bigint")).alias("k_id"), F.col("s.k_text").alias("k_text"))
-    keyed = docs.withColumns(dict(zip(("k_id", "k_text"), row_key(F.col(id_col), F.col(text_col)))))
-    return keyed.join(kept.distinct(), ["k_id", "k_text"], "left_semi").dropDuplicates(["k_id", "k_text"]).select(*docs.columns)
+    rows = with_row_key(docs, id_col, text_col).join(keyed(kept.distinct()), KEY, "left_semi")
+    return rows.dropDuplicates(KEY).select(*docs.columns)

@@ -3,6 +3,7 @@
 import random
 
 from meshwright.llm import line_dedup
+from pyspark.sql import functions as F
 
 LONG = [f"This is shared line number {i} with more than forty characters" for i in range(6)]
 
@@ -29,7 +30,10 @@ def brute(rows, least=5):
 
 def found(spark, rows, **options):
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id bigint, text string, k_id string, pos int").repartition(3)
+    docs = docs.withColumns({"n_lines": F.lit("clash"), "keep_runs": F.lit(1)})
     got = line_dedup.dedup_lines(docs, **options)
+    assert got.columns == ["doc_id", "text", "k_id", "pos", "keep_runs", "n_lines", "n_dropped", "kept_text"]
+    assert got.filter("k_id <> 'clash' or pos <> 1 or keep_runs <> 1").count() == 0
     return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=repr)
 
 

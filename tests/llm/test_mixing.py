@@ -62,7 +62,8 @@ def test_schedule_is_even(spark):
 def test_documents_and_empty(spark):
     rows = [(i, f"text {i} " * 20, "a" if i % 4 else "b") for i in range(400)] + [(9000, "", "a"), (1, "text 1 " * 20, "a")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("copies", F.lit("x"))
-    mixed = mixing.mixed_documents(docs.drop("copies"))
+    mixed = mixing.mixed_documents(docs.withColumn("k_id", F.lit("mine")))
+    assert mixed.columns == [*docs.columns, "k_id"] and mixed.filter("copies <> 'x' or k_id <> 'mine'").count() == 0
     words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
     goal = brute_targets({"a": 301 * 40, "b": 100 * 40})
     assert all(abs(words[s] - goal[s]) <= 40 for s in goal)

@@ -64,7 +64,9 @@ def test_verdict(spark):
     quality = {i: q for i, _, q in rows}
     assert all(r.kept == (quality[r.doc_id] == 1) for r in got if r.doc_id in quality)
     assert [r.kept for r in got if r.doc_id == 9999] == [False] and [r.kept for r in got if r.doc_id is None] == [True]
+    docs = docs.withColumn("k_text", F.lit("mine"))
     kept = rules.keep_good(docs, labels)
+    assert kept.filter("k_text <> 'mine' or kept <> 'clash'").count() == 2
     assert kept.columns == docs.columns and kept.count() == 2400 + 2
     none = rules.judge(docs.withColumn("n_words", F.lit(0)), labels.limit(0)).collect()
     assert sum(not r.kept for r in none) == 1  # without labels only the base rules decide

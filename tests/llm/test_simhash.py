@@ -83,6 +83,7 @@ def test_documents(spark):
     want = {5: 3, 3: 3, 9: 3, 4: 4, 11: 8, 8: 8}
     assert {a: b for a, b in got if a is not None} == want and len(got) == len(rows)
     assert sorted((b is None, b) for a, b in got if a is None) == [(False, 3), (True, None)]
-    kept = simhash.keep_one(docs).collect()
+    kept = simhash.keep_one(docs.withColumn("k_id", F.lit("mine"))).collect()
+    assert {r.k_id for r in kept} == {"mine"} and {r.root for r in kept} == {"clash"}
     assert sorted(r.doc_id or 0 for r in kept) == [0, 3, 4, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
