@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import module_path
 from ..schema import ALLOWED_PAIRS
 
-IMPORT_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx")
+IMPORT_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", "/__init__.py", "/index.ts", "/index.js")
 NAME_CONFIDENCE = 0.7
 
 
@@ -52,33 +52,43 @@ def relative_path(file_path, ref):
     return F.concat(up, rest)
 
 
-def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
-    """raw edges (repo_id, src_id, dst_ref, ..) with dst_id, resolved and deduplicated; what can't be resolved is dropped."""
-    known = nodes.select("repo_id", "node_id")
-    from_known = raw.join(known.withColumnRenamed("node_id", "src_id"), ["repo_id", "src_id"], "left_semi")
-    named = nodes.groupBy("repo_id", F.col("name").alias("k_name")).agg(F.count("*").alias("n"), F.min("node_id").alias("by_name")).filter("n = 1").drop("n")
+def import_base(edges: DataFrame) -> F.Column:
+    """For an import the path, without a suffix, that its target names; empty for other edges."""
+    ref = F.col("dst_ref")
+    path = F.when(ref.startswith("."), relative_path(F.col("file_path"), ref)).otherwise(module_path(ref, ""))
+    return F.when(F.col("edge_type") == "IMPORTS", path).otherwise("")
+
+
+def resolve_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo_id, dst_ref, base, dst_id, by_name) of each distinct target text that can be resolved."""
+    known = nodes.select("repo_id", F.col("node_id").alias("dst_ref"), F.col("node_id").alias("by_id"))
+    fqns = _last(nodes, "fqn", "by_fqn").withColumnRenamed("k_by_fqn", "dst_ref")
+    named = nodes.groupBy("repo_id", F.col("name").alias("dst_ref")).agg(F.count("*").alias("n"), F.min("node_id").alias("by_name")).filter("n = 1").drop("n")
     paths = _last(nodes.filter(F.col("node_type").isin("File", "ConfigFile")), "file_path", "by_path")
-    e = from_known.join(known.select("repo_id", F.col("node_id").alias("dst_ref"), F.col("node_id").alias("by_id")), ["repo_id", "dst_ref"], "left")
-    e = e.join(_last(nodes, "fqn", "by_fqn").withColumnRenamed("k_by_fqn", "dst_ref"), ["repo_id", "dst_ref"], "left")
-    # An import names up to one file for each suffix; the first suffix that is found counts.
-    dotted = F.col("dst_ref").startswith(".")
-    base = F.when(dotted, relative_path(F.col("file_path"), F.col("dst_ref"))).otherwise(module_path(F.col("dst_ref"), ""))
-    tried = F.array(*(F.struct(F.lit(i).alias("rank"), F.concat(base, F.lit(s)).alias("path")) for i, s in enumerate((*IMPORT_SUFFIXES, "/__init__.py", "/index.ts", "/index.js"))))
-    imports = e.filter(F.col("edge_type") == "IMPORTS").select("repo_id", "file_path", "dst_ref").distinct()
+    # An import may name a file for each suffix; the first suffix that is found counts.
+    tried = F.array(*(F.struct(F.lit(i).alias("rank"), F.concat("base", F.lit(s)).alias("path")) for i, s in enumerate(IMPORT_SUFFIXES)))
     found = (
-        imports.withColumn("t", F.explode(tried)).select("repo_id", "file_path", "dst_ref", "t.rank", F.col("t.path").alias("k_by_path"))
-        .join(paths, ["repo_id", "k_by_path"]).groupBy("repo_id", "file_path", "dst_ref").agg(F.min_by("by_path", "rank").alias("by_path"))
+        refs.filter("base <> ''").select("repo_id", "base").distinct().withColumn("t", F.explode(tried)).select("repo_id", "base", "t.rank", F.col("t.path").alias("k_by_path"))
+        .join(paths, ["repo_id", "k_by_path"]).groupBy("repo_id", "base").agg(F.min_by("by_path", "rank").alias("by_path"))
     )
-    e = e.join(found.withColumn("edge_type", F.lit("IMPORTS")), ["repo_id", "file_path", "dst_ref", "edge_type"], "left")
-    e = e.join(named.withColumnRenamed("k_name", "dst_ref"), ["repo_id", "dst_ref"], "left")
-    is_import = F.col("edge_type") == "IMPORTS"
-    sure = F.coalesce("by_id", "by_fqn", F.when(is_import, F.col("by_path")))
-    by_name = F.when(~is_import, F.col("by_name"))
-    done = e.withColumns({
-        "dst_id": F.coalesce(sure, by_name),
-        "confidence": F.when(sure.isNull() & by_name.isNotNull(), F.least("confidence", F.lit(NAME_CONFIDENCE))).otherwise(F.col("confidence")),
-    }).filter("dst_id is not null")
-    return dedupe_edges(done).drop("by_id", "by_fqn", "by_path", "by_name")
+    joined = refs.join(known, ["repo_id", "dst_ref"], "left").join(fqns, ["repo_id", "dst_ref"], "left").join(named, ["repo_id", "dst_ref"], "left").join(found, ["repo_id", "base"], "left")
+    sure = F.coalesce("by_id", "by_fqn", "by_path")
+    name = F.when(F.col("base") == "", F.col("by_name"))  # imports don't fall back to names
+    return joined.select("repo_id", "dst_ref", "base", F.coalesce(sure, name).alias("dst_id"), sure.isNull().alias("by_name")).filter("dst_id is not null")
+
+
+def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
+    """raw edges (repo_id, src_id, dst_ref, ..) with dst_id, resolved and deduplicated; what can't be resolved is dropped.
+
+    Texts are resolved, not edges: a text that a third of all calls share (a built-in's name) is looked
+    up once, and edges meet the texts that were resolved in one inner join.
+    """
+    known = nodes.select("repo_id", F.col("node_id").alias("src_id"))
+    edges = raw.withColumn("base", import_base(raw)).join(known, ["repo_id", "src_id"], "left_semi")
+    targets = resolve_targets(edges.select("repo_id", "dst_ref", "base").distinct(), nodes)
+    done = edges.join(targets, ["repo_id", "dst_ref", "base"])
+    sure = F.when(F.col("by_name"), F.least("confidence", F.lit(NAME_CONFIDENCE))).otherwise(F.col("confidence"))
+    return dedupe_edges(done.withColumn("confidence", sure).drop("base", "by_name"))
 
 
 def valid_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
