@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .tables import shared_dir
+
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
@@ -21,7 +23,7 @@ def importable() -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Once a Spark application: the package as a zip, distributed by Spark, unless workers find it anyway."""
+    """Once a Spark application: the package as a zip in the shared folder, fetched by executors, unless workers find it anyway."""
     app = spark.sparkContext.applicationId
     if app in _shipped or importable():
         return
@@ -29,7 +31,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted([*(ROOT / "meshwright").rglob("*.py"), *ROOT.glob("corpus_pipeline.py")]):
             z.write(f, f.relative_to(ROOT))
-    path = Path(tempfile.mkdtemp()) / "meshwright_package.zip"  # the driver's copy, which Spark serves to executors
-    path.write_bytes(packed.getvalue())
-    spark.sparkContext.addPyFile(str(path))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meshwright/{uuid.uuid4().hex}/meshwright_package.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
     _shipped.add(app)
