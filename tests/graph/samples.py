@@ -11,49 +11,49 @@ class Base:
     id: int
 
 
-class User(Base):
-    """A user account."""
+class Account(Base):
+    """A account account."""
 
-    email: str
+    owner: str
 
-    def __init__(self, email: str):
-        self.email = email
+    def __init__(self, owner: str):
+        self.owner = owner
 
-    def verify_password(self, plain: str) -> bool:
-        return plain == self.email
+    def accepts_amount(self, plain: str) -> bool:
+        return plain == self.owner
 
 
-class Token(Base):
+class Receipt(Base):
     value: str
 ''',
-    "auth.py": '''
-from models import Token, User
+    "billing.py": '''
+from models import Receipt, Account
 
 
-def authenticate(email: str, password: str):
-    """Authenticate a user.
+def charge(owner: str, amount: str):
+    """Charge a account.
 
     Longer text.
     """
-    user = _find_user(email)
-    if not user.verify_password(password):
+    account = _open_account(owner)
+    if not account.accepts_amount(amount):
         raise ValueError("no")
-    return _create_token(user)
+    return _issue_receipt(account)
 
 
-def _find_user(email):
-    return User(email)
+def _open_account(owner):
+    return Account(owner)
 
 
-def _create_token(user):
-    return Token()
+def _issue_receipt(account):
+    return Receipt()
 
 
-def logout(token):
-    token.value.startswith("x")
+def refund(receipt):
+    receipt.value.startswith("x")
 ''',
-    "api.py": '''
-from auth import authenticate, logout
+    "routes.py": '''
+from billing import charge, refund
 
 
 class app:
@@ -70,79 +70,79 @@ class app:
         return decorator
 
 
-@app.post("/auth/login")
-def login(email: str, password: str):
+@app.post("/cart/buy")
+def buy(owner: str, amount: str):
     """Log in."""
-    return authenticate(email, password)
+    return charge(owner, amount)
 
 
-@app.post("/auth/logout")
-def do_logout(token: str):
-    logout(token)
+@app.post("/cart/undo")
+def undo_purchase(receipt: str):
+    refund(receipt)
 
 
-@app.get("/health")
-def health_check():
+@app.get("/ping")
+def ping():
     return {"status": "ok"}
 ''',
-    "test_auth.py": '''
+    "test_billing.py": '''
 import pytest
-from auth import authenticate
+from billing import charge
 
 
 def test_ok():
-    assert authenticate("a", "b")
+    assert charge("a", "b")
 
 
 def test_bad():
     with pytest.raises(ValueError):
-        authenticate("a", "c")
+        charge("a", "c")
 
 
 @pytest.mark.parametrize("x", [1, 2])
 def test_many(x):
-    authenticate(x, x)
+    charge(x, x)
 ''',
 }
 TYPESCRIPT = {
-    "auth.ts": '''import { User, Token, AuthResult } from './types';
+    "billing.ts": '''import { Account, Receipt, Outcome } from './types';
 
-export class AuthService {
-    async authenticate(email: string, password: string): Promise<AuthResult> {
-        if (!this.verify({ a: 1 }, password)) {
+export class Ledger {
+    async charge(owner: string, amount: string): Promise<Outcome> {
+        if (!this.verify({ a: 1 }, amount)) {
             throw new Error('class Fake { f() {} }');
         }
-        return { token: await this.createToken(email), user: null };
+        return { receipt: await this.issueReceipt(owner), account: null };
     }
 
-    private async findUser(email: string): Promise<User> {
-        return { id: 1, email };
+    private async openAccount(owner: string): Promise<Account> {
+        return { id: 1, owner };
     }
 
-    private verify(user: { a: number }, plain: string): boolean {
+    private verify(account: { a: number }, plain: string): boolean {
         return /class [A-Z]{/.test(plain); // class Hidden {}
     }
 
-    private async createToken(user: User): Promise<Token> {
-        return { value: `tok_${user ? `class Inner { x() {} } ${1}` : ''}` };
+    private async issueReceipt(account: Account): Promise<Receipt> {
+        return { value: `tok_${account ? `class Inner { x() {} } ${1}` : ''}` };
     }
 
-    async logout(tokenValue: string): Promise<void> {
+    async refund(receiptId: string): Promise<void> {
     }
 }
 ''',
     "types.ts": '''/** interface Commented { x: number } */
-export interface User {
+export interface Account {
     id: number;
 }
 
-export interface Token {
+export interface Receipt {
     value: string;
 }
 
-export type AuthResult = {
-    token: Token;
-    user: User;
+export type Outcome = {
+    receipt: Receipt;
+    account: Account;
 };
 ''',
 }

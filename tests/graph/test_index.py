@@ -48,51 +48,51 @@ def test_golden_graph(python_repo):
     _, ix = python_repo
     got = edges(ix.store)
     assert {e for e in got if e[0] == "CALLS"} == {
-        ("CALLS", "api.login", "auth.authenticate"), ("CALLS", "api.do_logout", "auth.logout"), ("CALLS", "auth.authenticate", "auth._find_user"), ("CALLS", "auth.authenticate", "auth._create_token"),
+        ("CALLS", "routes.buy", "billing.charge"), ("CALLS", "routes.undo_purchase", "billing.refund"), ("CALLS", "billing.charge", "billing._open_account"), ("CALLS", "billing.charge", "billing._issue_receipt"),
     }
-    assert {e[1:] for e in got if e[0] == "IMPORTS"} == {("api.py", "auth.py"), ("auth.py", "models.py"), ("test_auth.py", "auth.py")}
-    assert {e[1:] for e in got if e[0] == "EXPOSES_ENDPOINT"} == {("api.login", "api.login:endpoint"), ("api.do_logout", "api.do_logout:endpoint"), ("api.health_check", "api.health_check:endpoint")}
-    assert {e[1] for e in got if e[0] == "INHERITS"} == {"models.User", "models.Token"}
+    assert {e[1:] for e in got if e[0] == "IMPORTS"} == {("routes.py", "billing.py"), ("billing.py", "models.py"), ("test_billing.py", "billing.py")}
+    assert {e[1:] for e in got if e[0] == "EXPOSES_ENDPOINT"} == {("routes.buy", "routes.buy:endpoint"), ("routes.undo_purchase", "routes.undo_purchase:endpoint"), ("routes.ping", "routes.ping:endpoint")}
+    assert {e[1] for e in got if e[0] == "INHERITS"} == {"models.Account", "models.Receipt"}
     files = {r.file_path for r in ix.store.nodes.filter("node_type = 'File'").collect()}
     assert "_private/__init__.py" in files and not any("node_modules" in f or f.endswith(".md") for f in files)
 
 
 def test_typescript_imports_and_implements(spark, tmp_path):
-    write(tmp_path / "r", TYPESCRIPT | {"lib/impl.ts": "import { User } from '../types';\nexport class Impl implements User {}\n", "lib/index.ts": "export * from './impl';\n", "main.ts": "import { Impl } from './lib';\n"})
+    write(tmp_path / "r", TYPESCRIPT | {"lib/impl.ts": "import { Account } from '../types';\nexport class Impl implements Account {}\n", "lib/index.ts": "export * from './impl';\n", "main.ts": "import { Impl } from './lib';\n"})
     ix = indexer(spark, tmp_path / "r", tmp_path / "db")
     ix.run(embed=False)
     got = edges(ix.store)
-    assert {e[1:] for e in got if e[0] == "IMPORTS"} == {("auth.ts", "types.ts"), ("lib/impl.ts", "types.ts"), ("lib/index.ts", "lib/impl.ts"), ("main.ts", "lib/index.ts")}
-    assert {e[1:] for e in got if e[0] == "IMPLEMENTS"} == {("lib.impl.Impl", "types.User")}
+    assert {e[1:] for e in got if e[0] == "IMPORTS"} == {("billing.ts", "types.ts"), ("lib/impl.ts", "types.ts"), ("lib/index.ts", "lib/impl.ts"), ("main.ts", "lib/index.ts")}
+    assert {e[1:] for e in got if e[0] == "IMPLEMENTS"} == {("lib.impl.Impl", "types.Account")}
 
 
 def test_tested_by(spark, tmp_path):
-    write(tmp_path / "r", {k: PYTHON[k] for k in ("auth.py", "test_auth.py")})
+    write(tmp_path / "r", {k: PYTHON[k] for k in ("billing.py", "test_billing.py")})
     ix = indexer(spark, tmp_path / "r", tmp_path / "db")
     ix.run(embed=False)
-    assert {e for e in edges(ix.store) if e[0] == "TESTED_BY"} == {("TESTED_BY", "auth.authenticate", f"test_auth.{t}") for t in ("test_ok", "test_bad", "test_many")}
+    assert {e for e in edges(ix.store) if e[0] == "TESTED_BY"} == {("TESTED_BY", "billing.charge", f"test_billing.{t}") for t in ("test_ok", "test_bad", "test_many")}
 
 
 def test_queries(spark, python_repo):
     root, ix = python_repo
     engine = QueryEngine(spark, ix.config, ix.store)
-    found = engine.query_dsl('DEPENDENTS "auth._create_token"')
-    assert {"auth.authenticate", "api.login"} <= {r["fqn"] for r in found.rows} and found.error is None
-    path = engine.query_path("api.login", "auth._find_user")
-    assert path.paths[0] == ["api.login", "auth.authenticate", "auth._find_user"]
-    assert [r["fqn"] for r in engine.query_dsl('PATH FROM "api.login" TO "auth._find_user"').rows[:3]] == path.paths[0]
-    assert {r["fqn"] for r in engine.query_dsl("FIND endpoint").rows} == {"api.login:endpoint", "api.do_logout:endpoint", "api.health_check:endpoint"}
-    assert engine.query_dsl("FIND function WHERE tag = authentication AND name ~ log LIMIT 5").rows[0]["node_type"] == "Function"
-    assert engine.query_dsl("FIND * LIMIT many").error and engine.query_dsl("nonsense").rows == [] and engine.query_impact("login", 11).error
-    near = engine.query_semantic("verify password of a user", 5)
-    assert near.rows[0]["semantic_score"] > 0 and len(near.rows) == 5 and near.context.startswith("# Code Context\n**Query:** verify")
+    found = engine.query_dsl('DEPENDENTS "billing._issue_receipt"')
+    assert {"billing.charge", "routes.buy"} <= {r["fqn"] for r in found.rows} and found.error is None
+    path = engine.query_path("routes.buy", "billing._open_account")
+    assert path.paths[0] == ["routes.buy", "billing.charge", "billing._open_account"]
+    assert [r["fqn"] for r in engine.query_dsl('PATH FROM "routes.buy" TO "billing._open_account"').rows[:3]] == path.paths[0]
+    assert {r["fqn"] for r in engine.query_dsl("FIND endpoint").rows} == {"routes.buy:endpoint", "routes.undo_purchase:endpoint", "routes.ping:endpoint"}
+    assert engine.query_dsl("FIND function WHERE tag = payments AND name ~ ref LIMIT 5").rows[0]["node_type"] == "Function"
+    assert engine.query_dsl("FIND * LIMIT many").error and engine.query_dsl("nonsense").rows == [] and engine.query_impact("buy", 11).error
+    near = engine.query_semantic("accepts amount of an account", 5)
+    assert near.rows[0]["semantic_score"] > 0 and len(near.rows) == 5 and near.context.startswith("# Code Context\n**Query:** accepts")
     assert engine.query_semantic("x", node_type="Test").rows and all(r["node_type"] == "Test" for r in engine.query_semantic("x", node_type="Test").rows)
-    assert engine.query_hybrid("create token").rows and len(engine.pack_context(near, 60)) < len(near.context)
-    nl = engine.query_nl("What calls the verify_password function?")
+    assert engine.query_hybrid("create receipt").rows and len(engine.pack_context(near, 60)) < len(near.context)
+    nl = engine.query_nl("What calls the accepts_amount function?")
     assert nl.intent == "structural" and nl.rows
     assert engine.query_nl("retry logic").intent == "semantic"
-    assert "related" not in near.as_dict()["nodes"][0] and "CALLS → `" in engine.query_dsl("FIND function WHERE name = login").context
-    assert engine.neighbourhood("auth.authenticate", 1).rows
+    assert "related" not in near.as_dict()["nodes"][0] and "CALLS → `" in engine.query_dsl("FIND function WHERE name = buy").context
+    assert engine.neighbourhood("billing.charge", 1).rows
     sql = ix.store.sql("SELECT count(*) AS n FROM nodes WHERE node_type = :t", t="Test").first()
     assert sql.n == 3 and ix.store.node_count("Test") == 3 and ix.store.edge_count("IMPORTS") == 3 and ix.store.schema_version() == 2
 
@@ -100,18 +100,18 @@ def test_queries(spark, python_repo):
 def test_questions(spark, python_repo):
     _, ix = python_repo
     nodes = ix.store.nodes
-    assert questions.entities(nodes, ["authenticate", "verify_passwrd", "nothing_like_it"]) == ["auth.authenticate", "models.User.verify_password"]
-    assert questions.build(spark, nodes, "path from verify_password to do_logout")[1] == 'PATH FROM "models.User.verify_password" TO "api.do_logout"'
-    assert questions.build(spark, nodes, "What breaks if I change do_logout?")[1] == 'IMPACT "api.do_logout" DEPTH 3'
+    assert questions.entities(nodes, ["charge", "accepts_amuont", "nothing_like_it"]) == ["billing.charge", "models.Account.accepts_amount"]
+    assert questions.build(spark, nodes, "path from accepts_amount to undo_purchase")[1] == 'PATH FROM "models.Account.accepts_amount" TO "routes.undo_purchase"'
+    assert questions.build(spark, nodes, "What breaks if I change undo_purchase?")[1] == 'IMPACT "routes.undo_purchase" DEPTH 3'
     assert questions.build(spark, nodes, "list all classes")[1] == "FIND * LIMIT 20"
     assert questions.build(spark, nodes, "x", lambda q: "FIND test")[1] == "FIND test"
-    assert questions.build(spark, nodes, "callers of do_logout", lambda q: 1 / 0)[1].startswith("IMPACT")
+    assert questions.build(spark, nodes, "callers of undo_purchase", lambda q: 1 / 0)[1].startswith("IMPACT")
 
 
-DIFF = """diff --git a/auth.py b/auth.py
---- a/auth.py
-+++ b/auth.py
-@@ -9,2 +9,2 @@ def authenticate
+DIFF = """diff --git a/billing.py b/billing.py
+--- a/billing.py
++++ b/billing.py
+@@ -9,2 +9,2 @@ def charge
 @@ -30 +2,0 @@
 diff --git a/models.py b/models.py
 deleted file mode 100644
@@ -130,7 +130,7 @@ diff --git a/same.py b/same.py
 def test_diff():
     files = diffs.parse_diff(DIFF)
     assert [(f.path, f.is_new, f.is_deleted, f.ranges) for f in files] == [
-        ("auth.py", False, False, [(9, 10, "modified"), (2, 2, "deleted")]), ("models.py", False, True, [(1, 1, "deleted")]), ("new.py", True, False, [(1, 4, "added")]),
+        ("billing.py", False, False, [(9, 10, "modified"), (2, 2, "deleted")]), ("models.py", False, True, [(1, 1, "deleted")]), ("new.py", True, False, [(1, 4, "added")]),
     ]
 
 
@@ -138,9 +138,9 @@ def test_review(spark, python_repo):
     _, ix = python_repo
     engine = QueryEngine(spark, ix.config, ix.store)
     bundle = engine.review(DIFF, number=7, title="t")
-    assert {s["fqn"] for s in bundle.seeds} == {"auth.authenticate", "auth.py", "models.py"}
+    assert {s["fqn"] for s in bundle.seeds} == {"billing.charge", "billing.py", "models.py"}
     reasons = {n["fqn"]: n["reason"] for n in bundle.nodes}
-    assert reasons["api.login"] == "caller" and reasons["auth._find_user"] == "callee"
+    assert reasons["routes.buy"] == "caller" and reasons["billing._open_account"] == "callee"
     assert bundle.context_text.startswith("# Code Context\n**Query:** PR #7 — t — 3 touched symbol(s)") and bundle.baseline_tokens > 0
     tight = engine.review(DIFF, token_budget=0)
     assert len(tight.nodes) == 3 and tight.dropped_count == len(bundle.nodes) - 3
@@ -155,15 +155,15 @@ def test_incremental_equals_full(spark, tmp_path):
     ix.run()
     before = snapshot(ix.store)
     assert ix.changes().isEmpty() and ix.update().files == 0 and snapshot(ix.store) == before
-    (root / "auth.py").write_text((root / "auth.py").read_text().replace("def logout", "def sign_out") + "\n\ndef extra():\n    login(1, 2)\n")
+    (root / "billing.py").write_text((root / "billing.py").read_text().replace("def refund", "def give_back") + "\n\ndef extra():\n    buy(1, 2)\n")
     (root / "types.ts").unlink()
-    write(root, {"pkg/more.py": "from auth import extra\n\ndef use():\n    extra()\n", "settings.toml": "[other]\n"})
-    assert {(r.rel_path, r.change) for r in ix.changes().collect()} == {("auth.py", "modified"), ("types.ts", "deleted"), ("pkg/more.py", "added"), ("settings.toml", "modified")}
+    write(root, {"pkg/more.py": "from billing import extra\n\ndef use():\n    extra()\n", "settings.toml": "[other]\n"})
+    assert {(r.rel_path, r.change) for r in ix.changes().collect()} == {("billing.py", "modified"), ("types.ts", "deleted"), ("pkg/more.py", "added"), ("settings.toml", "modified")}
     ix.update()
     full = indexer(spark, root, tmp_path / "db2")
     full.run()
     assert snapshot(ix.store) == snapshot(full.store)
-    assert ("CALLS", "pkg.more.use", "auth.extra") in edges(ix.store) and ("CALLS", "auth.extra", "api.login") in edges(ix.store)
+    assert ("CALLS", "pkg.more.use", "billing.extra") in edges(ix.store) and ("CALLS", "billing.extra", "routes.buy") in edges(ix.store)
     ix.run()
     assert snapshot(ix.store) == snapshot(full.store)
 
@@ -245,7 +245,7 @@ def test_http(spark, python_repo):
         assert call("/health")[1]["status"] == "ok" and call("/v1/info")[1]["node_count"] == ix.store.node_count()
         status, data = call("/v1/query/dsl", {"query": "FIND test"})
         assert status == 200 and data["node_count"] == 3 and data["context"]
-        assert "context" not in call("/v1/query/impact", {"target": "authenticate", "depth": 2, "context": False})[1]
+        assert "context" not in call("/v1/query/impact", {"target": "charge", "depth": 2, "context": False})[1]
         assert call("/v1/query/impact", {"target": "x", "depth": 99})[0] == 422 and call("/v1/query/dsl", {})[0] == 422 and call("/v1/none", {})[0] == 404
     finally:
         server.shutdown()
@@ -259,7 +259,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(out[out.index("{"):])["node_count"] == 3
     assert cli.main(["inspect", "stats", "--repo", str(tmp_path)], spark) == 0
     assert "TESTED_BY          3" in capsys.readouterr().out
-    assert cli.main(["query", "login", "--mode", "impact", "--depth", "50", "--repo", str(tmp_path)], spark) == 1
+    assert cli.main(["query", "buy", "--mode", "impact", "--depth", "50", "--repo", str(tmp_path)], spark) == 1
     assert cli.main(["workspace", "init", "--workspace", str(tmp_path)]) == 0
     assert cli.main(["workspace", "add", str(tmp_path), "--id", "me", "--workspace", str(tmp_path)]) == 0
     cli.main(["workspace", "list", "--workspace", str(tmp_path)])

@@ -32,26 +32,26 @@ def test_python_sample_counts():
 
 def test_python_details():
     build = parsed("models.py", PYTHON["models.py"])
-    method = named(build, "models.User.verify_password")
-    assert method["class_fqn"] == "models.User" and method["signature"] == "def verify_password(self, plain) -> bool"
-    assert method["node_id"] == short_hash("models.py", "models.User.verify_password")
-    assert named(build, "models.User")["docstring"] == "A user account."
-    assert "Authenticate" in named(parsed("auth.py", PYTHON["auth.py"]), "auth.authenticate")["docstring"]
-    api = parsed("api.py", PYTHON["api.py"])
-    assert sorted(n["name"] for n in api.nodes if n["node_type"] == "ApiEndpoint") == ["GET /health", "POST /auth/login", "POST /auth/logout"]
-    assert named(api, "api.app.get")["is_static"] and not any("decorator" in n["fqn"] for n in api.nodes)
-    tests = parsed("test_auth.py", PYTHON["test_auth.py"])
+    method = named(build, "models.Account.accepts_amount")
+    assert method["class_fqn"] == "models.Account" and method["signature"] == "def accepts_amount(self, plain) -> bool"
+    assert method["node_id"] == short_hash("models.py", "models.Account.accepts_amount")
+    assert named(build, "models.Account")["docstring"] == "A account account."
+    assert "Charge" in named(parsed("billing.py", PYTHON["billing.py"]), "billing.charge")["docstring"]
+    routes = parsed("routes.py", PYTHON["routes.py"])
+    assert sorted(n["name"] for n in routes.nodes if n["node_type"] == "ApiEndpoint") == ["GET /ping", "POST /cart/buy", "POST /cart/undo"]
+    assert named(routes, "routes.app.get")["is_static"] and not any("decorator" in n["fqn"] for n in routes.nodes)
+    tests = parsed("test_billing.py", PYTHON["test_billing.py"])
     assert [n["is_parametrized"] for n in tests.nodes if n["node_type"] == "Test"] == [False, False, True]
 
 
 def test_python_edges():
-    build = parsed("auth.py", PYTHON["auth.py"])
+    build = parsed("billing.py", PYTHON["billing.py"])
     calls = {(e["src_id"], e["dst_ref"]): e for e in build.edges if e["edge_type"] == "CALLS"}
-    source = named(build, "auth.authenticate")["node_id"]
-    assert {d for s, d in calls if s == source} == {"_find_user", "user.verify_password", "ValueError", "_create_token"}
-    assert calls[source, "ValueError"]["is_conditional"] and not calls[source, "_find_user"]["is_conditional"]
+    source = named(build, "billing.charge")["node_id"]
+    assert {d for s, d in calls if s == source} == {"_open_account", "account.accepts_amount", "ValueError", "_issue_receipt"}
+    assert calls[source, "ValueError"]["is_conditional"] and not calls[source, "_open_account"]["is_conditional"]
     imports = [e for e in build.edges if e["edge_type"] == "IMPORTS"]
-    assert [(e["dst_ref"], e["imported_names"]) for e in imports] == [("models", ["Token", "User"])]
+    assert [(e["dst_ref"], e["imported_names"]) for e in imports] == [("models", ["Receipt", "Account"])]
 
 
 def test_orm_generators_relative_imports_and_async():
@@ -72,14 +72,14 @@ def test_broken_python_still_gives_an_outline(text):
 
 
 def test_typescript_sample():
-    auth, types = parsed("auth.ts", TYPESCRIPT["auth.ts"]), parsed("types.ts", TYPESCRIPT["types.ts"])
-    assert kinds(auth) == {"File": 1, "Class": 1, "Method": 5} and kinds(types) == {"File": 1, "Interface": 2, "TypeAlias": 1}
-    login = named(auth, "auth.AuthService.authenticate")
-    assert login["is_async"] and login["parameter_names"] == ["email", "password"] and (login["start_line"], login["end_line"]) == (4, 9)
-    assert not named(auth, "auth.AuthService.verify")["is_async"]
-    owner = named(auth, "auth.AuthService")["node_id"]
-    assert sum(e["edge_type"] == "CONTAINS" and e["src_id"] == owner for e in auth.edges) == 5
-    assert [(e["dst_ref"], e["imported_names"]) for e in auth.edges if e["edge_type"] == "IMPORTS"] == [("./types", ["User", "Token", "AuthResult"])]
+    billing, types = parsed("billing.ts", TYPESCRIPT["billing.ts"]), parsed("types.ts", TYPESCRIPT["types.ts"])
+    assert kinds(billing) == {"File": 1, "Class": 1, "Method": 5} and kinds(types) == {"File": 1, "Interface": 2, "TypeAlias": 1}
+    buy = named(billing, "billing.Ledger.charge")
+    assert buy["is_async"] and buy["parameter_names"] == ["owner", "amount"] and (buy["start_line"], buy["end_line"]) == (4, 9)
+    assert not named(billing, "billing.Ledger.verify")["is_async"]
+    owner = named(billing, "billing.Ledger")["node_id"]
+    assert sum(e["edge_type"] == "CONTAINS" and e["src_id"] == owner for e in billing.edges) == 5
+    assert [(e["dst_ref"], e["imported_names"]) for e in billing.edges if e["edge_type"] == "IMPORTS"] == [("./types", ["Account", "Receipt", "Outcome"])]
 
 
 def test_typescript_forms():
