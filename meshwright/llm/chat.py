@@ -26,7 +26,6 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Opening and closing marks by role; NAMED marks any other role, whose name stands before TEXT.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
