@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     per_source = in_parts(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), order)
     src = before_each(per_source, F.lit(1), order, "src")
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int")).cast("double")
-    weighted = materialize(src.withColumn("src", F.col("src").cast("int")).withColumn("w", w).withColumn("cap", (F.col("source_size") * max_epochs).cast("double")))
+    weighted = src.withColumn("src", F.col("src").cast("int")).withColumn("w", w).withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
     filled = weighted.withColumn("target", F.least("cap", F.lit(water_level(weighted)) * F.col("w")))
     total = filled.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     placed = before_each(filled, F.col("target"), F.asc("src"), "below")
@@ -148,8 +148,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n_rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block_words = max(min_block, -(-total // max_slots))
     n_slots = -(-total // block_words)
-    sources = materialize(source_targets(sizes, weights))
-    stream = materialize(shuffled_stream(sizes, sources, n_rows, seed))
+    # Only sizes and the sources' order are kept as tables; the rest is cheap, and its shuffles are reused.
+    sources = source_targets(sizes, weights)
+    stream = shuffled_stream(sizes, sources, n_rows, seed)
     slots = golden_slots(spark, n_slots, sources)
     key = ["src", "bucket", "nth"]
     middle = F.col("epoch") * F.col("source_size") + F.col("start") + F.floor(F.col("size") / 2)
