@@ -1,0 +1,77 @@
+"""Near copies by their shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Min-hashes in BANDS bands of ROWS find the candidates: a pair of similarity s shares no band with
+probability (1 - s**ROWS)**BANDS, 3e-8 at 0.8 and less above. Every candidate is verified by its
+exact similarity. A band's bucket is first compared with its smallest member only, so a large group
+of near copies costs its size; then whatever of it lies in different components is compared pairwise.
+
+Defined results: words are split and lowered as for fingerprints. A text of up to five words is one
+shingle; a text without words is similar to none. Nothing but links is decided by the order of rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import ascii_lower, materialize
+from .components import components
+
+WIDTH, BANDS, ROWS = 5, 24, 3
+#: The least similarity, as a fraction of integers.
+LEAST = (4, 5)
+
+
+def shingles(text: Column) -> Column:
+    """Hashes of the shingles of a text, in order and with repetitions; none for a text without words."""
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    # One element that holds the words, so that they are split once and not for each shingle.
+    hashed = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (WIDTH - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, WIDTH)))
+    return F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, hashed(w)).otherwise(F.array().cast("array<bigint>"))), 1)
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    """(node, key): one row per band."""
+    hashes = nodes.select("node", F.explode(shingles(F.col("text"))).alias("s"))
+    least = hashes.groupBy("node").agg(*(F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    keys = (F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS))
+    return least.select("node", F.explode(F.array(*keys)).alias("key"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(nodes.join(ends, "node", "left_semi").select("node", F.array_distinct(shingles(F.col("text"))).alias("set")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    p, q = LEAST  # shared / (|x| + |y| - shared) >= p / q
+    sizes = F.size("x") + F.size("y")
+    possible = q * F.least(F.size("x"), F.size("y")) >= p * F.greatest(F.size("x"), F.size("y"))
+    return both.filter(possible).filter((p + q) * F.size(F.array_intersect("x", "y")) >= p * sizes).select("a", "b")
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that connect whatever nodes (node, text) of enough similarity connect."""
+    rows = materialize(_bands(nodes))
+    shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = materialize(rows.join(shared, "key"))
+    star = materialize(rows.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
+    first = materialize(_verified(star, nodes))
+    rooted = rows.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    rest = materialize(rooted.join(mixed, "key", "left_semi"))
+    left, right = (rest.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
+    apart = left.join(right, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
+    second = _verified(materialize(apart.join(star, ["a", "b"], "left_anti")), nodes)
+    return first.unionByName(second)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of its smallest id; a null id if it has no other."""
+    key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
+    nodes = docs.select(key.alias("node"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    roots = materialize(components(links(nodes.select("node", "text").dropDuplicates(["node"]))))
+    named = nodes.select("node", "doc_id").join(roots, "node")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
+    first = named.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.node").alias("node"))
+    gone = roots.select("node").join(first, "node", "left_anti").select(F.col("node").alias("k_gone"))
+    return docs.join(gone, key == F.col("k_gone"), "left_anti")

@@ -1,0 +1,58 @@
+"""Near copies against brute force: every pair of shingle sets is compared, links are closed by union-find."""
+
+import random
+
+import corpus_pipeline
+from meshwright.llm import near_copies, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(rows):
+    """Ids that stay of (id, text)."""
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [(i, shingles(t)) for i, t in sorted(rows)]
+    root = {i: i for i, _ in sets}
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x | y and 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((root[i], root[j]))
+                root = {n: a if r == b else r for n, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_edited_texts_beyond_three_bits(spark):
+    rng = random.Random(7)
+    rows = [(900, None), (901, " \n"), (902, "a b c"), (903, "A  b\tc"), (904, "É b c d e f"), (905, "é b c d e f")]
+    for g in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 60, 300]))]
+        for k in range(rng.randint(1, 12)):
+            rows.append((g * 20 + k, " ".join(words)))
+            words = list(words)
+            for _ in range(rng.randint(1, 1 + len(words) // 60)):  # a chain of edits
+                words[rng.randrange(len(words))] = f"new{rng.randrange(5000)}"
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [r.doc_id for r in near_copies.keep_one(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) < simhash.keep_one(docs).count()
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_center_that_is_no_near_copy_hides_no_pair(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(base[: 100 - 9 * k] + [f"x{k}_{i}" for i in range(9 * k)])) for k in range(6)]
+    rows += [(10 + k, t + " end") for k, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == brute(rows)
+
+
+def test_pipeline_leaves_no_near_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-2]:
+        docs, before = corpus_pipeline.materialize(stage(spark, docs, SF)), docs
+    assert docs.columns == before.columns
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert brute(rows) == {i for i, _ in rows} == brute([(r.doc_id, r.text) for r in before.collect()]) and len(rows) < before.count()
