@@ -455,6 +455,14 @@ def context_pack_prefix(spark, sf):
     return packing.pack_prefix(blocks, 6000, "", "doc_id", ("lang",)).select("lang", "doc_id", "block")
 
 
+@query("""WITH b AS (SELECT lang, doc_id, text AS block FROM documents), u AS (SELECT *, sum(length(block) + 7) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM b),
+v AS (SELECT *, used - length(block) - 7 AS before, 21000 - 16 AS budget FROM u)
+SELECT lang, doc_id, CASE WHEN used <= budget THEN block ELSE substr(block, 1, (budget - before - 7)::INT) || chr(10) || '… [truncated]' END AS block FROM v WHERE used <= budget OR (before <= budget AND budget - before - 7 > 200)""")
+def context_pack_whole(spark, sf):
+    blocks = table(spark, sf, "documents").select("lang", "doc_id", F.col("text").alias("block"))
+    return packing.pack_prefix(blocks, 6000, "", "doc_id", ("lang",)).select("lang", "doc_id", "block")
+
+
 @query("""WITH RECURSIVE c AS (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text) % 97 DESC, doc_id) AS n FROM documents QUALIFY n <= 100),
 f(n, used, k, hit, doc_id) AS (SELECT 0::BIGINT, 0::BIGINT, 0, FALSE, -1::BIGINT UNION ALL
  SELECT c.n, CASE WHEN ok THEN f.used + c.chars ELSE f.used END, CASE WHEN ok THEN k + 1 ELSE k END, ok, c.doc_id

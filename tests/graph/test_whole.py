@@ -1,0 +1,27 @@
+"""Queries over whole tables against brute force."""
+
+from meshwright import queries
+from meshwright.operators import packing
+
+SF = "/root/testdata/sf0.001"
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").orderBy("doc_id").collect()
+
+
+def test_context_pack_takes_whole_texts(spark):
+    want, used, full = {}, {}, set()
+    for r in documents(spark):
+        room = 21000 - 16 - used.get(r.lang, 0) - 7
+        if r.lang in full:
+            continue
+        if len(r.text) <= room:
+            want[r.doc_id] = r.text
+            used[r.lang] = used.get(r.lang, 0) + len(r.text) + 7
+        else:
+            full.add(r.lang)
+            if room > 200:
+                want[r.doc_id] = r.text[:room] + packing.TRUNCATED
+    got = {r.doc_id: r.block for r in queries.QUERIES["context_pack_whole"](spark, SF).collect()}
+    assert got == want and any(len(b) > 900 and not b.endswith(packing.TRUNCATED) for b in got.values())
