@@ -57,3 +57,26 @@ def greedy_fit(seeds_chars: Column, seeds_n: Column, candidates: Column, budget:
         return F.when(fits, F.struct((state.chars + c.chars).cast("bigint").alias("chars"), (state.n + 1).alias("n"), F.concat(state.taken, F.array(c.id)).alias("taken"))).otherwise(state)
 
     return F.aggregate(candidates, start, step, lambda s: s.taken)
+
+
+def greedy_fit_all(candidates: DataFrame, budget: int, model: str, chunk: int = 1000) -> DataFrame:
+    """(id): what greedy_fit takes of candidates (ord, id, chars; ids unique), however many there are.
+
+    A fold over sorted chunks that carries its state. What doesn't fit now never will, since room only
+    shrinks; so a chunk is the next candidates that still fit, and its first one is always taken.
+    """
+    sizes = candidates.select("ord", "id", F.col("chars").cast("bigint").alias("chars"))
+    chars, taken, rest = 0, [], sizes
+    while True:
+        total = F.lit(len(header("")) + chars + len(SEPARATOR) * len(taken)) + F.col("chars")
+        ahead = rest.filter(estimate_tokens(total, model) <= budget).orderBy("ord", "id").limit(chunk)
+        listed = ahead.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "chars"))).alias("l"))
+        by_place = F.transform("l", lambda c, i: F.struct(c.ord.alias("ord"), i.cast("string").alias("id"), c.chars.alias("chars")))
+        row = listed.select("l", greedy_fit(F.lit(chars), F.lit(len(taken)), by_place, budget, model).alias("places")).first()
+        if not row.l:
+            return candidates.sparkSession.createDataFrame(taken, candidates.select("id").schema)
+        found = [row.l[int(i)] for i in row.places]
+        chars += sum(c.chars for c in found)
+        taken += [(c.id,) for c in found]
+        last = row.l[-1]
+        rest = sizes.filter((F.col("ord") > last.ord) | ((F.col("ord") == last.ord) & (F.col("id") > last.id)))

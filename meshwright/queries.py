@@ -523,6 +523,12 @@ def baseline_tokens(spark, sf):
 # Without SQL counterparts: checked by tests
 
 
+@query()
+def greedy_trim_whole(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("chars")).withColumn("ord", -(F.col("chars") % 97))
+    return packing.greedy_fit_all(d, 9000, "claude").select(F.col("id").alias("doc_id"))
+
+
 @query()
 def dsl_end_to_end(spark, sf):
     nodes, edges = testgraph.nodes(spark, sf), testgraph.edges(spark, sf)

@@ -1,8 +1,11 @@
 """Queries over whole tables against brute force."""
 
+import math
+
 from meshwright import queries
 from meshwright.operators import packing
 
+TOKENS = 9000
 SF = "/root/testdata/sf0.001"
 
 
@@ -25,3 +28,26 @@ def test_context_pack_takes_whole_texts(spark):
                 want[r.doc_id] = r.text[:room] + packing.TRUNCATED
     got = {r.doc_id: r.block for r in queries.QUERIES["context_pack_whole"](spark, SF).collect()}
     assert got == want and any(len(b) > 900 and not b.endswith(packing.TRUNCATED) for b in got.values())
+
+
+def brute_fit(rows, budget):
+    """Ids taken of (ord, id, chars)."""
+    used, taken = 0, []
+    for _, i, chars in sorted(rows):
+        total = len(packing.header("")) + used + chars + len(packing.SEPARATOR) * len(taken)
+        if max(1, math.floor(total / 3.5)) <= budget:
+            used += chars
+            taken.append(i)
+    return taken
+
+
+def test_greedy_fit_considers_every_document(spark):
+    rows = [(-(len(r.text) % 97), r.doc_id, len(r.text)) for r in documents(spark)]
+    want = brute_fit(rows, TOKENS)
+    got = sorted(r.doc_id for r in queries.QUERIES["greedy_trim_whole"](spark, SF).collect())
+    assert got == sorted(want) and set(want) - {i for _, i, _ in sorted(rows)[:100]}
+    frame = spark.createDataFrame(rows, "ord int, id bigint, chars int")
+    for chunk in (1, 7):
+        few = packing.greedy_fit_all(frame, 700, "claude", chunk)
+        assert sorted(r.id for r in few.collect()) == sorted(brute_fit(rows, 700))
+    assert packing.greedy_fit_all(frame.limit(0), 700, "claude").count() == 0
