@@ -523,6 +523,39 @@ def baseline_tokens(spark, sf):
 # Without SQL counterparts: checked by tests
 
 
+def _around_hub(spark, sf, depth, direction):
+    edges = materialize(testgraph.edges(spark, sf))
+    return traverse.reach(edges, _popular(edges), depth, direction).filter("distance > 0").select("node_id", "distance")
+
+
+@query()
+def dependents_whole_d3(spark, sf):
+    return _around_hub(spark, sf, 3, "in")
+
+
+@query()
+def impact_whole_d4(spark, sf):
+    return _around_hub(spark, sf, 4, "in")
+
+
+@query()
+def neighbourhood_whole_d2(spark, sf):
+    return _around_hub(spark, sf, 2, "both")
+
+
+@query()
+def shortest_path_whole(spark, sf):
+    edges = materialize(testgraph.edges(spark, sf))
+    a, z = edges.agg(F.min("src_id"), F.max("dst_id")).first()
+    return traverse.shortest_paths(edges, a, z, 6).select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query()
+def pagerank_whole_k10(spark, sf):
+    links = testgraph.edges(spark, sf).filter(F.col("edge_type").isin("CALLS", "IMPORTS"))
+    return pagerank.pagerank(links, max_iterations=10, tolerance=None).select("node_id", F.round("rank", 9).alias("rank"))
+
+
 @query()
 def greedy_trim_whole(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("chars")).withColumn("ord", -(F.col("chars") % 97))

@@ -1,8 +1,10 @@
 """Queries over whole tables against brute force."""
 
 import math
+from collections import defaultdict
 
-from meshwright import queries
+import pytest
+from meshwright import queries, testgraph
 from meshwright.operators import packing
 
 TOKENS = 9000
@@ -51,3 +53,61 @@ def test_greedy_fit_considers_every_document(spark):
         few = packing.greedy_fit_all(frame, 700, "claude", chunk)
         assert sorted(r.id for r in few.collect()) == sorted(brute_fit(rows, 700))
     assert packing.greedy_fit_all(frame.limit(0), 700, "claude").count() == 0
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return sorted({(r.edge_type, r.src_id, r.dst_id) for r in testgraph.edges(spark, SF).collect()})
+
+
+def neighbours(edges, direction):
+    out = defaultdict(set)
+    for _, a, b in edges:
+        if direction != "out":
+            out[b].add(a)
+        if direction != "in":
+            out[a].add(b)
+    return out
+
+
+def distances(edges, start, depth, direction):
+    near, seen, front = neighbours(edges, direction), {start: 0}, {start}
+    for d in range(1, depth + 1):
+        front = {b for a in front for b in near[a]} - set(seen)
+        seen |= dict.fromkeys(front, d)
+    return seen
+
+
+@pytest.mark.parametrize("name,depth,direction", [("dependents_whole_d3", 3, "in"), ("impact_whole_d4", 4, "in"), ("neighbourhood_whole_d2", 2, "both")])
+def test_reach_over_all_edges(spark, edges, name, depth, direction):
+    starts = {r.node_id for r in queries._popular(testgraph.edges(spark, SF)).collect()}
+    assert len(starts) == 1
+    want = distances(edges, *starts, depth, direction)
+    got = {r.node_id: r.distance for r in queries.QUERIES[name](spark, SF).collect()}
+    assert got == {n: d for n, d in want.items() if d} and {n[0] for n in got} >= {"c", "n", "o"}
+
+
+def test_paths_over_all_edges(spark, edges):
+    a, z, near = min(e[1] for e in edges), max(e[2] for e in edges), neighbours(edges, "both")
+    far = distances(edges, z, 6, "both")
+    paths = [[a]]
+    while paths[0][-1] != z:
+        paths = [[*p, n] for p in paths for n in near[p[-1]] if far.get(n) == far[p[-1]] - 1]
+    got = [(r.path, r.hops) for r in queries.QUERIES["shortest_path_whole"](spark, SF).orderBy("path").collect()]
+    assert got == [(">".join(p), len(p) - 1) for p in sorted(paths)[:3]]
+
+
+def test_pagerank_over_calls_and_imports(spark, edges):
+    links = {(a, b) for t, a, b in edges if t in ("CALLS", "IMPORTS")}
+    ids, out = {n for e in links for n in e}, defaultdict(set)
+    for a, b in links:
+        out[a].add(b)
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(10):
+        loose = sum(r for n, r in rank.items() if not out[n])
+        moved = dict.fromkeys(ids, 0.15 / len(ids) + 0.85 * loose / len(ids))
+        for a, b in links:
+            moved[b] += 0.85 * rank[a] / len(out[a])
+        rank = moved
+    got = {r.node_id: r["rank"] for r in queries.QUERIES["pagerank_whole_k10"](spark, SF).collect()}
+    assert got == pytest.approx(rank, abs=2e-9) and {n[0] for n in got} == {"c", "o", "s"}
