@@ -20,15 +20,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import add_columns
+
 #: How byte-level vocabularies pre-split text (fixed value: the vocabulary was built with it).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a piece table, and the longest piece kept in it.
@@ -221,21 +221,6 @@ def _broadcast(spark, tokenizer_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _with(docs: DataFrame, names: list[T.StructField], column: str, compute) -> DataFrame:
-    """docs with columns added (replacing any of that name) that compute() makes of one column's batches."""
-    fresh = {f.name for f in names}
-    kept = [c for c in docs.columns if c not in fresh]
-    at = len(kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *compute(batch.column(at))], names=[*kept, *fresh_order])
-
-    fresh_order = [f.name for f in names]
-    schema = T.StructType([*(docs.schema[c] for c in kept), *names])
-    return docs.select(*kept, F.col(column).alias("__input")).mapInArrow(run, schema)
-
-
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with an array of token ids added."""
     source = _broadcast(docs.sparkSession, tokenizer_path)
@@ -244,11 +229,11 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
         coder = _coder(source)
         return [pa.array([np.frombuffer(coder.encode(t.as_py()), dtype="<u4").astype(np.int32) for t in texts], type=pa.list_(pa.int32()))]
 
-    return _with(docs, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], text_col, ids)
+    return add_columns(docs, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], text_col, ids)
 
 
-def encode_checked(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """docs with ids, n_tokens, and intact: whether decoding the ids gives the text back."""
+def encode_checked(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with ids, n_tokens, and intact: whether decoding the ids gives the text back."""
     source = _broadcast(docs.sparkSession, tokenizer_path)
 
     def coded(texts):
@@ -259,7 +244,7 @@ def encode_checked(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
         return [pa.array(arrays, type=pa.list_(pa.int32())), pa.array([len(a) for a in arrays], type=pa.int64()), pa.array(intact, type=pa.bool_())]
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("intact", T.BooleanType())]
-    return _with(docs, added, text_col, coded)
+    return add_columns(docs, added, text_col, coded, keep)
 
 
 def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -270,11 +255,11 @@ def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col:
         coder = _coder(source)
         return [pa.array([coder.decode(np.array(a.as_py() or [], dtype="<u4").tobytes()) for a in arrays], type=pa.string())]
 
-    return _with(docs, [T.StructField(text_col, T.StringType())], ids_col, texts)
+    return add_columns(docs, [T.StructField(text_col, T.StringType())], ids_col, texts)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 added, without moving ids or texts between processes."""
+def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with n_tokens, ids_sha256 and decoded_sha256 added, without ids between processes."""
     source = _broadcast(docs.sparkSession, tokenizer_path)
 
     def digests(texts):
@@ -288,4 +273,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
         return [pa.array(n, type=pa.int64()), pa.array(ids), pa.array(decoded)]
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _with(docs, added, text_col, digests)
+    return add_columns(docs, added, text_col, digests, keep)

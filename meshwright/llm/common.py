@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..tables import materialize
 
-__all__ = ["SPACE_CHARS", "WORD", "ascii_lower", "crc_bucket", "labelled_sample", "materialize", "read"]
+__all__ = ["SPACE_CHARS", "WORD", "add_columns", "ascii_lower", "crc_bucket", "join_hot", "labelled_sample", "materialize", "read"]
+
+#: Rows that Python holds as objects at a time; a batch that Spark sends may have 10,000.
+SLICE_ROWS = 1024
+#: A key is hot if it has more than this share of the rows; fewer than one over it can be.
+HOT_SHARE = 0.001
 
 #: The white space that separates words in every contract of this package.
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -43,3 +52,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     ids = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     return materialize(texts.join(F.broadcast(ids), "doc_id").repartition(8, "doc_id"))
+
+
+def add_columns(docs: DataFrame, added: list[T.StructField], column: str, compute: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
+    """docs with columns added (in place of columns so named) that compute() makes of slices of one column.
+
+    keep names the columns of docs that pass through (all, unless given). The column goes to Python once,
+    whether it passes through or not.
+    """
+    fresh = [f.name for f in added]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in fresh]
+    at = kept.index(column) if column in kept else len(kept)
+    sent = docs.select(*kept) if at < len(kept) else docs.select(*kept, F.col(column).alias("__input"))
+    n = len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, max(1, batch.num_rows), SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *compute(part.column(at))], names=[*kept, *fresh])
+
+    return sent.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *added]))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with table (unique by key, with the number n of rows for each key), hot keys apart.
+
+    Fewer than 1 / HOT_SHARE keys can hold more than HOT_SHARE of all rows, which bounds the table that is
+    broadcast for them; rows of hot keys stay where they are. The others are shuffled.
+    """
+    hot = F.col(n) > max(1, int(total * HOT_SHARE))
+    often = materialize(table.filter(hot).drop(n))
+    rest = rows.join(F.broadcast(often.select(*key)), key, "left_anti").join(table.filter(~hot).drop(n), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)

@@ -21,16 +21,15 @@ alone. An empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, crc_bucket, materialize
-from .line_dedup import KEY, keyed, row_key, with_row_key
+from .common import SPACE_CHARS, add_columns, crc_bucket, materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -80,37 +79,41 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        table = np.array([counts(t.as_py()) for t in batch.column("text")], dtype=np.int64).reshape(-1, len(COUNTS))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("k_text"), *(pa.array(table[:, i]) for i in range(len(COUNTS)))],
-            names=["doc_id", "k_text", *COUNTS],
-        )
+#: Counts travel in one column of this name, so that no column of the caller's is hidden.
+RULE_COUNTS = "__rule_counts"
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k_text, counts, base_failed): one row per document."""
-    schema = "doc_id bigint, k_text bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    measured = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(id_col), F.col(text_col))[1], F.col(text_col).alias("text")
-    ).mapInArrow(_measure, schema)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return measured.withColumn("base_failed", failed)
+def _measure(texts: pa.Array) -> list[pa.Array]:
+    table = np.array([counts(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+    return [pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))]
+
+
+def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with the counts of each row's text."""
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    return add_columns(docs, [T.StructField(RULE_COUNTS, kind)], text_col, _measure, keep)
+
+
+def count(name: str) -> Column:
+    return F.col(f"{RULE_COUNTS}.{name}")
+
+
+def base_failed() -> Column:
+    return (count("n_words") < MIN_WORDS) | (100 * count("n_repeat_words") > REPEAT_PERCENT * count("n_words"))
 
 
 def rates() -> dict[str, Column]:
     """Each rule's rate, 0 to 1; higher is worse."""
-    share = lambda a, b: F.least(F.lit(1.0), F.col(a) / F.greatest(F.lit(1), F.col(b)))
+    share = lambda a, b: F.least(F.lit(1.0), count(a) / F.greatest(F.lit(1), count(b)))
     return {
         "symbol_rate": share("n_symbols", "word_chars"), "bang_rate": share("n_bangs", "word_chars"), "upper_rate": share("n_upper", "word_chars"),
         "dup_line_rate": share("n_dup_lines", "n_lines"), "repeat_rate": share("n_repeat_words", "n_words"),
-        "mean_word": F.least(F.lit(1.0), F.col("word_chars") / F.greatest(F.lit(1), F.col("n_words")) / 40),
+        "mean_word": F.least(F.lit(1.0), count("word_chars") / F.greatest(F.lit(1), count("n_words")) / 40),
     }
 
 
 def stratum() -> Column:
-    return sum((F.col("n_words") >= b).cast("int") for b in STRATA[1:])
+    return sum((count("n_words") >= b).cast("int") for b in STRATA[1:])
 
 
 def rate_bins() -> Column:
@@ -118,15 +121,15 @@ def rate_bins() -> Column:
     return F.array(*(F.floor(r * BINS).cast("int") for r in map(rates().get, RULES)))
 
 
-def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(fold, stratum, quality, bins) of every labelled document that passes the base rules."""
     agreed = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
         .filter("quality = most").select("doc_id", "quality")
     )
-    passed = measured.filter(~F.col("base_failed")).join(agreed, "doc_id")
-    return passed.select(crc_bucket(F.col("doc_id"), 2).alias("fold"), stratum().alias("stratum"), "quality", rate_bins().alias("bins"))
+    passed = measured.filter(~base_failed()).select(F.col(id_col).alias("doc_id"), stratum().alias("stratum"), rate_bins().alias("bins")).join(agreed, "doc_id")
+    return passed.select(crc_bucket(F.col("doc_id"), 2).alias("fold"), "stratum", "quality", "bins")
 
 
 def histogram(rows: DataFrame) -> dict[tuple[int, int, int], np.ndarray]:
@@ -193,16 +196,21 @@ def certify(proposals: dict[tuple[int, int], int], held: dict[tuple[int, int, in
     return cutoffs
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """(doc_id, k_text, counts, base_failed, kept): one row per document."""
-    measured = materialize(measure(docs, id_col, text_col))
-    rows = materialize(labelled(measured, labels))
+def verdict(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = RISK, confidence: float = CONFIDENCE) -> Column:
+    """Whether the rules, with cutoffs learned from all labelled rows of measured, keep a row of it."""
+    rows = materialize(labelled(measured, labels, id_col))
     cutoffs = certify(propose(rows.filter("fold = 1")), histogram(rows.filter("fold = 0")), risk, confidence)
-    return measured.withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs, rate_bins(), stratum()))
+    return ~base_failed() & ~rejected(cutoffs, rate_bins(), stratum())
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(doc_id, counts, base_failed, kept): one row per document."""
+    measured = materialize(measure(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"]))
+    kept = verdict(measured, labels, "doc_id", risk, confidence)
+    return measured.select("doc_id", *(count(c).alias(c) for c in COUNTS), base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge() keeps, as they are."""
-    kept = judge(docs, labels, id_col, text_col).filter("kept")
-    names = kept.select(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("k_id"), "k_text").distinct()
-    return with_row_key(docs, id_col, text_col).join(keyed(names).hint("shuffle_hash"), KEY, "left_semi").select(*docs.columns)
+    """The rows of docs that judge() keeps, as they are. Rows are written with their counts once; no text is shuffled."""
+    measured = materialize(measure(docs, text_col))
+    return measured.filter(verdict(measured, labels, id_col)).select(*docs.columns)

@@ -26,7 +26,7 @@ def tokenizer_path() -> str:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
+    return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
