@@ -5,21 +5,25 @@ applies a gadget: the state behind u is copied without its v arc (u then v is no
 tokenization), and w arcs are added wherever u arcs leave, leading to where v then led. All arcs of
 one label lead to one state, so states are named by labels. A copy keeps a reference to the state
 that it was copied from and the time of the copy, and an added arc one to the arc it stands for;
-the automaton of 50,000 merges is a few arrays. Transitions that a text needs are resolved through
-these references once and then kept in a table.
+the automaton of 50,000 merges is a few arrays.
 
-A word has exactly one path through the automaton that spells its bytes, and so has each prefix; a
-walk that tries long arcs first and marks dead positions finds it.
-Decoding emits the labels of the arcs.
+A word has exactly one path through the automaton that spells its bytes, and so has each of its
+prefixes. Read byte by byte the automaton is determinized: a state of that is the set of places that a
+prefix can have reached, one behind a whole arc and the others inside longer arcs. Its transitions by
+(state, byte) are computed when a text first needs them and then kept in a table, and each state
+knows the last label of its prefix's path. So a word is encoded by one pass through the table and read
+off from its end; nothing is tried and taken back. Decoding emits the labels of the arcs.
 
 Defined results: a null text is read as empty, has no ids and decodes to the empty text. Texts of any
-length are coded whole, a piece at a time. Other columns pass through untouched.
+length are coded whole, a piece at a time. Other columns pass through untouched. A vocabulary file
+whose settings differ from those implemented here is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,27 @@ from .common import add_columns
 
 #: How byte-level vocabularies pre-split text (fixed value: the vocabulary was built with it).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a piece table, and the longest piece kept in it.
-TABLE_LIMIT, PIECE_LIMIT = 250_000, 64
+#: Entries of the piece table, and the longest piece kept in it; transitions kept.
+TABLE_LIMIT, PIECE_LIMIT, TRANSITION_LIMIT = 200_000, 64, 1_000_000
+#: The settings of a vocabulary file that are implemented; others are refused.
+SETTINGS = {
+    "normalizer": None, "post_processor": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check_settings(spec: dict) -> None:
+    """Raise ValueError if a vocabulary file asks for anything that isn't implemented."""
+    for part, wanted in SETTINGS.items():
+        given = spec.get(part)
+        differ = given != wanted if wanted is None else [k for k, v in wanted.items() if (given or {}).get(k, v) != v]
+        if differ or (wanted is not None and given is None):
+            raise ValueError(f"unsupported {part}: {given if part != 'model' else differ}")
+    for token in spec.get("added_tokens", []):
+        if any(token.get(k, v) != v for k, v in ADDED.items()):
+            raise ValueError(f"unsupported flags of the added token {token['content']!r}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,14 +76,36 @@ class Automaton:
         self.labels: list[bytes] = [b""] * size
         for b, i in self.ids.items():
             self.labels[i] = b
-        self.longest = max(map(len, self.ids))
         #: When a label's arc came to be, the arc it stands for, and the state its state was copied from.
         self.born, self.arc_of, self.state_of = [-1] * size, [-1] * size, [-1] * size
         #: (label, arc) -> when the state behind the label lost the arc.
         self.lost: dict[tuple[int, int], int] = {}
         for time, (a, b) in enumerate(merges):
             self._gadget(time, vocab[a], vocab[b], vocab[a + b])
-        self.table: dict[int, bool] = {}
+        # The trie of labels: child by (node, byte), the label that ends at a node, whether it goes on.
+        self.child: dict[int, int] = {}
+        self.ends, self.goes_on = [-1], [False]
+        for b, i in self.ids.items():
+            at = 0
+            for byte in b:
+                key = at << 8 | byte
+                if key not in self.child:
+                    self.child[key] = len(self.ends)
+                    self.goes_on[at] = True
+                    self.ends.append(-1)
+                    self.goes_on.append(False)
+                at = self.child[key]
+            self.ends[at] = i
+        self.lengths = list(map(len, self.labels))
+        self._clear()
+
+    def _clear(self) -> None:
+        """States as tuples of places (label behind which an arc began + 1, node inside it), 0 for no label: the start."""
+        self.places: list[tuple[int, ...]] = [(0,)]
+        self.numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        #: The label of the whole arc that leads to a state, and transitions by (state, byte).
+        self.last: list[int] = [-1]
+        self.table: dict[int, int] = {}
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         self.lost[u, v] = time
@@ -68,15 +113,6 @@ class Automaton:
 
     def allows(self, state: int, arc: int) -> bool:
         """Whether the state behind a label has an arc, in the finished automaton."""
-        key = state << 32 | arc
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) >= 2 * TABLE_LIMIT:
-                self.table.clear()
-            known = self.table[key] = self._resolve(state, arc)
-        return known
-
-    def _resolve(self, state: int, arc: int) -> bool:
         born, now = self.born, len(self.born) + len(self.lost)
         while True:
             if self.lost.get((state, arc), now) < now:
@@ -93,35 +129,47 @@ class Automaton:
             else:  # a label after itself: the copy of its second part, the arc added for its first
                 now, state, arc = born[arc], self.state_of[state], self.arc_of[arc]
 
+    def _step(self, key: int) -> int:
+        """Compute and keep the transition of (state, byte)."""
+        byte, ends = key & 255, self.ends
+        label, reached = -1, []
+        for place in self.places[key >> 8]:
+            node = self.child.get((place & 0xFFFFFFFF) << 8 | byte)
+            if node is None:
+                continue
+            behind = place >> 32
+            if label < 0 and ends[node] >= 0 and (not behind or self.allows(behind - 1, ends[node])):
+                label = ends[node]  # one path spells the prefix, so no other place ends an arc
+            if self.goes_on[node]:
+                reached.append(behind << 32 | node)
+        reached.append((label + 1) << 32)
+        state = tuple(reached)
+        number = self.numbers.get(state)
+        if number is None:
+            number = self.numbers[state] = len(self.places)
+            self.places.append(state)
+            self.last.append(label)
+        self.table[key] = number
+        return number
+
     def encode(self, word: bytes) -> list[int]:
-        """The ids of one pre-split word: the one path that spells it.
-
-        Each position is reached by one path at most, so a position from which no arc leads on is
-        never tried again, and the longest arcs are tried first.
-        """
-        whole = self.ids.get(word)
-        if whole is not None and len(word) == 1:
-            return [whole]
-        n, get, allows, longest = len(word), self.ids.get, self.allows, self.longest
-        out: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, end = 0, min(len(word), longest)
-        while at < n:
-            while end > at:
-                if end not in dead:
-                    label = get(word[at:end])
-                    if label is not None and (not out or allows(out[-1], label)):
-                        break
-                end -= 1
-            if end > at:
-                out.append(label)
-                starts.append(at)
-                at, end = end, min(n, end + longest)
-            else:
-                dead.add(at)
-                out.pop()
-                end, at = at - 1, starts.pop()
+        """The ids of one pre-split word: the labels of the one path that spells it."""
+        if len(self.table) > TRANSITION_LIMIT:
+            self._clear()
+        known, step, last = self.table.get, self._step, self.last
+        at, labels = 0, []
+        for byte in word:
+            key = at << 8 | byte
+            at = known(key)
+            if at is None:
+                at = step(key)
+            labels.append(last[at])
+        out, end, lengths = [], len(labels), self.lengths
+        while end:
+            label = labels[end - 1]
+            out.append(label)
+            end -= lengths[label]
+        out.reverse()
         return out
 
 
@@ -150,6 +198,7 @@ class Coder:
 
     def __init__(self, tokenizer_json: str):
         spec = json.loads(tokenizer_json)
+        check_settings(spec)
         model = spec["model"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges)
@@ -161,12 +210,15 @@ class Coder:
         by_length = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
         self.split = regex.compile(PRE_SPLIT)
-        self.packed = [i.to_bytes(4, "little") for i in range(len(self.labels))]
-        self.word = Pieces(lambda w: b"".join(map(self.packed.__getitem__, self.automaton.encode(w.encode()))))
-        self.spaced = Pieces(self._spaced)
+        self.word, self.spaced = Pieces(self._word), Pieces(self._spaced)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.automaton.encode(word.encode())).tobytes()
 
     def _spaced(self, piece: str) -> bytes | None:
         """A piece between single spaces, with the space before it; None if its split depends on what is around."""
+        if piece.isascii() and piece.isalpha():
+            return self._word(" " + piece)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         return self._split(" " + piece)

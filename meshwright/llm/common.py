@@ -15,6 +15,10 @@ __all__ = ["SPACE_CHARS", "WORD", "add_columns", "ascii_lower", "crc_bucket", "j
 
 #: Rows that Python holds as objects at a time; a batch that Spark sends may have 10,000.
 SLICE_ROWS = 1024
+#: Bytes of a batch that goes to Python, in sessions that keep Spark's default of 64 MB. A writer doubles its
+#: buffers as it fills them, so a batch takes three times its size for a moment, outside the heap.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 #: A key is hot if it has more than this share of the rows; fewer than one over it can be.
 HOT_SHARE = 0.001
 
@@ -54,6 +58,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return materialize(texts.join(F.broadcast(ids), "doc_id").repartition(8, "doc_id"))
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, after holding batches to BATCH_BYTES in its session, unless that has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING).rstrip("b") == str(_BATCH_DEFAULT):
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def add_columns(docs: DataFrame, added: list[T.StructField], column: str, compute: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """docs with columns added (in place of columns so named) that compute() makes of slices of one column.
 
@@ -65,6 +77,7 @@ def add_columns(docs: DataFrame, added: list[T.StructField], column: str, comput
     at = kept.index(column) if column in kept else len(kept)
     sent = docs.select(*kept) if at < len(kept) else docs.select(*kept, F.col(column).alias("__input"))
     n = len(kept)
+    bound_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,9 +92,9 @@ def join_hot(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: i
     """rows joined with table (unique by key, with the number n of rows for each key), hot keys apart.
 
     Fewer than 1 / HOT_SHARE keys can hold more than HOT_SHARE of all rows, which bounds the table that is
-    broadcast for them; rows of hot keys stay where they are. The others are shuffled.
+    broadcast for them; rows of hot keys stay where they are. The others are shuffled. table is read twice.
     """
     hot = F.col(n) > max(1, int(total * HOT_SHARE))
-    often = materialize(table.filter(hot).drop(n))
+    often = table.filter(hot).drop(n)
     rest = rows.join(F.broadcast(often.select(*key)), key, "left_anti").join(table.filter(~hot).drop(n), key)
     return rows.join(F.broadcast(often), key).unionByName(rest)

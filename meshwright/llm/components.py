@@ -1,7 +1,12 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Every step is a pair of aggregations and joins over the links; nothing about them reaches the driver
-but one count and one checksum a round. Rounds grow with the logarithm of the component size.
+but one count and one checksum a round. Rounds grow with the logarithm of the component size. A node
+with more than a thousandth of the links is joined apart, so that a hub doesn't gather in one task.
+
+Defined results: links that have a null end, or the same node at both, give no row, nor does an empty
+table. Repeated links, and links given from either end, count once. A node on no other link isn't in
+the result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..tables import discard
+from .common import join_hot, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,10 +27,11 @@ def components(links: DataFrame) -> DataFrame:
         if now[0] == 0:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both.filter("b > a"), least, ["a"], "n", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(parent, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        edges = materialize(moved.unionByName(parent.select("a", F.col("m").alias("b"))).distinct())
+        old, edges = edges, materialize(moved.unionByName(parent.select("a", F.col("m").alias("b"))).distinct())
+        discard(old)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, join_hot, materialize
 from .components import components
 from .line_dedup import KEY, keyed, row_key, with_row_key
 
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, k_text, fp): one row per document; k_text names its text within the id."""
-    return docs.select(
+    return bound_batches(docs).select(
         F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(id_col), F.col(text_col))[1], F.col(text_col).cast("binary").alias("text")
     ).mapInArrow(_fingerprints, "doc_id bigint, k_text bigint, fp bigint")
 
@@ -202,12 +202,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root is the smallest fingerprint of the component and names it; component_id is its smallest id.
     """
     prints = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(fingerprint_links(distinct.select("fp"), limit))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "root", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "k_text", "fp", "root", "component_id")
+    classes = materialize(rooted.join(named, "root").select("fp", "root", "component_id", "n"))
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_hot(prints, classes, ["fp"], "n", total).select("doc_id", "k_text", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
