@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a session without it gets its own."""
+    """The folder that the cluster names in spark.checkpoint.dir. A local session without it gets its own; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a shared folder for intermediate tables")
         named = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="meshwright-")
         shared_dir.own = named
     return named.rstrip("/")
@@ -25,13 +28,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, *key: str) -> DataFrame:
+    """As materialize(), dealt by key into buckets, so that joins on the key of tables written so don't shuffle them."""
+    spark = df.sparkSession
+    name = f"meshwright_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meshwright/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *key).write.format("parquet").option("path", path).bucketBy(buckets, *key).saveAsTable(name)
+    _kept.append(path)
+    _tables.append(name)
+    return spark.table(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the intermediate table that df is, once nothing reads it any more."""
+    for name in {f.rsplit("/", 2)[1] for f in df.inputFiles()}:
+        for path in [p for p in _kept if p.endswith(f"/{name}")]:
+            if name in _tables:
+                _tables.remove(name)
+                df.sparkSession.sql(f"DROP TABLE {name}")
+            _kept.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
 _kept: list[str] = []
+_tables: list[str] = []
 
 
 def release(spark: SparkSession) -> int:
     """Delete every table that materialize() has written; call it once results are stored. Returns how many."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    n = 0
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _kept:
-        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _kept.pop())
     return n
