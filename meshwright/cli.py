@@ -43,13 +43,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("text", nargs="?", help="without it, questions are read line by line")
     p.add_argument("--mode", default="nl", choices=("dsl", "semantic", "hybrid", "nl", "impact", "path"))
     p.add_argument("--to", help="the other end, for path")
-    p.add_argument("--depth", type=int, default=3)
+    p.add_argument("--depth", type=int, help="of impact (default 3) or path")
     p.add_argument("--top-k", type=int)
     p.add_argument("--json", action="store_true")
     p.add_argument("--context", action="store_true")
     p = sub.add_parser("inspect", parents=[common])
     p.add_argument("what", choices=("node", "path", "stats"))
     p.add_argument("names", nargs="*")
+    p.add_argument("--depth", type=int, default=1, help="of a node's neighbourhood")
+    p.add_argument("--max-depth", type=int, help="of a path")
     p = sub.add_parser("review", parents=[common])
     p.add_argument("--diff", default="-", help="a file, or - for standard input")
     p.add_argument("--budget", type=int, default=4000)
@@ -62,6 +64,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("names", nargs="*")
     p.add_argument("--workspace", default=".")
     p.add_argument("--id")
+    p.add_argument("--mode", default="auto", choices=("auto", "dsl", "semantic", "hybrid", "nl"))
+    p.add_argument("--context", action="store_true")
     p = sub.add_parser("serve", parents=[common])
     p.add_argument("--host", default="127.0.0.1")
     p.add_argument("--port", type=int, default=8000)
@@ -77,9 +81,9 @@ def ask(engine: QueryEngine, a: argparse.Namespace, text: str) -> Result:
         case "hybrid":
             return engine.query_hybrid(text, a.top_k)
         case "impact":
-            return engine.query_impact(text, a.depth)
+            return engine.query_impact(text, 3 if a.depth is None else a.depth)
         case "path":
-            return engine.query_path(text, a.to or "")
+            return engine.query_path(text, a.to or "", a.depth)
     return engine.query_nl(text)
 
 
@@ -107,6 +111,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         indexer = Indexer(spark, config)
         report = indexer.update(not a.no_embed) if a.incremental else indexer.run(not a.no_embed)
         print(f"files {report.files}, nodes {report.nodes}, edges {report.edges}, embedded {report.embedded}, {report.seconds:.1f} s")
+        if report.failed:
+            print(f"{report.failed} files could not be parsed whole", file=sys.stderr)
         for e in report.errors[:10]:
             print(f"  {e}", file=sys.stderr)
         return 0
@@ -123,7 +129,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                     for r in find.counts(table, by).orderBy(by).collect():
                         print(f"{r[0]:<18} {r.n}")
                 return 0
-            return show(engine.neighbourhood(a.names[0]) if a.what == "node" else engine.query_path(*a.names[:2]))
+            return show(engine.neighbourhood(a.names[0], a.depth) if a.what == "node" else engine.query_path(*a.names[:2], a.max_depth))
         if a.command == "review":
             text = sys.stdin.read() if a.diff == "-" else Path(a.diff).read_text()
             bundle = engine.review(text, a.budget, a.model, a.number, a.title)
@@ -153,7 +159,10 @@ def workspace(a: argparse.Namespace, spark: SparkSession | None) -> int:
     else:
         spark = spark or session()
         config = load_config(a.workspace, db_path=str(ws.db_path), repo_id=a.id or "")
-        return show(QueryEngine(spark, config, GraphStore(spark, str(ws.db_path))).query_nl(" ".join(a.names)), page=20)
+        engine, text = QueryEngine(spark, config, GraphStore(spark, str(ws.db_path))), " ".join(a.names)
+        statement = text.split()[:1] and text.split()[0].upper() in ("FIND", "DEPENDENTS", "IMPACT", "PATH")
+        mode = a.mode if a.mode != "auto" else "dsl" if statement else "semantic"
+        return show(getattr(engine, f"query_{mode}")(text), context=a.context, page=20)
     return 0
 
 

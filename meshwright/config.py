@@ -20,12 +20,16 @@ class Config:
     repo_id: str = ""
     max_file_size_bytes: int = MAX_FILE_BYTES
     exclude_patterns: tuple[str, ...] = DEFAULT_EXCLUDES
+    #: Extensions and languages to index; empty for all that are known.
+    include_extensions: tuple[str, ...] = ()
+    languages: tuple[str, ...] = ()
     git_history_limit: int = 500
     enable_git_enrichment: bool = True
     embedding_batch_size: int = 64
     embed_limit: int = 0
     context_max_tokens: int = 6000
     default_top_k: int = 20
+    #: Most hops of a PATH query that names no depth.
     max_call_depth: int = 10
 
 

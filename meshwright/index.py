@@ -19,6 +19,9 @@ from .parsing import parse
 from .sources import gitlog, repository
 from .tables import materialize
 
+#: Failed files whose messages a report carries; it counts them all.
+SHOWN_ERRORS = 100
+
 
 @dataclass
 class Report:
@@ -27,6 +30,8 @@ class Report:
     edges: int = 0
     embedded: int = 0
     seconds: float = 0.0
+    #: Files that a parser failed on, and the messages of the first of them.
+    failed: int = 0
     errors: list[str] = field(default_factory=list)
 
 
@@ -38,7 +43,7 @@ class Indexer:
 
     def scan(self, only=None) -> DataFrame:
         c = self.config
-        return repository.scan(self.spark, c.repo_path, c.repo_id, exclude=c.exclude_patterns, max_file_size_bytes=c.max_file_size_bytes, only=only)
+        return repository.scan(self.spark, c.repo_path, c.repo_id, exclude=c.exclude_patterns, max_file_size_bytes=c.max_file_size_bytes, only=only, extensions=[e.lower() for e in c.include_extensions], languages=[n.lower() for n in c.languages])
 
     def _mine(self, df: DataFrame, mine: bool = True) -> DataFrame:
         same = F.col("repo_id") == self.config.repo_id
@@ -86,7 +91,9 @@ class Indexer:
         self.store.replace("edges", edges)
         self.store.replace("raw_edges", raw_edges)
         report = Report(files=parsed.count(), nodes=ranked.count(), edges=edges.count())
-        report.errors = [f"{r.rel_path}: {e}" for r in parsed.filter(F.size("errors") > 0).select("rel_path", "errors").limit(100).collect() for e in r.errors]
+        broken = parsed.filter(F.size("errors") > 0).select("rel_path", "errors")
+        report.failed = broken.count()
+        report.errors = [f"{r.rel_path}: {e}" for r in broken.orderBy("rel_path").limit(SHOWN_ERRORS).collect() for e in r.errors] if report.failed else []
         if embed_files is not None:
             fresh = self._mine(ranked).join(embed_files, "file_path", "left_semi")
             made = materialize(vectors.embed(fresh, self.embedder, self.config.embedding_batch_size, self.config.embed_limit))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NODE_KEYWORDS
-from .traverse import best_first
+from .traverse import ID, best_first, scoped
 
 DEFAULT_LIMIT = 20
 
@@ -40,10 +40,15 @@ def by_name(nodes: DataFrame, text: str, limit: int = DEFAULT_LIMIT) -> DataFram
 
 
 def linked(nodes: DataFrame, edges: DataFrame, ids: DataFrame, edge_type: str, against: bool) -> DataFrame:
-    """(anchor, columns of nodes): nodes one edge away from ids (node_id); against: at its source. An anchor isn't its own neighbour."""
+    """(anchor, columns of nodes): nodes one edge away from ids (repo_id, node_id); against: at its source. An anchor isn't its own neighbour.
+
+    Anchors filter the edges first, so that only theirs are made distinct.
+    """
     near, far = ("dst_id", "src_id") if against else ("src_id", "dst_id")
-    hops = edges.filter(F.col("edge_type") == edge_type).filter("src_id <> dst_id").select(F.col(near).alias("anchor"), F.col(far).alias("node_id")).distinct()
-    return hops.join(ids.select(F.col("node_id").alias("anchor")).distinct(), "anchor").join(nodes, "node_id")
+    of_type = scoped(edges).filter((F.col("edge_type") == edge_type) & (F.col("src_id") != F.col("dst_id")))
+    anchors = scoped(ids).select("repo_id", F.col("node_id").alias("anchor"))
+    hops = of_type.select("repo_id", F.col(near).alias("anchor"), F.col(far).alias("node_id")).join(anchors, ["repo_id", "anchor"], "left_semi").distinct()
+    return hops.join(scoped(nodes), ID)
 
 
 def callers(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -66,8 +71,10 @@ def counts(table: DataFrame, by: str) -> DataFrame:
     return table.groupBy(by).agg(F.count("*").alias("n"))
 
 
-def by_id(nodes: DataFrame, node_id: str) -> DataFrame:
-    return nodes.filter(F.col("node_id") == node_id)
+def by_id(nodes: DataFrame, node_id: str, repo_id: str | None = None) -> DataFrame:
+    """The node of that id, in each repository that has one unless one is named."""
+    found = nodes.filter(F.col("node_id") == node_id)
+    return found.filter(F.col("repo_id") == repo_id) if repo_id else found
 
 
 def of_type(nodes: DataFrame, node_type: str, limit: int | None = None) -> DataFrame:
@@ -88,9 +95,9 @@ def exported(edges: DataFrame, edge_type: str) -> DataFrame:
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes in ids (node_id), and the edges between them."""
-    wanted = ids.select("node_id").distinct()
-    inner = edges
+    """The nodes in ids (repo_id, node_id), and the edges between them."""
+    wanted = scoped(ids).select(*ID)
+    inner = scoped(edges)
     for end in ("src_id", "dst_id"):
-        inner = inner.join(wanted.withColumnRenamed("node_id", end), end, "left_semi")
-    return nodes.join(wanted, "node_id", "left_semi"), inner
+        inner = inner.join(wanted.withColumnRenamed("node_id", end), ["repo_id", end], "left_semi")
+    return scoped(nodes).join(wanted, ID, "left_semi"), inner

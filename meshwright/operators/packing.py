@@ -11,6 +11,8 @@ from ..functions.text import estimate_tokens
 SEPARATOR = "\n\n---\n\n"
 CHARS_PER_TOKEN = 3.5
 LEAST_REMAINDER = 200
+#: Parts of a partition that are cut by themselves.
+SALTS = 64
 TRUNCATED = "\n… [truncated]"
 
 
@@ -19,14 +21,26 @@ def header(query: str) -> str:
 
 
 def pack_prefix(blocks: DataFrame, max_tokens: int = 6000, query: str = "", order: str = "position", partition: tuple[str, ...] = ()) -> DataFrame:
-    """(partition, position, block): the blocks that fit, in order, up to the first that doesn't; that one is cut if enough room is left.
+    """(partition, position, block): the blocks that fit, in order (unique in a partition), up to the first that doesn't; that one is cut if enough room is left.
 
-    A running sum per partition tells; only blocks within the budget leave the operator.
+    A running sum per partition tells; only blocks within the budget leave the operator. Every block takes
+    the separator at least, which bounds how many fit: a partition is first cut to as many, in salted
+    parts and by length alone, so that no task holds all of a large one and no text is sorted.
     """
     budget = int(max_tokens * CHARS_PER_TOKEN) - len(header(query))
     sep = len(SEPARATOR)
     w = W.partitionBy(*partition).orderBy(order)
-    sized = blocks.withColumn("used", F.sum(F.length("block") + sep).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    if partition:
+        most = max(1, budget // sep + 1)
+        sizes = blocks.select(*partition, order, F.length("block").alias("_chars"))
+        salted = W.partitionBy(*partition, F.pmod(F.xxhash64(order), F.lit(SALTS))).orderBy(order)
+        first = sizes.withColumn("_n", F.row_number().over(salted)).filter(F.col("_n") <= most)
+        used = first.withColumn("used", F.sum(F.col("_chars") + sep).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        near = used.filter(F.col("used") - F.col("_chars") - sep <= budget).select(*(F.col(c).alias(f"_k_{c}") for c in (*partition, order)), "used")
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*partition, order)]
+        sized = blocks.join(near, same).drop(*(f"_k_{c}" for c in (*partition, order)))
+    else:
+        sized = blocks.withColumn("used", F.sum(F.length("block") + sep).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     before = F.col("used") - F.length("block") - sep
     room = budget - before - sep
     fits = F.col("used") <= budget

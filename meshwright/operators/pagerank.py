@@ -1,48 +1,54 @@
-"""PageRank by power iteration over DataFrames."""
+"""PageRank by power iteration over DataFrames, of each repository by itself."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import discard, materialize, materialize_by
+from .traverse import ID, scoped
+
+#: Sources with more than this share of the links are fewer than one over it; their links are joined by broadcast.
+HOT_SHARE = 0.001
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
-    """(node_id, rank) of all nodes on edges (src_id, dst_id); parallel edges count once.
+    """(repo_id, node_id, rank) of all nodes on edges (repo_id, src_id, dst_id); parallel edges count once.
 
-    The mass of nodes without outgoing edges is spread evenly. Iteration ends when ranks move by less
-    than nodes times tolerance in sum; with tolerance None, after max_iterations. Edges and degrees are
-    joined once; a round is one join and one aggregation on the target.
+    The mass of a repository's nodes without outgoing edges is spread evenly over it. A repository is
+    done when its ranks move by less than its nodes times tolerance in sum; with tolerance None all
+    stop after max_iterations. Links and ranks are written by node, so a round shuffles nothing but
+    sums by target; the links of the few sources with most of them stay where they are.
     """
-    links = edges.select("src_id", "dst_id").distinct()
-    degree = links.groupBy("src_id").agg(F.count("*").alias("degree"))
-    ids = links.select(F.col("src_id").alias("node_id")).unionByName(links.select(F.col("dst_id").alias("node_id"))).distinct()
-    nodes = materialize(ids.join(degree.withColumnRenamed("src_id", "node_id"), "node_id", "left"))
-    links = materialize(links)
-    n = nodes.count()
-    if not n:
-        return nodes.select("node_id", F.lit(0.0).alias("rank"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    links = materialize(scoped(edges).select("repo_id", "src_id", "dst_id").distinct())
+    ends = links.select("repo_id", F.col("src_id").alias("node_id"), F.lit(1).alias("out")).unionByName(links.select("repo_id", F.col("dst_id").alias("node_id"), F.lit(0).alias("out")))
+    degrees = ends.groupBy(*ID).agg(F.sum("out").alias("degree"))
+    often = max(1, int(links.count() * HOT_SHARE))
+    sizes = materialize(degrees.groupBy("repo_id").agg(F.count("*").alias("n")))
+    start = degrees.join(sizes, "repo_id").select(*ID, "degree", (F.col("degree") > often).alias("hot"), (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(None).cast("double").alias("before"))
+    ranks = materialize_by(start, *ID)
+    hot = links.join(F.broadcast(ranks.filter("hot").select("repo_id", F.col("node_id").alias("src_id"))), ["repo_id", "src_id"], "left_semi")
+    hot, links = materialize(hot), materialize_by(links.join(F.broadcast(ranks.filter("hot").select("repo_id", F.col("node_id").alias("src_id"))), ["repo_id", "src_id"], "left_anti"), "repo_id", "src_id")
     for _ in range(max_iterations):
-        given = ranks.filter("degree is not null").select(F.col("node_id").alias("src_id"), (F.col("rank") / F.col("degree")).alias("share"))
-        got = links.join(given, "src_id").groupBy(F.col("dst_id").alias("node_id")).agg(F.sum("share").alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))  # one row
-        moved = (
-            ranks.join(got, "node_id", "left").crossJoin(F.broadcast(loose))
-            .select("node_id", "degree", F.col("rank").alias("before"),
-                    ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        )
-        ranks = materialize(moved)
-        if tolerance is not None and ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
+        state = ranks.groupBy("repo_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("degree") == 0, F.col("rank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"))
+        limit = F.lit(False) if tolerance is None else F.coalesce(F.col("moved") < F.col("n") * tolerance, F.lit(False))
+        state = materialize(state.select("repo_id", "n", "loose", limit.alias("done")))  # a row a repository
+        if state.filter("not done").isEmpty():
             break
-    return ranks.select("node_id", "rank")
+        given = ranks.filter("degree > 0").select("repo_id", F.col("node_id").alias("src_id"), (F.col("rank") / F.col("degree")).alias("share"), "hot")
+        shares = links.join(given.filter("not hot"), ["repo_id", "src_id"]).unionByName(hot.join(F.broadcast(given.filter("hot")), ["repo_id", "src_id"]))
+        got = shares.groupBy("repo_id", F.col("dst_id").alias("node_id")).agg(F.sum("share").alias("got"))
+        fresh = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
+        moved = ranks.join(got, ID, "left").join(state, "repo_id").select(*ID, "degree", "hot", F.when(F.col("done"), F.col("rank")).otherwise(fresh).alias("rank"), F.col("rank").alias("before"))
+        before, ranks = ranks, materialize_by(moved, *ID)
+        discard(before)
+    return ranks.select(*ID, "rank")
 
 
 def with_importance(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
     """nodes with centrality (rank over calls and imports) and importance (centrality raised by change frequency)."""
     ranks = pagerank(edges.filter(F.col("edge_type").isin("CALLS", "IMPORTS")), **options).withColumnRenamed("rank", "fresh")
-    joined = nodes.join(ranks, "node_id", "left")
+    joined = scoped(nodes).join(ranks, ID, "left")
     centrality = F.coalesce("fresh", F.lit(0.0))  # a node off these edges has none, whatever it had before
     return joined.withColumns({
         "centrality_score": centrality, "importance_score": centrality * (1 + F.coalesce("change_frequency", F.lit(0.0))),

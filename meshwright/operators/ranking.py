@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import name_match
+from .traverse import ID, scoped
 
 # Fixed values.
 WEIGHTS = {"semantic": 0.35, "centrality": 0.25, "name_match": 0.20, "recency": 0.10, "proximity": 0.10}
@@ -31,9 +32,9 @@ def rank(results: DataFrame, terms: Column | None = None, order: str = "input_ra
 
 
 def fuse(graph: DataFrame, vector: DataFrame, top_k: int = 20) -> DataFrame:
-    """(node_id, rrf, semantic_score): two ranked lists (node_id, rank from 1, semantic_score) fused; ties keep graph order first."""
-    g = graph.select("node_id", F.col("rank").alias("g"), F.coalesce("semantic_score", F.lit(0.0)).alias("gs"))
-    v = vector.select("node_id", F.col("rank").alias("v"), F.coalesce("semantic_score", F.lit(0.0)).alias("vs"))
+    """(repo_id, node_id, rrf, semantic_score): two ranked lists (repo_id, node_id, rank from 1, semantic_score) fused; ties keep graph order first."""
+    g = scoped(graph).select(*ID, F.col("rank").alias("g"), F.coalesce("semantic_score", F.lit(0.0)).alias("gs"))
+    v = scoped(vector).select(*ID, F.col("rank").alias("v"), F.coalesce("semantic_score", F.lit(0.0)).alias("vs"))
     part = lambda r: F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0))
-    fused = g.join(v, "node_id", "full_outer").withColumn("rrf", part("g") + part("v")).withColumn("semantic_score", F.greatest(F.coalesce("gs", F.lit(0.0)), F.coalesce("vs", F.lit(0.0))))
-    return fused.orderBy(F.desc("rrf"), F.col("g").isNull(), "g", "v").limit(top_k).select("node_id", "rrf", "semantic_score")
+    fused = g.join(v, ID, "full_outer").withColumn("rrf", part("g") + part("v")).withColumn("semantic_score", F.greatest(F.coalesce("gs", F.lit(0.0)), F.coalesce("vs", F.lit(0.0))))
+    return fused.orderBy(F.desc("rrf"), F.col("g").isNull(), "g", "v").limit(top_k).select(*ID, "rrf", "semantic_score")

@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import SYMBOL_TYPES
+from ..tables import materialize
 from . import find
 from .packing import SEPARATOR, greedy_fit, header
-from .traverse import reach
+from .traverse import ID, scoped, steps
 
 # Reasons by priority, and their weights.
 REASON_WEIGHT = {"touched": 1.0, "test": 0.65, "caller": 0.55, "callee": 0.40, "impacted": 0.30, "related_config": 0.20}
@@ -34,87 +35,116 @@ def score(reason: Column, distance: Column, importance: Column) -> Column:
 
 
 def narrowest(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(hunk_id, node_id, ..): the symbol that each hunk (hunk_id, file_path, start_line, end_line) touches.
+    """(hunk_id, repo_id, node_id, ..): the symbol that each hunk (hunk_id, file_path, start_line, end_line) touches.
 
     The first of the symbol types with an overlap, and the shortest, then first, span of it.
     """
     rank = _lookup({t: i for i, t in enumerate(SYMBOL_TYPES)}, F.col("node_type"), 99)
-    symbols = nodes.filter(F.col("node_type").isin(*SYMBOL_TYPES)).select("node_id", "node_type", "fqn", "tags", "file_path", F.col("start_line").alias("sl"), F.col("end_line").alias("el"))
+    symbols = scoped(nodes).filter(F.col("node_type").isin(*SYMBOL_TYPES)).select(*ID, "node_type", "fqn", "tags", "file_path", F.col("start_line").alias("sl"), F.col("end_line").alias("el"))
     hit = hunks.join(symbols, (hunks.file_path == symbols.file_path) & (symbols.sl <= hunks.end_line) & (symbols.el >= hunks.start_line)).drop(symbols.file_path)
-    best = W.partitionBy("hunk_id").orderBy(rank, F.col("el") - F.col("sl"), "sl", "node_id")
+    best = W.partitionBy("hunk_id").orderBy(rank, F.col("el") - F.col("sl"), "sl", "node_id", "repo_id")
     return hit.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
 def seeds(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node_id, ord): touched nodes, each once, in the order of their first hunk.
+    """(repo_id, node_id, ord): touched nodes, each once, in the order of their first hunk.
 
     hunks: (ord, hunk_id, file_path, start_line, end_line, is_new, is_deleted). A hunk without a symbol
     falls back to its file; a deleted file to its File and ConfigFile nodes; files not indexed give none.
     """
     live = hunks.filter(~F.col("is_deleted") & F.col("start_line").isNotNull())
-    symbol = narrowest(live, nodes).select("ord", "node_id")
-    files = nodes.filter(F.col("node_type").isin("File", "ConfigFile")).select("node_id", "file_path", (F.col("node_type") == "ConfigFile").cast("int").alias("second"))
+    symbol = narrowest(live, nodes).select("ord", *ID)
+    files = scoped(nodes).filter(F.col("node_type").isin("File", "ConfigFile")).select(*ID, "file_path", (F.col("node_type") == "ConfigFile").cast("int").alias("second"))
     bare = live.join(symbol.select("ord"), "ord", "left_anti").join(files, "file_path")
-    fallback = bare.groupBy("ord").agg(F.min_by("node_id", F.struct("second", "node_id")).alias("node_id"))
-    gone = hunks.filter("is_deleted").join(files, "file_path").select((F.col("ord") + F.col("second") * 0.5).alias("ord"), "node_id")
-    every = symbol.unionByName(fallback).select(F.col("ord").cast("double").alias("ord"), "node_id").unionByName(gone)
-    return every.groupBy("node_id").agg(F.min("ord").alias("ord"))
+    fallback = bare.groupBy("ord").agg(F.min(F.struct("second", "node_id", "repo_id")).alias("f")).select("ord", "f.repo_id", "f.node_id")
+    gone = hunks.filter("is_deleted").join(files, "file_path").select((F.col("ord") + F.col("second") * 0.5).alias("ord"), *ID)
+    every = symbol.unionByName(fallback).select(F.col("ord").cast("double").alias("ord"), *ID).unionByName(gone)
+    return every.groupBy(*ID).agg(F.min("ord").alias("ord"))
 
 
 def related_configs(seeds_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(seed, node_id, ord): for each of a seed's first tags, two configuration files that carry it."""
-    tags = seeds_.select(F.col("node_id").alias("seed"), F.posexplode(F.slice("tags", 1, TAGS_USED)).alias("t", "tag"))
-    configs = nodes.filter(F.col("node_type") == "ConfigFile").select("node_id", F.explode("tags").alias("tag"))
+    """(repo_id, seed, node_id, ord): for each of a seed's first tags, two configuration files of its repository that carry it."""
+    tags = scoped(seeds_).select("repo_id", F.col("node_id").alias("seed"), F.posexplode(F.slice("tags", 1, TAGS_USED)).alias("t", "tag"))
+    configs = scoped(nodes).filter(F.col("node_type") == "ConfigFile").select(*ID, F.explode("tags").alias("tag"))
     # Two a tag, chosen before the join: WindowGroupLimit trims each tag's files on the map side.
-    two = configs.withColumn("k", F.row_number().over(W.partitionBy("tag").orderBy("node_id"))).filter(F.col("k") <= CONFIGS_PER_TAG)
-    return tags.join(two, "tag").groupBy("seed", "node_id").agg(F.min(F.col("t") * CONFIGS_PER_TAG + F.col("k")).alias("ord"))
+    two = configs.withColumn("k", F.row_number().over(W.partitionBy("repo_id", "tag").orderBy("node_id"))).filter(F.col("k") <= CONFIGS_PER_TAG)
+    return tags.join(two, ["repo_id", "tag"]).groupBy("repo_id", "seed", "node_id").agg(F.min(F.col("t") * CONFIGS_PER_TAG + F.col("k")).alias("ord"))
 
 
 def cap_and_merge(candidates: DataFrame, per_seed: int = PER_SEED) -> DataFrame:
-    """(node_id, reason, distance): candidates (seed, node_id, reason, distance, ord) cut per seed, then merged.
+    """(repo_id, node_id, reason, distance): candidates (repo_id, seed, node_id, reason, distance, ord) cut per seed, then merged.
 
     Each seed keeps its best per_seed, duplicates included; a node keeps its best reason and distance.
     """
-    best = W.partitionBy("seed").orderBy(priority(F.col("reason")), "distance", "ord", "node_id")
-    kept = candidates.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= per_seed)
+    best = W.partitionBy("repo_id", "seed").orderBy(priority(F.col("reason")), "distance", "ord", "node_id")
+    kept = scoped(candidates).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= per_seed)
     chosen = F.min_by(F.struct("reason", "distance"), F.struct(priority(F.col("reason")), F.col("distance")))
-    return kept.groupBy("node_id").agg(chosen.alias("c")).select("node_id", "c.reason", "c.distance")
+    return kept.groupBy(*ID).agg(chosen.alias("c")).select(*ID, "c.reason", "c.distance")
+
+
+def best_upstream(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(repo_id, seed, node_id, k): the limit most important nodes that reach a seed in at most depth steps; k is their place.
+
+    Each round gives every node near the seeds its own best limit nodes of that many steps, from those
+    of its neighbours; so what moves grows with edges times limit, not with what the seeds reach.
+    """
+    named = scoped(nodes).select(*ID, F.coalesce("importance_score", F.lit(0.0)).alias("score"))
+    back = steps(edges, "in").distinct()
+    # Nodes fewer than depth steps from a seed; their lists are all that is needed.
+    near = [scoped(seeds_).select("repo_id", F.col("node_id").alias("at")).distinct()]
+    for _ in range(depth - 1):
+        ahead = near[-1].join(back, ["repo_id", "at"]).select("repo_id", F.col("to").alias("at"))
+        near.append(materialize(near[-1].unionByName(ahead).distinct()))
+    order = F.desc("score"), "node_id"
+    lists = None
+    for d in range(1, depth + 1):
+        hops = back.join(near[depth - d], ["repo_id", "at"], "left_semi")
+        found = hops.withColumnRenamed("to", "node_id").join(named, ID).select("repo_id", "at", "node_id", "score")
+        if lists is not None:
+            further = lists.withColumnRenamed("at", "to")
+            found = found.unionByName(hops.join(further, ["repo_id", "to"]).select("repo_id", "at", "node_id", "score")).distinct()
+        # One more than asked for: a node may be upstream of itself, and isn't counted.
+        places = found.withColumn("k", F.row_number().over(W.partitionBy("repo_id", "at").orderBy(*order)))
+        lists = materialize(places.filter(F.col("k") <= limit + 1).drop("k"))
+    others = lists.filter("at <> node_id").withColumn("k", F.row_number().over(W.partitionBy("repo_id", "at").orderBy(*order)))
+    return others.filter(F.col("k") <= limit).select("repo_id", F.col("at").alias("seed"), "node_id", "k").join(scoped(seeds_).select("repo_id", F.col("node_id").alias("seed")).distinct(), ["repo_id", "seed"], "left_semi")
 
 
 def expand(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, impact_depth: int = 2, per_seed: int = PER_SEED,
            include=("test", "caller", "callee", "impacted", "related_config")) -> DataFrame:
-    """(node_id, reason, distance): neighbours of seeds (node_id, tags); seeds themselves aren't among them."""
+    """(repo_id, node_id, reason, distance): neighbours of seeds (repo_id, node_id, tags); seeds themselves aren't among them."""
+    seeds_ = scoped(seeds_)
     near = {"test": find.tests_of, "caller": find.callers, "callee": find.callees}
-    shape = lambda df, reason, d: df.select("seed", "node_id", F.lit(reason).alias("reason"), F.lit(d).alias("distance"), F.lit(0).cast("bigint").alias("ord"))
+    shape = lambda df, reason, d: df.select("repo_id", "seed", "node_id", F.lit(reason).alias("reason"), F.lit(d).alias("distance"), F.lit(0).cast("bigint").alias("ord"))
     parts = [shape(near[r](nodes, edges, seeds_).withColumnRenamed("anchor", "seed"), r, 1) for r in near if r in include]
     if "impacted" in include and impact_depth > 1:
-        found = reach(edges, seeds_.select(F.col("node_id").alias("seed"), "node_id"), impact_depth, "in").filter("distance > 0")
         # As a query for one target would: the most important ones first.
-        order = W.partitionBy("seed").orderBy(F.desc("importance_score"), "node_id")
-        top = found.join(nodes.select("node_id", "importance_score"), "node_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= find.DEFAULT_LIMIT)
-        parts.append(top.select("seed", "node_id", F.lit("impacted").alias("reason"), F.lit(2).alias("distance"), F.col("k").cast("bigint").alias("ord")))
+        top = best_upstream(seeds_, nodes, edges, impact_depth, find.DEFAULT_LIMIT)
+        parts.append(top.select("repo_id", "seed", "node_id", F.lit("impacted").alias("reason"), F.lit(2).alias("distance"), F.col("k").cast("bigint").alias("ord")))
     if "related_config" in include:
         configs = related_configs(seeds_, nodes)
-        parts.append(configs.select("seed", "node_id", F.lit("related_config").alias("reason"), F.lit(2).alias("distance"), F.col("ord").cast("bigint").alias("ord")))
+        parts.append(configs.select("repo_id", "seed", "node_id", F.lit("related_config").alias("reason"), F.lit(2).alias("distance"), F.col("ord").cast("bigint").alias("ord")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return cap_and_merge(every, per_seed).join(seeds_.select("node_id"), "node_id", "left_anti")
+    return cap_and_merge(every, per_seed).join(seeds_.select(*ID), ID, "left_anti")
 
 
 def trim(blocks: DataFrame, budget: int, model: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """blocks (node_id, reason, distance, score, chars) that are selected: all touched ones, others by score as they fit.
+    """blocks (repo_id, node_id, reason, distance, score, chars) that are selected: all touched ones, others by score as they fit.
 
     by: columns that tell reviews apart, each with a budget of its own. One review's candidates are a
     bounded list (PER_SEED a seed); they are folded in one row.
     """
     touched = F.col("reason") == "touched"
-    listed = F.sort_array(F.collect_list(F.when(~touched, F.struct((-F.col("score")).alias("ord"), F.col("node_id").alias("id"), "chars"))))
+    blocks = scoped(blocks)
+    name = F.concat_ws("\n", "node_id", "repo_id")
+    listed = F.sort_array(F.collect_list(F.when(~touched, F.struct((-F.col("score")).alias("ord"), name.alias("id"), "chars"))))
     folded = blocks.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(touched, F.col("chars"))), F.lit(0)).alias("seeds_chars"), F.count(F.when(touched, 1)).cast("int").alias("seeds_n"), listed.alias("candidates")
     ).select(*by, greedy_fit(F.col("seeds_chars"), F.col("seeds_n"), F.col("candidates"), budget, model).alias("taken"))
     joined = blocks.join(folded, list(by)) if by else blocks.crossJoin(F.broadcast(folded))  # one row
-    return joined.filter(touched | F.array_contains("taken", F.col("node_id"))).drop("taken")
+    return joined.filter(touched | F.array_contains("taken", name)).drop("taken")
 
 
 def packed_chars(n: Column, chars: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import register
 from ..schema import EDGES, EMBEDDINGS, NODES, RAW_EDGES, SCHEMA_VERSION
+from .traverse import ID, scoped
 
 TABLES = {"nodes": NODES, "edges": EDGES, "raw_edges": RAW_EDGES, "embeddings": EMBEDDINGS}
 PARTITION = {"nodes": "node_type", "edges": "edge_type"}
@@ -25,11 +26,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def delete_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes without those of the files in paths (file_path), and edges without those at such a node."""
-    kept = nodes.join(paths, "file_path", "left_anti")
-    gone = nodes.join(paths, "file_path", "left_semi").select("node_id").distinct()
+    """nodes without those of the files in paths (repo_id, file_path), and edges without those at such a node."""
+    nodes, edges, paths = scoped(nodes), scoped(edges), scoped(paths).select("repo_id", "file_path")
+    kept = nodes.join(paths, ["repo_id", "file_path"], "left_anti")
+    gone = nodes.join(paths, ["repo_id", "file_path"], "left_semi").select(*ID)
     for end in ("src_id", "dst_id"):
-        edges = edges.join(gone.withColumnRenamed("node_id", end), end, "left_anti")
+        edges = edges.join(gone.withColumnRenamed("node_id", end), ["repo_id", end], "left_anti")
     return kept, edges
 
 
@@ -94,8 +96,9 @@ class GraphStore:
         self.replace(name, upsert(self.table(name), df, KEYS[name]))
 
     def delete_files(self, paths: DataFrame) -> None:
+        """Drop the nodes, edges and embeddings of files (repo_id, file_path)."""
         nodes, edges = delete_files(self.nodes, self.edges, paths)
-        embeddings = self.table("embeddings").join(paths, "file_path", "left_anti")
+        embeddings = scoped(self.table("embeddings")).join(scoped(paths), ["repo_id", "file_path"], "left_anti")
         for name, df in (("edges", edges), ("nodes", nodes), ("embeddings", embeddings)):
             self.replace(name, df)
 

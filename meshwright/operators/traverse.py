@@ -1,7 +1,8 @@
 """Graph traversal by joins: reach, neighbourhood, shortest paths, and target resolution.
 
 Traversals keep a frontier and what has been seen, so a node is expanded once whatever the number of
-walks to it. All starts of a batch are traversed together, keyed by seed.
+walks to it. All starts of a batch are traversed together, keyed by seed. A node is named by its
+repository and id: repositories that share a store, and even paths, don't meet.
 """
 
 from __future__ import annotations
@@ -12,6 +13,13 @@ from pyspark.sql import functions as F
 from ..tables import materialize
 
 MAX_DEPTH, MAX_PATH = 10, 20
+#: What names a node.
+ID = ["repo_id", "node_id"]
+
+
+def scoped(df: DataFrame) -> DataFrame:
+    """df with repo_id filled in: empty where a row, or the whole table, has none."""
+    return df.withColumn("repo_id", F.coalesce("repo_id", F.lit("")) if "repo_id" in df.columns else F.lit(""))
 
 
 def checked_depth(depth, low: int = 1, high: int = MAX_DEPTH) -> int:
@@ -23,25 +31,25 @@ def checked_depth(depth, low: int = 1, high: int = MAX_DEPTH) -> int:
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
-    """(at, to): one step against the edges ('in'), along them ('out'), or either way ('both')."""
-    along = edges.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"))
-    against = edges.select(F.col("dst_id").alias("at"), F.col("src_id").alias("to"))
+    """(repo_id, at, to): one step against the edges ('in'), along them ('out'), or either way ('both')."""
+    along = scoped(edges).select("repo_id", F.col("src_id").alias("at"), F.col("dst_id").alias("to"))
+    against = along.select("repo_id", F.col("to").alias("at"), F.col("at").alias("to"))
     return {"out": along, "in": against, "both": along.unionByName(against)}[direction].filter("at <> to")
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "in", edge_types=None, stop: str | None = None) -> DataFrame:
-    """(seed, node_id, distance) of all nodes within depth steps of starts (seed, node_id), these included at 0.
+    """(repo_id, seed, node_id, distance) of all nodes within depth steps of starts (repo_id, seed, node_id), these included at 0.
 
     stop: end after the first level that holds this node.
     """
     if edge_types is not None:
         edges = edges.filter(F.col("edge_type").isin(*edge_types))
     step = steps(edges, direction)
-    seen = materialize(starts.select("seed", "node_id").distinct().withColumn("distance", F.lit(0)))
+    seen = materialize(scoped(starts).select("repo_id", "seed", "node_id").distinct().withColumn("distance", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
-        found = frontier.select("seed", F.col("node_id").alias("at")).join(step, "at").select("seed", F.col("to").alias("node_id")).distinct()
-        frontier = materialize(found.join(seen, ["seed", "node_id"], "left_anti").withColumn("distance", F.lit(d)))
+        found = frontier.select("repo_id", "seed", F.col("node_id").alias("at")).join(step, ["repo_id", "at"]).select("repo_id", "seed", F.col("to").alias("node_id")).distinct()
+        frontier = materialize(found.join(seen, ["repo_id", "seed", "node_id"], "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -51,47 +59,55 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "in"
 
 
 def resolve(nodes: DataFrame, target: str, repo_id: str | None = None) -> str | None:
-    """The node that a name stands for: its id, fqn or name exactly, else a part of fqn or name; most important first."""
+    """The id of the node that a name stands for."""
+    found = resolve_scoped(nodes, target, repo_id)
+    return found and found[1]
+
+
+def resolve_scoped(nodes: DataFrame, target: str, repo_id: str | None = None) -> tuple[str, str] | None:
+    """(repo_id, node_id) of the node that a name stands for: its id, fqn or name exactly, else a part of fqn or name; most important first."""
     if not target:
         return None
+    nodes = scoped(nodes)
     if repo_id:
         nodes = nodes.filter(F.col("repo_id") == repo_id)
     t = F.lit(target)
     exact = F.when(F.col("fqn") == t, 0).when(F.col("node_id") == t, 1).when(F.col("name") == t, 2).otherwise(3)
     row = (
         nodes.filter(F.contains("fqn", t) | F.contains("name", t) | (F.col("node_id") == t))
-        .select("node_id", exact.alias("rank"), "importance_score")
-        .orderBy("rank", F.desc("importance_score"), "node_id").limit(1).collect()
+        .select(*ID, exact.alias("rank"), "importance_score")
+        .orderBy("rank", F.desc("importance_score"), "node_id", "repo_id").limit(1).collect()
     )
-    return row[0].node_id if row else None
+    return (row[0].repo_id, row[0].node_id) if row else None
 
 
 def best_first(nodes: DataFrame, limit: int | None) -> DataFrame:
-    ordered = nodes.orderBy(F.desc("importance_score"), "node_id")
+    last = ["repo_id"] if "repo_id" in nodes.columns else []
+    ordered = nodes.orderBy(F.desc("importance_score"), "node_id", *last)
     return ordered if limit is None else ordered.limit(limit)
 
 
-def _around(nodes: DataFrame, edges: DataFrame, start: str | None, depth: int, limit: int | None, direction: str, edge_types) -> DataFrame:
+def _around(nodes: DataFrame, edges: DataFrame, start: tuple[str, str] | None, depth: int, limit: int | None, direction: str, edge_types) -> DataFrame:
     if start is None:
         return nodes.limit(0).withColumn("distance", F.lit(0))
-    starts = nodes.sparkSession.createDataFrame([(start, start)], "seed string, node_id string")
-    found = reach(edges, starts, depth, direction, edge_types).filter("distance > 0").select("node_id", "distance")
-    return best_first(nodes.join(found, "node_id"), limit)
+    starts = nodes.sparkSession.createDataFrame([(*start, start[1])], "repo_id string, seed string, node_id string")
+    found = reach(edges, starts, depth, direction, edge_types).filter("distance > 0").select(*ID, "distance")
+    return best_first(scoped(nodes).join(found, ID), limit)
 
 
 def dependents(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 3, limit: int | None = 20, repo_id: str | None = None, edge_types=None) -> DataFrame:
     """Nodes that reach the target in at most depth steps, with their distance."""
     checked_depth(depth)
-    return _around(nodes, edges, resolve(nodes, target, repo_id), depth, limit, "in", edge_types)
+    return _around(nodes, edges, resolve_scoped(nodes, target, repo_id), depth, limit, "in", edge_types)
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 2, limit: int | None = 20, repo_id: str | None = None) -> DataFrame:
     checked_depth(depth)
-    return _around(nodes, edges, resolve(nodes, target, repo_id), depth, limit, "both", None)
+    return _around(nodes, edges, resolve_scoped(nodes, target, repo_id), depth, limit, "both", None)
 
 
-def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 3) -> DataFrame:
-    """(path, hops): the first shortest undirected paths by their ids, at most limit.
+def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 3, repo_id: str = "") -> DataFrame:
+    """(path, hops): the first shortest undirected paths by their ids within a repository, at most limit.
 
     Nodes on shortest paths are those whose distances from both ends add up. Paths grow along them from
     src; of each length the limit smallest are kept, which hold the prefixes of the limit smallest
@@ -99,8 +115,9 @@ def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, lim
     """
     checked_depth(max_depth, 1, MAX_PATH)
     spark = edges.sparkSession
-    step = steps(edges, "both").distinct()
-    start = spark.createDataFrame([(src, src)], "seed string, node_id string")
+    edges = scoped(edges).filter(F.col("repo_id") == repo_id)
+    step = steps(edges, "both").drop("repo_id").distinct()
+    start = spark.createDataFrame([(repo_id, src, src)], "repo_id string, seed string, node_id string")
     ahead = reach(edges, start, max_depth, "both", stop=dst)
     end = ahead.filter(F.col("node_id") == dst).collect()
     paths = spark.createDataFrame([([src],)], "path array<string>")

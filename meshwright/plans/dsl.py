@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import find as find_
-from ..operators.traverse import dependents, resolve, shortest_paths
+from ..operators.traverse import ID, dependents, resolve_scoped, scoped, shortest_paths
 from ..schema import NODE_KEYWORDS
 
 #: Quoted strings, words, numbers, and any other sign by itself.
@@ -80,7 +80,7 @@ def _parse_find(words: list[str]) -> Find:
     return query
 
 
-def execute(query: str | Find | Reach | Path | None, nodes: DataFrame, edges: DataFrame, repo_id: str | None = None, default_limit: int = find_.DEFAULT_LIMIT) -> DataFrame:
+def execute(query: str | Find | Reach | Path | None, nodes: DataFrame, edges: DataFrame, repo_id: str | None = None, default_limit: int = find_.DEFAULT_LIMIT, path_depth: int = PATH_DEPTH) -> DataFrame:
     """The nodes that a query finds, with input_rank (their order); for PATH also path_no and step."""
     tree = parse(query) if isinstance(query, str) else query
     if isinstance(tree, Find):
@@ -88,18 +88,21 @@ def execute(query: str | Find | Reach | Path | None, nodes: DataFrame, edges: Da
     if isinstance(tree, Reach):
         return _numbered(dependents(nodes, edges, tree.target, tree.depth, default_limit, repo_id))
     if isinstance(tree, Path):
-        return path_nodes(nodes, edges, tree.src, tree.dst, PATH_DEPTH, repo_id)
+        return path_nodes(nodes, edges, tree.src, tree.dst, path_depth, repo_id)
     return _numbered(nodes.limit(0))
 
 
 def path_nodes(nodes: DataFrame, edges: DataFrame, src: str, dst: str, max_depth: int = PATH_DEPTH, repo_id: str | None = None) -> DataFrame:
-    a, b = resolve(nodes, src, repo_id), resolve(nodes, dst, repo_id)
+    """The nodes of the first shortest paths; the other end is looked for in the repository of the first."""
+    a = resolve_scoped(nodes, src, repo_id)
+    b = a and resolve_scoped(nodes, dst, repo_id or a[0])
     if a is None or b is None or a == b:
         return _numbered(nodes.limit(0)).withColumns({"path_no": F.lit(0), "step": F.lit(0)})
-    paths = [r.path for r in shortest_paths(edges, a, b, max_depth).orderBy("path").collect()]
-    rows = [(p, i, node) for p, path in enumerate(paths) for i, node in enumerate(path)]
-    listed = nodes.sparkSession.createDataFrame(rows, "path_no int, step int, node_id string")
-    return listed.join(nodes, "node_id").withColumn("input_rank", F.col("path_no") * 100 + F.col("step")).orderBy("input_rank")
+    repo = a[0]
+    paths = [r.path for r in shortest_paths(edges, a[1], b[1], max_depth, repo_id=repo).orderBy("path").collect()]
+    rows = [(repo, p, i, node) for p, path in enumerate(paths) for i, node in enumerate(path)]
+    listed = nodes.sparkSession.createDataFrame(rows, "repo_id string, path_no int, step int, node_id string")
+    return listed.join(scoped(nodes), ID).withColumn("input_rank", F.col("path_no") * 100 + F.col("step")).orderBy("input_rank")
 
 
 def _numbered(found: DataFrame) -> DataFrame:

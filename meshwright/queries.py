@@ -20,8 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 NODES = f"nodes AS ({testgraph.nodes_sql('[{}]')})"
-EDGES = f"edges AS ({testgraph.EDGES_SQL})"
-SUCCESSORS = f"succ AS ({testgraph.SUCCESSORS_SQL})"
+EDGES = f"edges AS MATERIALIZED ({testgraph.EDGES_SQL})"
 
 
 def query(sql: str | None = None):
@@ -38,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the derived graph as one repository's."""
+    return testgraph.nodes(spark, sf_dir).withColumn("repo_id", F.lit("")), testgraph.edges(spark, sf_dir)
+
+
 def r6(c) -> F.Column:
     return F.round(c, 6)
 
@@ -199,7 +203,7 @@ def resolve_target(spark, sf):
 
 def _neighbours(name: str, kind: str, ids: str, edge_type: str, near: str, far: str):
     def f(spark, sf):
-        nodes, edges = testgraph.nodes(spark, sf), testgraph.edges(spark, sf)
+        nodes, edges = graph(spark, sf)
         return getattr(find, kind)(nodes, edges, nodes.filter(ids)).select("anchor", "node_id", "name")
 
     f.__name__ = name
@@ -235,8 +239,8 @@ def sql_passthrough(spark, sf):
 
 @query(f"WITH {NODES}, {EDGES}, w AS (SELECT node_id FROM nodes WHERE language = 'json') SELECT edge_type, count(*)::BIGINT AS n FROM edges WHERE src_id IN (SELECT node_id FROM w) AND dst_id IN (SELECT node_id FROM w) GROUP BY 1")
 def subgraph(spark, sf):
-    nodes = testgraph.nodes(spark, sf)
-    return find.counts(find.subgraph(nodes, testgraph.edges(spark, sf), nodes.filter("language = 'json'"))[1], "edge_type")
+    nodes, edges = graph(spark, sf)
+    return find.counts(find.subgraph(nodes, edges, nodes.filter("language = 'json'"))[1], "edge_type")
 
 
 @query(f"WITH {EDGES} SELECT src_id, dst_id FROM edges WHERE edge_type = 'CALLS'")
@@ -259,66 +263,118 @@ def sql_functions(spark, sf):
     return spark.sql("SELECT doc_id, shorten(text, 40) AS short, estimated_tokens(text) AS tokens, graph_node_id(source, CAST(doc_id AS STRING)) AS node FROM documents")
 
 
-# Traversal
+# Traversal, over all edges of the derived graph
 
-_POPULAR = "(SELECT dst_id FROM succ GROUP BY dst_id ORDER BY count(*) DESC, dst_id LIMIT 1)"
+_POPULAR = "(SELECT dst_id FROM edges GROUP BY dst_id ORDER BY count(*) DESC, dst_id LIMIT 1)"
 
 
-def _popular(succ: DataFrame) -> DataFrame:
-    top = succ.groupBy("dst_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst_id").limit(1)
+def _popular(edges: DataFrame) -> DataFrame:
+    top = edges.groupBy("dst_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst_id").limit(1)
     return top.select(F.col("dst_id").alias("seed"), F.col("dst_id").alias("node_id"))
 
 
-def _reach_sql(depth: int, near: str, far: str, start: str = _POPULAR, edges: str = "succ") -> str:
-    return f"WITH RECURSIVE {SUCCESSORS}, r(node_id, d) AS (SELECT {start}, 0 UNION SELECT {far}, d + 1 FROM r JOIN {edges} ON {near} = node_id WHERE d < {depth}) SELECT node_id, min(d)::INT AS distance FROM r GROUP BY 1 HAVING min(d) > 0"
+def _reach_sql(depth: int, steps: str) -> str:
+    """steps: the table of (near, far) steps."""
+    return f"""WITH RECURSIVE {EDGES}, steps AS MATERIALIZED ({steps}), r(node_id, d) AS (SELECT {_POPULAR}, 0 UNION SELECT far, d + 1 FROM r JOIN steps ON near = node_id WHERE d < {depth})
+SELECT node_id, min(d)::INT AS distance FROM r GROUP BY 1 HAVING min(d) > 0"""
+
+
+_AGAINST = "SELECT DISTINCT dst_id AS near, src_id AS far FROM edges"
+_BOTH = "SELECT src_id AS near, dst_id AS far FROM edges UNION SELECT dst_id, src_id FROM edges"
+
+
+def _around_hub(spark, sf, depth, direction):
+    edges = materialize(testgraph.edges(spark, sf))
+    return traverse.reach(edges, _popular(edges), depth, direction).filter("distance > 0").select("node_id", "distance")
 
 
-@query(_reach_sql(3, "dst_id", "src_id"))
+@query(_reach_sql(3, _AGAINST))
 def dependents_d3(spark, sf):
-    succ = materialize(testgraph.successors(spark, sf))
-    return traverse.reach(succ, _popular(succ), 3).filter("distance > 0").select("node_id", "distance")
+    return _around_hub(spark, sf, 3, "in")
 
 
-@query(_reach_sql(4, "dst_id", "src_id"))
+@query(_reach_sql(4, _AGAINST))
 def impact_d4(spark, sf):
-    succ = materialize(testgraph.successors(spark, sf))
-    return traverse.reach(succ, _popular(succ), 4).filter("distance > 0").select("node_id", "distance")
+    return _around_hub(spark, sf, 4, "in")
 
 
-@query(f"WITH {SUCCESSORS}, both_ways AS (SELECT src_id, dst_id FROM succ UNION SELECT dst_id, src_id FROM succ), one AS (SELECT {_POPULAR} AS s), a AS (SELECT DISTINCT dst_id AS node_id FROM both_ways JOIN one ON src_id = s), b AS (SELECT DISTINCT dst_id AS node_id FROM both_ways WHERE src_id IN (SELECT node_id FROM a)) SELECT node_id, min(d)::INT AS distance FROM (SELECT node_id, 1 AS d FROM a UNION ALL SELECT node_id, 2 FROM b) WHERE node_id <> (SELECT s FROM one) GROUP BY 1")
+@query(_reach_sql(2, _BOTH))
 def neighbourhood_d2(spark, sf):
-    succ = materialize(testgraph.successors(spark, sf))
-    return traverse.reach(succ, _popular(succ), 2, "both").filter("distance > 0").select("node_id", "distance")
-
-
-_ENDS = "SELECT (SELECT min(src_id) FROM succ) AS a, (SELECT max(dst_id) FROM succ) AS z"
+    return _around_hub(spark, sf, 2, "both")
 
 
-@query(f"""WITH RECURSIVE {SUCCESSORS}, ends AS ({_ENDS}), both_ways AS (SELECT src_id, dst_id FROM succ UNION SELECT dst_id, src_id FROM succ),
-r(node_id, d) AS (SELECT a, 0 FROM ends UNION SELECT dst_id, d + 1 FROM r JOIN both_ways ON src_id = node_id WHERE d < 6),
-lv AS (SELECT node_id, min(d) AS d FROM r GROUP BY 1),
+@query(f"""WITH RECURSIVE {EDGES}, ends AS MATERIALIZED (SELECT min(src_id) AS a, max(dst_id) AS z FROM edges), steps AS MATERIALIZED ({_BOTH}),
+r(node_id, d) AS (SELECT a, 0 FROM ends UNION SELECT far, d + 1 FROM r JOIN steps ON near = node_id WHERE d < 6),
+lv AS MATERIALIZED (SELECT node_id, min(d) AS d FROM r GROUP BY 1),
 p(path, tip, d) AS (SELECT [z], z, lv.d FROM ends JOIN lv ON node_id = z UNION ALL
- SELECT list_prepend(lv.node_id, path), lv.node_id, lv.d FROM p JOIN both_ways ON dst_id = tip JOIN lv ON lv.node_id = src_id AND lv.d = p.d - 1)
+ SELECT list_prepend(lv.node_id, path), lv.node_id, lv.d FROM p JOIN steps ON far = tip JOIN lv ON lv.node_id = near AND lv.d = p.d - 1)
 SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS hops FROM p WHERE d = 0 ORDER BY p.path LIMIT 3""")
 def shortest_path(spark, sf):
-    succ = materialize(testgraph.successors(spark, sf))
-    a, z = succ.agg(F.min("src_id"), F.max("dst_id")).first()
-    return traverse.shortest_paths(succ, a, z, 6).select(F.array_join("path", ">").alias("path"), "hops")
+    edges = materialize(testgraph.edges(spark, sf))
+    a, z = edges.agg(F.min("src_id"), F.max("dst_id")).first()
+    return traverse.shortest_paths(edges, a, z, 6).select(F.array_join("path", ">").alias("path"), "hops")
 
 
-def _pagerank_sql(k: int) -> str:
-    parts = [SUCCESSORS, "ids AS MATERIALIZED (SELECT src_id AS id FROM succ UNION SELECT dst_id FROM succ)", "deg AS MATERIALIZED (SELECT src_id AS id, count(*) AS deg FROM succ GROUP BY 1)",
-             "n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM ids)", "k0 AS MATERIALIZED (SELECT id, 1 / n AS rank FROM ids, n)"]
+def _pagerank_sql(k: int, links: str) -> str:
+    """links: a query for distinct (repo, src, dst). Each repository is ranked by itself."""
+    parts = [EDGES, f"links AS MATERIALIZED ({links})", "ids AS MATERIALIZED (SELECT repo, src AS id FROM links UNION SELECT repo, dst FROM links)", "deg AS MATERIALIZED (SELECT repo, src AS id, count(*) AS deg FROM links GROUP BY ALL)",
+             "n AS MATERIALIZED (SELECT repo, count(*)::DOUBLE AS n FROM ids GROUP BY 1)", "k0 AS MATERIALIZED (SELECT repo, id, 1 / n AS rank FROM ids JOIN n USING (repo))"]
     for i in range(1, k + 1):
         b = f"k{i - 1}"
-        parts.append(f"k{i} AS MATERIALIZED (SELECT ids.id, 0.15 / n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM {b} LEFT JOIN deg USING (id) WHERE deg IS NULL) / n) AS rank FROM n, ids LEFT JOIN (SELECT dst_id AS id, sum(rank / deg) AS got FROM succ JOIN {b} ON {b}.id = src_id JOIN deg ON deg.id = src_id GROUP BY 1) g USING (id))")
-    return f"WITH {', '.join(parts)} SELECT id AS node_id, round(rank, 9) AS rank FROM k{k}"
+        loose = f"(SELECT repo, coalesce(sum(rank) FILTER (WHERE deg IS NULL), 0) AS loose FROM {b} LEFT JOIN deg USING (repo, id) GROUP BY 1)"
+        got = f"(SELECT links.repo, dst AS id, sum(rank / deg) AS got FROM links JOIN {b} ON {b}.repo = links.repo AND {b}.id = src JOIN deg ON deg.repo = links.repo AND deg.id = src GROUP BY ALL)"
+        parts.append(f"k{i} AS MATERIALIZED (SELECT repo, id, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS rank FROM ids JOIN n USING (repo) JOIN {loose} l USING (repo) LEFT JOIN {got} g USING (repo, id))")
+    return f"WITH {', '.join(parts)} SELECT repo AS repo_id, id AS node_id, round(rank, 9) AS rank FROM k{k}"
+
 
+_LINKS = "SELECT DISTINCT '' AS repo, src_id AS src, dst_id AS dst FROM edges WHERE edge_type IN ('CALLS', 'IMPORTS')"
 
-@query(_pagerank_sql(10))
+
+@query(_pagerank_sql(10, _LINKS))
 def pagerank_k10(spark, sf):
-    ranks = pagerank.pagerank(testgraph.successors(spark, sf), max_iterations=10, tolerance=None)
-    return ranks.select("node_id", F.round("rank", 9).alias("rank"))
+    links = testgraph.edges(spark, sf).filter(F.col("edge_type").isin("CALLS", "IMPORTS"))
+    return pagerank.pagerank(links, max_iterations=10, tolerance=None).withColumn("rank", F.round("rank", 9))
+
+
+# Two repositories in one store, with equal ids and paths: A has the graph, B its nodes and the edges whose target's id sorts first
+
+_TWO_EDGES = "two AS MATERIALIZED (SELECT 'A' AS repo_id, * FROM edges UNION ALL SELECT 'B', * FROM edges WHERE dst_id < src_id)"
+
+
+def _two(spark, sf):
+    nodes, edges = graph(spark, sf)
+    both = nodes.withColumn("repo_id", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    return both, edges.withColumn("repo_id", F.lit("A")).unionByName(edges.filter("dst_id < src_id").withColumn("repo_id", F.lit("B")))
+
+
+@query(f"WITH {NODES}, {EDGES}, {_TWO_EDGES} SELECT DISTINCT e.repo_id, e.src_id AS anchor, n.node_id FROM two e JOIN nodes n ON n.node_id = e.dst_id WHERE edge_type = 'CALLS' AND src_id <> dst_id")
+def callees_two_repositories(spark, sf):
+    nodes, edges = _two(spark, sf)
+    return find.callees(nodes, edges, nodes).select("repo_id", "anchor", "node_id")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {_TWO_EDGES}, r(repo_id, node_id, d) AS (SELECT DISTINCT repo_id, {_POPULAR}, 0 FROM two UNION SELECT t.repo_id, src_id, d + 1 FROM r JOIN two t ON t.repo_id = r.repo_id AND dst_id = node_id WHERE d < 3)
+SELECT repo_id, node_id, min(d)::INT AS distance FROM r GROUP BY ALL HAVING min(d) > 0""")
+def dependents_two_repositories(spark, sf):
+    _, edges = _two(spark, sf)
+    edges = materialize(edges)
+    starts = _popular(edges.filter("repo_id = 'A'")).withColumn("repo_id", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    return traverse.reach(edges, starts, 3).filter("distance > 0").select("repo_id", "node_id", "distance")
+
+
+@query(_pagerank_sql(5, "SELECT DISTINCT 'A' AS repo, src_id AS src, dst_id AS dst FROM edges UNION ALL SELECT DISTINCT 'B', src_id, dst_id FROM edges WHERE dst_id < src_id"))
+def pagerank_two_repositories(spark, sf):
+    return pagerank.pagerank(_two(spark, sf)[1], max_iterations=5, tolerance=None).withColumn("rank", F.round("rank", 9))
+
+
+@query(f"""WITH {NODES}, {EDGES}, {_TWO_EDGES}, gone AS (SELECT node_id FROM nodes WHERE file_path LIKE 'orders/p1%')
+SELECT 'A' AS repo_id, 'node' AS kind, count(*)::BIGINT AS n FROM nodes WHERE node_id NOT IN (SELECT node_id FROM gone) UNION ALL SELECT 'B', 'node', count(*) FROM nodes
+UNION ALL SELECT repo_id, edge_type, count(*) FROM two WHERE repo_id = 'B' OR (src_id NOT IN (SELECT node_id FROM gone) AND dst_id NOT IN (SELECT node_id FROM gone)) GROUP BY ALL""")
+def delete_two_repositories(spark, sf):
+    nodes, edges = _two(spark, sf)
+    paths = nodes.filter("repo_id = 'A' and file_path like 'orders/p1%'").select("repo_id", "file_path").distinct()
+    kept, left = store.delete_files(nodes, edges, paths)
+    return kept.groupBy("repo_id", F.lit("node").alias("kind")).agg(F.count("*").alias("n")).unionByName(left.groupBy("repo_id", F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {NODES} SELECT node_id, round(centrality_score * (1 + start_line / 400.0), 6) AS importance FROM nodes")
@@ -369,32 +425,33 @@ def edge_dedupe(spark, sf):
     return resolve.dedupe_edges(li).select(F.col("edge_id").alias("edge"), F.col("edge_ord").alias("kept"))
 
 
-@query("SELECT o_orderkey, o_totalprice AS v, 'new' AS origin FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 0.0, 'old' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0.0 END AS v, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS origin FROM orders")
 def upsert_merge(spark, sf):
     o = table(spark, sf, "orders")
-    old = o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit(0.0).alias("v"), F.lit("old").alias("origin"))
-    return store.upsert(old, o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").alias("v"), F.lit("new").alias("origin")), ["o_orderkey"])
+    old = o.select("o_orderkey", F.lit(0.0).alias("v"), F.lit("old").alias("origin"))
+    return store.upsert(old, o.filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_totalprice").alias("v"), F.lit("new").alias("origin")), ["o_orderkey"])
 
 
 @query(f"""WITH {NODES}, {EDGES}, gone AS (SELECT node_id FROM nodes WHERE file_path LIKE 'orders/p1%')
 SELECT 'node' AS kind, node_id AS a, '' AS b FROM nodes WHERE node_id NOT IN (SELECT node_id FROM gone)
 UNION ALL SELECT edge_type, src_id, dst_id FROM edges WHERE src_id NOT IN (SELECT node_id FROM gone) AND dst_id NOT IN (SELECT node_id FROM gone)""")
 def delete_by_file(spark, sf):
-    nodes = testgraph.nodes(spark, sf)
-    paths = nodes.filter("file_path like 'orders/p1%'").select("file_path").distinct()
-    kept, edges = store.delete_files(nodes, testgraph.edges(spark, sf), paths)
+    nodes, edges = graph(spark, sf)
+    paths = nodes.filter("file_path like 'orders/p1%'").select("repo_id", "file_path").distinct()
+    kept, edges = store.delete_files(nodes, edges, paths)
     return kept.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.lit("").alias("b")).unionByName(edges.select(F.col("edge_type").alias("kind"), F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
 
 
-@query("""WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)
+@query("""WITH a AS (SELECT doc_id, text FROM documents WHERE source <> 'src1'), b AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || '!' ELSE text END AS text FROM documents WHERE source <> 'src2')
 SELECT coalesce(a.doc_id, b.doc_id)::VARCHAR AS rel_path, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change
 FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.text IS DISTINCT FROM b.text""")
 def change_set(spark, sf):
     docs = table(spark, sf, "documents")
     path, sha = F.col("doc_id").cast("string").alias("rel_path"), lambda c: F.sha2(c.cast("binary"), 256).alias("content_hash")
-    indexed = docs.filter("doc_id % 11 <> 0").select(path, sha(F.col("text")))
-    changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return store.change_set(indexed, docs.filter("doc_id % 10 <> 0").select(path, sha(changed)))
+    # Between the two states one source came, another went, and texts of one language changed.
+    indexed = docs.filter("source <> 'src1'").select(path, sha(F.col("text")))
+    changed = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return store.change_set(indexed, docs.filter("source <> 'src2'").select(path, sha(changed)))
 
 
 # Vectors, ranking and packing
@@ -447,33 +504,22 @@ def name_match(spark, sf):
     return testgraph.nodes(spark, sf).select("node_id", r6(fn.name_match(terms, F.col("fqn"), F.col("name"))).alias("hit"))
 
 
-@query("""WITH b AS (SELECT lang, doc_id, substr(text, 1, 900) AS block FROM documents), u AS (SELECT *, sum(length(block) + 7) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM b),
-v AS (SELECT *, used - length(block) - 7 AS before, 21000 - 16 AS budget FROM u)
-SELECT lang, doc_id, CASE WHEN used <= budget THEN block ELSE substr(block, 1, (budget - before - 7)::INT) || chr(10) || '… [truncated]' END AS block FROM v WHERE used <= budget OR (before <= budget AND budget - before - 7 > 200)""")
-def context_pack_prefix(spark, sf):
-    blocks = table(spark, sf, "documents").select("lang", "doc_id", F.substring("text", 1, 900).alias("block"))
-    return packing.pack_prefix(blocks, 6000, "", "doc_id", ("lang",)).select("lang", "doc_id", "block")
-
-
 @query("""WITH b AS (SELECT lang, doc_id, text AS block FROM documents), u AS (SELECT *, sum(length(block) + 7) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM b),
 v AS (SELECT *, used - length(block) - 7 AS before, 21000 - 16 AS budget FROM u)
 SELECT lang, doc_id, CASE WHEN used <= budget THEN block ELSE substr(block, 1, (budget - before - 7)::INT) || chr(10) || '… [truncated]' END AS block FROM v WHERE used <= budget OR (before <= budget AND budget - before - 7 > 200)""")
-def context_pack_whole(spark, sf):
+def context_pack(spark, sf):
     blocks = table(spark, sf, "documents").select("lang", "doc_id", F.col("text").alias("block"))
     return packing.pack_prefix(blocks, 6000, "", "doc_id", ("lang",)).select("lang", "doc_id", "block")
 
 
-@query("""WITH RECURSIVE c AS (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text) % 97 DESC, doc_id) AS n FROM documents QUALIFY n <= 100),
+@query("""WITH RECURSIVE c AS MATERIALIZED (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text) % 97 DESC, doc_id) AS n FROM documents),
 f(n, used, k, hit, doc_id) AS (SELECT 0::BIGINT, 0::BIGINT, 0, FALSE, -1::BIGINT UNION ALL
  SELECT c.n, CASE WHEN ok THEN f.used + c.chars ELSE f.used END, CASE WHEN ok THEN k + 1 ELSE k END, ok, c.doc_id
  FROM f JOIN c ON c.n = f.n + 1, LATERAL (SELECT greatest(1, floor((16 + f.used + c.chars + 7 * k) / 3.5)) <= 9000 AS ok))
 SELECT doc_id FROM f WHERE hit""")
 def greedy_trim(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars")).withColumn("ord", -(F.col("chars") % 97))
-    first = d.orderBy("ord", "doc_id").limit(100)  # one review's candidate list
-    listed = first.agg(F.sort_array(F.collect_list(F.struct("ord", "doc_id", F.col("doc_id").cast("string").alias("id"), "chars"))).alias("l"))
-    taken = packing.greedy_fit(F.lit(0), F.lit(0), F.col("l"), 9000, "claude")
-    return listed.select(F.explode(taken).alias("doc_id")).select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("chars")).withColumn("ord", -(F.col("chars") % 97))
+    return packing.greedy_fit_all(d, 9000, "claude").select(F.col("id").alias("doc_id"))
 
 
 # Review context
@@ -503,65 +549,26 @@ _PRIO = "CASE reason WHEN 'caller' THEN 2 WHEN 'callee' THEN 3 ELSE 4 END"
 @query(f"WITH c AS ({_CANDS}), k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_PRIO}, distance, ord, node_id) AS n FROM c) SELECT node_id, arg_min(reason, {_PRIO}) AS reason, arg_min(distance, {_PRIO}) AS distance FROM k WHERE n <= 8 GROUP BY 1")
 def neighbor_cap_merge(spark, sf):
     testgraph.views(spark, sf, "lineitem")
-    return review.cap_and_merge(spark.sql(_CANDS))
+    return review.cap_and_merge(spark.sql(_CANDS)).drop("repo_id")
 
 
 @query(f"""WITH {NODES}, s AS (SELECT node_id AS seed, unnest(tags[1:3]) AS tag FROM nodes WHERE node_type = 'Class'),
 c AS (SELECT node_id, tag, row_number() OVER (PARTITION BY tag ORDER BY node_id) AS k FROM (SELECT node_id, unnest(tags) AS tag FROM nodes WHERE node_type = 'ConfigFile'))
 SELECT DISTINCT seed, c.node_id FROM s JOIN c ON c.tag = s.tag AND k <= 2""")
 def related_config_by_tag(spark, sf):
-    nodes = testgraph.nodes(spark, sf)
+    nodes, _ = graph(spark, sf)
     return review.related_configs(nodes.filter("node_type = 'Class'"), nodes).select("seed", "node_id")
 
 
-@query("SELECT source, sum(greatest(1, floor(length(text) / 3.5)::INT))::BIGINT AS baseline FROM documents WHERE length(text) > 0 AND doc_id % 9 <> 0 GROUP BY 1")
+@query("SELECT source, sum(greatest(1, floor(length(text) / 3.5)::INT))::BIGINT AS baseline FROM documents WHERE length(text) > 0 GROUP BY 1")
 def baseline_tokens(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id % 9 <> 0")  # the rest stand for deleted files
+    d = table(spark, sf, "documents").filter(F.length("text") > 0)
     return d.groupBy("source").agg(F.sum(fn.estimate_tokens(F.length("text"), "claude").cast("bigint")).alias("baseline"))
 
 
 # Without SQL counterparts: checked by tests
 
 
-def _around_hub(spark, sf, depth, direction):
-    edges = materialize(testgraph.edges(spark, sf))
-    return traverse.reach(edges, _popular(edges), depth, direction).filter("distance > 0").select("node_id", "distance")
-
-
-@query()
-def dependents_whole_d3(spark, sf):
-    return _around_hub(spark, sf, 3, "in")
-
-
-@query()
-def impact_whole_d4(spark, sf):
-    return _around_hub(spark, sf, 4, "in")
-
-
-@query()
-def neighbourhood_whole_d2(spark, sf):
-    return _around_hub(spark, sf, 2, "both")
-
-
-@query()
-def shortest_path_whole(spark, sf):
-    edges = materialize(testgraph.edges(spark, sf))
-    a, z = edges.agg(F.min("src_id"), F.max("dst_id")).first()
-    return traverse.shortest_paths(edges, a, z, 6).select(F.array_join("path", ">").alias("path"), "hops")
-
-
-@query()
-def pagerank_whole_k10(spark, sf):
-    links = testgraph.edges(spark, sf).filter(F.col("edge_type").isin("CALLS", "IMPORTS"))
-    return pagerank.pagerank(links, max_iterations=10, tolerance=None).select("node_id", F.round("rank", 9).alias("rank"))
-
-
-@query()
-def greedy_trim_whole(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("chars")).withColumn("ord", -(F.col("chars") % 97))
-    return packing.greedy_fit_all(d, 9000, "claude").select(F.col("id").alias("doc_id"))
-
-
 @query()
 def dsl_end_to_end(spark, sf):
     nodes, edges = testgraph.nodes(spark, sf), testgraph.edges(spark, sf)
@@ -574,11 +581,11 @@ def dsl_end_to_end(spark, sf):
 
 @query()
 def review_bundle(spark, sf):
-    nodes, edges = materialize(testgraph.nodes(spark, sf)), materialize(testgraph.edges(spark, sf))
+    nodes, edges = map(materialize, graph(spark, sf))
     hunks = spark.sql(_HUNKS)
-    seeds = materialize(review.seeds(hunks, nodes).join(nodes.select("node_id", "tags"), "node_id"))
-    near = review.expand(seeds, nodes, edges).unionByName(seeds.select("node_id", F.lit("touched").alias("reason"), F.lit(0).alias("distance")))
-    full = near.join(nodes, "node_id")
+    seeds = materialize(review.seeds(hunks, nodes).join(nodes.select(*traverse.ID, "tags"), traverse.ID))
+    near = review.expand(seeds, nodes, edges).unionByName(seeds.select(*traverse.ID, F.lit("touched").alias("reason"), F.lit(0).alias("distance")))
+    full = near.join(nodes, traverse.ID)
     block = fn.node_block(F.col("node_type"), F.col("fqn"), F.lit(""), F.col("docstring"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.array().cast("array<struct<edge_type:string,dst_name:string>>"))
-    scored = full.select("file_path", "node_id", "reason", "distance", review.score(F.col("reason"), F.col("distance"), F.col("importance_score")).alias("score"), F.length(block).alias("chars"))
+    scored = full.select("file_path", *traverse.ID, "reason", "distance", review.score(F.col("reason"), F.col("distance"), F.col("importance_score")).alias("score"), F.length(block).alias("chars"))
     return review.trim(scored, 4000, "claude", ("file_path",)).select("node_id", "reason", "distance", r6("score").alias("score"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.text import intent, symbol_candidates
@@ -54,12 +55,16 @@ def entities(nodes: DataFrame, words: list[str], top: int = ENTITIES) -> list[st
     if not words:
         return []
     exact: dict[str, list[str]] = {}
-    for r in nodes.filter(F.col("name").isin(words)).select("name", "fqn").orderBy("name", "fqn").limit(1000).collect():
+    # The first of each word, so that no word's matches crowd out another's: a few rows reach the driver.
+    per_name = W.partitionBy("name").orderBy("fqn")
+    hits = nodes.filter(F.col("name").isin(words)).select("name", "fqn").distinct()
+    for r in hits.withColumn("_n", F.row_number().over(per_name)).filter(F.col("_n") <= PER_CANDIDATE).orderBy("name", "_n").collect():
         exact.setdefault(r.name, []).append(r.fqn)
     fuzzy: dict[str, list[str]] = {}
     if missing := [w for w in words if w not in exact]:
-        best = similar_names(nodes, missing).orderBy(F.desc("ratio"), F.desc("name")).limit(100)
-        first = nodes.groupBy("name").agg(F.min("fqn").alias("fqn"))
+        per_word = W.partitionBy("word").orderBy(F.desc("ratio"), F.desc("name"))
+        best = similar_names(nodes, missing).withColumn("_n", F.row_number().over(per_word)).filter(F.col("_n") <= PER_CANDIDATE)
+        first = nodes.join(best.select("name"), "name", "left_semi").groupBy("name").agg(F.min("fqn").alias("fqn"))
         for r in best.join(first, "name").orderBy(F.desc("ratio"), F.desc("name")).collect():
             fuzzy.setdefault(r.word, []).append(r.fqn)
     found = [f for w in words for f in (exact.get(w) or fuzzy.get(w, []))[:PER_CANDIDATE]]

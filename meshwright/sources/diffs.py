@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 HUNKS = "ord bigint, hunk_id bigint, file_path string, start_line int, end_line int, change_type string, is_new boolean, is_deleted boolean"
-_RANGE = re.compile(r"^@@[^@]*?\+(\d+)(?:,(\d+))?[^@]*@@")
+_RANGE = re.compile(r"^@@[^@]*?-\d+(?:,(\d+))?[^@]*?\+(\d+)(?:,(\d+))?[^@]*@@")
 
 
 @dataclass
@@ -25,11 +25,20 @@ def _side(line: str, prefix: str) -> str | None:
 
 
 def parse_diff(text: str) -> list[ChangedFile]:
-    """Changed files of a unified diff; one without ranges that is neither new nor deleted is left out."""
+    """Changed files of a unified diff; one without ranges that is neither new nor deleted is left out.
+
+    Lines of a hunk are counted off by its header, so one that reads like a header isn't taken for it.
+    """
     files: list[ChangedFile] = []
     now = ChangedFile()
+    left = [0, 0]  # lines of the old and the new side that the open hunk still has
     for line in [*text.splitlines(), "diff --git"]:
-        if line.startswith("diff --git"):
+        if max(left) > 0 and line[:1] in ("+", "-", " ", "") or line.startswith("\\"):
+            if not line.startswith("\\"):
+                left[0] -= line[:1] != "+"
+                left[1] -= line[:1] != "-"
+        elif line.startswith("diff --git"):
+            left = [0, 0]
             if now.path is not None and (now.ranges or now.is_new or now.is_deleted):
                 files.append(now)
             now = ChangedFile()
@@ -44,7 +53,8 @@ def parse_diff(text: str) -> list[ChangedFile]:
         elif line.startswith("--- ") and now.path is None:
             now.path = _side(line, "a/")
         elif m := _RANGE.match(line):
-            start, count = int(m[1]), int(m[2] or 1)
+            start, count = int(m[2]), int(m[3] or 1)
+            left = [int(m[1] or 1), count]
             if count == 0:  # lines are only taken away: the place where they were
                 at = max(start, 1)
                 now.ranges.append((at, at, "deleted"))

@@ -3,8 +3,9 @@
     spark.dataSource.register(RepositorySource)
     spark.read.format("repository").option("path", root).load()
 
-The driver lists names only; contents are read where the partitions run. Built-in file sources skip
-names that begin with '_' or '.', which would lose __init__.py.
+The driver lists names only; contents are read where the partitions run, so on a cluster the folder
+must be mounted on the driver and the executors alike. Built-in file sources skip names that begin
+with '_' or '.', which would lose __init__.py.
 """
 
 from __future__ import annotations
@@ -74,10 +75,15 @@ class RepositoryReader(DataSourceReader):
         self.limit = int(options.get("max_file_size_bytes", MAX_FILE_BYTES))
         self.patterns = options["exclude"].split("\n") if options.get("exclude") else DEFAULT_EXCLUDES
         self.only = set(options["only"].split("\n")) if options.get("only") else None
+        self.known = {e: n for e, n in LANGUAGE_BY_EXTENSION.items() if self._wanted(options, "extensions", e) and self._wanted(options, "languages", n)}
         self.per_partition = int(options.get("files_per_partition", FILES_PER_PARTITION))
 
+    @staticmethod
+    def _wanted(options, key: str, value: str) -> bool:
+        return not options.get(key) or value in options[key].lower().split("\n")
+
     def partitions(self):
-        known = [p for p in walk(self.root, self.patterns) if Path(p).suffix.lower() in LANGUAGE_BY_EXTENSION and (self.only is None or p in self.only)]
+        known = [p for p in walk(self.root, self.patterns) if Path(p).suffix.lower() in self.known and (self.only is None or p in self.only)]
         return [Batch(known[i : i + self.per_partition]) for i in range(0, len(known), self.per_partition)] or [Batch([])]
 
     def read(self, partition: Batch):
@@ -104,7 +110,7 @@ class RepositorySource(DataSource):
 
 
 def scan(spark: SparkSession, root: str | Path, repo_id: str = "", **options) -> DataFrame:
-    """FILES rows of a repository. exclude and only: lists of patterns and of relative paths."""
+    """FILES rows of a repository. exclude, only, extensions, languages: lists of patterns, relative paths and names."""
     spark.dataSource.register(RepositorySource)
     reader = spark.read.format("repository").option("path", str(root)).option("repo_id", repo_id)
     for key, value in options.items():

@@ -40,8 +40,8 @@ def _id(prefix: str, key: str) -> str:
     return f"'{prefix}' || CAST({key} AS STRING)"
 
 
-#: A sparse, cyclic graph between customers: whose urgent order is followed by whose.
-SUCCESSORS_SQL = _edge("IMPORTS", _id("c", "o1.o_custkey"), _id("c", "o2.o_custkey"), "orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1 WHERE o1.o_orderpriority = '1-URGENT' AND o1.o_custkey <> o2.o_custkey", True)
+#: Cycles between customers: whose urgent order is followed by whose.
+_SUCCESSORS_SQL = _edge("IMPORTS", _id("c", "o1.o_custkey"), _id("c", "o2.o_custkey"), "orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1 WHERE o1.o_orderpriority = '1-URGENT' AND o1.o_custkey <> o2.o_custkey", True)
 EDGES_SQL = " UNION ALL ".join([
     _edge("CONTAINS", _id("r", "n_regionkey"), _id("n", "n_nationkey"), "nation"),
     _edge("CONTAINS", _id("n", "c_nationkey"), _id("c", "c_custkey"), "customer"),
@@ -51,7 +51,7 @@ EDGES_SQL = " UNION ALL ".join([
     _edge("READS_FROM", _id("o", "l_orderkey"), _id("p", "l_partkey"), "lineitem WHERE l_returnflag <> 'R'", True),
     _edge("WRITES_TO", _id("o", "l_orderkey"), _id("p", "l_partkey"), "lineitem WHERE l_returnflag = 'R'", True),
     _edge("IMPLEMENTS", _id("s", "l_suppkey"), _id("p", "l_partkey"), "lineitem", True),
-    SUCCESSORS_SQL,
+    _SUCCESSORS_SQL,
 ])
 
 
@@ -69,7 +69,3 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "nation", "customer", "supplier", "orders", "lineitem")
     return spark.sql(EDGES_SQL)
 
-
-def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "orders")
-    return spark.sql(SUCCESSORS_SQL)

@@ -28,10 +28,21 @@ def test_context_pack_takes_whole_texts(spark):
             full.add(r.lang)
             if room > 200:
                 want[r.doc_id] = r.text[:room] + packing.TRUNCATED
-    got = {r.doc_id: r.block for r in queries.QUERIES["context_pack_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.block for r in queries.QUERIES["context_pack"](spark, SF).collect()}
     assert got == want and any(len(b) > 900 and not b.endswith(packing.TRUNCATED) for b in got.values())
 
 
+def test_packing_cuts_each_partition_by_itself(spark):
+    rows = [(None, i, "b" * (i % 40)) for i in range(500)] + [("x", i, "c" * 100) for i in range(30)] + [("y", 1, "d" * 5000)]
+    blocks = spark.createDataFrame(rows, "lang string, doc_id int, block string")
+    got = {}
+    for r in packing.pack_prefix(blocks, 800, "", "doc_id", ("lang",)).orderBy("doc_id").collect():
+        got.setdefault(r.lang, []).append(r.block)
+    for lang in (None, "x", "y"):
+        mine = spark.createDataFrame([(i, b) for k, i, b in rows if k == lang], "position int, block string")
+        assert got.get(lang, []) == [r.block for r in packing.pack_prefix(mine, 800).orderBy("position").collect()]
+
+
 def brute_fit(rows, budget):
     """Ids taken of (ord, id, chars)."""
     used, taken = 0, []
@@ -46,7 +57,7 @@ def brute_fit(rows, budget):
 def test_greedy_fit_considers_every_document(spark):
     rows = [(-(len(r.text) % 97), r.doc_id, len(r.text)) for r in documents(spark)]
     want = brute_fit(rows, TOKENS)
-    got = sorted(r.doc_id for r in queries.QUERIES["greedy_trim_whole"](spark, SF).collect())
+    got = sorted(r.doc_id for r in queries.QUERIES["greedy_trim"](spark, SF).collect())
     assert got == sorted(want) and set(want) - {i for _, i, _ in sorted(rows)[:100]}
     frame = spark.createDataFrame(rows, "ord int, id bigint, chars int")
     for chunk in (1, 7):
@@ -78,7 +89,7 @@ def distances(edges, start, depth, direction):
     return seen
 
 
-@pytest.mark.parametrize("name,depth,direction", [("dependents_whole_d3", 3, "in"), ("impact_whole_d4", 4, "in"), ("neighbourhood_whole_d2", 2, "both")])
+@pytest.mark.parametrize("name,depth,direction", [("dependents_d3", 3, "in"), ("impact_d4", 4, "in"), ("neighbourhood_d2", 2, "both")])
 def test_reach_over_all_edges(spark, edges, name, depth, direction):
     starts = {r.node_id for r in queries._popular(testgraph.edges(spark, SF)).collect()}
     assert len(starts) == 1
@@ -93,7 +104,7 @@ def test_paths_over_all_edges(spark, edges):
     paths = [[a]]
     while paths[0][-1] != z:
         paths = [[*p, n] for p in paths for n in near[p[-1]] if far.get(n) == far[p[-1]] - 1]
-    got = [(r.path, r.hops) for r in queries.QUERIES["shortest_path_whole"](spark, SF).orderBy("path").collect()]
+    got = [(r.path, r.hops) for r in queries.QUERIES["shortest_path"](spark, SF).orderBy("path").collect()]
     assert got == [(">".join(p), len(p) - 1) for p in sorted(paths)[:3]]
 
 
@@ -109,5 +120,5 @@ def test_pagerank_over_calls_and_imports(spark, edges):
         for a, b in links:
             moved[b] += 0.85 * rank[a] / len(out[a])
         rank = moved
-    got = {r.node_id: r["rank"] for r in queries.QUERIES["pagerank_whole_k10"](spark, SF).collect()}
+    got = {r.node_id: r["rank"] for r in queries.QUERIES["pagerank_k10"](spark, SF).collect()}
     assert got == pytest.approx(rank, abs=2e-9) and {n[0] for n in got} == {"c", "o", "s"}
