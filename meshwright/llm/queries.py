@@ -105,7 +105,7 @@ WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 15))::BIGINT AS u FROM documents),
 total AS (SELECT sum(size)::BIGINT AS t FROM sizes),
-shape AS (SELECT t, greatest(64, (t + 1048575) // 1048576)::BIGINT AS b FROM total),
+shape AS (SELECT t, 256::BIGINT AS b FROM total),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src,
          [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM sizes GROUP BY source),

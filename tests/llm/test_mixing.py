@@ -70,3 +70,19 @@ def test_documents_and_empty(spark):
     assert mixed.filter("doc_id = 9000").count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.filter("doc_id = 9000")).first().taken == 0
+
+
+def test_reruns_agree_on_equal_ids_and_very_long_texts(spark):
+    rows = [(i % 20, f"t{i} " * 30, "a") for i in range(300)] + [(i, f"u{i} " * 30, "b") for i in range(300)] + [(999, "long " * 400_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = lambda n: sorted((r.doc_id, r.text[:9]) for r in mixing.mixed_documents(docs.repartition(n, F.rand(n))).collect())
+    first = taken(2)
+    assert first == taken(7) and any(x[0] < 20 for x in first)
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.doc_id == 999}
+    assert 0 < got[999] <= 3 * 400_000
+
+
+def test_block_size_is_the_same_at_every_size(spark):
+    docs = spark.createDataFrame([(i, "w " * 512, "a") for i in range(40)], "doc_id bigint, text string, source string")
+    slots = sorted(r.first_slot for r in mixing.mix(docs).collect())
+    assert slots == list(range(0, 80, 2))
