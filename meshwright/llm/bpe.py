@@ -36,7 +36,7 @@ from .common import add_columns
 #: How byte-level vocabularies pre-split text (fixed value: the vocabulary was built with it).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the piece table, and the longest piece kept in it; transitions kept.
-TABLE_LIMIT, PIECE_LIMIT, TRANSITION_LIMIT = 200_000, 64, 1_000_000
+TABLE_LIMIT, PIECE_LIMIT, TRANSITION_LIMIT = 120_000, 64, 500_000
 #: The settings of a vocabulary file that are implemented; others are refused.
 SETTINGS = {
     "normalizer": None, "post_processor": None,

@@ -84,6 +84,7 @@ def add_columns(docs: DataFrame, added: list[T.StructField], column: str, comput
             for i in range(0, max(1, batch.num_rows), SLICE_ROWS):
                 part = batch.slice(i, SLICE_ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *compute(part.column(at))], names=[*kept, *fresh])
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return sent.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *added]))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import bound_batches, crc_bucket
 
 BINS = 4096
 CENTROIDS, ROUNDS = 3, 12
@@ -154,6 +154,6 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, reject: bool = False
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    found = bound_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
     held = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, materialize
+from .common import SPACE_CHARS, ascii_lower, join_hot, materialize
 
 #: Rows into which the copies of one line are pre-aggregated, so that no line gathers in one task.
 SALTS = 32
@@ -74,7 +74,7 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keepers(occurrences: DataFrame, min_docs: int = 5) -> DataFrame:
-    """(h1, h2, keeper) of each line found in min_docs documents or more.
+    """(h1, h2, keeper, docs) of each line found in min_docs documents or more.
 
     Salted partial counts bound every line to SALTS rows; these are range-partitioned by hash,
     sorted by document, and the first one of each hash is taken as it streams by.
@@ -90,7 +90,7 @@ def keepers(occurrences: DataFrame, min_docs: int = 5) -> DataFrame:
         ranged.withColumn("rank", F.row_number().over(by_line))
         .withColumn("docs", F.sum("n").over(W.partitionBy("h1", "h2")))
         .filter((F.col("rank") == 1) & (F.col("docs") >= min_docs))
-        .select("h1", "h2", F.col("last").alias("keeper"))
+        .select("h1", "h2", F.col("last").alias("keeper"), "docs")
     )
 
 
@@ -101,8 +101,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     index = materialize(line_index(docs, id_col, text_col, min_chars))
     lines = index.select("doc_id", "k_id", "k_text", F.inline("hashed"))
+    total = index.agg(F.coalesce(F.sum(F.size("hashed")), F.lit(0))).first()[0]
+    found = materialize(keepers(lines, min_docs), total)
     dropped = (
-        lines.join(keepers(lines, min_docs), ["h1", "h2"])
+        join_hot(lines, found, ["h1", "h2"], "docs", total)
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .select("k_id", "k_text", F.lit(None).cast("int").alias("n_lines"), "pos")
     )
@@ -134,11 +136,11 @@ def apply_bitmap(text: Column, keep_runs: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text added (in place of columns so named), one row for each row of docs.
 
-    Texts meet their bitmaps in one shuffled hash join whose build side is the small bitmaps.
+    Texts meet their bitmaps in one join.
     """
     added = ("n_lines", "n_dropped", "kept_text")
     bitmaps = keyed(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)).withColumnsRenamed({"n_lines": "__n_lines", "n_dropped": "__n_dropped", "keep_runs": "__keep_runs"})
-    joined = with_row_key(docs, id_col, text_col).join(bitmaps.hint("shuffle_hash"), KEY)
+    joined = with_row_key(docs, id_col, text_col).join(bitmaps, KEY)
     whole = F.when(F.col("__n_dropped") == 0, F.coalesce(text_col, F.lit("")))
     # Lines are split once per dropped document: a let-binding through a one-element array.
     kept = F.element_at(

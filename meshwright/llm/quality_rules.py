@@ -198,7 +198,7 @@ def certify(proposals: dict[tuple[int, int], int], held: dict[tuple[int, int, in
 
 def verdict(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = RISK, confidence: float = CONFIDENCE) -> Column:
     """Whether the rules, with cutoffs learned from all labelled rows of measured, keep a row of it."""
-    rows = materialize(labelled(measured, labels, id_col))
+    rows = materialize(labelled(measured, labels, id_col), measured.count())
     cutoffs = certify(propose(rows.filter("fold = 1")), histogram(rows.filter("fold = 0")), risk, confidence)
     return ~base_failed() & ~rejected(cutoffs, rate_bins(), stratum())
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, bound_batches, materialize
+from .common import add_columns, bound_batches, join_hot, materialize
 from .components import components
 from .line_dedup import KEY, keyed, row_key, with_row_key
 
@@ -167,15 +167,15 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges(rest_key, rest_node, rest_sketch)
 
 
-def candidate_edges(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): forest edges of all buckets of texts (node, keys, sketch; nodes unique)."""
+def candidate_edges(texts: DataFrame, n_texts: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): forest edges of all buckets of n_texts texts (node, keys, sketch; nodes unique)."""
     rows = texts.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n"))
     # A bucket of up to block texts is one pair (0, 0); a larger one has a row for each pair of blocks that the text's own is in.
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), blocks - 1))).alias("other")
-    dealt = rows.join(shared, "key").select("key", "node", own.alias("own"), blocks.alias("blocks"), others)
+    dealt = join_hot(rows, shared, ["key"], "n", SEGMENTS * SIZE * n_texts).select("key", "node", own.alias("own"), blocks.alias("blocks"), others)
     # In a bucket of several blocks, a block meets itself in its pairs with the others.
     useful = (F.col("blocks") == 1) | (F.col("own") != F.col("other"))
     pair = F.least("own", "other").cast("bigint") * (1 << 31) + F.greatest("own", "other")
@@ -206,11 +206,12 @@ def _verified(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iter
 
 def links(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:
     """(a, b): verified links between texts (node, first, keys, sketch), whose words are those of first's row of docs."""
-    edges = materialize(candidate_edges(texts, block))
+    rows = texts.count()
+    edges = materialize(candidate_edges(texts, rows, block), rows)
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     wanted = texts.join(ends, "node").select("node", F.coalesce("first.doc_id", F.lit(0).cast("bigint")).alias("k_id"), F.col("first.k_text").alias("k_text"))
     held = with_row_key(docs.select(id_col, text_col), id_col, text_col).join(keyed(wanted), KEY).select("node", F.col(text_col).cast("binary").alias("text"))
-    sets = materialize(add_columns(held, [T.StructField("set", T.BinaryType())], "text", _sets, ["node"]).dropDuplicates(["node"]))
+    sets = materialize(add_columns(held, [T.StructField("set", T.BinaryType())], "text", _sets, ["node"]).dropDuplicates(["node"]), rows)
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.mapInArrow(partial(_verified, least=least), "a bigint, b bigint")
 
@@ -219,10 +220,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """docs with one row of each group of near copies: that of its smallest id (then text hash); a null id if it has no other."""
     signed = materialize(signatures(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k_text")
-    texts = materialize(signed.groupBy("node").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
-    roots = components(links(docs, texts, id_col, text_col, least, block))
+    rows = signed.count()
+    texts = materialize(signed.groupBy("node").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), rows)
+    roots = components(links(docs, texts, id_col, text_col, least, block), rows)
     rooted = texts.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("s"))
     kept = first.select(F.coalesce("s.doc_id", F.lit(0).cast("bigint")).alias("k_id"), F.col("s.k_text").alias("k_text"))
-    rows = with_row_key(docs, id_col, text_col).join(keyed(kept), KEY, "left_semi")
-    return rows.dropDuplicates(KEY).select(*docs.columns)
+    named = with_row_key(docs, id_col, text_col).join(keyed(kept), KEY, "left_semi")
+    return named.dropDuplicates(KEY).select(*docs.columns)

@@ -202,12 +202,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root is the smallest fingerprint of the component and names it; component_id is its smallest id.
     """
     prints = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = components(fingerprint_links(distinct.select("fp"), limit))
+    total = prints.count()
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), total)
+    roots = components(fingerprint_links(distinct.select("fp"), limit), total)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(rooted.join(named, "root").select("fp", "root", "component_id", "n"))
-    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    classes = materialize(rooted.join(named, "root").select("fp", "root", "component_id", "n"), total)
     return join_hot(prints, classes, ["fp"], "n", total).select("doc_id", "k_text", "fp", "root", "component_id")
 
 

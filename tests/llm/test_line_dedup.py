@@ -49,3 +49,9 @@ def test_null_ids_alone_and_empty(spark):
     rows = [(None, LONG[0])] * 6
     assert found(spark, rows) == brute(rows)
     assert found(spark, []) == []
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(f"{x} {i}" if i % 9 else LONG[0] for i, x in enumerate(["a line of its own that is long enough to count"] * 60_000))
+    rows = [(i, LONG[0]) for i in range(5)] + [(3, long), (77, "x" * 2_000_000)]
+    assert found(spark, rows) == brute(rows)
