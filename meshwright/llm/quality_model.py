@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, labelled_sample
+from .common import bound_batches, crc_bucket, labelled_sample
 
 WORD_BITS, SHAPE_BITS, DIM, NONZERO, REACH = 14, 10, 32, 4, 2
 TRAIN_DOCS = 6000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 64, 0.01, 1e-4
 TABLE_LIMIT = 400_000
+#: Words whose vectors are in memory at a time.
+SLICE_WORDS = 1 << 15
 _RUNS = (re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+"), re.compile(rb"([^a-zA-Z0-9])\1+"))
 
 
@@ -38,7 +40,7 @@ def shape(word: bytes) -> bytes:
     """Runs of lower case, upper case and digits as one letter each, repeated other characters as one."""
     for pattern, to in zip(_RUNS, (b"a", b"A", b"0", rb"\1")):
         word = pattern.sub(to, word)
-    return word[:16]
+    return word
 
 
 class Codes(dict):
@@ -72,14 +74,22 @@ def index_vectors(bits: int, seed: int) -> np.ndarray:
 
 
 def add_contexts(sums: np.ndarray, index: np.ndarray, ids: np.ndarray) -> None:
-    """Add to each bucket's context vector the index vectors up to REACH places away."""
-    around = np.zeros((len(ids), DIM), dtype=np.int32)
-    for d in range(1, min(REACH, len(ids) - 1) + 1):
-        around[d:] += index[ids[:-d]]
-        around[:-d] += index[ids[d:]]
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-    sums[ids[order][first]] += np.add.reduceat(around[order], first, axis=0)
+    """Add to each bucket's context vector the index vectors up to REACH places away.
+
+    Slices, which see REACH places beyond their ends, bound the memory that a very long text takes.
+    """
+    for a in range(0, len(ids), SLICE_WORDS):
+        z = min(len(ids), a + SLICE_WORDS)
+        around = np.zeros((z - a, DIM), dtype=np.int32)
+        for d in range(1, REACH + 1):
+                start, stop = min(z, max(a, d)), max(a, min(z, len(ids) - d))  # places with a neighbour at that distance
+                if start < z:
+                    around[start - a :] += index[ids[start - d : z - d]]
+                around[: stop - a] += index[ids[a + d : stop + d]]
+        mine = ids[a:z]
+        order = np.argsort(mine, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(mine[order]) > 0])
+        sums[mine[order][first]] += np.add.reduceat(around[order], first, axis=0)
 
 
 def context_vectors(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +97,7 @@ def context_vectors(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = [index_vectors(WORD_BITS, 1), index_vectors(SHAPE_BITS, 2)]
-        sums = [np.zeros(x.shape, dtype=np.int32) for x in index]
+        sums = [np.zeros(x.shape, dtype=np.int64) for x in index]
         for batch in batches:
             for t in batch.column("text"):
                 for which, ids in enumerate(buckets(t.as_py())):
@@ -99,7 +109,7 @@ def context_vectors(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shapes = np.zeros((1 << SHAPE_BITS, DIM), dtype=np.int64)
     # One pair of fixed-size tables a partition, of the sample's eight at most.
     for r in sample.select(F.col("text").cast("binary").alias("text")).coalesce(8).mapInArrow(run, "sums binary").toLocalIterator():
-        part = np.frombuffer(r.sums, dtype=np.int32).reshape(-1, DIM)
+        part = np.frombuffer(r.sums, dtype=np.int64).reshape(-1, DIM)
         if len(part) == len(words):
             words += part
         else:
@@ -115,9 +125,9 @@ def pooled(text: bytes | None, words: np.ndarray, shapes: np.ndarray) -> np.ndar
     again = float((w[1:] == w[:-1]).mean()) if len(w) > 1 else 0.0
     # Slices bound the memory that a very long text takes.
     total = np.zeros(2 * DIM, dtype=np.float64)
-    for i in range(0, len(w), 1 << 15):
-        total[:DIM] += words[w[i : i + (1 << 15)]].sum(axis=0)
-        total[DIM:] += shapes[s[i : i + (1 << 15)]].sum(axis=0)
+    for i in range(0, len(w), SLICE_WORDS):
+        total[:DIM] += words[w[i : i + SLICE_WORDS]].sum(axis=0)
+        total[DIM:] += shapes[s[i : i + SLICE_WORDS]].sum(axis=0)
     return np.r_[total / len(w), again, np.log1p(len(w)) / 10].astype(np.float32)
 
 
@@ -207,6 +217,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
             x = np.array([pooled(t.as_py(), words, shapes) for t in batch.column("text")], dtype=np.float64).reshape(-1, 2 * DIM + 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(network.score(x))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    scored = bound_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
     held = F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

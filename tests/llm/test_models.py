@@ -1,6 +1,8 @@
 """The three trained models: held-out accuracy on the small tables, edge cases, and their parts."""
 
 import itertools
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -38,7 +40,7 @@ def test_toxicity_held_out(spark, small):
 
 
 def odd_tables(spark):
-    rows = [(1, None, "en"), (2, "", "en"), (3, "123 !!", None), (4, "x" * 300_000, "de"), (None, "some words here", "en"), (5, "a b", "en"), (5, "a b", "en")]
+    rows = [(1, None, "en"), (2, "", "en"), (3, "123 !!", None), (4, "x" * 300_000, "de"), (6, "½ ² ①", "en"), (7, "ª ː", "en"), (8, "Ⅷ ٣", None), (None, "some words here", "en"), (5, "a b", "en"), (5, "a b", "en")]
     docs = spark.createDataFrame([(*r, 9, "clash") for r in rows], "doc_id bigint, text string, lang string, score int, label string")
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)] + [(2, 1, 1), (None, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int")
     return docs, labels
@@ -49,12 +51,12 @@ def test_odd_rows(spark):
     for table in (labels, labels.limit(0), labels.filter("doc_id = 1")):
         for score in (quality_model.score_quality, toxicity.score_toxicity):
             got = score(docs, table).collect()
-            assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
+            assert len(got) == 10 and all(0 <= r.score <= 1 for r in got)
             assert len({r.score for r in got if r.doc_id == 5}) == 1
             assert [r.held_out for r in got if r.doc_id is None] == [False]
             assert score(docs.limit(0), table).count() == 0
     langs = language.identify(docs).collect()
-    assert {r.lang_pred for r in langs if r.doc_id in (1, 2, 3)} == {"und"} and {r.lang_pred for r in langs if r.doc_id == 4} <= {"en", "de"}
+    assert {r.lang_pred for r in langs if r.doc_id in (1, 2, 3, 6, 8)} == {"und"} and {r.lang_pred for r in langs if r.doc_id == 4} <= {"en", "de"}
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
 
@@ -89,6 +91,74 @@ def test_gapped_insults_score_like_plain_ones():
     assert clean.max(initial=0) < 0.6
 
 
+def written(word, rng):
+    """{variant: ways to write an insult}."""
+    inside = range(1, len(word))
+    return {
+        "plain": [word, word.upper(), word + "s"],
+        "sign": [word[:i] + c + word[i:] for i in inside for c in "-*._0"],
+        "letter": [word[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[i:] for i in inside for _ in range(3)],
+        "repeated letter": [word[:i] + word[i - 1] * k + word[i:] for i in range(1, len(word) + 1) for k in (1, 2, 5)],
+        "blank": [word[:i] + " " + word[i:] for i in inside],
+        "blanks": [" ".join(word)],
+        "dots": [".".join(word), "-".join(word)],
+    }
+
+
+def test_every_landmark_in_every_variant(spark):
+    """The model of the larger table: each insult it has learned, with something inserted at each place; and clean documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model, _ = toxicity.train(docs.select("doc_id", "text"), labels)
+    marks, rng = model.landmarks, random.Random(1)
+    assert marks.toxic >= 8
+    tried, found = Counter(), Counter()
+    for w in marks.words[: marks.toxic]:
+        for kind, ways in written(w.removeprefix(b"\x02").decode(), rng).items():
+            for sentences in toxicity._sentences(marks, [f"They said it was such a {x}, and left.".encode() for x in ways]):
+                tried[kind] += 1
+                found[kind] += model.probability(model.margin(sentences)) >= 0.5
+    assert all(found[k] >= 0.9 * n for k, n in tried.items()), (found, tried)
+    clean = [t.encode() for t, in docs.join(labels.filter("toxic = 0"), "doc_id").select("text").collect()]
+    flagged = sum(model.probability(model.margin(s)) >= 0.5 for s in toxicity._sentences(marks, clean))
+    assert flagged <= 0.001 * len(clean)
+
+
+def test_score_by_its_parts(spark, small):
+    """Every score of a small table, from the model's parts by a plainer path."""
+    docs = small["documents"].select("doc_id", "text")
+    model, share = toxicity.train(docs, small["labels"])
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, small["labels"]).collect()}
+    for i, text in docs.collect():
+        if model is None:
+            assert got[i] == share
+            continue
+        best, sentence = model.b, np.zeros(len(model.landmarks.words))
+        table = toxicity.Table(model.landmarks)
+        words = toxicity.split_words(text.encode())
+        table.add(set(words))
+        spelled = table._spelled(words, [k for k, w in enumerate(words) if table.codes[w] & 2])
+        table.add(set(spelled.values()))
+        for k, w in enumerate(words):
+            sentence = np.maximum(sentence, table.rows[table.codes[spelled.get(k, w)] >> 2])
+            if table.codes[w] & 1 or k == len(words) - 1:
+                best = max(best, float(sentence @ model.w + model.b) if sentence.any() else best)
+                sentence = np.zeros_like(sentence)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-model.slope * np.clip(best, -1, 1))), abs=1e-5)
+
+
+@pytest.mark.parametrize("word,landmark,near", [("idxiot", "idiot", True), ("xidiot", "idiot", False), ("idiotx", "idiot", False), ("idxyiot", "idiot", False), ("idiiiiot", "idiot", True), ("idxiots", "idiot", True), ("idxiotically", "idiot", False), ("id-iot", "idiot", False)])
+def test_one_letter_more(word, landmark, near):
+    assert toxicity.one_letter_more(b"\x02" + word.encode(), b"\x02" + landmark.encode()) == near
+
+
+def test_n_grams_of_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = bytes(rng.choice(np.frombuffer(b"abc d", dtype=np.uint8), 500))
+    whole = {(w, int(p), int(h)) for w, places, hashes in toxicity._grams(text) for p, h in zip(places, hashes)}
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 7)
+    assert {(w, int(p), int(h)) for w, places, hashes in toxicity._grams(text) for p, h in zip(places, hashes)} == whole and whole
+
+
 def test_random_indexing_sums_neighbours():
     index = quality_model.index_vectors(quality_model.SHAPE_BITS, 2)
     ids = np.array([3, 1, 3, 3, 2])
@@ -99,6 +169,22 @@ def test_random_indexing_sums_neighbours():
         assert (sums[b] == want).all()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 50])
+def test_random_indexing_in_slices(monkeypatch, n):
+    index = quality_model.index_vectors(quality_model.SHAPE_BITS, 2)
+    ids = np.random.default_rng(n).integers(0, 6, n)
+    want = np.zeros_like(index)
+    for i in range(n):
+        for j in range(max(0, i - 2), min(n, i + 3)):
+            if j != i:
+                want[ids[i]] += index[ids[j]]
+    for size in (1, 2, 3, 4, 1 << 15):
+        monkeypatch.setattr(quality_model, "SLICE_WORDS", size)
+        sums = np.zeros_like(index)
+        quality_model.add_contexts(sums, index, ids)
+        assert (sums == want).all(), size
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
