@@ -86,7 +86,9 @@ class Indexer:
         resolved = materialize(resolve.resolve_edges(raw_edges, every))
         both = resolved.unionByName(resolve.tested_by(resolved, every), allowMissingColumns=True)
         edges = materialize(resolve.dedupe_edges(resolve.valid_pairs(both, every)))
-        ranked = materialize(pagerank.with_importance(every, edges))
+        # Ranks hang on links alone: where these are the same, so are those.
+        known = self.store.nodes if pagerank.same_links(self.store.edges, edges) else None
+        ranked = materialize(pagerank.with_importance(every, edges, known))
         self.store.replace("nodes", ranked)
         self.store.replace("edges", edges)
         self.store.replace("raw_edges", raw_edges)

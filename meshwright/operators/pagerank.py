@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..tables import discard, materialize, materialize_by
@@ -10,44 +12,97 @@ from .traverse import ID, scoped
 
 #: Sources with more than this share of the links are fewer than one over it; their links are joined by broadcast.
 HOT_SHARE = 0.001
+#: Repositories whose state, three numbers each, is broadcast; with more of them it is joined by a shuffle.
+FEW_REPOSITORIES = 10_000
+#: Links that one task ranks by itself: some 100 MB. A round over tables costs more than all rounds over these.
+LOCAL_LINKS = 500_000
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+def _ranks(links: pd.DataFrame, damping: float, max_iterations: int, tolerance: float | None) -> pd.DataFrame:
+    """(repo_id, node_id, rank) of links that one task holds."""
+    out = []
+    for repo, mine in links.groupby("repo_id", sort=False):
+        ids, at = np.unique(np.concatenate([mine["src_id"], mine["dst_id"]]).astype(str), return_inverse=True)
+        n, src, dst = len(ids), at[: len(mine)], at[len(mine) :]
+        degree = np.bincount(src, minlength=n)
+        rank = np.full(n, 1 / n)
+        for _ in range(max_iterations):
+            got = np.bincount(dst, weights=(rank / np.maximum(1, degree))[src], minlength=n)
+            before, rank = rank, (1 - damping) / n + damping * (got + rank[degree == 0].sum() / n)
+            if tolerance is not None and np.abs(rank - before).sum() < n * tolerance:
+                break
+        out.append(pd.DataFrame({"repo_id": repo, "node_id": ids, "rank": rank}))
+    return pd.concat(out)
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float | None = 1e-6, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(repo_id, node_id, rank) of all nodes on edges (repo_id, src_id, dst_id); parallel edges count once.
 
     The mass of a repository's nodes without outgoing edges is spread evenly over it. A repository is
     done when its ranks move by less than its nodes times tolerance in sum; with tolerance None all
-    stop after max_iterations. Links and ranks are written by node, so a round shuffles nothing but
-    sums by target; the links of the few sources with most of them stay where they are.
+    stop after max_iterations. Up to local_links links are ranked by one task, which holds so many; the
+    ranks are the same. Beyond, links and ranks are written by node, so a round is one job that shuffles
+    nothing but sums by target; the links of the few sources with most of them stay where they are.
     """
     links = materialize(scoped(edges).select("repo_id", "src_id", "dst_id").distinct())
+    count = links.count()
+    if not count:
+        return links.select("repo_id", F.col("src_id").alias("node_id"), F.lit(0.0).alias("rank"))
+    if count <= local_links:
+
+        def run(parts):
+            whole = [p for p in parts if len(p)]
+            if whole:
+                yield _ranks(pd.concat(whole), damping, max_iterations, tolerance)
+
+        return materialize(links.coalesce(1).mapInPandas(run, "repo_id string, node_id string, rank double"))
     ends = links.select("repo_id", F.col("src_id").alias("node_id"), F.lit(1).alias("out")).unionByName(links.select("repo_id", F.col("dst_id").alias("node_id"), F.lit(0).alias("out")))
     degrees = ends.groupBy(*ID).agg(F.sum("out").alias("degree"))
-    often = max(1, int(links.count() * HOT_SHARE))
+    often = max(1, int(count * HOT_SHARE))
     sizes = materialize(degrees.groupBy("repo_id").agg(F.count("*").alias("n")))
     start = degrees.join(sizes, "repo_id").select(*ID, "degree", (F.col("degree") > often).alias("hot"), (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(None).cast("double").alias("before"))
     ranks = materialize_by(start, *ID)
     hot = links.join(F.broadcast(ranks.filter("hot").select("repo_id", F.col("node_id").alias("src_id"))), ["repo_id", "src_id"], "left_semi")
     hot, links = materialize(hot), materialize_by(links.join(F.broadcast(ranks.filter("hot").select("repo_id", F.col("node_id").alias("src_id"))), ["repo_id", "src_id"], "left_anti"), "repo_id", "src_id")
+    few = sizes.count() <= FEW_REPOSITORIES
     for _ in range(max_iterations):
-        state = ranks.groupBy("repo_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("degree") == 0, F.col("rank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"))
+        state = ranks.groupBy("repo_id").agg(F.sum(F.when(F.col("degree") == 0, F.col("rank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"))
         limit = F.lit(False) if tolerance is None else F.coalesce(F.col("moved") < F.col("n") * tolerance, F.lit(False))
-        state = materialize(state.select("repo_id", "n", "loose", limit.alias("done")))  # a row a repository
-        if state.filter("not done").isEmpty():
-            break
+        state = state.join(sizes, "repo_id").select("repo_id", "n", "loose", limit.alias("done"))
         given = ranks.filter("degree > 0").select("repo_id", F.col("node_id").alias("src_id"), (F.col("rank") / F.col("degree")).alias("share"), "hot")
         shares = links.join(given.filter("not hot"), ["repo_id", "src_id"]).unionByName(hot.join(F.broadcast(given.filter("hot")), ["repo_id", "src_id"]))
         got = shares.groupBy("repo_id", F.col("dst_id").alias("node_id")).agg(F.sum("share").alias("got"))
         fresh = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
-        moved = ranks.join(got, ID, "left").join(state, "repo_id").select(*ID, "degree", "hot", F.when(F.col("done"), F.col("rank")).otherwise(fresh).alias("rank"), F.col("rank").alias("before"))
-        before, ranks = ranks, materialize_by(moved, *ID)
+        rest = Observation()
+        moved = ranks.join(got, ID, "left").join(F.broadcast(state) if few else state, "repo_id").observe(rest, F.count(F.when(~F.col("done"), 1)).alias("open"))
+        before, ranks = ranks, materialize_by(moved.select(*ID, "degree", "hot", F.when(F.col("done"), F.col("rank")).otherwise(fresh).alias("rank"), F.col("rank").alias("before")), *ID)
         discard(before)
+        if not rest.get["open"]:  # nothing has moved
+            break
     return ranks.select(*ID, "rank")
 
 
-def with_importance(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
-    """nodes with centrality (rank over calls and imports) and importance (centrality raised by change frequency)."""
-    ranks = pagerank(edges.filter(F.col("edge_type").isin("CALLS", "IMPORTS")), **options).withColumnRenamed("rank", "fresh")
+def ranked_links(edges: DataFrame) -> DataFrame:
+    """The links that ranks follow: calls and imports."""
+    return scoped(edges).filter(F.col("edge_type").isin("CALLS", "IMPORTS")).select("repo_id", "src_id", "dst_id").distinct()
+
+
+def same_links(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of edges have the same ranked links, by their number and two checksums."""
+    sums = lambda e: ranked_links(e).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("repo_id", "src_id", "dst_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "dst_id", "src_id", "repo_id")).alias("y"))
+    x, y = sums(a).unionByName(sums(b)).collect()
+    return x == y
+
+
+def with_importance(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None, **options) -> DataFrame:
+    """nodes with centrality (rank over calls and imports) and importance (centrality raised by change frequency).
+
+    known: nodes with the centrality of the same links, which then isn't computed again.
+    """
+    if known is not None:
+        ranks = scoped(known).select(*ID, F.col("centrality_score").alias("fresh"))
+    else:
+        ranks = pagerank(ranked_links(edges), **options).withColumnRenamed("rank", "fresh")
     joined = scoped(nodes).join(ranks, ID, "left")
     centrality = F.coalesce("fresh", F.lit(0.0))  # a node off these edges has none, whatever it had before
     return joined.withColumns({

@@ -60,7 +60,20 @@ def test_pagerank_converges_and_sums_to_one(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("a", "b"), ("c", "e")], "src_id string, dst_id string")
     ranks = {r.node_id: r["rank"] for r in pagerank.pagerank(e, tolerance=1e-12).collect()}
     assert sum(ranks.values()) == pytest.approx(1) and ranks["c"] == max(ranks.values()) and set(ranks) == set("abcde")
-    assert pagerank.pagerank(e.limit(0)).count() == 0
+    assert pagerank.pagerank(e.limit(0)).count() == pagerank.pagerank(e.limit(0), local_links=-1).count() == 0
+
+
+@pytest.mark.parametrize("hot_share", [0.001, 0.3])
+def test_pagerank_over_tables_equals_that_of_one_task(spark, monkeypatch, hot_share):
+    import random
+
+    rng = random.Random(3)
+    rows = [(r, f"n{rng.randrange(12)}", f"n{int(12 * rng.random() ** 2)}") for r in ("a", "b", "c") for _ in range(30)] + [("a", "n0", f"n{i}") for i in range(12)]
+    e = spark.createDataFrame(rows, "repo_id string, src_id string, dst_id string")
+    monkeypatch.setattr(pagerank, "HOT_SHARE", hot_share)
+    for options in ({"tolerance": 1e-4}, {"tolerance": None, "max_iterations": 4}):
+        one, many = ({(r.repo_id, r.node_id): r["rank"] for r in pagerank.pagerank(e, local_links=n, **options).collect()} for n in (10**6, 0))
+        assert one == pytest.approx(many, abs=1e-12) and len(one) > 30
 
 
 def test_reach_handles_cycles_and_many_seeds(spark):
