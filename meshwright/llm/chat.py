@@ -1,7 +1,7 @@
 """Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole through a template that marks turns with control strings, encoded
-once with character offsets, and a token is under the loss mask if its span lies within the text of
+once with character offsets (a byte-level token spans as many bytes as its label has), and a token is under the loss mask if its span lies within the text of
 an assistant turn, which binary search over the sorted turn spans tells. Control strings are single
 tokens of their own, so no token reaches over a turn's border. Inside texts they are escaped: a
 backslash goes behind their first character, and backslashes are doubled.
@@ -18,6 +18,8 @@ table gives an empty table. Other columns are not carried along.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import groupby
@@ -27,9 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bpe import check_settings
+from .common import bound_batches
+
 #: Opening and closing marks by role; NAMED marks any other role, whose name stands before TEXT.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 NAMED, TEXT, END = "[ROLE]", "[TEXT]", "[/ROLE]"
+#: Conversations and characters that are formatted together.
+GROUP_ROWS, GROUP_CHARS = 256, 1 << 20
 CONTROLS = [m for pair in MARKS.values() for m in pair] + [NAMED, TEXT, END]
 
 
@@ -92,32 +99,54 @@ def align(token_spans: np.ndarray, turn_spans: list[tuple[int, int, bool]]) -> n
 
 def masked_runs(token_spans: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
     """Character runs that the masked tokens cover. Tokens that share a character count it once."""
-    runs: list[tuple[int, int]] = []
-    for start, end in token_spans[mask].tolist():
-        if runs and start <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], end))
-        else:
-            runs.append((start, end))
-    return runs
+    spans = token_spans[mask]
+    if not len(spans):
+        return []
+    reached = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.r_[True, spans[1:, 0] > reached[:-1]])
+    return list(zip(spans[first, 0].tolist(), reached[np.r_[first[1:] - 1, len(spans) - 1]].tolist()))
+
+
+def char_spans(text: str, lengths: np.ndarray) -> np.ndarray:
+    """(start, end) in characters of tokens that spell the text with so many bytes each; a token that has part of a character spans it."""
+    ends = np.cumsum(lengths)
+    spans = np.stack([ends - lengths, ends], axis=1)
+    if len(spans) and not text.isascii():
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        of_byte = np.cumsum((raw & 0xC0) != 0x80) - 1
+        spans = np.stack([of_byte[spans[:, 0]], of_byte[spans[:, 1] - 1] + 1], axis=1)
+    return spans
 
 
 class Formatter:
     def __init__(self, tokenizer_json: str):
         from tokenizers import AddedToken, Tokenizer
 
+        check_settings(json.loads(tokenizer_json))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         known = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.template = Template(known)
         self.tokenizer.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in CONTROLS])
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocab = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():  # a byte is one character of the vocabulary's alphabet
+            self.lengths[i] = len(added[i].encode()) if i in added else len(token)
 
     def format(self, turns: list[tuple[str, str]]) -> tuple[str, list[int], np.ndarray, np.ndarray]:
         """(formatted text, token ids, token spans, loss mask)."""
-        formatted, spans = self.template.render(turns)
-        coded = self.tokenizer.encode(formatted, add_special_tokens=False)
-        offsets = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)
-        return formatted, coded.ids, offsets, align(offsets, spans)
+        return next(self.format_all([turns]))
+
+    def format_all(self, conversations: list[list[tuple[str, str]]]) -> Iterator[tuple[str, list[int], np.ndarray, np.ndarray]]:
+        """format() of each conversation, encoded together."""
+        rendered = list(map(self.template.render, conversations))
+        coded = self.tokenizer.encode_batch_fast([text for text, _ in rendered], add_special_tokens=False)
+        for (text, spans), c in zip(rendered, coded):
+            offsets = char_spans(text, self.lengths[c.ids])
+            yield text, c.ids, offsets, align(offsets, spans)
 
     def loss_text(self, formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
         return "".join(self.template.unescape(formatted[a:b]) for a, b in masked_runs(offsets, mask))
@@ -139,8 +168,21 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
         yield conv, [(role or "", text or "") for _, role, text in turns]
 
 
-def _over(conversations: DataFrame, tokenizer_path: str, make, schema: str, batch: int = 256) -> DataFrame:
-    """make(formatter, conv_id, turns) -> a row of schema, for each conversation."""
+def _groups(conversations: Iterator[tuple[int | None, list[tuple[str, str]]]]) -> Iterator[list[tuple[int | None, list[tuple[str, str]]]]]:
+    """Conversations in groups of up to GROUP_ROWS rows and about GROUP_CHARS characters."""
+    group, chars = [], 0
+    for conv, turns in conversations:
+        group.append((conv, turns))
+        chars += sum(len(text) for _, text in turns)
+        if len(group) >= GROUP_ROWS or chars >= GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
+def _over(conversations: DataFrame, tokenizer_path: str, make, schema: str) -> DataFrame:
+    """make(formatter, conv_id, formatted conversation) -> a row of schema, for each conversation."""
     with open(tokenizer_path, encoding="utf-8") as f:  # of a fixed size: a model, not data
         source = conversations.sparkSession.sparkContext.broadcast(f.read())
     types = conversations.sparkSession.createDataFrame([], schema).schema
@@ -149,24 +191,20 @@ def _over(conversations: DataFrame, tokenizer_path: str, make, schema: str, batc
     arrow = to_arrow_schema(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formatter, rows = _formatter(source), []
-        for conv, turns in _conversations(batches):
-            rows.append(make(formatter, conv, turns))
-            if len(rows) >= batch:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
-                rows = []
-        if rows:
+        formatter = _formatter(source)
+        for group in _groups(_conversations(batches)):
+            rows = [make(formatter, conv, done) for (conv, _), done in zip(group, formatter.format_all([turns for _, turns in group]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
 
-    dealt = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = bound_batches(conversations).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(run, types)
 
 
 def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     """(conv_id, formatted, ids, loss_mask, spans): one row per conversation; loss_mask has a 0 or 1 per token."""
 
-    def make(formatter: Formatter, conv, turns):
-        formatted, ids, offsets, mask = formatter.format(turns)
+    def make(formatter: Formatter, conv, done):
+        formatted, ids, offsets, mask = done
         return conv, formatted, ids, mask.astype(np.int8).tolist(), [{"start": a, "end": b} for a, b in offsets.tolist()]
 
     return _over(conversations, tokenizer_path, make, "conv_id bigint, formatted string, ids array<int>, loss_mask array<tinyint>, spans array<struct<start:int,end:int>>")
@@ -175,8 +213,8 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataF
 def format_digests(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     """What the formatted conversations hold, read back from them: turns through the template, loss text through the mask."""
 
-    def make(formatter: Formatter, conv, turns):
-        formatted, _, offsets, mask = formatter.format(turns)
+    def make(formatter: Formatter, conv, done):
+        formatted, _, offsets, mask = done
         back = formatter.template.parse(formatted)
         loss = formatter.loss_text(formatted, offsets, mask)
         said = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in back).encode())

@@ -30,6 +30,14 @@ def test_round_trip_and_mask(formatter):
         assert len(ids) == len(mask)
 
 
+def test_spans_equal_the_library(formatter):
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choices([*PIECES, "ü", "Ⅷ½", "\x00", "漢字かな", "🏳️‍🌈x"], k=rng.randint(0, 12)))
+        coded = formatter.tokenizer.encode(text, add_special_tokens=False)
+        assert chat.char_spans(text, formatter.lengths[coded.ids]).tolist() == [list(x) for x in coded.offsets]
+
+
 def test_frames(spark):
     rows = [(1, 1, "assistant", "B"), (1, 0, "user", "A"), (1, 1, "assistant", "B"), (2, 0, None, None), (None, 0, "assistant", "</s>[INST] ok"), (3, None, "user", "x" * 50000), (3, 2, "assistant", "")]
     frame = spark.createDataFrame([(*r, 9) for r in rows], "conv_id bigint, turn bigint, role string, text string, n_turns int")
