@@ -1,7 +1,9 @@
 """The three trained models: held-out accuracy on the small tables, edge cases, and their parts."""
 
 import itertools
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -193,3 +195,43 @@ def test_temperature_calibrates():
     for low in (0.1, 0.3, 0.5, 0.7):
         part = (score >= low) & (score < low + 0.2)
         assert abs(y[part].mean() - score[part].mean()) < 0.08
+
+
+def test_language_scores_by_plain_python(spark):
+    """Every prediction over a whole table, from the model's numbers by loops over letters."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for i, text, _ in docs.collect():
+        raw = [c if c >= 128 or 97 <= c <= 122 else 32 for c in f" {text.lower()} ".encode()]
+        counts = Counter(((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 20 for a, b, c in zip(raw, raw[1:], raw[2:]))
+        x = {b: math.log1p(n) * float(model.idf[b]) for b, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        cosines = [sum(v * float(c[b]) for b, v in x.items()) / norm for c in model.centers]
+        best = max(cosines)
+        assert got[i].score == pytest.approx(min(1, max(0, best)), abs=1e-4)
+        assert got[i].lang_pred in {model.languages[model.owner[k]] for k, c in enumerate(cosines) if c > best - 1e-4}
+
+
+def test_quality_scores_by_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    words, shapes, network = quality_model.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_model.score_quality(docs, labels).collect()}
+    dim = quality_model.DIM
+    for i, text in docs.collect():
+        pieces = text.encode().split()
+        features = [0.0] * (2 * dim + 2)
+        buckets = [zlib.crc32(w.lower()) >> (32 - quality_model.WORD_BITS) for w in pieces]
+        for w, b in zip(pieces, buckets):
+            s = zlib.crc32(quality_model.shape(w)) >> (32 - quality_model.SHAPE_BITS)
+            for k in range(dim):
+                features[k] += float(words[b][k]) / len(pieces)
+                features[dim + k] += float(shapes[s][k]) / len(pieces)
+        if pieces:
+            features[2 * dim] = sum(a == b for a, b in zip(buckets, buckets[1:])) / max(1, len(pieces) - 1)
+            features[2 * dim + 1] = math.log1p(len(pieces)) / 10
+        z = [(x - m) / s for x, m, s in zip(features, network.mean, network.scale)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(z, network.p[0][:, h])) + network.p[1][h]) for h in range(quality_model.HIDDEN)]
+        logit = (sum(a * w for a, w in zip(hidden, network.p[2])) + network.p[3][0]) / network.temperature
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-4)
