@@ -134,6 +134,37 @@ def test_diff():
     ]
 
 
+def test_diff_lines_that_read_like_headers():
+    text = "diff --git a/x.sql b/x.sql\n--- a/x.sql\n+++ b/x.sql\n@@ -1,3 +1,3 @@\n a\n--- old comment\n+++ b/new comment\n b\n\\ No newline at end of file\n@@ -9 +9,2 @@\n-c\n+d\n+e\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n"
+    first = diffs.parse_diff(text.split("--- a/y")[0])
+    assert [(f.path, f.ranges) for f in first] == [("x.sql", [(1, 3, "modified"), (9, 10, "modified")])]
+
+
+def test_no_word_crowds_out_another(spark):
+    rows = [("aaa", f"m{i}.aaa") for i in range(1500)] + [("zzz", "z.zzz"), ("zzz", "y.zzz"), ("other_name", "o.other_name")] + [(f"simila{i:03}", f"s{i}") for i in range(300)]
+    nodes = spark.createDataFrame(rows, "name string, fqn string")
+    assert questions.entities(nodes, ["aaa", "zzz"], 9) == ["m0.aaa", "m1.aaa", "y.zzz", "z.zzz"]
+    assert questions.entities(nodes, ["simila001x", "other_nam"], 9)[-1] == "o.other_name"
+
+
+def test_every_failed_file_is_counted(spark, tmp_path):
+    write(tmp_path / "r", {f"m{i:03}.py": "def f(): pass\n" for i in range(130)})
+
+    def broken(build, source):
+        raise ValueError("no")
+
+    ix = Indexer(spark, Config(repo_path=str(tmp_path / "r"), db_path=str(tmp_path / "db"), enable_git_enrichment=False), parsers={"python": broken})
+    report = ix.run(embed=False)
+    assert report.failed == 130 and len(report.errors) == 100
+
+
+def test_languages_and_extensions(spark, tmp_path):
+    write(tmp_path, {"a.py": "x", "b.ts": "1", "c.TS": "1", "d.json": "{}"})
+    names = lambda **o: {r.rel_path for r in repository.scan(spark, tmp_path, **o).collect()}
+    assert names(languages=["python"]) == {"a.py"} and names(extensions=[".ts", ".json"]) == {"b.ts", "c.TS", "d.json"} and names(extensions=[".ts"], languages=["json"]) == set()
+    assert len(names(languages=[], extensions=[])) == 4
+
+
 def test_review(spark, python_repo):
     _, ix = python_repo
     engine = QueryEngine(spark, ix.config, ix.store)
@@ -185,6 +216,8 @@ def test_workspace(spark, tmp_path):
     assert store.edge_count("CALLS") == 2
     engine = QueryEngine(spark, Config(db_path=str(again.db_path)), store)
     assert {r["repo_id"] for r in engine.query_dsl("FIND function", "second").rows} == {"second"}
+    for text, mode in (("FIND function", "auto"), ("shared", "semantic"), ("shared", "hybrid"), ("FIND function", "dsl")):
+        assert cli.main(["workspace", "query", text, "--workspace", str(tmp_path), "--mode", mode, "--context"], spark) == 0
     again.remove("one")
     with pytest.raises(KeyError):
         again.get("one")
@@ -260,6 +293,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["inspect", "stats", "--repo", str(tmp_path)], spark) == 0
     assert "TESTED_BY          3" in capsys.readouterr().out
     assert cli.main(["query", "buy", "--mode", "impact", "--depth", "50", "--repo", str(tmp_path)], spark) == 1
+    assert cli.main(["inspect", "node", "billing.charge", "--depth", "2", "--repo", str(tmp_path)], spark) == 0
+    assert cli.main(["inspect", "path", "routes.buy", "billing._open_account", "--max-depth", "1", "--repo", str(tmp_path)], spark) == 0
+    assert "_open_account" not in capsys.readouterr().out.split("\n")[-2]
     assert cli.main(["workspace", "init", "--workspace", str(tmp_path)]) == 0
     assert cli.main(["workspace", "add", str(tmp_path), "--id", "me", "--workspace", str(tmp_path)]) == 0
     cli.main(["workspace", "list", "--workspace", str(tmp_path)])
