@@ -126,6 +126,7 @@ def intent(question: Column) -> Column:
 
 def symbol_candidates(question: Column) -> Column:
     """Words that look like symbols, then quoted strings, in order."""
+    # Both patterns.
     words = F.regexp_extract_all(question, F.lit(r"\b([A-Z][a-z]+[A-Za-z0-9]*|[a-z]+_[a-z_]+[a-z0-9]*)\b"), F.lit(1))
     quoted = F.regexp_extract_all(question, F.lit("[\"']([^\"']+)[\"']"), F.lit(1))
     return F.concat(words, quoted)
@@ -145,6 +146,7 @@ def location(file_path: Column, start: Column, end: Column) -> Column:
 
 def node_block(node_type: Column, fqn: Column, signature: Column, docstring: Column, file_path: Column, start: Column, end: Column, related: Column) -> Column:
     """One node as text; related is an array of (edge_type, dst_name), of which five are shown."""
+    # The block's headings and marks.
     filled = lambda before, c, after: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after)))
     shown = F.transform(F.slice(related, 1, 5), lambda e: F.concat(F.lit("  - "), e.edge_type, F.lit(" → `"), e.dst_name, F.lit("`")))
     return F.concat_ws(

@@ -79,19 +79,21 @@ class Indexer:
 
     def _finish(self, began: float, parsed: DataFrame, nodes: DataFrame, raw: DataFrame, kept: dict[str, DataFrame], embed_files: DataFrame | None, embedded: DataFrame) -> Report:
         every = resolve.dedupe_nodes(kept["nodes"].unionByName(nodes))
-        raw_edges = materialize(kept["raw_edges"].unionByName(raw))
+        # Each table is written once, nodes last: they tell what has been indexed, so an update cut short begins anew.
+        before = self.store.edges, self.store.nodes
+        self.store.replace("raw_edges", kept["raw_edges"].unionByName(raw))
+        raw_edges = self.store.table("raw_edges")
         commits = gitlog.commits(self.spark, self.config.repo_path, self.config.git_history_limit) if self.config.enable_git_enrichment else None
         mine = enrich.enrich(self._mine(every), commits)
         every = materialize(mine.unionByName(self._mine(every, False)))
         resolved = materialize(resolve.resolve_edges(raw_edges, every))
         both = resolved.unionByName(resolve.tested_by(resolved, every), allowMissingColumns=True)
-        edges = materialize(resolve.dedupe_edges(resolve.valid_pairs(both, every)))
+        self.store.replace("edges", resolve.dedupe_edges(resolve.valid_pairs(both, every)))
+        edges = self.store.edges
         # Ranks hang on links alone: where these are the same, so are those.
-        known = self.store.nodes if pagerank.same_links(self.store.edges, edges) else None
-        ranked = materialize(pagerank.with_importance(every, edges, known))
-        self.store.replace("nodes", ranked)
-        self.store.replace("edges", edges)
-        self.store.replace("raw_edges", raw_edges)
+        known = before[1] if pagerank.same_links(before[0], edges) else None
+        self.store.replace("nodes", pagerank.with_importance(every, edges, known))
+        ranked = self.store.nodes
         report = Report(files=parsed.count(), nodes=ranked.count(), edges=edges.count())
         broken = parsed.filter(F.size("errors") > 0).select("rel_path", "errors")
         report.failed = broken.count()
