@@ -8,9 +8,10 @@ similarity. It is cut into SEGMENTS of SIZE symbols and indexed with one symbol
 segment of two texts of similarity s meets if it differs by one symbol at most, so a pair is missed
 with probability (1 - s**5 - 5 * s**4 * (1 - s))**6: 0.0003 at 0.8, 0.00001 at 0.85.
 
-A bucket yields a minimum spanning forest by the share of equal symbols, not its pairs, and each edge
-is verified by the exact similarity. Edges run along the most similar pairs, so what a failing edge
-separates would be joined by no other edge of the bucket but one that looks less similar.
+A bucket yields minimum spanning forests by the share of equal symbols, not its pairs, and each edge is
+verified by the exact similarity. Edges run along the most similar pairs, so what a failing edge
+separates would be joined by no other edge of the bucket but one that looks less similar. Shares are
+estimates; a forest for each of PARTS sets of symbols, which err independently, makes up for that.
 Buckets beyond a size are cut into blocks, and each pair of blocks is searched; the union of their
 forests holds the forest of the bucket.
 
@@ -39,9 +40,10 @@ WIDTH = 5
 #: The least similarity, as a fraction of integers.
 LEAST = (4, 5)
 SEGMENTS, SIZE = 6, 5
-#: Symbols of a sketch; those beyond the segments' serve the estimate alone.
-SYMBOLS = 64
-#: Equal symbols below which a pair isn't verified: at a similarity of 0.8, 51 are expected and the deviation is 3.2.
+#: Symbols of a sketch, and the parts of it by each of which a forest is made; those beyond the segments' serve the estimates alone.
+SYMBOLS, PARTS = 192, 3
+PART = SYMBOLS // PARTS
+#: Equal symbols of a part below which a pair isn't verified: at a similarity of 0.8, 51 are expected and the deviation is 3.2.
 LEAST_EQUAL = 36
 BLOCK = 4096
 
@@ -146,12 +148,13 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[starts, len(key)])
         two = starts[sizes == 2]
-        near = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= LEAST_EQUAL] if len(two) else two
+        near = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= PARTS * LEAST_EQUAL] if len(two) else two
         a, b = [node[near]], [node[near + 1]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            x, y = forest(sketch[s : s + n])
-            a.append(node[s : s + n][x])
-            b.append(node[s : s + n][y])
+            for p in range(0, SYMBOLS, PART):
+                x, y = forest(sketch[s : s + n, p : p + PART])
+                a.append(node[s : s + n][x])
+                b.append(node[s : s + n][y])
         return out(a, b)
 
     for batch in batches:
