@@ -20,18 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Rows of a table of small rows that one task writes.
-ROWS_A_FILE = 20_000
+#: Bytes of a small table that one task writes.
+BYTES_A_FILE = 2 << 20
 
 
-def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None, row_bytes: int = 100) -> DataFrame:
     """Write df as Parquet and read it back: a reliable, columnar checkpoint that cuts lineage.
 
-    rows: about how many it has at most, if that is known. A small table is then written by few tasks,
-    whatever the number of shuffle partitions, since each file has its price.
+    rows: about how many it has at most, if that is known, of about row_bytes each. A small table is
+    then written by few tasks, whatever the number of shuffle partitions, since each file has its price.
     """
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+        df = df.coalesce(max(1, -(-rows * row_bytes // BYTES_A_FILE)))
     path = f"{shared_dir(df.sparkSession)}/meshwright/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _kept.append(path)
