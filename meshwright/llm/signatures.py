@@ -46,6 +46,8 @@ PART = SYMBOLS // PARTS
 #: Equal symbols of a part below which a pair isn't verified: at a similarity of 0.8, 51 are expected and the deviation is 3.2.
 LEAST_EQUAL = 36
 BLOCK = 4096
+#: Of a text's keys and sketch.
+ROW_BYTES = 8 * SEGMENTS * SIZE + 2 * SYMBOLS + 60
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,7 +216,7 @@ def links(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: s
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     wanted = texts.join(ends, "node").select("node", F.coalesce("first.doc_id", F.lit(0).cast("bigint")).alias("k_id"), F.col("first.k_text").alias("k_text"))
     held = with_row_key(docs.select(id_col, text_col), id_col, text_col).join(keyed(wanted), KEY).select("node", F.col(text_col).cast("binary").alias("text"))
-    sets = materialize(add_columns(held, [T.StructField("set", T.BinaryType())], "text", _sets, ["node"]).dropDuplicates(["node"]), rows)
+    sets = materialize(add_columns(held, [T.StructField("set", T.BinaryType())], "text", _sets, ["node"]).dropDuplicates(["node"]), rows, ROW_BYTES)
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.mapInArrow(partial(_verified, least=least), "a bigint, b bigint")
 
@@ -224,7 +226,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     signed = materialize(signatures(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k_text")
     rows = signed.count()
-    texts = materialize(signed.groupBy("node").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), rows)
+    texts = materialize(signed.groupBy("node").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), rows, ROW_BYTES)
     roots = components(links(docs, texts, id_col, text_col, least, block), rows)
     rooted = texts.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("s"))
