@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, line_dedup, mixing, quality_model, quality_rules, simhash, topk, toxicity
+from . import bpe, chat, language, line_dedup, minhash, mixing, quality_model, quality_rules, resampling, simhash, topk, toxicity, whitening
 from .common import read
 
 
@@ -133,10 +133,76 @@ SELECT doc_id, size, source_size, round(target, 3) AS target, coalesce(taken, 0)
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("text"), max_n=1, buckets=10_000, seed=2024, min_words=20, share=(10, 100))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 by its table, over the bytes of each distinct word.
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i AS n, i::UBIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM steps WHERE k = 8),
+found AS (
+  SELECT 0 AS target, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (
+  SELECT target, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM found),
+vocabulary AS (
+  SELECT w, list_transform(range(1, len(hex(w)) + 1, 2), lambda i: ('0x' || hex(w)[i:i + 1])::UBIGINT) AS bytes FROM (SELECT DISTINCT w FROM words)),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, b: xor(t[(xor(a, b) & 255)::BIGINT + 1], a >> 8)), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM vocabulary, crc),
+counted AS (
+  SELECT bucket, (count(*) FILTER (WHERE target = 0))::DOUBLE AS s, (count(*) FILTER (WHERE target = 1))::DOUBLE AS t FROM words JOIN hashed USING (w) GROUP BY bucket),
+total AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counted),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM counted, total),
+weighed AS (
+  SELECT id AS doc_id, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE target = 0 GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM placed) // 100 THEN place END::BIGINT AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=2, least=(4, 5))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Every link, without bands: of two sets that are similar enough, each has one of the other's among its rarest fifth and one.
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, s, len(s) AS n FROM (
+    SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words)),
+grams AS (SELECT doc_id, n, unnest(s) AS g FROM sets),
+often AS (SELECT g, count(*) AS f FROM grams GROUP BY g),
+placed AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS r FROM grams JOIN often USING (g)),
+rare AS (SELECT doc_id, n, g FROM placed WHERE r <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM rare a JOIN rare b USING (g) WHERE a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+links AS (
+  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 180 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier, "op5_language_id": op5_language_id, "op6_toxicity": op6_toxicity,
     "op2_simhash_dedup": op2_simhash_dedup, "op3_bpe_round_trip": op3_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op4_exact_topk": op4_exact_topk, "op10_chat_format": op10_chat_format, "op8_line_dedup": op8_line_dedup, "op9_mix_sources": op9_mix_sources,
+    "op11_importance_resampling": op11_importance_resampling, "op12_minhash_dedup": op12_minhash_dedup, "op13_embedding_whitening": op13_embedding_whitening,
 }
-ORACLE_SQL = {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_minhash_dedup": OP12_SQL}
