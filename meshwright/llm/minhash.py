@@ -11,8 +11,10 @@ least similarity, 0.8, has probability (1 - 0.8**5)**40, about one in eight mill
 
 A bucket isn't expanded to its pairs. Its texts are compared with one of them, a pivot: first the one
 of the least hash, then the one with most links so far. What these links join is one component;
-almost all buckets then hold one alone. The others are compared through their signatures, text by
-text, only between different components, in blocks; pairs that may be similar enough are verified.
+almost all buckets then hold one alone. In the others, each text outside the largest component is held
+against all texts of other components at once, by an index of the bucket's shingles, and only the links
+that join two components leave the task. Buckets that are too large for a task are cut into blocks, and
+each pair of blocks is searched.
 
 Defined results: sets are of distinct shingles of WIDTH words, A-Z lower-cased; of fewer words the
 whole sequence is the one shingle. A text that is null or without words has an empty set and is linked
@@ -46,12 +48,12 @@ LEAST = (4, 5)
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 UNIVERSE_BITS = 20
-#: Equal coordinates below which a pair isn't verified: at 0.8, 160 of 200 are expected and the deviation is 5.7 at most.
-LEAST_EQUAL = 120
-#: Texts of a bucket that are compared with as many others at a time.
-BLOCK = 1024
-#: Of a text's keys and sketch.
-ROW_BYTES = 8 * BANDS + 2 * COORDINATES + 60
+#: Texts of a block, and bytes of their sets; a task holds two blocks.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Postings that are counted at a time.
+SLICE = 1 << 22
+#: Of a text's keys.
+ROW_BYTES = 8 * BANDS + 60
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,26 +86,20 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _signed(texts: pa.Array, width: int) -> list[pa.Array]:
-    nodes, sizes, keys, sketches = [], [], [], []
+    nodes, sizes, keys = [], [], []
     for t in texts:
         hashes = shingles(t.as_py(), width)
         sizes.append(len(hashes))
-        if not len(hashes):
-            nodes.append(None)
-            keys.append(None)
-            sketches.append(None)
-            continue
-        values = signature(hashes)
-        nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63))
-        keys.append(band_keys(values).view(np.int64))
-        sketches.append(values.astype(np.uint16).tobytes())
-    return [pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary())]
+        full = len(hashes) > 0
+        nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) if full else None)
+        keys.append(band_keys(signature(hashes)).view(np.int64) if full else None)
+    return [pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))]
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, k_text, node, n_shingles, keys, sketch): one row per document; texts of equal sets have one node, empty ones none."""
+    """(doc_id, k_text, node, n_shingles, keys): one row per document; texts of equal sets have one node, empty ones none."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(id_col), F.col(text_col))[1], F.col(text_col).cast("binary").alias("text"))
-    added = [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    added = [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return add_columns(rows, added, "text", partial(_signed, width=width), ["doc_id", "k_text"])
 
 
@@ -127,37 +123,69 @@ def pivot_pairs(members: DataFrame, pivots: DataFrame, total: int, least: tuple[
     return near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _between(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of different roots and enough equal coordinates; rows are sorted by bucket and have at most two blocks each."""
+def _joining(roots: np.ndarray, sets: list[np.ndarray], least: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Links (indexes) that join different roots, enough to join all that any pair of similar sets would."""
     p, q = least
-    names = ("key", "pair", "node", "root", "n")
+    names, part = np.unique(roots, return_inverse=True)
+    if len(names) < 2:
+        return
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), sizes)[order]  # the sets that hold a value stand together
+    first = np.r_[True, values[order][1:] != values[order][:-1]]
+    starts = np.flatnonzero(first)
+    lengths = np.diff(np.r_[starts, len(values)])
+    group = np.empty(len(values), dtype=np.int64)
+    group[order] = np.cumsum(first) - 1
+    above = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for i in np.flatnonzero(part != np.bincount(part).argmax()):
+        found = group[ends[i] - sizes[i] : ends[i]]
+        found = found[lengths[found] > 1]
+        shared = np.zeros(len(sets), dtype=np.int64)
+        cuts = np.searchsorted(np.cumsum(lengths[found]), np.arange(SLICE, lengths[found].sum() + SLICE, SLICE), side="right")
+        for some in np.split(found, cuts):
+            n = lengths[some]
+            at = np.repeat(starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared += np.bincount(holder[at], minlength=len(sets))
+        for j in np.flatnonzero(((p + q) * shared >= p * (sizes + sizes[i])) & (part != part[i])).tolist():
+            a, b = top(part[i]), top(part[j])
+            if a != b:
+                above[a] = b
+                yield int(i), j
+
+
+def _between(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links between different roots of a bucket; rows are sorted by bucket and have at most two blocks each."""
+    names = ("key", "pair", "node", "root")
     rest = [np.zeros(0, np.int64) for _ in names]
-    rest_sketch = np.zeros((0, COORDINATES), np.uint16)
+    rest_sets: list[np.ndarray] = []
 
-    def pairs(columns, sketch):
-        key, pair, node, root, n = columns
+    def links(columns, sets):
+        key, pair, node, root = columns
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]) if len(key) else np.zeros(0, np.int64)
-        for s, e in zip(starts, np.r_[starts[1:], len(key)]):
-            a, b = [], []
-            for i in range(s, e - 1):
-                other = np.flatnonzero((root[i + 1 : e] != root[i]) & (q * np.minimum(n[i + 1 : e], n[i]) >= p * np.maximum(n[i + 1 : e], n[i]))) + i + 1
-                near = other[(sketch[other] == sketch[i]).sum(axis=1) >= LEAST_EQUAL]
-                a += [node[i]] * len(near)
-                b += node[near].tolist()
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            found = node[s:e][np.array(list(_joining(root[s:e], sets[s:e], least)), dtype=np.int64).reshape(-1, 2)]
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
 
     for batch in batches:
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
         columns = [np.r_[r, batch.column(c).to_numpy()] for r, c in zip(rest, names)]
-        sketch = np.concatenate([rest_sketch, sketch])
-        if not len(sketch):
+        sets = rest_sets + [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("set")]
+        if not sets:
             continue
         differ = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
         cut = int(differ[-1]) + 1 if len(differ) else 0  # the last bucket may go on in the next batch
-        yield from pairs([c[:cut] for c in columns], sketch[:cut])
-        rest, rest_sketch = [c[cut:] for c in columns], sketch[cut:]
-    yield from pairs(rest, rest_sketch)
+        yield from links([c[:cut] for c in columns], sets[:cut])
+        rest, rest_sets = [c[cut:] for c in columns], sets[cut:]
+    yield from links(rest, rest_sets)
 
 
 def _labelled(members: DataFrame, links: DataFrame, rows: int) -> DataFrame:
@@ -169,7 +197,7 @@ def _labelled(members: DataFrame, links: DataFrame, rows: int) -> DataFrame:
 
 
 def links(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links between texts (node, first, n, keys, sketch), enough to join what similar pairs join."""
+    """(a, b): verified links between texts (node, first, n, keys), enough to join what similar pairs join."""
     rows = texts.count()
     every = texts.select("node", "n", F.explode("keys").alias("key"))
     order = F.struct("node", "n")
@@ -194,18 +222,17 @@ def links(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: s
 
     # What is left: texts of different components that share a bucket.
     left = materialize(_labelled(mixed.drop("root"), found, rows), total, 32)
-    blocks = materialize(left.groupBy("key").agg(F.count("*").alias("members")), total, 16)
-    cut = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), cut).cast("int")
-    dealt = join_hot(left, blocks.withColumn("size", F.col("members")), ["key"], "size", total)
-    dealt = dealt.select("key", "node", "root", "n", own.alias("own"), cut.alias("blocks"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
+    most = F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    blocks = materialize(left.groupBy("key").agg(F.count("*").alias("members"), most.alias("blocks")), total, 16)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = join_hot(left, blocks, ["key"], "members", total)
+    dealt = dealt.select("key", "node", "root", own.alias("own"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # In a bucket of several blocks, a block meets itself in its pairs with the others.
     useful = (F.col("blocks") == 1) | (F.col("own") != F.col("other"))
     pair = F.least("own", "other").cast("bigint") * (1 << 31) + F.greatest("own", "other")
-    dealt = dealt.filter(useful).select("key", pair.alias("pair"), "node", "root", "n").join(texts.select("node", "sketch"), "node")
+    dealt = dealt.filter(useful).select("key", pair.alias("pair"), "node", "root").join(sets, "node")
     met = bound_batches(dealt).repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
-    pairs = met.select("key", "pair", "node", "root", "n", "sketch").mapInArrow(partial(_between, least=least), "a bigint, b bigint").distinct()
-    return found.unionByName(verified(materialize(pairs.join(found, ["a", "b"], "left_anti")), sets, least))
+    return found.unionByName(met.select("key", "pair", "node", "root", "set").mapInArrow(partial(_between, least=least), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:
@@ -214,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = signed.count()
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "k_text")
     full = signed.filter("node is not null")
-    texts = materialize(full.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("n_docs"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), rows, ROW_BYTES)
+    texts = materialize(full.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("n_docs"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")), rows, ROW_BYTES)
     roots = components(links(docs, texts, id_col, text_col, width, least, block), rows)
     rooted = texts.select("node", "first", "n_docs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
