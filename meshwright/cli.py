@@ -1,6 +1,6 @@
 """Command line: index, query, inspect, review, workspace, serve.
 
-    python -m meshwright.cli index REPO [--incremental] [--no-embed]
+    python -m meshwright.cli index REPO [--incremental [--verify]] [--no-embed]
     python -m meshwright.cli query TEXT [--mode dsl|semantic|hybrid|nl|impact|path] [--to SYMBOL] [--json] [--context]
 """
 
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("index", parents=[common])
     p.add_argument("path", nargs="?")
     p.add_argument("--incremental", action="store_true")
+    p.add_argument("--verify", action="store_true", help="with --incremental: read all files, whatever their size and time")
     p.add_argument("--no-embed", action="store_true")
     p = sub.add_parser("query", parents=[common])
     p.add_argument("text", nargs="?", help="without it, questions are read line by line")
@@ -109,7 +110,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     config = load_config(root, repo_path=str(root), db_path=a.db_path or str(root / ".meshwright/graph"))
     if a.command == "index":
         indexer = Indexer(spark, config)
-        report = indexer.update(not a.no_embed) if a.incremental else indexer.run(not a.no_embed)
+        report = indexer.update(not a.no_embed, a.verify) if a.incremental else indexer.run(not a.no_embed)
         print(f"files {report.files}, nodes {report.nodes}, edges {report.edges}, embedded {report.embedded}, {report.seconds:.1f} s")
         if report.failed:
             print(f"{report.failed} files could not be parsed whole", file=sys.stderr)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+import warnings
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
@@ -49,6 +50,8 @@ def load_config(start: str | Path = ".", **overrides) -> Config:
     data = tomllib.loads(path.read_text()) if path else {}
     data = data.get("meshwright", data)
     known = {f.name for f in fields(Config)}
+    if unknown := sorted(set(data) - known):
+        warnings.warn(f"settings that aren't known, in {path}: {', '.join(unknown)}", stacklevel=2)
     given = {k: tuple(v) if isinstance(v, list) else v for k, v in data.items() if k in known}
     return replace(Config(**given), **{k: v for k, v in overrides.items() if v is not None})
 

@@ -62,6 +62,17 @@ def estimate_tokens(length: Column, model: Column | str | None = None) -> Column
     return F.when(length == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(length / ratio).cast("int")))
 
 
+def most_chars(budget: int, model: str) -> int:
+    """The greatest length whose estimate for a model is within the budget; -1 if none is."""
+    if budget < 1:
+        return 0 if budget == 0 else -1
+    ratio = next((chars for family, chars in CHARS_PER_TOKEN.items() if family in (model or "").lower()), DEFAULT_CHARS_PER_TOKEN)
+    n = int((budget + 1) * ratio) + 1
+    while n // ratio > budget:
+        n -= 1
+    return n
+
+
 def extension(path: Column) -> Column:
     """The lower-cased last suffix with its dot; empty without one, and for names that only begin with a dot."""
     return F.lower(F.regexp_extract(F.substring_index(path, "/", -1), r"[^.].*?(\.[^.]*)$", 1))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, most_chars
 
 SEPARATOR = "\n\n---\n\n"
 CHARS_PER_TOKEN = 3.5
@@ -73,6 +76,35 @@ def greedy_fit(seeds_chars: Column, seeds_n: Column, candidates: Column, budget:
     return F.aggregate(candidates, start, step, lambda s: s.taken)
 
 
+def greedy_fit_stream(candidates: DataFrame, budget: int, model: str, by: tuple[str, ...], order: list[str], always: Column, out: list[str]) -> DataFrame:
+    """(by, out): candidates (with chars) that are taken in order, each group within the budget; those for which always holds are taken anyhow.
+
+    Each task reads its groups' rows sorted and carries the length and number of what it has taken from
+    batch to batch, and from group to group none of it. So a group may have any number of rows. A group
+    is folded in one task, since what fits hangs on all that was taken before.
+    """
+    most = most_chars(budget, model)
+    head, sep = len(header("")), len(SEPARATOR)
+    rows = candidates.select(*by, *out, F.col("chars").cast("bigint").alias("_chars"), always.alias("_always"), F.struct(*order).alias("_order"))
+    dealt = rows.repartition(*by) if by else rows.coalesce(1)
+    schema = dealt.select(*by, *out).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, chars, n = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
+            kept = []
+            for i, (key, size, sure) in enumerate(zip(keys, batch.column("_chars").to_pylist(), batch.column("_always").to_pylist())):
+                if key != group:
+                    group, chars, n = key, 0, 0
+                if sure or head + chars + (size or 0) + sep * n <= most:
+                    chars, n = chars + (size or 0), n + 1
+                    kept.append(i)
+            yield batch.select([*by, *out]).take(pa.array(kept, type=pa.int64()))
+
+    return dealt.sortWithinPartitions(*by, "_order").drop("_order").mapInArrow(run, schema)
+
+
 def greedy_fit_all(candidates: DataFrame, budget: int, model: str, chunk: int = 1000) -> DataFrame:
     """(id): what greedy_fit takes of candidates (ord, id, chars; ids unique), however many there are.
 

@@ -94,17 +94,15 @@ def same_links(a: DataFrame, b: DataFrame) -> bool:
     return x == y
 
 
-def with_importance(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None, **options) -> DataFrame:
-    """nodes with centrality (rank over calls and imports) and importance (centrality raised by change frequency).
-
-    known: nodes with the centrality of the same links, which then isn't computed again.
-    """
-    if known is not None:
-        ranks = scoped(known).select(*ID, F.col("centrality_score").alias("fresh"))
-    else:
-        ranks = pagerank(ranked_links(edges), **options).withColumnRenamed("rank", "fresh")
-    joined = scoped(nodes).join(ranks, ID, "left")
-    centrality = F.coalesce("fresh", F.lit(0.0))  # a node off these edges has none, whatever it had before
+def with_ranks(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """nodes with ranks (repo_id, node_id, rank) as centrality, and importance: centrality raised by change frequency."""
+    joined = scoped(nodes).join(scoped(ranks).select(*ID, F.col("rank").alias("fresh")), ID, "left")
+    centrality = F.coalesce("fresh", F.lit(0.0))  # a node off the links has none, whatever it had before
     return joined.withColumns({
         "centrality_score": centrality, "importance_score": centrality * (1 + F.coalesce("change_frequency", F.lit(0.0))),
     }).drop("fresh")
+
+
+def with_importance(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
+    """nodes with centrality (rank over calls and imports) and importance."""
+    return with_ranks(nodes, pagerank(ranked_links(edges), **options))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import module_path
+from ..functions.text import edge_id, module_path
 from ..schema import ALLOWED_PAIRS
 
 IMPORT_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", "/__init__.py", "/index.ts", "/index.js")
@@ -31,9 +31,21 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     return first_of(edges, ["repo_id", "edge_id"], "file_path", "edge_ord")
 
 
-def _last(nodes: DataFrame, key: str, out: str) -> DataFrame:
-    """(repo_id, key, out): of nodes with one key the id of the last in file and node order."""
-    return nodes.filter(F.coalesce(key, F.lit("")) != "").groupBy("repo_id", F.col(key).alias(f"k_{out}")).agg(F.max_by("node_id", F.struct("file_ord", "node_ord")).alias(out))
+def definitions(nodes: DataFrame) -> DataFrame:
+    """KEYS rows of the texts by which nodes can be meant: a node's id, fqn and name, and the path of a file."""
+    role = lambda name, key: F.struct(F.lit(name).alias("role"), key.alias("key"))
+    path = F.when(F.col("node_type").isin("File", "ConfigFile"), F.col("file_path"))
+    roles = F.array(role("id", F.col("node_id")), role("fqn", F.col("fqn")), role("name", F.col("name")), role("path", path))
+    each = nodes.withColumn("_r", F.explode(roles)).filter(F.coalesce("_r.key", F.lit("")) != "")
+    return each.select("repo_id", "_r.key", "_r.role", "file_path", "node_id", "node_type", "file_ord", F.col("node_ord").cast("int").alias("node_ord"))
+
+
+def references(raw: DataFrame) -> DataFrame:
+    """KEYS rows of the texts that edges refer to, once for each file: target texts, and paths without suffix that imports name."""
+    named = raw.select("repo_id", "file_path", F.explode(F.array(
+        F.struct(F.lit("ref").alias("role"), F.col("dst_ref").alias("key")), F.struct(F.lit("base").alias("role"), import_base(raw).alias("key")))).alias("r"))
+    none = F.lit(None).cast("string")
+    return named.select("repo_id", "r.key", "r.role", "file_path", none.alias("node_id"), none.alias("node_type"), none.alias("file_ord"), F.lit(None).cast("int").alias("node_ord")).filter("key <> ''").distinct()
 
 
 def relative_path(file_path, ref):
@@ -59,38 +71,50 @@ def import_base(edges: DataFrame) -> F.Column:
     return F.when(F.col("edge_type") == "IMPORTS", path).otherwise("")
 
 
-def resolve_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(repo_id, dst_ref, base, dst_id, by_name) of each distinct target text that can be resolved."""
-    known = nodes.select("repo_id", F.col("node_id").alias("dst_ref"), F.col("node_id").alias("by_id"))
-    fqns = _last(nodes, "fqn", "by_fqn").withColumnRenamed("k_by_fqn", "dst_ref")
-    named = nodes.groupBy("repo_id", F.col("name").alias("dst_ref")).agg(F.count("*").alias("n"), F.min("node_id").alias("by_name")).filter("n = 1").drop("n")
-    paths = _last(nodes.filter(F.col("node_type").isin("File", "ConfigFile")), "file_path", "by_path")
-    # An import may name a file for each suffix; the first suffix that is found counts.
-    tried = F.array(*(F.struct(F.lit(i).alias("rank"), F.concat("base", F.lit(s)).alias("path")) for i, s in enumerate(IMPORT_SUFFIXES)))
-    found = (
-        refs.filter("base <> ''").select("repo_id", "base").distinct().withColumn("t", F.explode(tried)).select("repo_id", "base", "t.rank", F.col("t.path").alias("k_by_path"))
-        .join(paths, ["repo_id", "k_by_path"]).groupBy("repo_id", "base").agg(F.min_by("by_path", "rank").alias("by_path"))
-    )
-    joined = refs.join(known, ["repo_id", "dst_ref"], "left").join(fqns, ["repo_id", "dst_ref"], "left").join(named, ["repo_id", "dst_ref"], "left").join(found, ["repo_id", "base"], "left")
-    sure = F.coalesce("by_id", "by_fqn", "by_path")
-    name = F.when(F.col("base") == "", F.col("by_name"))  # imports don't fall back to names
-    return joined.select("repo_id", "dst_ref", "base", F.coalesce(sure, name).alias("dst_id"), sure.isNull().alias("by_name")).filter("dst_id is not null")
+#: Order of preference of what a text may be; imports' suffixes stand between.
+_ID, _FQN, _PATH, _NAME = 0, 1, 2, 100
 
 
-def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
-    """raw edges (repo_id, src_id, dst_ref, ..) with dst_id, resolved and deduplicated; what can't be resolved is dropped.
+def tries(refs: DataFrame) -> DataFrame:
+    """(repo_id, dst_ref, base, rank, role, key): the definitions that a text and base could mean, the smallest rank first."""
+    one = lambda rank, role, key: F.struct(F.lit(rank).alias("rank"), F.lit(role).alias("role"), key.alias("key"))
+    paths = [one(_PATH + i, "path", F.when(F.col("base") != "", F.concat("base", F.lit(s)))) for i, s in enumerate(IMPORT_SUFFIXES)]
+    name = one(_NAME, "name", F.when(F.col("base") == "", F.col("dst_ref")))  # imports don't fall back to names
+    tried = F.array(one(_ID, "id", F.col("dst_ref")), one(_FQN, "fqn", F.col("dst_ref")), *paths, name)
+    return refs.withColumn("t", F.explode(tried)).select("repo_id", "dst_ref", "base", "t.rank", "t.role", "t.key").filter("key is not null")
+
+
+def resolve_targets(refs: DataFrame, defined: DataFrame) -> DataFrame:
+    """(repo_id, dst_ref, base, dst_id, dst_type, by_name) of each distinct target text that can be resolved.
+
+    defined: all definitions (KEYS rows) of the texts that tries() lists. Each text's definitions are one
+    row: the last in file and node order, and for a name how many nodes have it.
+    """
+    found = tries(refs)
+    last = F.max_by(F.struct("node_id", "node_type"), F.struct("file_ord", "node_ord", "node_id"))
+    meant = defined.groupBy("repo_id", "role", "key").agg(last.alias("d"), F.count("*").alias("n")).filter("role <> 'name' or n = 1")
+    first = found.join(meant, ["repo_id", "role", "key"]).groupBy("repo_id", "dst_ref", "base").agg(F.min(F.struct("rank", "d")).alias("m"))
+    return first.select("repo_id", "dst_ref", "base", F.col("m.d.node_id").alias("dst_id"), F.col("m.d.node_type").alias("dst_type"), (F.col("m.rank") == _NAME).alias("by_name"))
+
+
+def resolve_with(raw: DataFrame, sources: DataFrame, defined: DataFrame) -> DataFrame:
+    """raw edges whose source is in sources (repo_id, src_id) with dst_id and dst_type, resolved among definitions and deduplicated.
 
     Texts are resolved, not edges: a text that a third of all calls share (a built-in's name) is looked
     up once, and edges meet the texts that were resolved in one inner join.
     """
-    known = nodes.select("repo_id", F.col("node_id").alias("src_id"))
-    edges = raw.withColumn("base", import_base(raw)).join(known, ["repo_id", "src_id"], "left_semi")
-    targets = resolve_targets(edges.select("repo_id", "dst_ref", "base").distinct(), nodes)
+    edges = raw.withColumn("base", import_base(raw)).join(sources.select("repo_id", "src_id"), ["repo_id", "src_id"], "left_semi")
+    targets = resolve_targets(edges.select("repo_id", "dst_ref", "base").distinct(), defined)
     done = edges.join(targets, ["repo_id", "dst_ref", "base"])
     sure = F.when(F.col("by_name"), F.least("confidence", F.lit(NAME_CONFIDENCE))).otherwise(F.col("confidence"))
     return dedupe_edges(done.withColumn("confidence", sure).drop("base", "by_name"))
 
 
+def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
+    """raw edges (repo_id, src_id, dst_ref, ..) with dst_id, resolved among all nodes; what can't be resolved is dropped."""
+    return resolve_with(raw, nodes.select("repo_id", F.col("node_id").alias("src_id")), definitions(nodes)).drop("dst_type")
+
+
 def valid_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends exist and whose types' pair the schema admits."""
     types = nodes.select("repo_id", "node_id", "node_type")
@@ -102,8 +126,6 @@ def valid_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def tested_by(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     """TESTED_BY edges (symbol to test) from the calls that tests make."""
-    from ..functions.text import edge_id
-
     tests = nodes.filter(F.col("node_type") == "Test").select("repo_id", F.col("node_id").alias("src_id"))
     calls = resolved.filter(F.col("edge_type") == "CALLS").join(tests, ["repo_id", "src_id"], "left_semi")
     turned = calls.select(*(F.col(c) for c in calls.columns if c not in ("src_id", "dst_id", "edge_type", "edge_id")), F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), F.lit("TESTED_BY").alias("edge_type"))

@@ -1,7 +1,7 @@
 """Review context: from changed line ranges to touched symbols, their neighbourhood, and a budgeted selection.
 
-Everything is done for all hunks and seeds at once. Lines meet symbols through the file path, an
-equality, with the overlap as a residual condition.
+Everything is done for all hunks and seeds at once. Lines meet symbols through the file path and cells
+of lines, each of which keeps its best symbol, so work doesn't grow with the pairs that overlap.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import SYMBOL_TYPES
 from ..tables import materialize
-from . import find
-from .packing import SEPARATOR, greedy_fit, header
+from . import find, intervals
+from .packing import SEPARATOR, greedy_fit_stream, header
 from .traverse import ID, scoped, steps
 
 # Reasons by priority, and their weights.
@@ -37,13 +37,17 @@ def score(reason: Column, distance: Column, importance: Column) -> Column:
 def narrowest(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """(hunk_id, repo_id, node_id, ..): the symbol that each hunk (hunk_id, file_path, start_line, end_line) touches.
 
-    The first of the symbol types with an overlap, and the shortest, then first, span of it.
+    The first of the symbol types with an overlap, and the shortest, then first, span of it. A span or
+    hunk that ends before it begins is its first line.
     """
     rank = _lookup({t: i for i, t in enumerate(SYMBOL_TYPES)}, F.col("node_type"), 99)
-    symbols = scoped(nodes).filter(F.col("node_type").isin(*SYMBOL_TYPES)).select(*ID, "node_type", "fqn", "tags", "file_path", F.col("start_line").alias("sl"), F.col("end_line").alias("el"))
-    hit = hunks.join(symbols, (hunks.file_path == symbols.file_path) & (symbols.sl <= hunks.end_line) & (symbols.el >= hunks.start_line)).drop(symbols.file_path)
-    best = W.partitionBy("hunk_id").orderBy(rank, F.col("el") - F.col("sl"), "sl", "node_id", "repo_id")
-    return hit.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    touched = hunks.select("file_path").distinct()
+    symbols = scoped(nodes).filter(F.col("node_type").isin(*SYMBOL_TYPES) & F.col("start_line").isNotNull() & F.col("end_line").isNotNull()).join(touched, "file_path", "left_semi")
+    best = F.struct(rank.alias("rank"), (F.col("end_line") - F.col("start_line")).alias("lines"), F.col("start_line").alias("sl"), "node_id", "repo_id", F.col("end_line").alias("el"), "node_type", "fqn")
+    spans = symbols.select("file_path", F.greatest("start_line", F.lit(0)).alias("low"), F.greatest("start_line", "end_line", F.lit(0)).alias("high"), best.alias("best"))
+    probes = hunks.select("hunk_id", "file_path", F.greatest("start_line", F.lit(0)).alias("low"), F.greatest("start_line", "end_line", F.lit(0)).alias("high"))
+    found = intervals.least_overlapping(probes, spans, "file_path", "hunk_id", "best")
+    return hunks.join(found, "hunk_id").select(*hunks.columns, "best.repo_id", "best.node_id", "best.node_type", "best.fqn", "best.sl", "best.el")
 
 
 def seeds(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -133,18 +137,16 @@ def expand(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, impact_depth:
 def trim(blocks: DataFrame, budget: int, model: str, by: tuple[str, ...] = ()) -> DataFrame:
     """blocks (repo_id, node_id, reason, distance, score, chars) that are selected: all touched ones, others by score as they fit.
 
-    by: columns that tell reviews apart, each with a budget of its own. One review's candidates are a
-    bounded list (PER_SEED a seed); they are folded in one row.
+    by: columns that tell reviews apart, each with a budget of its own. A review's candidates pass through
+    one task as a sorted stream of which nothing is held; texts don't travel with it.
     """
-    touched = F.col("reason") == "touched"
     blocks = scoped(blocks)
+    others = F.col("reason") != "touched"
     name = F.concat_ws("\n", "node_id", "repo_id")
-    listed = F.sort_array(F.collect_list(F.when(~touched, F.struct((-F.col("score")).alias("ord"), name.alias("id"), "chars"))))
-    folded = blocks.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(touched, F.col("chars"))), F.lit(0)).alias("seeds_chars"), F.count(F.when(touched, 1)).cast("int").alias("seeds_n"), listed.alias("candidates")
-    ).select(*by, greedy_fit(F.col("seeds_chars"), F.col("seeds_n"), F.col("candidates"), budget, model).alias("taken"))
-    joined = blocks.join(folded, list(by)) if by else blocks.crossJoin(F.broadcast(folded))  # one row
-    return joined.filter(touched | F.array_contains("taken", name)).drop("taken")
+    sizes = blocks.select(*by, *ID, "chars", others.cast("int").alias("ord_1"), F.when(others, -F.col("score")).otherwise(0.0).alias("ord_2"), name.alias("ord_3"))
+    taken = greedy_fit_stream(sizes, budget, model, by, ["ord_1", "ord_2", "ord_3"], always=F.col("ord_1") == 0, out=ID)
+    same = [blocks[c].eqNullSafe(taken[c]) for c in (*by, *ID)]
+    return blocks.join(taken, same, "left_semi")
 
 
 def packed_chars(n: Column, chars: Column) -> Column:

@@ -1,23 +1,38 @@
-"""The stored graph: versioned Parquet tables with upsert, delete, diff, and SQL over views.
+"""The stored graph: Parquet tables in parts, of which a write makes only those anew that it touches.
 
-A table is a folder of numbered versions and a pointer file that names the current one. A write makes
-the next version and then moves the pointer, so readers never see a half-written table.
+A table's rows are dealt by repository and by a hash of their file (or key) into parts. A write puts
+the parts that it has made into a folder of its own, and a manifest says for each part which folder
+holds it; a pointer file names the current manifest. Readers thus see a table as of one write, and
+other repositories' files, and files of parts that didn't change, are neither read nor written.
+
+Lists of parts pass through the driver: at most buckets for each repository, as in any table that Spark
+lists by partitions. Rows never do.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import warnings
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sql import register
-from ..schema import EDGES, EMBEDDINGS, NODES, RAW_EDGES, SCHEMA_VERSION
+from ..schema import EDGES, EMBEDDINGS, INDEXED_FILES, KEYS, NODES, RAW_EDGES, SCHEMA_VERSION
 from .traverse import ID, scoped
 
-TABLES = {"nodes": NODES, "edges": EDGES, "raw_edges": RAW_EDGES, "embeddings": EMBEDDINGS}
-PARTITION = {"nodes": "node_type", "edges": "edge_type"}
-KEYS = {"nodes": ["repo_id", "node_id"], "edges": ["repo_id", "edge_id"], "raw_edges": ["repo_id", "edge_id", "file_path"], "embeddings": ["repo_id", "node_id"]}
+TABLES = {"nodes": NODES, "edges": EDGES, "raw_edges": RAW_EDGES, "embeddings": EMBEDDINGS, "keys": KEYS, "files": INDEXED_FILES}
+#: What a row's bucket hangs on, besides its repository.
+DEALT_BY = {"nodes": "file_path", "edges": "file_path", "raw_edges": "file_path", "embeddings": "file_path", "keys": "key", "files": "file_path"}
+#: Rows of one value stand together within a part, so that row groups can be skipped.
+SORTED_BY = {"nodes": "node_type", "edges": "edge_type", "keys": "key"}
+UNIQUE = {"nodes": ["repo_id", "node_id"], "edges": ["repo_id", "edge_id"], "raw_edges": ["repo_id", "edge_id", "file_path"], "embeddings": ["repo_id", "node_id"], "files": ["repo_id", "file_path"]}
+#: Parts of a repository's table, fixed when a store is made.
+BUCKETS = 16
+#: Manifests that are kept for open readers, besides the current one.
+KEPT_MANIFESTS = 1
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -42,44 +57,122 @@ def change_set(indexed: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, "rel_path", "full_outer").select("rel_path", change.alias("change")).filter("change is not null")
 
 
+def repo_part(repo_id: str | None) -> str:
+    return hashlib.sha256((repo_id or "").encode()).hexdigest()[:16]
+
+
 class GraphStore:
-    """nodes, edges, raw_edges, embeddings and meta under one path; any file system that Spark reaches."""
+    """The tables and a few settings under one path; any file system that Spark reaches."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
-        found = self.schema_version()
+        meta = self._meta()
+        found = int(meta.get("schema_version", 0))
         if found > SCHEMA_VERSION:
             warnings.warn(f"the graph has schema version {found}, newer than {SCHEMA_VERSION}", stacklevel=2)
         elif found < SCHEMA_VERSION:
-            self._set_meta(schema_version=str(SCHEMA_VERSION))
+            # Tables up to version 2 weren't in parts; they read as empty, and the next run indexes everything.
+            self._set_meta(schema_version=str(SCHEMA_VERSION), buckets=meta.get("buckets", str(buckets)))
+        self.buckets = int(self._meta()["buckets"])
+
+    # Small files
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, table: str) -> int:
-        fs, p = self._fs(f"{self.path}/{table}/current")
+    def _get(self, path: str) -> str | None:
+        fs, p = self._fs(path)
         if not fs.exists(p):
-            return 0
-        return int(self.spark.read.text(str(p.toString())).first()[0])
-
-    def _write(self, table: str, df: DataFrame, partition: str | None = None) -> None:
-        version = self._current(table) + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{table}/v{version}")
-        fs, p = self._fs(f"{self.path}/{table}/current")
+            return None
+        stream = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> None:
+        fs, p = self._fs(path)
         out = fs.create(p, True)
-        out.write(bytearray(str(version).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        old, q = self._fs(f"{self.path}/{table}/v{version - 2}")  # the version before stays for open readers
-        old.delete(q, True)
 
-    def table(self, name: str) -> DataFrame:
-        version, schema = self._current(name), TABLES[name]
-        if not version:
-            return self.spark.createDataFrame([], schema)
-        # Columns that an older version lacks read as null: added columns need no rewrite.
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{version}")
+    def _pairs(self, path: str) -> dict[str, str]:
+        return dict(line.split("\t", 1) for line in (self._get(path) or "").splitlines())
+
+    # Parts
+
+    def _number(self, table: str) -> int:
+        return int(self._get(f"{self.path}/{table}/current") or 0)
+
+    def manifest(self, table: str, number: int | None = None) -> dict[str, str]:
+        """{part: folder that holds it}, of the current manifest unless another is named."""
+        return self._pairs(f"{self.path}/{table}/manifest-{self._number(table) if number is None else number}")
+
+    def part(self, table: str, repo_id: Column | None = None, key: Column | None = None) -> Column:
+        """The name of a row's part."""
+        repo, by = (F.coalesce(c, F.lit("")) for c in (F.col("repo_id") if repo_id is None else repo_id, F.col(DEALT_BY[table]) if key is None else key))
+        return F.concat_ws("-", F.substring(F.sha2(repo, 256), 1, 16), F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("string"))
+
+    def parts(self, table: str, rows: DataFrame) -> set[str]:
+        """The parts that rows (repo_id and what the table is dealt by) belong to: a list of names on the driver, bounded as said above."""
+        return {r.part for r in rows.select(self.part(table).alias("part")).distinct().collect()}
+
+    def repo_parts(self, table: str, repo_id: str) -> set[str]:
+        prefix = repo_part(repo_id) + "-"
+        return {p for p in self.manifest(table) if p.startswith(prefix)}
+
+    def files(self, table: str) -> dict[str, str]:
+        """{data file: its part}, of the current manifest."""
+        out = {}
+        for part, folder in self.manifest(table).items():
+            fs, p = self._fs(f"{self.path}/{table}/{folder}/part={part}")
+            out |= {s.getPath().toString(): part for s in fs.listStatus(p)}
+        return out
+
+    def table(self, name: str, parts: Iterable[str] | None = None, repo_id: str | None = None) -> DataFrame:
+        """A table, or some parts of it, or those of one repository."""
+        held = self.manifest(name)
+        prefix = None if repo_id is None else repo_part(repo_id) + "-"
+        wanted = sorted(p for p in (held if parts is None else set(parts) & set(held)) if prefix is None or p.startswith(prefix))
+        if not wanted:
+            return self.spark.createDataFrame([], TABLES[name])
+        # Columns that an older file lacks read as null: added columns need no rewrite.
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.path}/{name}/{held[p]}/part={p}" for p in wanted))
+
+    def merge(self, name: str, df: DataFrame, parts: Iterable[str]) -> None:
+        """Put df, all rows that these parts are to have, in the place of theirs. No other part is read or written."""
+        number, parts = self._number(name), set(parts)
+        folder = f"w{number + 1}-{uuid.uuid4().hex[:8]}"  # a write that failed leaves a folder that no manifest names
+        rows = scoped(df).select(*TABLES[name].names).withColumn("part", self.part(name))
+        tasks = max(1, min(len(parts), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = rows.repartition(tasks, "part").sortWithinPartitions("part", *([SORTED_BY[name]] if name in SORTED_BY else []))
+        dealt.write.partitionBy("part").parquet(f"{self.path}/{name}/{folder}")
+        fs, p = self._fs(f"{self.path}/{name}/{folder}")
+        written = {s.getPath().getName().removeprefix("part=") for s in fs.listStatus(p) if s.isDirectory()}
+        if written - parts:
+            fs.delete(p, True)
+            raise ValueError(f"{name}: rows of parts that aren't replaced: {sorted(written - parts)[:3]}")
+        held = {k: v for k, v in self.manifest(name, number).items() if k not in parts} | dict.fromkeys(written, folder)
+        self._put(f"{self.path}/{name}/manifest-{number + 1}", "".join(f"{k}\t{v}\n" for k, v in sorted(held.items())))
+        self._put(f"{self.path}/{name}/current", str(number + 1))
+        self._clean(name, number + 1)
+
+    def _clean(self, name: str, number: int) -> None:
+        """Delete what the last manifest that goes named and none that stays does."""
+        gone = number - KEPT_MANIFESTS - 1
+        if gone < 1:
+            return
+        kept = [self.manifest(name, n) for n in range(gone + 1, number + 1)]
+        for part, folder in self.manifest(name, gone).items():
+            if all(m.get(part) != folder for m in kept):
+                fs, p = self._fs(f"{self.path}/{name}/{folder}/part={part}")
+                fs.delete(p, True)
+        for folder in set(self.manifest(name, gone).values()) - {f for m in kept for f in m.values()}:
+            fs, p = self._fs(f"{self.path}/{name}/{folder}")
+            fs.delete(p, True)
+        fs, p = self._fs(f"{self.path}/{name}/manifest-{gone}")
+        fs.delete(p, True)
 
     @property
     def nodes(self) -> DataFrame:
@@ -89,28 +182,47 @@ class GraphStore:
     def edges(self) -> DataFrame:
         return self.table("edges")
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        self._write(name, df.select(*TABLES[name].names), PARTITION.get(name))
+    def replace(self, name: str, df: DataFrame, repo_id: str | None = None) -> None:
+        """Put df in the place of the whole table, or of one repository's rows, where all of df's are its."""
+        held = set(self.manifest(name)) if repo_id is None else self.repo_parts(name, repo_id)
+        every = self.parts(name, scoped(df)) if repo_id is None else {f"{repo_part(repo_id)}-{b}" for b in range(self.buckets)}
+        self.merge(name, df, held | every)
 
     def upsert(self, name: str, df: DataFrame) -> None:
-        self.replace(name, upsert(self.table(name), df, KEYS[name]))
+        """Rows of df, and what of the table they don't replace. Parts without a row of either aren't rewritten."""
+        df, key = scoped(df), UNIQUE[name]
+        replaced = self.table(name).select(*dict.fromkeys([*key, DEALT_BY[name]])).join(df.select(*key), key, "left_semi")
+        parts = self.parts(name, df) | self.parts(name, replaced)
+        self.merge(name, upsert(self.table(name, parts), df, key), parts)
 
     def delete_files(self, paths: DataFrame) -> None:
-        """Drop the nodes, edges and embeddings of files (repo_id, file_path)."""
-        nodes, edges = delete_files(self.nodes, self.edges, paths)
-        embeddings = scoped(self.table("embeddings")).join(scoped(paths), ["repo_id", "file_path"], "left_anti")
-        for name, df in (("edges", edges), ("nodes", nodes), ("embeddings", embeddings)):
-            self.replace(name, df)
+        """Drop the nodes, edges and embeddings of files (repo_id, file_path); only parts that hold one of them are rewritten."""
+        paths = scoped(paths).select("repo_id", "file_path")
+        parts = self.parts("nodes", paths)
+        gone = self.table("nodes", parts).join(paths, ["repo_id", "file_path"], "left_semi").select(*ID)
+        ends = self.edges.select("repo_id", "file_path", F.explode(F.array("src_id", "dst_id")).alias("node_id"))
+        touched = self.parts("edges", ends.join(gone, ID, "left_semi"))
+        _, edges = delete_files(self.table("nodes", parts), self.table("edges", touched), paths)
+        self.merge("edges", edges, touched)
+        for name in ("embeddings", "nodes"):
+            self.merge(name, self.table(name, parts).join(paths, ["repo_id", "file_path"], "left_anti"), parts)
+
+    # Settings
 
     def schema_version(self) -> int:
         return int(self._meta().get("schema_version", 0))
 
     def _meta(self) -> dict[str, str]:
-        version = self._current("meta")
-        return dict(self.spark.read.parquet(f"{self.path}/meta/v{version}").collect()) if version else {}
+        return self._pairs(f"{self.path}/meta/settings")
 
     def _set_meta(self, **values: str) -> None:
-        self._write("meta", self.spark.createDataFrame(sorted((self._meta() | values).items()), "key string, value string").coalesce(1))
+        self._put(f"{self.path}/meta/settings", "".join(f"{k}\t{v}\n" for k, v in sorted((self._meta() | values).items())))
+
+    def setting(self, name: str) -> str | None:
+        return self._meta().get(name)
+
+    def set_settings(self, **values: str) -> None:
+        self._set_meta(**values)
 
     def node_count(self, node_type: str | None = None) -> int:
         return (self.nodes.filter(F.col("node_type") == node_type) if node_type else self.nodes).count()
@@ -124,4 +236,3 @@ class GraphStore:
         for name in ("nodes", "edges", "embeddings"):
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(query, args=params)
-

@@ -7,12 +7,18 @@ repository and id: repositories that share a store, and even paths, don't meet.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import materialize, materialize_by
 
 MAX_DEPTH, MAX_PATH = 10, 20
+#: Rows of a frontier that is sent to wherever the steps are, some 100 bytes each; a larger one goes to its nodes' buckets.
+FEW_ROWS = 100_000
+#: A node is a hub if it has more than this share of the steps; fewer than one over it can be.
+HUB_SHARE = 0.001
 #: What names a node.
 ID = ["repo_id", "node_id"]
 
@@ -37,25 +43,56 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": along, "in": against, "both": along.unionByName(against)}[direction].filter("at <> to")
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "in", edge_types=None, stop: str | None = None) -> DataFrame:
-    """(repo_id, seed, node_id, distance) of all nodes within depth steps of starts (repo_id, seed, node_id), these included at 0.
+class Adjacency:
+    """The steps of a graph, written once, from which a traversal goes on level by level without shuffling them.
 
-    stop: end after the first level that holds this node.
+    A small frontier is broadcast and meets the steps where they lie. For a larger one the steps are dealt
+    into buckets by node, the first time that there is one; then the frontier alone is shuffled. Hubs, of
+    which there are few, stay out of the buckets, since one would fill one: theirs are met by broadcast.
     """
+
+    def __init__(self, edges: DataFrame, direction: str, few: int = FEW_ROWS):
+        self.steps, self.few = materialize(steps(edges, direction)), few
+        self._dealt: tuple[DataFrame, DataFrame, DataFrame] | None = None
+
+    def _buckets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(hubs, their steps, the others' steps in buckets)."""
+        if self._dealt is None:
+            often = max(1, int(self.steps.count() * HUB_SHARE))
+            hubs = materialize(self.steps.groupBy("repo_id", "at").agg(F.count("*").alias("n")).filter(F.col("n") > often).select("repo_id", "at"))
+            sent = F.broadcast(hubs)  # fewer than 1 / HUB_SHARE rows
+            self._dealt = hubs, self.steps.join(sent, ["repo_id", "at"], "left_semi"), materialize_by(self.steps.join(sent, ["repo_id", "at"], "left_anti"), "repo_id", "at")
+        return self._dealt
+
+    def ahead(self, frontier: DataFrame, rows: int) -> DataFrame:
+        """(repo_id, seed, node_id), distinct: where steps from a written frontier (repo_id, seed, node_id) of so many rows lead."""
+        at = frontier.select("repo_id", "seed", F.col("node_id").alias("at"))
+        if rows <= self.few:
+            met = self.steps.join(F.broadcast(at), ["repo_id", "at"])
+        else:
+            hubs, hot, rest = self._buckets()
+            of_hubs = at.join(F.broadcast(hubs), ["repo_id", "at"], "left_semi")
+            # A hub's seeds may be many: its steps and seeds meet in a join that can be split.
+            met = rest.join(at.join(F.broadcast(hubs), ["repo_id", "at"], "left_anti"), ["repo_id", "at"]).unionByName(hot.join(of_hubs, ["repo_id", "at"]))
+        return met.select("repo_id", "seed", F.col("to").alias("node_id")).distinct()
+
+
+def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "in", edge_types=None) -> DataFrame:
+    """(repo_id, seed, node_id, distance) of all nodes within depth steps of starts (repo_id, seed, node_id), these included at 0."""
     if edge_types is not None:
         edges = edges.filter(F.col("edge_type").isin(*edge_types))
-    step = steps(edges, direction)
-    seen = materialize(scoped(starts).select("repo_id", "seed", "node_id").distinct().withColumn("distance", F.lit(0)))
-    frontier = seen
+    near = Adjacency(edges, direction)
+    levels = [materialize(scoped(starts).select("repo_id", "seed", "node_id").distinct().withColumn("distance", F.lit(0)))]
+    rows = levels[0].count()
     for d in range(1, depth + 1):
-        found = frontier.select("repo_id", "seed", F.col("node_id").alias("at")).join(step, ["repo_id", "at"]).select("repo_id", "seed", F.col("to").alias("node_id")).distinct()
-        frontier = materialize(found.join(seen, ["repo_id", "seed", "node_id"], "left_anti").withColumn("distance", F.lit(d)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if stop is not None and not frontier.filter(F.col("node_id") == stop).isEmpty():
+        # A step in any direction leads back by one level at most; one along directed edges, anywhere.
+        seen = reduce(DataFrame.unionByName, levels[-2:] if direction == "both" else levels)
+        found = near.ahead(levels[-1], rows).join(seen, ["repo_id", "seed", "node_id"], "left_anti")
+        levels.append(materialize(found.withColumn("distance", F.lit(d))))
+        rows = levels[-1].count()
+        if not rows:
             break
-    return seen
+    return reduce(DataFrame.unionByName, levels)
 
 
 def resolve(nodes: DataFrame, target: str, repo_id: str | None = None) -> str | None:
@@ -106,30 +143,62 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, target: str, depth: int =
     return _around(nodes, edges, resolve_scoped(nodes, target, repo_id), depth, limit, "both", None)
 
 
+def _met(near: Adjacency, repo_id: str, src: str, dst: str, max_depth: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame] | None:
+    """(levels from src, levels from dst, nodes where they meet): both ends are searched, the one with the smaller frontier first."""
+    spark = near.steps.sparkSession
+    sides = [[materialize(spark.createDataFrame([(repo_id, end, end)], "repo_id string, seed string, node_id string"))] for end in (src, dst)]
+    rows = [1, 1]
+    key = ["repo_id", "node_id"]
+    for _ in range(max_depth):
+        k = 0 if rows[0] <= rows[1] else 1
+        mine, other = sides[k], sides[1 - k]
+        found = near.ahead(mine[-1], rows[k])
+        for level in mine[-2:]:
+            found = found.join(level.select(*key), key, "left_anti")
+        mine.append(materialize(found))
+        rows[k] = mine[-1].count()
+        # Levels met no earlier, so they can only meet at the last ones.
+        both = mine[-1].select(*key).join(other[-1].select(*key), key, "left_semi")
+        if not both.isEmpty():
+            return sides[0], sides[1], both
+        if not rows[k]:
+            return None
+    return None
+
+
 def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 3, repo_id: str = "") -> DataFrame:
     """(path, hops): the first shortest undirected paths by their ids within a repository, at most limit.
 
-    Nodes on shortest paths are those whose distances from both ends add up. Paths grow along them from
-    src; of each length the limit smallest are kept, which hold the prefixes of the limit smallest
+    Searches from both ends meet halfway, so neither fans out over the whole distance. Nodes on shortest
+    paths are those behind the meeting points, level by level back to either end. Paths grow along them
+    from src; of each length the limit smallest are kept, which hold the prefixes of the limit smallest
     whole paths.
     """
     checked_depth(max_depth, 1, MAX_PATH)
     spark = edges.sparkSession
-    edges = scoped(edges).filter(F.col("repo_id") == repo_id)
-    step = steps(edges, "both").drop("repo_id").distinct()
-    start = spark.createDataFrame([(repo_id, src, src)], "repo_id string, seed string, node_id string")
-    ahead = reach(edges, start, max_depth, "both", stop=dst)
-    end = ahead.filter(F.col("node_id") == dst).collect()
     paths = spark.createDataFrame([([src],)], "path array<string>")
-    if not end:
+    if src == dst:
+        return paths.withColumn("hops", F.lit(0))
+    near = Adjacency(scoped(edges).filter(F.col("repo_id") == repo_id), "both")
+    found = _met(near, repo_id, src, dst, max_depth)
+    if found is None:
         return paths.limit(0).withColumn("hops", F.lit(0))
-    hops = end[0].distance
-    on_path = spark.createDataFrame([(dst, hops)], "node_id string, distance int")
-    levels = [on_path]
-    for d in range(hops - 1, 0, -1):
-        back = levels[-1].select(F.col("node_id").alias("at")).join(step, "at").select(F.col("to").alias("node_id")).distinct()
-        levels.append(materialize(back.join(ahead.filter(F.col("distance") == d), "node_id").select("node_id", "distance")))
-    for level in reversed(levels):
-        tail = paths.withColumn("at", F.element_at("path", -1)).join(step, "at").join(level.select(F.col("node_id").alias("to")), "to")
-        paths = materialize(tail.select(F.concat("path", F.array("to")).alias("path")).orderBy("path").limit(limit))
-    return paths.withColumn("hops", F.lit(hops))
+    ahead, behind, middle = found
+
+    def back(levels: list[DataFrame]) -> list[DataFrame]:
+        """The nodes on shortest paths of each level but the last, from the last but one to the end."""
+        on_path, at = [], middle.withColumn("seed", F.lit(""))
+        for level in reversed(levels[:-1]):
+            rows = at.count()
+            before = near.ahead(at, rows).join(level.select("repo_id", "node_id"), ID, "left_semi")
+            at = materialize(before)
+            on_path.append(at)
+        return on_path
+
+    middle = materialize(middle)
+    levels = [*reversed(back(ahead)), middle, *back(behind)][1:]
+    for level in levels:
+        to = level.select(F.col("node_id").alias("to"))
+        ends = F.broadcast(paths.withColumn("at", F.element_at("path", -1)))  # limit rows at most
+        paths = materialize(near.steps.join(ends, "at").join(to, "to", "left_semi").select(F.concat("path", F.array("to")).alias("path")).distinct().orderBy("path").limit(limit))
+    return paths.withColumn("hops", F.lit(len(levels)))

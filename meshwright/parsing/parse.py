@@ -30,6 +30,7 @@ PARSERS: dict[str, Parser] = {
 PARSED = T.StructType([
     T.StructField("repo_id", T.StringType()), T.StructField("rel_path", T.StringType()),
     T.StructField("nodes", T.ArrayType(NODES)), T.StructField("edges", T.ArrayType(RAW_EDGES)), T.StructField("errors", T.ArrayType(T.StringType())),
+    T.StructField("size_bytes", T.LongType()), T.StructField("modified_ns", T.LongType()), T.StructField("content_hash", T.StringType()),
 ])
 
 
@@ -44,16 +45,17 @@ def parse_one(parsers: dict[str, Parser], repo_id: str, rel_path: str, language:
 
 
 def parse_files(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataFrame:
-    """(repo_id, rel_path, nodes, edges, errors): a row for each file whose language has a parser."""
+    """(repo_id, rel_path, nodes, edges, errors, and what names the file's content): a row for each file whose language has a parser."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            built = [parse_one(parsers, *r) for r in part.itertuples(index=False, name=None)]
+            built = [parse_one(parsers, *r[:-1]) for r in part.itertuples(index=False, name=None)]
             yield pd.DataFrame({
                 "repo_id": part["repo_id"], "rel_path": part["rel_path"], "nodes": [b.nodes for b in built], "edges": [b.edges for b in built], "errors": [b.errors for b in built],
+                "size_bytes": part["size_bytes"], "modified_ns": part["modified_ns"], "content_hash": part["content_hash"],
             })
 
-    wanted = files.filter(F.col("language").isin(*parsers)).select("repo_id", "rel_path", "language", "extension", "size_bytes", "content", "content_hash")
+    wanted = files.filter(F.col("language").isin(*parsers)).select("repo_id", "rel_path", "language", "extension", "size_bytes", "content", "content_hash", "modified_ns")
     return wanted.mapInPandas(run, PARSED)
 
 

@@ -364,7 +364,7 @@ def dependents_two_repositories(spark, sf):
 
 @query(_pagerank_sql(5, "SELECT DISTINCT 'A' AS repo, src_id AS src, dst_id AS dst FROM edges UNION ALL SELECT DISTINCT 'B', src_id, dst_id FROM edges WHERE dst_id < src_id"))
 def pagerank_two_repositories(spark, sf):
-    return pagerank.pagerank(_two(spark, sf)[1], max_iterations=5, tolerance=None).withColumn("rank", F.round("rank", 9))
+    return pagerank.pagerank(_two(spark, sf)[1], max_iterations=5, tolerance=None, local_links=0).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"""WITH {NODES}, {EDGES}, {_TWO_EDGES}, gone AS (SELECT node_id FROM nodes WHERE file_path LIKE 'orders/p1%')
@@ -469,6 +469,14 @@ def vector_topk_filtered(spark, sf):
     return _nearest(spark, sf, {"label": 3})
 
 
+@query(f"""WITH scored AS (SELECT q.vec_id AS probe_id, e.vec_id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored) SELECT probe_id, rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= 20""")
+def vector_topk_many(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    probes = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "probe_id")
+    return vectors.search_many(e, probes, 20, id_col="vec_id").select("probe_id", "rank", "vec_id", r6("score").alias("score"))
+
+
 def _nearest(spark, sf, where):
     e = table(spark, sf, "embeddings")
     probe = e.filter("vec_id = 0").first().embedding

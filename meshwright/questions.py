@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,17 +23,33 @@ def classify(spark: SparkSession, question: str) -> tuple[str, list[str]]:
     return row.intent, list(row.words)[:CANDIDATES]
 
 
+def may_be_similar(word: str, name: Column) -> Column:
+    """False only for names that are less than CUTOFF alike.
+
+    With M letters in matching blocks the ratio is 2 M / total, total being both lengths. Any two blocks
+    lie apart by a letter that doesn't match, of which there are total - 2 M; so blocks are one more at
+    most, and hold M less their number, or 3 M - total - 1, pairs of neighbours that the word has too.
+    """
+    share = CUTOFF / (2 - CUTOFF)
+    length = F.length(name)
+    pairs = sorted({word[i : i + 2] for i in range(len(word) - 1)})
+    places = F.when(length > 1, F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    shared = F.size(F.filter(places, lambda i: F.substr(name, i, F.lit(2)).isin(*pairs)))
+    total = length + len(word)
+    return length.between(int(len(word) * share), int(len(word) / share) + 1) & (shared >= 3 * F.ceil(total * (CUTOFF / 2)) - total - 1)
+
+
 def similar_names(nodes: DataFrame, words: list[str]) -> DataFrame:
     """(word, name, ratio): names at least CUTOFF alike by matching blocks.
 
-    A ratio of r needs lengths within a factor r / (2 - r) of each other, so only such names are compared,
-    each distinct name once, in batches where the names are.
+    Names that can't be as alike aren't compared: those whose lengths aren't within a factor r / (2 - r) of
+    each other for a ratio of r, and those that share too few pairs of letters with the word. Each distinct
+    name is compared once, in batches where the names are.
     """
     names = nodes.filter(F.coalesce("name", F.lit("")) != "").select("name").distinct()
-    share = CUTOFF / (2 - CUTOFF)
     near = F.lit(False)
     for w in words:
-        near = near | F.length("name").between(int(len(w) * share), int(len(w) / share) + 1)
+        near = near | may_be_similar(w, F.col("name"))
 
     def run(parts):
         for part in parts:

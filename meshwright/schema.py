@@ -32,7 +32,7 @@ ALLOWED_PAIRS = (
     + [("EXPOSES_ENDPOINT", s, "ApiEndpoint") for s in _CALLABLE]
     + [("DEFINES", "File", d) for d in ("Function", "Class", "Interface", "TypeAlias")]
 )
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 _TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 _TYPES |= {"array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType())}
@@ -44,8 +44,11 @@ def struct(columns: str) -> T.StructType:
 
 
 FILES = struct(
-    "repo_id string, rel_path string, language string, extension string, size_bytes bigint, content binary, content_hash string"
+    "repo_id string, rel_path string, language string, extension string, size_bytes bigint, content binary, content_hash string, modified_ns bigint"
 )
+#: What a listing tells of a file, and what the store remembers of one that was indexed.
+LISTED = T.StructType([f for f in FILES if f.name not in ("content", "content_hash")])
+INDEXED_FILES = struct("repo_id string, file_path string, size_bytes bigint, modified_ns bigint, content_hash string")
 NODES = struct(
     "repo_id string, node_id string, node_type string, name string, fqn string, language string, docstring string, tags array<string>,"
     "change_frequency double, centrality_score double, importance_score double, last_modified_commit string,"
@@ -60,7 +63,9 @@ RAW_EDGES = struct(
     "repo_id string, edge_id string, edge_type string, src_id string, dst_ref string, confidence double, imported_names array<string>,"
     "is_dynamic boolean, is_conditional boolean, is_mixin boolean, access_pattern string, file_path string, edge_ord int"
 )
-EDGES = T.StructType([f for f in RAW_EDGES if f.name not in ("dst_ref", "file_path", "edge_ord")] + [T.StructField("dst_id", T.StringType())])
+EDGES = T.StructType([f for f in RAW_EDGES if f.name not in ("dst_ref", "edge_ord")] + [T.StructField("dst_id", T.StringType())])
+#: Who defines a text (role id, fqn, name or path) and whose edges refer to one (role ref or base).
+KEYS = struct("repo_id string, key string, role string, file_path string, node_id string, node_type string, file_ord string, node_ord int")
 EMBEDDINGS = struct(
     "repo_id string, node_id string, embedding array<float>, document string, node_type string, fqn string, file_path string, language string, importance_score double"
 )

@@ -3,7 +3,7 @@
     spark.dataSource.register(RepositorySource)
     spark.read.format("repository").option("path", root).load()
 
-The driver lists names only; contents are read where the partitions run, so on a cluster the folder
+The driver opens the topmost folders only; tasks list what is below, and read. On a cluster the folder
 must be mounted on the driver and the executors alike. Built-in file sources skip names that begin
 with '_' or '.', which would lose __init__.py.
 """
@@ -17,10 +17,12 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import FILES, LANGUAGE_BY_EXTENSION
+from ..schema import FILES, LANGUAGE_BY_EXTENSION, LISTED
 
 # Folders never entered, and the default patterns.
 SKIPPED_FOLDERS = frozenset((
@@ -31,6 +33,8 @@ DEFAULT_EXCLUDES = (
 )
 MAX_FILE_BYTES = 512 * 1024
 FILES_PER_PARTITION = 200
+#: Folders that are opened on the driver at most, before tasks list what is below.
+SUBTREES = 64
 
 
 def glob_regex(patterns) -> str:
@@ -53,19 +57,37 @@ class Excluder:
         return any(fnmatch.fnmatchcase(rel, p) or fnmatch.fnmatchcase(name, p) for p in self.patterns) or any(fnmatch.fnmatchcase(rel, p) for p in self.ignored)
 
 
-def walk(root: Path, patterns=DEFAULT_EXCLUDES) -> Iterator[str]:
+def opened(root: Path, at: str, excluded: Excluder) -> tuple[list[str], list[str]]:
+    """(files, folders) in a folder, by their paths from root: sorted, without those that are excluded. Links to folders aren't followed."""
+    files, folders = [], []
+    try:
+        entries = sorted(os.scandir(root / at), key=lambda e: e.name)
+    except OSError:
+        return files, folders
+    for e in entries:
+        rel = f"{at}/{e.name}" if at else e.name
+        if e.is_dir():
+            if e.name not in SKIPPED_FOLDERS and not e.is_symlink() and not excluded(rel):
+                folders.append(rel)
+        elif not excluded(rel):
+            files.append(rel)
+    return files, folders
+
+
+def walk(root: Path, patterns=DEFAULT_EXCLUDES, at: str = "", excluded: Excluder | None = None) -> Iterator[str]:
     """Relative paths of the files under root, excluded ones left out, folders pruned."""
-    excluded = Excluder(root, patterns)
-    for folder, names, files in os.walk(root):
-        at = os.path.relpath(folder, root).replace(os.sep, "/")
-        join = (lambda n: n) if at == "." else (lambda n, at=at: f"{at}/{n}")
-        names[:] = sorted(n for n in names if n not in SKIPPED_FOLDERS and not excluded(join(n)))
-        yield from (join(n) for n in sorted(files) if not excluded(join(n)))
+    excluded = excluded or Excluder(root, patterns)
+    files, folders = opened(root, at, excluded)
+    yield from files
+    for folder in folders:
+        yield from walk(root, patterns, folder, excluded)
 
 
 class Batch(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files by path, and folders whose files a task lists itself."""
+
+    def __init__(self, paths: list[str], folders: list[str] = ()):
+        self.paths, self.folders = paths, list(folders)
 
 
 class RepositoryReader(DataSourceReader):
@@ -77,24 +99,42 @@ class RepositoryReader(DataSourceReader):
         self.only = set(options["only"].split("\n")) if options.get("only") else None
         self.known = {e: n for e, n in LANGUAGE_BY_EXTENSION.items() if self._wanted(options, "extensions", e) and self._wanted(options, "languages", n)}
         self.per_partition = int(options.get("files_per_partition", FILES_PER_PARTITION))
+        self.contents = options.get("contents", "true") == "true"
 
     @staticmethod
     def _wanted(options, key: str, value: str) -> bool:
         return not options.get(key) or value in options[key].lower().split("\n")
 
+    def _listed(self, rel: str) -> bool:
+        return Path(rel).suffix.lower() in self.known and (self.only is None or rel in self.only)
+
     def partitions(self):
-        known = [p for p in walk(self.root, self.patterns) if Path(p).suffix.lower() in self.known and (self.only is None or p in self.only)]
-        return [Batch(known[i : i + self.per_partition]) for i in range(0, len(known), self.per_partition)] or [Batch([])]
+        """Folders are opened here until there are enough of them for tasks to go on with."""
+        excluded = Excluder(self.root, self.patterns)
+        files, folders = [], [""]
+        while folders and len(folders) < SUBTREES:
+            found, inner = opened(self.root, folders.pop(0), excluded)
+            files += filter(self._listed, found)
+            folders += inner
+        n = self.per_partition
+        return [Batch(files[i : i + n]) for i in range(0, len(files), n)] + [Batch([], [f]) for f in folders] or [Batch([])]
 
     def read(self, partition: Batch):
-        for rel in partition.paths:
+        excluded = Excluder(self.root, self.patterns) if partition.folders else None
+        inner = (rel for folder in partition.folders for rel in walk(self.root, self.patterns, folder, excluded) if self._listed(rel))
+        for rel in (*partition.paths, *inner):
             try:
+                stat = (self.root / rel).stat()
+                if stat.st_size > self.limit:
+                    continue
+                name = self.repo_id, rel, LANGUAGE_BY_EXTENSION[Path(rel).suffix.lower()], Path(rel).suffix.lower()
+                if not self.contents:
+                    yield *name, stat.st_size, stat.st_mtime_ns
+                    continue
                 content = (self.root / rel).read_bytes()
             except OSError:
                 continue
-            if len(content) <= self.limit:
-                ext = Path(rel).suffix.lower()
-                yield self.repo_id, rel, LANGUAGE_BY_EXTENSION[ext], ext, len(content), content, hashlib.sha256(content).hexdigest()
+            yield *name, len(content), content, hashlib.sha256(content).hexdigest(), stat.st_mtime_ns
 
 
 class RepositorySource(DataSource):
@@ -103,18 +143,42 @@ class RepositorySource(DataSource):
         return "repository"
 
     def schema(self):
-        return FILES
+        return FILES if self.options.get("contents", "true") == "true" else LISTED
 
     def reader(self, schema) -> RepositoryReader:
         return RepositoryReader(self.options)
 
 
+def read_contents(rows: DataFrame, root: str | Path) -> DataFrame:
+    """rows (rel_path, listed, ..) with content and content_hash, read where the rows are; null for what isn't listed or can't be read."""
+    top = Path(root).resolve()
+    names = rows.columns
+    schema = T.StructType([*rows.schema, T.StructField("content", T.BinaryType()), T.StructField("content_hash", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, FILES_PER_PARTITION):
+                part = batch.slice(i, FILES_PER_PARTITION)
+                contents = [_bytes_of(top / rel) if there else None for rel, there in zip(part.column("rel_path").to_pylist(), part.column("listed").to_pylist())]
+                hashes = [None if c is None else hashlib.sha256(c).hexdigest() for c in contents]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, type=pa.binary()), pa.array(hashes, type=pa.string())], names=[*names, "content", "content_hash"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _bytes_of(path: Path) -> bytes | None:
+    try:
+        return path.read_bytes()
+    except OSError:
+        return None
+
+
 def scan(spark: SparkSession, root: str | Path, repo_id: str = "", **options) -> DataFrame:
-    """FILES rows of a repository. exclude, only, extensions, languages: lists of patterns, relative paths and names."""
+    """FILES rows of a repository, or with contents=False LISTED rows, for which no file is opened. exclude, only, extensions, languages: lists of patterns, relative paths and names."""
     spark.dataSource.register(RepositorySource)
     reader = spark.read.format("repository").option("path", str(root)).option("repo_id", repo_id)
     for key, value in options.items():
         if value is not None:
-            reader = reader.option(key, "\n".join(value) if isinstance(value, (list, tuple, set)) else str(value))
+            reader = reader.option(key, "\n".join(value) if isinstance(value, (list, tuple, set)) else str(value).lower() if isinstance(value, bool) else str(value))
     return reader.load()
 

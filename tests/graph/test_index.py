@@ -94,7 +94,7 @@ def test_queries(spark, python_repo):
     assert "related" not in near.as_dict()["nodes"][0] and "CALLS → `" in engine.query_dsl("FIND function WHERE name = buy").context
     assert engine.neighbourhood("billing.charge", 1).rows
     sql = ix.store.sql("SELECT count(*) AS n FROM nodes WHERE node_type = :t", t="Test").first()
-    assert sql.n == 3 and ix.store.node_count("Test") == 3 and ix.store.edge_count("IMPORTS") == 3 and ix.store.schema_version() == 2
+    assert sql.n == 3 and ix.store.node_count("Test") == 3 and ix.store.edge_count("IMPORTS") == 3 and ix.store.schema_version() == 3
 
 
 def test_questions(spark, python_repo):
@@ -230,7 +230,8 @@ def test_config(tmp_path):
     deep = tmp_path / "a/b"
     deep.mkdir(parents=True)
     assert find_config(deep) == tmp_path / "meshwright.toml"
-    c = load_config(deep, repo_id="r", db_path=None)
+    with pytest.warns(UserWarning, match="unknown"):
+        c = load_config(deep, repo_id="r", db_path=None)
     assert (c.default_top_k, c.exclude_patterns, c.repo_id, c.context_max_tokens) == (7, ("x*",), "r", 6000)
 
 

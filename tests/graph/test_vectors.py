@@ -1,0 +1,86 @@
+"""The embedder against a plain loop, and the search of many probes against one search a probe."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from meshwright.operators import vectors
+from pyspark.sql import functions as F
+
+P, Q, ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 2**64 - 1
+
+
+def mixed(h):
+    h = ((h ^ h >> 32) * Q) & ALL
+    return h ^ h >> 29
+
+
+def plain(text):
+    low = f" {text.lower()} "
+    hashes = [mixed(((ord(a) + 1) + ord(b) * P + ord(c) * P * P) & ALL) for a, b, c in zip(low, low[1:], low[2:])]
+    for word in low.replace(".", " ").replace("_", " ").split():
+        hashes.append(mixed((sum((ord(c) + 1) * P**k for k, c in enumerate(word)) + P ** len(word) * Q) & ALL))
+    v = [0.0] * vectors.DIMENSIONS
+    for h in hashes:
+        v[h % vectors.DIMENSIONS] += 1.0 if h >> 63 else -1.0
+    norm = math.sqrt(sum(x * x for x in v)) or 1.0
+    return [x / norm for x in v]
+
+
+def test_embedder_equals_a_plain_loop():
+    rng = random.Random(1)
+    texts = ["", " ", ".", "_a_", "Foo.bar_baz qux", "Ünï cödé İ", "\U0001f600 smile\x1c\x85x", "x" * 5000] + ["".join(rng.choice("aB._ \né") for _ in range(rng.randrange(60))) for _ in range(80)]
+    got = vectors.hashed_ngrams(texts)
+    assert all(np.allclose(a, plain(t), atol=1e-12) for a, t in zip(got, texts)) and vectors.hashed_ngrams([]) == []
+    assert all(np.allclose(vectors.hashed_ngrams([t])[0], a, atol=1e-12) for a, t in zip(got, texts))
+
+
+@pytest.mark.parametrize("per_scan", [512, 4])
+def test_many_probes_equal_one_search_each(spark, monkeypatch, per_scan):
+    monkeypatch.setattr(vectors, "PROBES", per_scan)
+    rng = np.random.default_rng(3)
+    rows = [(i, np.float32(rng.integers(-3, 4, 6)).tolist(), i % 3) for i in range(300)]  # small integers, so that many scores tie
+    rows += [(900, None, 0), (901, [], 0), (902, [0.0] * 6, 0), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (904, [1.0, 2.0], 0), (905, [float("nan")] * 6, 0), *[(1000 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0], 1) for i in range(40)]]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(5)
+    probes = e.filter("vec_id % 25 = 0 or vec_id = 902 or vec_id = 901").select(F.col("vec_id").alias("probe_id"), "embedding")
+    able = e.filter("vec_id < 900 or vec_id >= 1000")
+    for where in (None, {"label": 1}):
+        got = {}
+        for r in vectors.search_many(e, probes, 7, where, "vec_id").collect():
+            got.setdefault(r.probe_id, {})[r["rank"]] = (r.vec_id, r.score)
+        zero = {r[0] for r in rows[:300] if not any(r[1])}
+        assert set(got) == {i for i in (*range(0, 300, 25), 1000, 1025) if i not in zero}
+        for p in sorted(got)[:6]:
+            want = vectors.search(able, dict((r[0], r[1]) for r in rows)[p], 7, where, "vec_id").collect()
+            assert [got[p][k] for k in range(1, 8)] == [(r.vec_id, r.score) for r in want]
+    assert vectors.search_many(e, probes.limit(0), 7, None, "vec_id").columns == ["probe_id", "vec_id", "embedding", "label", "score", "rank"]
+
+
+def test_names_that_are_left_out_are_not_alike(spark):
+    """Edited and random names: whatever is at least as alike as the cutoff is compared, and most of the rest isn't."""
+    import difflib
+
+    from meshwright import questions
+
+    rng = random.Random(9)
+    words = ["accepts_amount", "UserService", "ab", "x", "charge", "größe_é"]
+    names = set()
+    for w in words:
+        for _ in range(150):
+            n = list(w)
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(n) + 1)
+                n[at : at + rng.randrange(2)] = rng.choice(["", "x", "_", "é", "am", "ge"])
+            names.add("".join(n))
+    names |= {"".join(rng.choice("abcdefgh_") for _ in range(rng.randrange(1, 18))) for _ in range(400)}
+    names.discard("")
+    frame = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    for w in words:
+        kept = {r.name for r in frame.filter(questions.may_be_similar(w, F.col("name"))).collect()}
+        alike = {n for n in names if difflib.SequenceMatcher(None, n, w).ratio() >= questions.CUTOFF}
+        assert alike <= kept, (w, alike - kept)
+        if len(w) > 10:
+            assert len(kept) < len(alike) + len(names) / 4
+    found = {(r.word, r.name) for r in questions.similar_names(frame, words).collect()}
+    assert found == {(w, n) for w in words for n in names if difflib.SequenceMatcher(None, n, w).ratio() >= questions.CUTOFF}
