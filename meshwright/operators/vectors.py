@@ -28,6 +28,7 @@ _NEAR = 1e-9
 #: What separates words: white space, points and underscores.
 _SEPARATORS = np.array([c for c in range(0x3001) if chr(c).isspace() or chr(c) in "._"], dtype=np.uint32)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_PP = np.uint64(int(_P) ** 2 % 2**64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -49,7 +50,7 @@ def hashed_ngrams(texts: list[str]) -> list[list[float]]:
     ends = np.cumsum([len(t) for t in lows])
     owner = np.repeat(np.arange(len(lows)), np.diff(np.r_[0, ends]))
     inside = owner[:-2] == owner[2:]
-    trigrams = _mixed((c[:-2] + np.uint64(1)) + c[1:-1] * _P + c[2:] * (_P * _P))[inside]
+    trigrams = _mixed((c[:-2] + np.uint64(1)) + c[1:-1] * _P + c[2:] * _PP)[inside]
     # Texts begin and end with a blank, so that no run of letters crosses from one to the next.
     letter = ~np.isin(points, _SEPARATORS)
     starts = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
