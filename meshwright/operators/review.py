@@ -137,7 +137,7 @@ def expand(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, impact_depth:
 def trim(blocks: DataFrame, budget: int, model: str, by: tuple[str, ...] = ()) -> DataFrame:
     """blocks (repo_id, node_id, reason, distance, score, chars) that are selected: all touched ones, others by score as they fit.
 
-    by: columns that tell reviews apart, each with a budget of its own. A review's candidates pass through
+    by: columns that tell reviews apart, each with a budget of its own; rows without one are in none. A review's candidates pass through
     one task as a sorted stream of which nothing is held; texts don't travel with it.
     """
     blocks = scoped(blocks)
@@ -145,8 +145,7 @@ def trim(blocks: DataFrame, budget: int, model: str, by: tuple[str, ...] = ()) -
     name = F.concat_ws("\n", "node_id", "repo_id")
     sizes = blocks.select(*by, *ID, "chars", others.cast("int").alias("ord_1"), F.when(others, -F.col("score")).otherwise(0.0).alias("ord_2"), name.alias("ord_3"))
     taken = greedy_fit_stream(sizes, budget, model, by, ["ord_1", "ord_2", "ord_3"], always=F.col("ord_1") == 0, out=ID)
-    same = [blocks[c].eqNullSafe(taken[c]) for c in (*by, *ID)]
-    return blocks.join(taken, same, "left_semi")
+    return blocks.join(taken, [*by, *ID], "left_semi").select(*blocks.columns)
 
 
 def packed_chars(n: Column, chars: Column) -> Column:
