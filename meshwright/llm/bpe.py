@@ -15,7 +15,8 @@ knows the last label of its prefix's path. So a word is encoded by one pass thro
 off from its end; nothing is tried and taken back. Decoding emits the labels of the arcs.
 
 Defined results: a null text is read as empty, has no ids and decodes to the empty text. Texts of any
-length are coded whole, a piece at a time. Other columns pass through untouched. A vocabulary file
+length are coded whole, a piece at a time; within a word of any length the table of transitions starts
+anew when it is full, from the state that was reached. Other columns pass through untouched. A vocabulary file
 whose settings differ from those implemented here is refused.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +109,16 @@ class Automaton:
         self.last: list[int] = [-1]
         self.table: dict[int, int] = {}
 
+    def _carry(self, state: int) -> int:
+        """Forget all states and transitions but this state; returns its new number."""
+        places, label = self.places[state], self.last[state]
+        self._clear()
+        if places not in self.numbers:
+            self.numbers[places] = len(self.places)
+            self.places.append(places)
+            self.last.append(label)
+        return self.numbers[places]
+
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         self.lost[u, v] = time
         self.born[w], self.arc_of[w], self.state_of[w] = time, u, v
@@ -152,19 +164,22 @@ class Automaton:
         self.table[key] = number
         return number
 
-    def encode(self, word: bytes) -> list[int]:
+    def encode(self, word: bytes) -> Sequence[int]:
         """The ids of one pre-split word: the labels of the one path that spells it."""
-        if len(self.table) > TRANSITION_LIMIT:
-            self._clear()
         known, step, last = self.table.get, self._step, self.last
-        at, labels = 0, []
+        # A word beyond the piece table's can be as long as a text, and so are its labels.
+        labels, out = ([], []) if len(word) <= PIECE_LIMIT else (array("i"), array("i"))
+        at = 0
         for byte in word:
             key = at << 8 | byte
             at = known(key)
             if at is None:
+                if len(self.table) >= TRANSITION_LIMIT:  # also within a word
+                    key = self._carry(key >> 8) << 8 | byte
+                    known, last = self.table.get, self.last
                 at = step(key)
             labels.append(last[at])
-        out, end, lengths = [], len(labels), self.lengths
+        end, lengths = len(labels), self.lengths
         while end:
             label = labels[end - 1]
             out.append(label)

@@ -43,9 +43,10 @@ def crc_bucket(id_col: Column, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
-    """(doc_id, text, label): documents with an agreed label 0 or 1 for which keep holds, at most limit ids.
+    """(doc_id, text, label): documents with an agreed label 0 or 1 for which keep holds, at most limit ids, a row each.
 
-    Ids are taken in the order of their hash, so the sample is the same in each run. It bounds what a
+    Ids are taken in the order of their hash, so the sample is the same in each run; of several texts of
+    an id the one whose hash is smallest. It bounds what a
     classifier is fitted on; nothing else is decided by it.
     """
     agreed = (
@@ -55,7 +56,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     )
     ids = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    return materialize(texts.join(F.broadcast(ids), "doc_id").repartition(8, "doc_id"))
+    rows = texts.join(F.broadcast(ids), "doc_id").repartition(8, "doc_id")
+    return materialize(rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label"))
 
 
 def bound_batches(df: DataFrame) -> DataFrame:

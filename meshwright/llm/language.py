@@ -10,7 +10,8 @@ Document frequencies and the number of documents of each language cover all docu
 learned from. Only these tables, of fixed size, and the sample reach the driver.
 
 Defined results: und, score 0, for a text that is null or has no letter (numerals and marks such as ² or Ⅷ aren't letters); also if nothing can be
-learned. Ties go to the smaller language name. A null doc_id is learned from and isn't held out.
+learned. Every language with a document that may be learned from is learned, at CENTROIDS documents or more if it
+has them; so train_docs is exceeded where there are more than a third of it languages. Ties go to the smaller language name. A null doc_id is learned from and isn't held out.
 Repeated rows are predicted alike. An empty table gives an empty table.
 """
 
@@ -21,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_bucket
+from .common import bound_batches, crc_bucket, materialize
 
 BINS = 4096
 CENTROIDS, ROUNDS = 3, 12
@@ -106,6 +108,18 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def first_of_each(known: DataFrame, each: int) -> DataFrame:
+    """(lang, text): of each language the rows that come first by a hash of id and text, up to each; of a row that repeats one.
+
+    Every language has some, however many there are. A task cuts its own rows to each a language before
+    hashes are shuffled, and texts are read again for those up to a language's last hash alone.
+    """
+    hashed = known.select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"), "text")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    last = hashed.select("lang", "h", place.alias("place")).filter(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("last"))
+    return hashed.join(materialize(last), "lang").filter("h <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: Column | None = None) -> Model:
     """Learn from the documents with a language that aren't held out."""
     held_out = held_out if held_out is not None else crc_bucket(F.col("doc_id"), 4) == 2
@@ -116,10 +130,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: Column | None
     n = sum(sizes.values())
     idf = np.log((1 + n) / (1 + document_frequencies(known))).astype(np.float32) + 0.05
     each = max(CENTROIDS, train_docs // len(sizes))
-    # A hash of the id decides row by row, so the sample needs no sorting of a large language.
-    share = F.create_map(*(F.lit(x) for lang, m in sizes.items() for x in (lang, min(1.0, 1.1 * each / m))))
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text")), 11) / float(1 << 53)
-    sample = known.filter(chance < share[F.col("lang")])
+    sample = first_of_each(known, each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +143,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: Column | None
         found.setdefault(r.lang, []).append(bytes(r.x))
     languages, centers, owner, accept = sorted(found), [], [], []
     for i, lang in enumerate(languages):
-        x = np.array([np.frombuffer(b, dtype=np.float16) for b in sorted(found[lang])[: 2 * each]]).astype(np.float32) * idf
+        x = np.array([np.frombuffer(b, dtype=np.float16) for b in sorted(found[lang])]).astype(np.float32) * idf
         x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
         own = spherical_kmeans(x, CENTROIDS)
         centers.append(own)

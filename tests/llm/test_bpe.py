@@ -68,3 +68,16 @@ def test_frames(spark, library):
         assert r.n_tokens == len(want) and r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(np.array(want, dtype="<u4").tobytes()).hexdigest()
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_transitions_are_bounded_within_a_word(coder, library, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (1, 30, 64, 65, 30_000)]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    for limit in (1, 7, 1000):
+        monkeypatch.setattr(bpe, "TRANSITION_LIMIT", limit)
+        coder.automaton._clear()
+        for w, ids_of_w in zip(words, want):
+            assert list(coder.automaton.encode(w.encode())) == ids_of_w
+            assert len(coder.automaton.table) <= limit and len(coder.automaton.places) <= limit + 2
+    coder.automaton._clear()

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from meshwright.llm import language, queries, quality_model, toxicity
+from meshwright.llm import common, language, queries, quality_model, toxicity
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -35,6 +35,29 @@ def test_language_held_out(spark, small):
     assert accuracy(got, small["documents"], "lang", "lang_pred") > 0.97
 
 
+def test_every_one_of_many_languages_is_learned(spark):
+    # Two large languages and 300 small ones, one of which is a single row many times over.
+    rows = [(i, f"text {i} of the large", f"big{i % 2}") for i in range(3000)]
+    rows += [(10_000 + i, f"zq{i % 299} word{i % 299} {i}", f"small{i % 299:03}") for i in range(299 * 4)]
+    rows += [(50_000, "over and over", "same")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    every = {r[2] for r in rows}
+    picked = language.first_of_each(docs, 3).groupBy("lang").count().collect()
+    assert {r.lang for r in picked} == every and {r["count"] for r in picked if r.lang != "same"} == {3}
+    assert [r["count"] for r in picked if r.lang == "same"] == [1]
+    assert set(language.train(docs, 10, held_out=F.lit(False)).languages) == every
+
+
+def test_labelled_sample_has_a_row_an_id(spark):
+    rows = [(1, f"copy {i % 7}") for i in range(2000)] + [(2, "two"), (3, None), (None, "x"), (4, "four")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] + [(4, 1)], "doc_id bigint, quality int")
+    got = common.labelled_sample(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(1, 1), (2, 0)]
+    again = common.labelled_sample(docs.repartition(3), labels, "quality", F.lit(True), 10).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
 def test_toxicity_held_out(spark, small):
     got = queries.op6_toxicity(spark, SF)
     assert accuracy(got, small["labels"], "toxic") > 0.9
