@@ -100,7 +100,9 @@ class QueryEngine:
     def query_dsl(self, text: str, repo_id: str | None = None) -> Result:
         try:
             tree = dsl.parse(text)
-            found = dsl.execute(tree, self.store.nodes, self.store.edges, self._repo(repo_id), self.config.default_top_k, self._path_depth())
+            held = find.needle(tree.filters) if isinstance(tree, dsl.Find) else None
+            nodes = self.store.containing(held, self._repo(repo_id)) if held else self.store.nodes
+            found = dsl.execute(tree, nodes, self.store.edges, self._repo(repo_id), self.config.default_top_k, self._path_depth())
             return self._answer(text, "structural", found, ranked=not isinstance(tree, dsl.Path))
         except (ValueError, TypeError) as e:
             return Result(text, "structural", error=str(e))

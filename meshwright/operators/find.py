@@ -35,6 +35,11 @@ def find(nodes: DataFrame, node_type: str | None = None, filters=(), limit: int
     return best_first(nodes.filter(reduce(Column.__and__, tests)) if tests else nodes, limit or default_limit)
 
 
+def needle(filters) -> str | None:
+    """The longest text that the name or fqn of a node must hold to meet all filters."""
+    return max((value for field, _, value in filters if field in ("name", "fqn")), key=len, default=None)
+
+
 def by_name(nodes: DataFrame, text: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     return best_first(nodes.filter((F.col("name") == text) | F.contains("fqn", F.lit(text))), limit)
 

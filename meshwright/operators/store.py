@@ -20,17 +20,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sql import register
-from ..schema import EDGES, EMBEDDINGS, INDEXED_FILES, KEYS, NODES, RAW_EDGES, SCHEMA_VERSION
+from ..schema import EDGES, EMBEDDINGS, GRAMS, INDEXED_FILES, KEYS, NODES, RAW_EDGES, SCHEMA_VERSION
+from . import postings
 from .traverse import ID, scoped
 
-TABLES = {"nodes": NODES, "edges": EDGES, "raw_edges": RAW_EDGES, "embeddings": EMBEDDINGS, "keys": KEYS, "files": INDEXED_FILES}
+TABLES = {"nodes": NODES, "edges": EDGES, "raw_edges": RAW_EDGES, "embeddings": EMBEDDINGS, "keys": KEYS, "files": INDEXED_FILES, "grams": GRAMS}
 #: What a row's bucket hangs on, besides its repository.
-DEALT_BY = {"nodes": "file_path", "edges": "file_path", "raw_edges": "file_path", "embeddings": "file_path", "keys": "key", "files": "file_path"}
+DEALT_BY = {"nodes": "file_path", "edges": "file_path", "raw_edges": "file_path", "embeddings": "file_path", "keys": "key", "files": "file_path", "grams": "file_path"}
 #: Rows of one value stand together within a part, so that row groups can be skipped.
-SORTED_BY = {"nodes": "node_type", "edges": "edge_type", "keys": "key"}
+SORTED_BY = {"nodes": "node_type", "edges": "edge_type", "keys": "key", "grams": "gram"}
 UNIQUE = {"nodes": ["repo_id", "node_id"], "edges": ["repo_id", "edge_id"], "raw_edges": ["repo_id", "edge_id", "file_path"], "embeddings": ["repo_id", "node_id"], "files": ["repo_id", "file_path"]}
 #: Parts of a repository's table, fixed when a store is made.
 BUCKETS = 16
+#: Grams of a needle that are counted; any of them prunes, and the rarest one is looked up.
+COUNTED_GRAMS = 64
 #: Manifests that are kept for open readers, besides the current one.
 KEPT_MANIFESTS = 1
 
@@ -140,10 +143,14 @@ class GraphStore:
         # Columns that an older file lacks read as null: added columns need no rewrite.
         return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.path}/{name}/{held[p]}/part={p}" for p in wanted))
 
-    def merge(self, name: str, df: DataFrame, parts: Iterable[str]) -> None:
-        """Put df, all rows that these parts are to have, in the place of theirs. No other part is read or written."""
+    def merge(self, name: str, df: DataFrame, parts: Iterable[str], folder: str | None = None) -> None:
+        """Put df, all rows that these parts are to have, in the place of theirs. No other part is read or written.
+
+        Nodes' trigrams are written along with them, into a folder of the same name: postings count as those
+        of a part only where both manifests name one folder.
+        """
         number, parts = self._number(name), set(parts)
-        folder = f"w{number + 1}-{uuid.uuid4().hex[:8]}"  # a write that failed leaves a folder that no manifest names
+        folder = folder or f"w{number + 1}-{uuid.uuid4().hex[:8]}"  # a write that failed leaves a folder that no manifest names
         rows = scoped(df).select(*TABLES[name].names).withColumn("part", self.part(name))
         tasks = max(1, min(len(parts), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
         dealt = rows.repartition(tasks, "part").sortWithinPartitions("part", *([SORTED_BY[name]] if name in SORTED_BY else []))
@@ -153,6 +160,9 @@ class GraphStore:
         if written - parts:
             fs.delete(p, True)
             raise ValueError(f"{name}: rows of parts that aren't replaced: {sorted(written - parts)[:3]}")
+        if name == "nodes" and written:
+            fresh = self.spark.read.schema(NODES).parquet(*(f"{self.path}/nodes/{folder}/part={w}" for w in sorted(written)))
+            self.merge("grams", postings.postings(fresh), parts, folder)
         held = {k: v for k, v in self.manifest(name, number).items() if k not in parts} | dict.fromkeys(written, folder)
         self._put(f"{self.path}/{name}/manifest-{number + 1}", "".join(f"{k}\t{v}\n" for k, v in sorted(held.items())))
         self._put(f"{self.path}/{name}/current", str(number + 1))
@@ -174,6 +184,25 @@ class GraphStore:
         fs, p = self._fs(f"{self.path}/{name}/manifest-{gone}")
         fs.delete(p, True)
 
+    def containing(self, needle: str, repo_id: str | None = None) -> DataFrame:
+        """Nodes whose name or fqn may hold needle, and all that do: those with its rarest trigram, of the parts that have such.
+
+        Parts whose postings aren't of their nodes' last write, and needles shorter than a trigram, are left to a scan.
+        """
+        held, known = self.manifest("nodes"), self.manifest("grams")
+        indexed = {p for p, folder in held.items() if known.get(p) == folder}
+        asked = list(dict.fromkeys(needle[i : i + postings.SIZE] for i in range(len(needle) - postings.SIZE + 1)))[:COUNTED_GRAMS]
+        if not asked or not indexed:
+            return self.table("nodes", repo_id=repo_id)
+        scanned = self.table("nodes", set(held) - indexed, repo_id)
+        table = self.table("grams", indexed, repo_id)
+        counts = dict.fromkeys(asked, 0) | {r.gram: r.n for r in table.filter(F.col("gram").isin(asked)).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+        rarest = min(asked, key=counts.get)
+        if not counts[rarest]:
+            return scanned
+        may = scoped(table).filter(F.col("gram") == rarest)
+        return scoped(self.table("nodes", self.parts("nodes", may), repo_id)).join(may.select(*ID), ID, "left_semi").unionByName(scoped(scanned))
+
     @property
     def nodes(self) -> DataFrame:
         return self.table("nodes")

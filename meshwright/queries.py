@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import testgraph
 from .functions import text as fn
-from .operators import enrich, find, packing, pagerank, ranking, resolve, review, store, traverse, vectors
+from .operators import enrich, find, packing, pagerank, postings, ranking, resolve, review, store, traverse, vectors
 from .plans import dsl
 from .tables import materialize
 
@@ -201,6 +201,16 @@ def resolve_target(spark, sf):
     return spark.createDataFrame(rows, "target string, node_id string")
 
 
+@query(f"""WITH {NODES}, t AS (SELECT unnest(string_split(p_name, ' ')) AS needle FROM part UNION SELECT n_name FROM nation UNION SELECT left(n_name, 2) FROM nation)
+SELECT needle, node_id FROM t JOIN nodes ON contains(name, needle) OR contains(fqn, needle) WHERE needle <> ''""")
+def contains_by_postings(spark, sf):
+    """Every node whose name or fqn holds a word of a part's name, a nation's name or the first two letters of one."""
+    nodes = graph(spark, sf)[0]
+    nations = table(spark, sf, "nation")
+    needles = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("needle")).unionByName(nations.select(F.col("n_name").alias("needle"))).unionByName(nations.select(F.left("n_name", F.lit(2)).alias("needle")))
+    return postings.containing(nodes, materialize(postings.postings(nodes)), needles).select("needle", "node_id")
+
+
 def _neighbours(name: str, kind: str, ids: str, edge_type: str, near: str, far: str):
     def f(spark, sf):
         nodes, edges = graph(spark, sf)

@@ -66,6 +66,8 @@ RAW_EDGES = struct(
 EDGES = T.StructType([f for f in RAW_EDGES if f.name not in ("dst_ref", "edge_ord")] + [T.StructField("dst_id", T.StringType())])
 #: Who defines a text (role id, fqn, name or path) and whose edges refer to one (role ref or base).
 KEYS = struct("repo_id string, key string, role string, file_path string, node_id string, node_type string, file_ord string, node_ord int")
+#: The trigrams of nodes' names and fqns.
+GRAMS = struct("repo_id string, gram string, file_path string, node_id string")
 EMBEDDINGS = struct(
     "repo_id string, node_id string, embedding array<float>, document string, node_type string, fqn string, file_path string, language string, importance_score double"
 )
