@@ -1,14 +1,17 @@
-"""Near copies by similarity, with the deletion-variant index of simhash.py over wider fingerprints.
+"""Near copies by similarity: SimHash fingerprints, and the same deletion-variant index over wider ones for what these miss.
 
-Of texts whose sets of five-word shingles have a Jaccard similarity of 0.8, ten of 64 sign bits
-differ on average. For one of the segments to differ by at most one bit, these would have to be of
-seven bits, and its buckets a 64th of all texts. So the fingerprint has symbols in place of bits: the
+Each text has a SimHash fingerprint of 64 sign bits over its five-word shingles. Fingerprints are
+indexed, met and verified to be within three bits by simhash.py; texts of such fingerprints are
+candidates. Of texts whose sets of shingles have a Jaccard similarity of 0.8, however, ten of 64 sign
+bits differ on average. For one of the segments to differ by at most one bit, these would have to be of
+seven bits, and its buckets a 64th of all texts. So a second fingerprint has symbols in place of bits: the
 least value of a hash over the shingles, which two texts share with a probability equal to their
 similarity. It is cut into SEGMENTS of SIZE symbols and indexed with one symbol deleted at a time; a
 segment of two texts of similarity s meets if it differs by one symbol at most, so a pair is missed
-with probability (1 - s**5 - 5 * s**4 * (1 - s))**6: 0.0003 at 0.8, 0.00001 at 0.85.
+with probability (1 - s**5 - 5 * s**4 * (1 - s))**6: 0.0003 at 0.8, 0.00001 at 0.85. Candidates of both
+are verified by the exact similarity.
 
-A bucket yields minimum spanning forests by the share of equal symbols, not its pairs, and each edge is
+A bucket of symbols yields minimum spanning forests by the share of equal symbols, not its pairs, and each edge is
 verified by the exact similarity. Edges run along the most similar pairs, so what a failing edge
 separates would be joined by no other edge of the bucket but one that looks less similar. Shares are
 estimates; a forest for each of PARTS sets of symbols, which err independently, makes up for that.
@@ -32,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import discard
 from .common import add_columns, bound_batches, join_hot, materialize
 from .components import components
 from .line_dedup import KEY, keyed, row_key, with_row_key
+from .simhash import fingerprint_links, sign_bits
 
 WIDTH = 5
 #: The least similarity, as a fraction of integers.
@@ -95,7 +100,7 @@ def deletion_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _signed(texts: pa.Array) -> list[pa.Array]:
-    nodes, keys, sketches = [], [], []
+    nodes, keys, sketches, prints = [], [], [], []
     for t in texts:
         text = t.as_py()
         nodes.append(xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split())))
@@ -103,7 +108,9 @@ def _signed(texts: pa.Array) -> list[pa.Array]:
         values = symbols(hashes)
         keys.append(deletion_keys(values).view(np.int64) if len(hashes) else np.zeros(0, dtype=np.int64))
         sketches.append((_mixed(values) >> np.uint64(48)).astype(np.uint16).tobytes())
-    return [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(keys, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary())]
+        prints.append(sign_bits(hashes))
+    as_longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+    return [as_longs(nodes), pa.array(keys, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary()), as_longs(prints)]
 
 
 def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,8 +118,8 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k_text, node, keys, sketch): one row per document; texts of equal words have one node."""
-    added = [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    """(doc_id, k_text, node, keys, sketch, fp): one row per document; texts of equal words have one node."""
+    added = [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("fp", T.LongType())]
     return add_columns(_text_rows(docs, id_col, text_col), added, "text", _signed, ["doc_id", "k_text"])
 
 
@@ -189,6 +196,19 @@ def candidate_edges(texts: DataFrame, n_texts: int, block: int = BLOCK) -> DataF
     return met.select("key", "pair", "node", "sketch").mapInArrow(_forests, "a bigint, b bigint").distinct()
 
 
+def fingerprint_edges(texts: DataFrame, n_texts: int) -> DataFrame:
+    """(a, b): edges between n_texts texts (node, fp) that connect what fingerprints within three bits connect.
+
+    The texts of a fingerprint are linked to the smallest of them, and these along the links of fingerprints.
+    """
+    prints = materialize(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), n_texts)
+    near = fingerprint_links(prints.select("fp")).distinct()
+    for end in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
+    same = join_hot(texts.select("node", "fp"), prints.filter("n > 1"), ["fp"], "n", n_texts).filter("node <> first")
+    return near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionByName(same.select(F.col("first").alias("a"), F.col("node").alias("b")))
+
+
 def _sets(texts: pa.Array) -> list[pa.Array]:
     return [pa.array([shingles(t.as_py()).tobytes() for t in texts], type=pa.binary())]
 
@@ -210,9 +230,10 @@ def _verified(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iter
 
 
 def links(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links between texts (node, first, keys, sketch), whose words are those of first's row of docs."""
+    """(a, b): verified links between texts (node, first, keys, sketch, fp), whose words are those of first's row of docs."""
     rows = texts.count()
-    edges = materialize(candidate_edges(texts, rows, block), rows)
+    both = fingerprint_edges(texts, rows).unionByName(candidate_edges(texts, rows, block))
+    edges = materialize(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows)
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     wanted = texts.join(ends, "node").select("node", F.coalesce("first.doc_id", F.lit(0).cast("bigint")).alias("k_id"), F.col("first.k_text").alias("k_text"))
     held = with_row_key(docs.select(id_col, text_col), id_col, text_col).join(keyed(wanted), KEY).select("node", F.col(text_col).cast("binary").alias("text"))
@@ -226,7 +247,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     signed = materialize(signatures(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k_text")
     rows = signed.count()
-    texts = materialize(signed.groupBy("node").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), rows, ROW_BYTES)
+    texts = materialize(signed.groupBy("node").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"), F.any_value("fp").alias("fp")), rows, ROW_BYTES)
+    discard(signed)
     roots = components(links(docs, texts, id_col, text_col, least, block), rows)
     rooted = texts.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("s"))

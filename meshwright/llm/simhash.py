@@ -42,7 +42,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), dtype=np.uint64)
+    return sign_bits(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), dtype=np.uint64))
+
+
+def sign_bits(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; zero without any."""
     bits = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 14):  # sums of a slice fit memory whatever the text's length
         part = hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8)

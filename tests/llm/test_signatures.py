@@ -87,3 +87,23 @@ def test_forest_joins_along_the_most_similar_pairs():
     rows.append(rng.integers(0, 60000, 64, dtype=np.uint16))
     a, b = signatures.forest(np.array(rows))
     assert sorted(zip(a, b)) == [(0, k) for k in range(1, 6)]
+
+
+def test_fingerprints_propose_and_similarity_decides(spark, monkeypatch):
+    """Without the index of symbols, texts of fingerprints within three bits are linked, and no others."""
+    from meshwright.llm import simhash
+
+    rows = edited(random.Random(3))
+    rows += [(1000 + k, " ".join(f"v{i}" for i in range(3000) if i != 700 * k)) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(signatures, "candidate_edges", lambda texts, *_: texts.limit(0).selectExpr("node a", "node b"))
+    words = {i: b" ".join((t or "").encode().lower().split()) for i, t in rows}
+    sets = {t: signatures.shingles(t) for t in words.values()}
+    root = {t: t for t in sets}
+    for x in sets:
+        for y in sets:
+            near = (simhash.sign_bits(sets[x]) ^ simhash.sign_bits(sets[y])).bit_count() <= simhash.MAX_BITS
+            if near and x != y and signatures.similar(sets[x].tobytes(), sets[y].tobytes()):
+                root = {t: root[x] if r == root[y] else r for t, r in root.items()}
+    want = {min(i for i in words if root[words[i]] == r) for r in root.values()}
+    assert {r.doc_id for r in signatures.keep_one(docs).collect()} == want and len(want) < len(sets)
