@@ -4,7 +4,7 @@ import random
 
 import pytest
 from meshwright.functions import text as fn
-from meshwright.operators import intervals, packing, pagerank, review, traverse
+from meshwright.operators import intervals, packing, pagerank, postings, ranking, review, traverse
 from pyspark.sql import functions as F
 
 
@@ -194,3 +194,39 @@ def test_page_rank_equals_plain_python(spark, monkeypatch, hot_share, local_link
     for options in ({"tolerance": 1e-3}, {"tolerance": None, "max_iterations": 4}):
         want = brute_ranks(rows, rounds=options.get("max_iterations", 100), tolerance=options["tolerance"])
         assert {(r.repo_id, r.node_id): r["rank"] for r in pagerank.pagerank(e, local_links=local_links, **options).collect()} == pytest.approx(want, abs=1e-12)
+
+
+# Hot groups
+
+
+@pytest.mark.parametrize("many", [5, 100_000])
+def test_scores_gather_no_set_in_a_task(spark, monkeypatch, many):
+    monkeypatch.setattr(ranking, "MANY_ROWS", many)
+    rows = [(f"n{i}", ("a", "b", None)[i % 3], i / 7, -float(i), i / 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "node_id string, kind string, centrality_score double, importance_score double, semantic_score double").withColumns({"fqn": F.col("node_id"), "name": F.col("node_id"), "input_rank": F.col("node_id")})
+    for by in ((), ("kind",)):
+        ranked = ranking.rank(df, partition=by)
+        assert "Window" not in plan_of(ranked.select("node_id", "score"))
+        groups = {}
+        for r in rows:
+            groups.setdefault(r[1] if by else 0, []).append(r)
+        want = {}
+        for found in groups.values():
+            c, i = (max(r[k] for r in found) or 1.0 for k in (2, 3))
+            want |= {r[0]: 0.35 * r[4] + 0.25 * r[2] / c + 0.1 * r[3] / i for r in found}
+        got = ranked.collect()
+        assert {r.node_id: r.score for r in got} == pytest.approx(want)
+        assert sorted(r.position for r in got) == sorted(k + 1 for found in groups.values() for k in range(len(found)))
+
+
+def test_grams_are_counted_where_they_lie(spark):
+    """A gram that all nodes have is counted by the tasks that hold its rows before any row is sent."""
+    table = traverse.materialize(spark.range(20_000).select(F.lit("").alias("repo_id"), F.explode(F.array(F.lit("com"), F.concat(F.lit("x"), (F.col("id") % 90).cast("string")))).alias("gram"), F.lit("f").alias("file_path"), F.col("id").cast("string").alias("node_id")))
+    needles = spark.createDataFrame([("com",), ("comx12",), ("zzz",)], "needle string")
+    found = postings.rarest(table, needles)
+    assert {r.needle: r.gram for r in found.collect()} == {"com": "com", "comx12": "mx1", "zzz": "zzz"}
+    assert "LeftSemi" not in plan_of(found)
+    nodes = spark.range(300).select(F.lit("").alias("repo_id"), F.concat(F.lit("n"), "id").alias("node_id"), F.concat(F.lit("com"), "id").alias("name"), F.lit(None).cast("string").alias("fqn"), F.lit("f").alias("file_path"))
+    met = postings.containing(nodes, traverse.materialize(postings.postings(nodes)), needles.unionByName(spark.createDataFrame([("om",), ("7",)], "needle string")))
+    assert met.filter("needle = 'om'").count() == 300 and met.filter("needle = '7'").count() == sum("7" in str(i) for i in range(300)) and met.filter("needle = 'com'").count() == 300
+    assert [j for j in plan_of(met).splitlines() if "LeftSemi" in j and "BroadcastHashJoin" in j] and not [j for j in plan_of(met).splitlines() if "LeftSemi" in j and "BroadcastHashJoin" not in j]
