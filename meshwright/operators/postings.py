@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize
 from .traverse import ID, scoped
 
 #: Letters of a gram.
@@ -35,7 +36,8 @@ def postings(nodes: DataFrame) -> DataFrame:
 def rarest(table: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle, gram): of each needle of SIZE letters or more the gram that fewest rows of postings have, maybe none."""
     asked = needles.select("needle", F.explode(grams(F.col("needle"))).alias("gram"))
-    counts = table.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # Counted before they meet the needles: each task sends a gram once, so one that most nodes have gathers nowhere.
+    counts = table.groupBy("gram").agg(F.count("*").alias("n"))
     counted = asked.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return counted.groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
 
@@ -43,11 +45,14 @@ def rarest(table: DataFrame, needles: DataFrame) -> DataFrame:
 def containing(nodes: DataFrame, table: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle, repo_id, node_id): nodes whose name or fqn holds a needle, for a table of any number of needles; table: their postings.
 
-    The postings of the needles' rarest grams are what is joined with the nodes.
+    The postings of the needles' rarest grams are what is joined with the nodes. They are picked where they lie: different
+    grams, and needles shorter than one, are as few as letters allow, however many needles there are.
     """
     nodes, needles = scoped(nodes).select(*ID, "name", "fqn"), needles.select("needle").filter("needle <> ''").distinct()
-    may = scoped(table).join(rarest(table, needles), "gram").select("needle", *ID)
+    chosen = materialize(rarest(table, needles))
+    held = scoped(table).join(F.broadcast(chosen.select("gram").distinct()), "gram", "left_semi")
+    may = held.join(chosen, "gram").select("needle", *ID)
     long = may.join(nodes, ID).filter(F.contains("name", F.col("needle")) | F.contains("fqn", F.col("needle")))  # a null is no hit unless the other is one
     every = F.explode(F.concat(*(_of_node(n) for n in range(1, SIZE))))
-    short = nodes.select(*ID, every.alias("needle")).join(needles.filter(F.length("needle") < SIZE), "needle")
+    short = nodes.select(*ID, every.alias("needle")).join(F.broadcast(needles.filter(F.length("needle") < SIZE)), "needle")
     return long.select("needle", *ID).unionByName(short.select("needle", *ID))
