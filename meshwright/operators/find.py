@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NODE_KEYWORDS
+from ..tables import distinct_by
 from .traverse import ID, best_first, scoped
 
 DEFAULT_LIMIT = 20
@@ -44,28 +45,30 @@ def by_name(nodes: DataFrame, text: str, limit: int = DEFAULT_LIMIT) -> DataFram
     return best_first(nodes.filter((F.col("name") == text) | F.contains("fqn", F.lit(text))), limit)
 
 
-def linked(nodes: DataFrame, edges: DataFrame, ids: DataFrame, edge_type: str, against: bool) -> DataFrame:
+def linked(nodes: DataFrame, edges: DataFrame, ids: DataFrame, edge_type: str, against: bool, rows: int | None = None) -> DataFrame:
     """(anchor, columns of nodes): nodes one edge away from ids (repo_id, node_id); against: at its source. An anchor isn't its own neighbour.
 
-    Anchors filter the edges first, so that only theirs are made distinct.
+    Anchors filter the edges first, so that only theirs are made distinct. rows: about how many edges of
+    the type there are at most, if that is known; as many tasks as these ask for then drop the repeats.
     """
     near, far = ("dst_id", "src_id") if against else ("src_id", "dst_id")
     of_type = scoped(edges).filter((F.col("edge_type") == edge_type) & (F.col("src_id") != F.col("dst_id")))
     anchors = scoped(ids).select("repo_id", F.col("node_id").alias("anchor"))
-    hops = of_type.select("repo_id", F.col(near).alias("anchor"), F.col(far).alias("node_id")).join(anchors, ["repo_id", "anchor"], "left_semi").distinct()
+    hops = of_type.select("repo_id", F.col(near).alias("anchor"), F.col(far).alias("node_id")).join(anchors, ["repo_id", "anchor"], "left_semi")
+    hops = hops.distinct() if rows is None else distinct_by(hops, rows, "repo_id", "anchor", "node_id")
     return hops.join(scoped(nodes), ID)
 
 
-def callers(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return linked(nodes, edges, ids, "CALLS", True)
+def callers(nodes: DataFrame, edges: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
+    return linked(nodes, edges, ids, "CALLS", True, rows)
 
 
-def callees(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return linked(nodes, edges, ids, "CALLS", False)
+def callees(nodes: DataFrame, edges: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
+    return linked(nodes, edges, ids, "CALLS", False, rows)
 
 
-def importers(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return linked(nodes, edges, ids, "IMPORTS", True)
+def importers(nodes: DataFrame, edges: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
+    return linked(nodes, edges, ids, "IMPORTS", True, rows)
 
 
 def tests_of(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ def contains_by_postings(spark, sf):
 def _neighbours(name: str, kind: str, ids: str, edge_type: str, near: str, far: str):
     def f(spark, sf):
         nodes, edges = graph(spark, sf)
-        return getattr(find, kind)(nodes, edges, nodes.filter(ids)).select("anchor", "node_id", "name")
+        return getattr(find, kind)(nodes, edges, nodes.filter(ids), testgraph.most_edges(spark, sf, edge_type)).select("anchor", "node_id", "name")
 
     f.__name__ = name
     query(f"WITH {NODES}, {EDGES} SELECT DISTINCT {near} AS anchor, n.node_id, n.name FROM edges JOIN nodes n ON n.node_id = {far} WHERE edge_type = '{edge_type}' AND src_id <> dst_id AND {near} IN (SELECT node_id FROM nodes WHERE {ids})")(f)
@@ -360,7 +360,7 @@ def _two(spark, sf):
 @query(f"WITH {NODES}, {EDGES}, {_TWO_EDGES} SELECT DISTINCT e.repo_id, e.src_id AS anchor, n.node_id FROM two e JOIN nodes n ON n.node_id = e.dst_id WHERE edge_type = 'CALLS' AND src_id <> dst_id")
 def callees_two_repositories(spark, sf):
     nodes, edges = _two(spark, sf)
-    return find.callees(nodes, edges, nodes).select("repo_id", "anchor", "node_id")
+    return find.callees(nodes, edges, nodes, 2 * testgraph.most_edges(spark, sf, "CALLS")).select("repo_id", "anchor", "node_id")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {_TWO_EDGES}, r(repo_id, node_id, d) AS (SELECT DISTINCT repo_id, {_POPULAR}, 0 FROM two UNION SELECT t.repo_id, src_id, d + 1 FROM r JOIN two t ON t.repo_id = r.repo_id AND dst_id = node_id WHERE d < 3)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +39,43 @@ def materialize(df: DataFrame, rows: int | None = None, row_bytes: int = 100) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, *key: str) -> DataFrame:
-    """As materialize(), dealt by key into buckets, so that joins on the key of tables written so don't shuffle them."""
+#: Rows among which one task drops repeats, some 100 bytes each.
+ROWS_A_TASK = 500_000
+
+
+def distinct_by(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df without repeated rows, of about rows at most, dealt by columns to tasks whose number grows with them.
+
+    Shuffled bytes are few where values repeat or are near each other, so tasks that are cut by bytes may have to hold many rows.
+    """
+    return df.repartition(max(1, -(-rows // ROWS_A_TASK)), *by).distinct()
+
+
+#: Parts into which the rows of a key are dealt before they are counted.
+SALTS = 16
+
+
+def counts_by(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """(by.., n): the rows of each key of df, which has about rows; the tasks' number grows with them, and the rows of a frequent key go to several."""
+    tasks = max(1, -(-rows // ROWS_A_TASK))
+    dealt = df.select(*by, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).alias("_salt")).repartition(tasks, *by, "_salt")
+    parts = dealt.groupBy(*by, "_salt").agg(F.count("*").alias("n"))
+    return parts.repartition(tasks, *by).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+#: Rows of a bucket, beyond which there are more buckets than shuffle partitions.
+ROWS_A_BUCKET = 2_000_000
+
+
+def materialize_by(df: DataFrame, *key: str, rows: int = 0) -> DataFrame:
+    """As materialize(), dealt by key into buckets, so that joins on the key of tables written so don't shuffle them.
+
+    rows: about how many the largest of the tables that are to meet has; these must name the same.
+    """
     spark = df.sparkSession
     name = f"meshwright_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/meshwright/{name}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_BUCKET))
     df.repartition(buckets, *key).write.format("parquet").option("path", path).bucketBy(buckets, *key).saveAsTable(name)
     _kept.append(path)
     _tables.append(name)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .tables import distinct_by
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
@@ -66,6 +71,38 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of EDGES_SQL. Repeated pairs are dropped while they are numbers, by as many tasks as the table asks for."""
     views(spark, sf_dir, "nation", "customer", "supplier", "orders", "lineitem")
-    return spark.sql(EDGES_SQL)
+    nation, customer, supplier, orders, lineitem = map(spark.table, ("nation", "customer", "supplier", "orders", "lineitem"))
+    ordered, lines = orders.count(), lineitem.count()
+    following = orders.select((F.col("o_orderkey") - 1).alias("at"), F.col("o_custkey").alias("next"))
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").join(following, F.col("o_orderkey") == F.col("at")).filter("o_custkey <> next")
+
+    def text(edge_type: str, src: str, a: str, dst: str, b: str, pairs: DataFrame) -> DataFrame:
+        named = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+        return pairs.select(F.lit(edge_type).alias("edge_type"), named(src, a).alias("src_id"), named(dst, b).alias("dst_id"))
+
+    def once(edge_type: str, src: str, a: str, dst: str, b: str, pairs: DataFrame, rows: int) -> DataFrame:
+        return text(edge_type, src, a, dst, b, distinct_by(pairs.select(a, b), rows, a, b))
+
+    return reduce(DataFrame.unionByName, [
+        text("CONTAINS", "r", "n_regionkey", "n", "n_nationkey", nation),
+        text("CONTAINS", "n", "c_nationkey", "c", "c_custkey", customer),
+        text("CONTAINS", "n", "s_nationkey", "s", "s_suppkey", supplier),
+        text("CALLS", "c", "o_custkey", "o", "o_orderkey", orders),
+        once("CALLS", "o", "l_orderkey", "s", "l_suppkey", lineitem, lines),
+        once("READS_FROM", "o", "l_orderkey", "p", "l_partkey", lineitem.filter("l_returnflag <> 'R'"), lines),
+        once("WRITES_TO", "o", "l_orderkey", "p", "l_partkey", lineitem.filter("l_returnflag = 'R'"), lines),
+        once("IMPLEMENTS", "s", "l_suppkey", "p", "l_partkey", lineitem, lines),
+        once("IMPORTS", "c", "o_custkey", "c", "next", urgent, ordered),
+    ])
+
+
+
+#: Tables whose rows edges of a type are of, those of all types included.
+_ROWS_OF = {"CALLS": ("orders", "lineitem"), "IMPORTS": ("orders",), None: ("customer", "supplier", "orders", "orders", "lineitem", "lineitem", "lineitem")}
+
 
+def most_edges(spark: SparkSession, sf_dir: str, edge_type: str | None = None) -> int:
+    """About how many edges of the type, or in all, there are at most: the rows that they are of."""
+    return sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in _ROWS_OF[edge_type])
