@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize, materialize_by
+from ..tables import counts_by, materialize, materialize_by
 
 MAX_DEPTH, MAX_PATH = 10, 20
 #: Rows of a frontier that is sent to wherever the steps are, some 100 bytes each; a larger one goes to its nodes' buckets.
@@ -49,19 +49,21 @@ class Adjacency:
     A small frontier is broadcast and meets the steps where they lie. For a larger one the steps are dealt
     into buckets by node, the first time that there is one; then the frontier alone is shuffled. Hubs, of
     which there are few, stay out of the buckets, since one would fill one: theirs are met by broadcast.
+    written: whether edges are a written table, whose rows then serve as steps without being written again.
     """
 
-    def __init__(self, edges: DataFrame, direction: str, few: int = FEW_ROWS):
-        self.steps, self.few = materialize(steps(edges, direction)), few
+    def __init__(self, edges: DataFrame, direction: str, few: int = FEW_ROWS, written: bool = False):
+        self.steps, self.few = steps(edges, direction) if written else materialize(steps(edges, direction)), few
         self._dealt: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     def _buckets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(hubs, their steps, the others' steps in buckets)."""
         if self._dealt is None:
-            often = max(1, int(self.steps.count() * HUB_SHARE))
-            hubs = materialize(self.steps.groupBy("repo_id", "at").agg(F.count("*").alias("n")).filter(F.col("n") > often).select("repo_id", "at"))
+            rows = self.steps.count()
+            often = max(1, int(rows * HUB_SHARE))
+            hubs = materialize(counts_by(self.steps, rows, "repo_id", "at").filter(F.col("n") > often).select("repo_id", "at"))
             sent = F.broadcast(hubs)  # fewer than 1 / HUB_SHARE rows
-            self._dealt = hubs, self.steps.join(sent, ["repo_id", "at"], "left_semi"), materialize_by(self.steps.join(sent, ["repo_id", "at"], "left_anti"), "repo_id", "at")
+            self._dealt = hubs, self.steps.join(sent, ["repo_id", "at"], "left_semi"), materialize_by(self.steps.join(sent, ["repo_id", "at"], "left_anti"), "repo_id", "at", rows=rows)
         return self._dealt
 
     def ahead(self, frontier: DataFrame, rows: int) -> DataFrame:
@@ -77,11 +79,11 @@ class Adjacency:
         return met.select("repo_id", "seed", F.col("to").alias("node_id")).distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "in", edge_types=None) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "in", edge_types=None, written: bool = False) -> DataFrame:
     """(repo_id, seed, node_id, distance) of all nodes within depth steps of starts (repo_id, seed, node_id), these included at 0."""
     if edge_types is not None:
         edges = edges.filter(F.col("edge_type").isin(*edge_types))
-    near = Adjacency(edges, direction)
+    near = Adjacency(edges, direction, written=written)
     levels = [materialize(scoped(starts).select("repo_id", "seed", "node_id").distinct().withColumn("distance", F.lit(0)))]
     rows = levels[0].count()
     for d in range(1, depth + 1):
@@ -166,7 +168,7 @@ def _met(near: Adjacency, repo_id: str, src: str, dst: str, max_depth: int) -> t
     return None
 
 
-def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 3, repo_id: str = "") -> DataFrame:
+def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 3, repo_id: str = "", written: bool = False) -> DataFrame:
     """(path, hops): the first shortest undirected paths by their ids within a repository, at most limit.
 
     Searches from both ends meet halfway, so neither fans out over the whole distance. Nodes on shortest
@@ -179,7 +181,7 @@ def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, lim
     paths = spark.createDataFrame([([src],)], "path array<string>")
     if src == dst:
         return paths.withColumn("hops", F.lit(0))
-    near = Adjacency(scoped(edges).filter(F.col("repo_id") == repo_id), "both")
+    near = Adjacency(scoped(edges).filter(F.col("repo_id") == repo_id), "both", written=written)
     found = _met(near, repo_id, src, dst, max_depth)
     if found is None:
         return paths.limit(0).withColumn("hops", F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshwright import queries, tables, testgraph
-from meshwright.operators import find
+from meshwright.operators import find, traverse
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +30,12 @@ def test_counts_deal_a_hub_to_several_tasks(spark, monkeypatch):
     assert "_salt" in counted._jdf.queryExecution().toString()
 
 
+def test_most_popular_node(spark):
+    edges = tables.materialize(testgraph.edges(spark, SF))
+    first = edges.groupBy("dst_id").count().orderBy(F.desc("count"), "dst_id").first().dst_id
+    assert queries._popular(edges).first().node_id == first
+
+
 def test_known_rows_deal_repeated_hops_and_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS_A_TASK", 500)
     nodes, edges = queries.graph(spark, SF)
@@ -38,3 +44,12 @@ def test_known_rows_deal_repeated_hops_and_change_nothing(spark, monkeypatch):
     assert rows >= edges.filter("edge_type = 'CALLS'").count()
     a, b = find.callers(nodes, edges, ids).select("anchor", "node_id"), find.callers(nodes, edges, ids, rows).select("anchor", "node_id")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_written_edges_are_not_written_again(spark):
+    edges = tables.materialize(testgraph.edges(spark, SF))
+    before = len(tables._kept)
+    near = traverse.Adjacency(edges, "both", written=True)
+    assert len(tables._kept) == before
+    again = traverse.Adjacency(edges, "both")
+    assert near.steps.exceptAll(again.steps).isEmpty() and again.steps.exceptAll(near.steps).isEmpty()
