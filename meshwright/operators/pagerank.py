@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..tables import discard, materialize, materialize_by
+from ..tables import discard, distinct_by, materialize, materialize_by
 from .traverse import ID, scoped
 
 #: Sources with more than this share of the links are fewer than one over it; their links are joined by broadcast.
@@ -35,7 +35,7 @@ def _ranks(links: pd.DataFrame, damping: float, max_iterations: int, tolerance:
     return pd.concat(out)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float | None = 1e-6, local_links: int = LOCAL_LINKS) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float | None = 1e-6, local_links: int = LOCAL_LINKS, rows: int | None = None) -> DataFrame:
     """(repo_id, node_id, rank) of all nodes on edges (repo_id, src_id, dst_id); parallel edges count once.
 
     The mass of a repository's nodes without outgoing edges is spread evenly over it. A repository is
@@ -43,8 +43,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 100,
     stop after max_iterations. Up to local_links links are ranked by one task, which holds so many; the
     ranks are the same. Beyond, links and ranks are written by node, so a round is one job that shuffles
     nothing but sums by target; the links of the few sources with most of them stay where they are.
+    A bucket's ranks, some two million, are a hash table that its links pass by unsorted.
+    rows: about how many edges there are at most; they are written and counted first if it isn't known.
     """
-    links = materialize(scoped(edges).select("repo_id", "src_id", "dst_id").distinct())
+    named = scoped(edges).select("repo_id", "src_id", "dst_id")
+    counted = named if rows else materialize(named)
+    links = materialize(distinct_by(counted, rows or counted.count(), "repo_id", "src_id", "dst_id"))
+    if not rows:
+        discard(counted)
     count = links.count()
     if not count:
         return links.select("repo_id", F.col("src_id").alias("node_id"), F.lit(0.0).alias("rank"))
@@ -57,27 +63,30 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 100,
 
         return materialize(links.coalesce(1).mapInPandas(run, "repo_id string, node_id string, rank double"))
     ends = links.select("repo_id", F.col("src_id").alias("node_id"), F.lit(1).alias("out")).unionByName(links.select("repo_id", F.col("dst_id").alias("node_id"), F.lit(0).alias("out")))
-    degrees = ends.groupBy(*ID).agg(F.sum("out").alias("degree"))
+    degrees = materialize(ends.groupBy(*ID).agg(F.sum("out").alias("degree")))
+    nodes = degrees.count()
     often = max(1, int(count * HOT_SHARE))
     sizes = materialize(degrees.groupBy("repo_id").agg(F.count("*").alias("n")))
     start = degrees.join(sizes, "repo_id").select(*ID, "degree", (F.col("degree") > often).alias("hot"), (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(None).cast("double").alias("before"))
-    ranks = materialize_by(start, *ID)
-    hot = links.join(F.broadcast(ranks.filter("hot").select("repo_id", F.col("node_id").alias("src_id"))), ["repo_id", "src_id"], "left_semi")
-    hot, links = materialize(hot), materialize_by(links.join(F.broadcast(ranks.filter("hot").select("repo_id", F.col("node_id").alias("src_id"))), ["repo_id", "src_id"], "left_anti"), "repo_id", "src_id")
+    ranks = materialize_by(start, *ID, rows=nodes)
+    frequent = F.broadcast(degrees.filter(F.col("degree") > often).select("repo_id", F.col("node_id").alias("src_id")))
+    hot, rest = materialize(links.join(frequent, ["repo_id", "src_id"], "left_semi")), materialize_by(links.join(frequent, ["repo_id", "src_id"], "left_anti"), "repo_id", "src_id", rows=nodes)
+    for table in (links, degrees):
+        discard(table)
     few = sizes.count() <= FEW_REPOSITORIES
     for _ in range(max_iterations):
         state = ranks.groupBy("repo_id").agg(F.sum(F.when(F.col("degree") == 0, F.col("rank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"))
         limit = F.lit(False) if tolerance is None else F.coalesce(F.col("moved") < F.col("n") * tolerance, F.lit(False))
         state = state.join(sizes, "repo_id").select("repo_id", "n", "loose", limit.alias("done"))
         given = ranks.filter("degree > 0").select("repo_id", F.col("node_id").alias("src_id"), (F.col("rank") / F.col("degree")).alias("share"), "hot")
-        shares = links.join(given.filter("not hot"), ["repo_id", "src_id"]).unionByName(hot.join(F.broadcast(given.filter("hot")), ["repo_id", "src_id"]))
+        shares = rest.join(given.filter("not hot").hint("shuffle_hash"), ["repo_id", "src_id"]).unionByName(hot.join(F.broadcast(given.filter("hot")), ["repo_id", "src_id"]))
         got = shares.groupBy("repo_id", F.col("dst_id").alias("node_id")).agg(F.sum("share").alias("got"))
         fresh = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
-        rest = Observation()
-        moved = ranks.join(got, ID, "left").join(F.broadcast(state) if few else state, "repo_id").observe(rest, F.count(F.when(~F.col("done"), 1)).alias("open"))
-        before, ranks = ranks, materialize_by(moved.select(*ID, "degree", "hot", F.when(F.col("done"), F.col("rank")).otherwise(fresh).alias("rank"), F.col("rank").alias("before")), *ID)
+        watch = Observation()
+        moved = ranks.join(got.hint("shuffle_hash"), ID, "left").join(F.broadcast(state) if few else state, "repo_id").observe(watch, F.count(F.when(~F.col("done"), 1)).alias("open"))
+        before, ranks = ranks, materialize_by(moved.select(*ID, "degree", "hot", F.when(F.col("done"), F.col("rank")).otherwise(fresh).alias("rank"), F.col("rank").alias("before")), *ID, rows=nodes)
         discard(before)
-        if not rest.get["open"]:  # nothing has moved
+        if not watch.get["open"]:  # nothing has moved
             break
     return ranks.select(*ID, "rank")
 

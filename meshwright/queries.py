@@ -344,7 +344,7 @@ _LINKS = "SELECT DISTINCT '' AS repo, src_id AS src, dst_id AS dst FROM edges WH
 @query(_pagerank_sql(10, _LINKS))
 def pagerank_k10(spark, sf):
     links = testgraph.edges(spark, sf).filter(F.col("edge_type").isin("CALLS", "IMPORTS"))
-    return pagerank.pagerank(links, max_iterations=10, tolerance=None).withColumn("rank", F.round("rank", 9))
+    return pagerank.pagerank(links, max_iterations=10, tolerance=None, rows=testgraph.most_edges(spark, sf, "CALLS") + testgraph.most_edges(spark, sf, "IMPORTS")).withColumn("rank", F.round("rank", 9))
 
 
 # Two repositories in one store, with equal ids and paths: A has the graph, B its nodes and the edges whose target's id sorts first

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from meshwright import queries, tables, testgraph
-from meshwright.operators import find, traverse
+from meshwright.operators import find, pagerank, traverse
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +54,15 @@ def test_written_edges_are_not_written_again(spark):
     assert len(tables._kept) == before
     again = traverse.Adjacency(edges, "both")
     assert near.steps.exceptAll(again.steps).isEmpty() and again.steps.exceptAll(near.steps).isEmpty()
+
+
+@pytest.mark.parametrize("rows", [None, 30_000])
+def test_ranks_in_more_buckets_than_partitions(spark, monkeypatch, rows):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 2000)
+    monkeypatch.setattr(tables, "ROWS_A_BUCKET", 300)
+    links = testgraph.edges(spark, SF).withColumn("repo_id", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    options = {"max_iterations": 3, "tolerance": None}
+    ranks = pagerank.pagerank(links, local_links=0, rows=rows, **options)
+    assert len(ranks.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {(r.repo_id, r.node_id): r.rank for r in pagerank.pagerank(links, **options).collect()}
+    assert {(r.repo_id, r.node_id): r.rank for r in ranks.collect()} == pytest.approx(want, rel=1e-9)
