@@ -52,7 +52,7 @@ class Adjacency:
     written: whether edges are a written table, whose rows then serve as steps without being written again.
     """
 
-    def __init__(self, edges: DataFrame, direction: str, few: int = FEW_ROWS, written: bool = False):
+    def __init__(self, edges: DataFrame, direction: str, few: int = FEW_ROWS, *, written: bool = False):
         self.steps, self.few = steps(edges, direction) if written else materialize(steps(edges, direction)), few
         self._dealt: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
