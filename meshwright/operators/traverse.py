@@ -66,8 +66,8 @@ class Adjacency:
             self._dealt = hubs, self.steps.join(sent, ["repo_id", "at"], "left_semi"), materialize_by(self.steps.join(sent, ["repo_id", "at"], "left_anti"), "repo_id", "at", rows=rows)
         return self._dealt
 
-    def ahead(self, frontier: DataFrame, rows: int) -> DataFrame:
-        """(repo_id, seed, node_id), distinct: where steps from a written frontier (repo_id, seed, node_id) of so many rows lead."""
+    def met(self, frontier: DataFrame, rows: int) -> DataFrame:
+        """(repo_id, seed, at, node_id), repeats included: the steps from a written frontier (repo_id, seed, node_id) of so many rows."""
         at = frontier.select("repo_id", "seed", F.col("node_id").alias("at"))
         if rows <= self.few:
             met = self.steps.join(F.broadcast(at), ["repo_id", "at"])
@@ -76,7 +76,11 @@ class Adjacency:
             of_hubs = at.join(F.broadcast(hubs), ["repo_id", "at"], "left_semi")
             # A hub's seeds may be many: its steps and seeds meet in a join that can be split.
             met = rest.join(at.join(F.broadcast(hubs), ["repo_id", "at"], "left_anti"), ["repo_id", "at"]).unionByName(hot.join(of_hubs, ["repo_id", "at"]))
-        return met.select("repo_id", "seed", F.col("to").alias("node_id")).distinct()
+        return met.select("repo_id", "seed", "at", F.col("to").alias("node_id"))
+
+    def ahead(self, frontier: DataFrame, rows: int) -> DataFrame:
+        """(repo_id, seed, node_id), distinct: where steps from a written frontier (repo_id, seed, node_id) of so many rows lead."""
+        return self.met(frontier, rows).select("repo_id", "seed", "node_id").distinct()
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "in", edge_types=None, written: bool = False) -> DataFrame:
@@ -146,24 +150,31 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, target: str, depth: int =
 
 
 def _met(near: Adjacency, repo_id: str, src: str, dst: str, max_depth: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame] | None:
-    """(levels from src, levels from dst, nodes where they meet): both ends are searched, the one with the smaller frontier first."""
-    spark = near.steps.sparkSession
-    sides = [[materialize(spark.createDataFrame([(repo_id, end, end)], "repo_id string, seed string, node_id string"))] for end in (src, dst)]
-    rows = [1, 1]
-    key = ["repo_id", "node_id"]
-    for _ in range(max_depth):
-        k = 0 if rows[0] <= rows[1] else 1
-        mine, other = sides[k], sides[1 - k]
-        found = near.ahead(mine[-1], rows[k])
-        for level in mine[-2:]:
-            found = found.join(level.select(*key), key, "left_anti")
-        mine.append(materialize(found))
-        rows[k] = mine[-1].count()
+    """(steps from src by level, steps from dst by level, nodes where they meet): both ends are searched, the one with the smaller frontier first.
+
+    Steps (repo_id, seed, at, node_id) are written as they are met. All steps are scanned once a level, and
+    once for a level of either end while both frontiers are small.
+    """
+    row = near.steps.sparkSession.range(1, numPartitions=1)
+    levels = {end: [materialize(row.select(F.lit(repo_id).alias("repo_id"), F.lit(end).alias("seed"), F.lit(end).alias("node_id")))] for end in (src, dst)}
+    rows, hops, known = {src: 1, dst: 1}, {src: [], dst: []}, {}
+    for left in range(max_depth, 0, -1):
+        end, other = (src, dst) if src in known or not known and rows[src] <= rows[dst] else (dst, src)
+        if not known:
+            asked = [end, other] if left > 1 and rows[end] + rows[other] <= near.few else [end]
+            frontier = reduce(DataFrame.unionByName, [levels[e][-1] for e in asked])
+            # A step leads back by one level at most.
+            seen = reduce(DataFrame.unionByName, [level for e in asked for level in levels[e][-2:]])
+            met = materialize(near.met(frontier, sum(rows[e] for e in asked)).join(seen, ["repo_id", "seed", "node_id"], "left_anti"))
+            known |= {e: met.filter(F.col("seed") == e) for e in asked}
+        hops[end].append(known.pop(end))
+        levels[end].append(materialize(hops[end][-1].select("repo_id", "seed", "node_id").distinct()))
+        rows[end] = levels[end][-1].count()
         # Levels met no earlier, so they can only meet at the last ones.
-        both = mine[-1].select(*key).join(other[-1].select(*key), key, "left_semi")
+        both = levels[end][-1].select(*ID).join(levels[other][-1].select(*ID), ID, "left_semi")
         if not both.isEmpty():
-            return sides[0], sides[1], both
-        if not rows[k]:
+            return hops[src], hops[dst], both
+        if not rows[end]:
             return None
     return None
 
@@ -171,36 +182,27 @@ def _met(near: Adjacency, repo_id: str, src: str, dst: str, max_depth: int) -> t
 def shortest_paths(edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 3, repo_id: str = "", written: bool = False) -> DataFrame:
     """(path, hops): the first shortest undirected paths by their ids within a repository, at most limit.
 
-    Searches from both ends meet halfway, so neither fans out over the whole distance. Nodes on shortest
-    paths are those behind the meeting points, level by level back to either end. Paths grow along them
-    from src; of each length the limit smallest are kept, which hold the prefixes of the limit smallest
-    whole paths.
+    Searches from both ends meet halfway, so neither fans out over the whole distance. Steps on shortest
+    paths are, among those that the searches have written, the ones behind the meeting points. Paths grow
+    along them from src; of each length the limit smallest are kept, which hold the prefixes of the limit
+    smallest whole paths. Edges may be repeated.
     """
     checked_depth(max_depth, 1, MAX_PATH)
-    spark = edges.sparkSession
-    paths = spark.createDataFrame([([src],)], "path array<string>")
+    paths = edges.sparkSession.range(1, numPartitions=1).select(F.array(F.lit(src)).alias("path"))
     if src == dst:
         return paths.withColumn("hops", F.lit(0))
     near = Adjacency(scoped(edges).filter(F.col("repo_id") == repo_id), "both", written=written)
     found = _met(near, repo_id, src, dst, max_depth)
     if found is None:
         return paths.limit(0).withColumn("hops", F.lit(0))
-    ahead, behind, middle = found
-
-    def back(levels: list[DataFrame]) -> list[DataFrame]:
-        """The nodes on shortest paths of each level but the last, from the last but one to the end."""
-        on_path, at = [], middle.withColumn("seed", F.lit(""))
-        for level in reversed(levels[:-1]):
-            rows = at.count()
-            before = near.ahead(at, rows).join(level.select("repo_id", "node_id"), ID, "left_semi")
-            at = materialize(before)
-            on_path.append(at)
-        return on_path
-
-    middle = materialize(middle)
-    levels = [*reversed(back(ahead)), middle, *back(behind)][1:]
-    for level in levels:
-        to = level.select(F.col("node_id").alias("to"))
+    ahead, behind, on_path = found
+    forth = []
+    for hops in reversed(ahead):
+        forth.append(materialize(hops.join(on_path.select(*ID), ID, "left_semi").select("repo_id", "at", F.col("node_id").alias("to")).distinct()))
+        on_path = forth[-1].select("repo_id", F.col("at").alias("node_id")).distinct()
+    # Every step of the search from dst leads to it, if taken backwards.
+    back = [hops.select("repo_id", F.col("node_id").alias("at"), F.col("at").alias("to")) for hops in reversed(behind)]
+    for hops in [*reversed(forth), *back]:
         ends = F.broadcast(paths.withColumn("at", F.element_at("path", -1)))  # limit rows at most
-        paths = materialize(near.steps.join(ends, "at").join(to, "to", "left_semi").select(F.concat("path", F.array("to")).alias("path")).distinct().orderBy("path").limit(limit))
-    return paths.withColumn("hops", F.lit(len(levels)))
+        paths = materialize(hops.join(ends, "at").select(F.concat("path", F.array("to")).alias("path")).distinct().orderBy("path").limit(limit))
+    return paths.withColumn("hops", F.lit(len(ahead) + len(behind)))

@@ -70,8 +70,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(nodes_sql())
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of EDGES_SQL. Repeated pairs are dropped while they are numbers, by as many tasks as the table asks for."""
+def edges(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """The rows of EDGES_SQL. Repeated pairs are dropped while they are numbers, by as many tasks as the table asks for.
+
+    repeats: leave those among the lines of an order, of which it has few, for what doesn't tell an edge from several of its kind.
+    """
     views(spark, sf_dir, "nation", "customer", "supplier", "orders", "lineitem")
     nation, customer, supplier, orders, lineitem = map(spark.table, ("nation", "customer", "supplier", "orders", "lineitem"))
     ordered, lines = orders.count(), lineitem.count()
@@ -83,7 +86,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pairs.select(F.lit(edge_type).alias("edge_type"), named(src, a).alias("src_id"), named(dst, b).alias("dst_id"))
 
     def once(edge_type: str, src: str, a: str, dst: str, b: str, pairs: DataFrame, rows: int) -> DataFrame:
-        return text(edge_type, src, a, dst, b, distinct_by(pairs.select(a, b), rows, a, b))
+        return text(edge_type, src, a, dst, b, pairs if repeats and src == "o" else distinct_by(pairs.select(a, b), rows, a, b))
 
     return reduce(DataFrame.unionByName, [
         text("CONTAINS", "r", "n_regionkey", "n", "n_nationkey", nation),

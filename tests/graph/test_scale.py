@@ -126,6 +126,27 @@ def test_two_sided_paths_equal_brute_force(spark, seed):
             assert traverse.shortest_paths(e, "n00", dst, seen[dst] - 1).count() == 0
 
 
+def test_a_path_of_four_hops_scans_all_steps_twice(spark, monkeypatch):
+    """Two levels from both ends, one scan for each pair; the paths themselves come from the steps that were met. Repeats change nothing."""
+    e = spark.createDataFrame([("a", "m1"), ("a", "m2"), ("m1", "x"), ("m2", "x"), ("m2", "w"), ("y", "x"), ("y", "z"), ("w", "v")] * 3, "src_id string, dst_id string")
+    scans = []
+    monkeypatch.setattr(traverse.Adjacency, "steps", property(lambda self: scans.append(1) or self._all, lambda self, df: setattr(self, "_all", df)), raising=False)
+    want = [["a", "m1", "x", "y", "z"], ["a", "m2", "x", "y", "z"]]
+    assert [r.path for r in traverse.shortest_paths(e, "a", "z").orderBy("path").collect()] == want
+    assert len(scans) <= 3  # one asks for the session
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_paths_with_large_frontiers_are_the_same(spark, monkeypatch, few):
+    rows, e = graph(spark, 4, 40, 60)
+    _, seen = distances(rows, "n00")
+    dst = max(seen, key=lambda x: (seen[x], x))
+    want = [tuple(r.path) for r in traverse.shortest_paths(e, "n00", dst, 10).orderBy("path").collect()]
+    monkeypatch.setattr(traverse.Adjacency.__init__, "__defaults__", (few,))
+    monkeypatch.setattr(traverse, "HUB_SHARE", 0.05)
+    assert [tuple(r.path) for r in traverse.shortest_paths(e, "n00", dst, 10).orderBy("path").collect()] == want and seen[dst] > 3
+
+
 @pytest.mark.parametrize("direction", ["in", "out", "both"])
 def test_large_frontiers_reach_the_same(spark, direction, monkeypatch):
     _, e = graph(spark, 5)

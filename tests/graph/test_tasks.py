@@ -23,6 +23,13 @@ def test_edges_are_those_of_the_text_and_no_task_drops_repeats_of_many(spark, mo
     assert most_in_a_task(edges.filter("edge_type in ('READS_FROM', 'WRITES_TO', 'IMPLEMENTS') or src_id like 'o%'")) < 1000
 
 
+def test_edges_with_repeats_are_the_same_ones_and_lines_of_orders_are_not_shuffled(spark):
+    once, repeated = testgraph.edges(spark, SF), testgraph.edges(spark, SF, repeats=True)
+    assert once.exceptAll(repeated).isEmpty() and repeated.distinct().exceptAll(once).isEmpty()
+    dealt = lambda df: df._jdf.queryExecution().analyzed().toString().count("RepartitionByExpression")
+    assert dealt(once) - dealt(repeated) == 3
+
+
 def test_counts_deal_a_hub_to_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
     rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"), "id")
