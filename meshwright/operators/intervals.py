@@ -50,7 +50,9 @@ def least_overlapping(probes: DataFrame, intervals: DataFrame, group: str, probe
 
     Bounds are 0 or more, high isn't below low. Probes that nothing overlaps have no row.
     """
-    held = intervals.select(group, F.explode(F.concat(_kept(_BEGINS, cells_of(F.col("low"))), _kept(_HOLDS, cover(F.col("low"), F.col("high"))))).alias("c"), best)
+    # Of those that span the same places the least one is enough.
+    spans = intervals.groupBy(group, "low", "high").agg(F.min(best).alias(best))
+    held = spans.select(group, F.explode(F.concat(_kept(_BEGINS, cells_of(F.col("low"))), _kept(_HOLDS, cover(F.col("low"), F.col("high"))))).alias("c"), best)
     least = held.groupBy(group, "c.kind", "c.cell").agg(F.min(best).alias(best))
     asked = probes.select(probe_id, group, F.explode(F.concat(_kept(_BEGINS, cover(F.col("low"), F.col("high"))), _kept(_HOLDS, cells_of(F.col("low"))))).alias("c")).select(probe_id, group, "c.kind", "c.cell")
     return asked.join(least, [group, "kind", "cell"]).groupBy(probe_id).agg(F.min(best).alias(best))

@@ -41,13 +41,16 @@ def narrowest(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
     hunk that ends before it begins is its first line.
     """
     rank = _lookup({t: i for i, t in enumerate(SYMBOL_TYPES)}, F.col("node_type"), 99)
-    touched = hunks.select("file_path").distinct()
+    touched = materialize(hunks.select("file_path").distinct())  # of known size, so a short list goes to the nodes
     symbols = scoped(nodes).filter(F.col("node_type").isin(*SYMBOL_TYPES) & F.col("start_line").isNotNull() & F.col("end_line").isNotNull()).join(touched, "file_path", "left_semi")
     best = F.struct(rank.alias("rank"), (F.col("end_line") - F.col("start_line")).alias("lines"), F.col("start_line").alias("sl"), "node_id", "repo_id", F.col("end_line").alias("el"), "node_type", "fqn")
     spans = symbols.select("file_path", F.greatest("start_line", F.lit(0)).alias("low"), F.greatest("start_line", "end_line", F.lit(0)).alias("high"), best.alias("best"))
-    probes = hunks.select("hunk_id", "file_path", F.greatest("start_line", F.lit(0)).alias("low"), F.greatest("start_line", "end_line", F.lit(0)).alias("high"))
-    found = intervals.least_overlapping(probes, spans, "file_path", "hunk_id", "best")
-    return hunks.join(found, "hunk_id").select(*hunks.columns, "best.repo_id", "best.node_id", "best.node_type", "best.fqn", "best.sl", "best.el")
+    placed = hunks.withColumns({"_low": F.greatest("start_line", F.lit(0)), "_high": F.greatest("start_line", "end_line", F.lit(0))})
+    # Hunks of the same lines touch the same symbol, so one of them asks.
+    probes = placed.groupBy("file_path", F.col("_low").alias("low"), F.col("_high").alias("high")).agg(F.min("hunk_id").alias("hunk_id"))
+    asked = probes.join(intervals.least_overlapping(probes, spans, "file_path", "hunk_id", "best"), "hunk_id")
+    found = asked.select("file_path", F.col("low").alias("_low"), F.col("high").alias("_high"), "best")
+    return placed.join(found, ["file_path", "_low", "_high"]).select(*hunks.columns, "best.repo_id", "best.node_id", "best.node_type", "best.fqn", "best.sl", "best.el")
 
 
 def seeds(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -57,13 +60,15 @@ def seeds(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
     falls back to its file; a deleted file to its File and ConfigFile nodes; files not indexed give none.
     """
     live = hunks.filter(~F.col("is_deleted") & F.col("start_line").isNotNull())
+    # Of the hunks of the same lines the first one tells.
+    live = materialize(live.groupBy("file_path", "start_line", "end_line").agg(F.min(F.struct("ord", "hunk_id")).alias("f")).select("f.*", "file_path", "start_line", "end_line"))
     symbol = narrowest(live, nodes).select("ord", *ID)
     files = scoped(nodes).filter(F.col("node_type").isin("File", "ConfigFile")).select(*ID, "file_path", (F.col("node_type") == "ConfigFile").cast("int").alias("second"))
     bare = live.join(symbol.select("ord"), "ord", "left_anti").join(files, "file_path")
     fallback = bare.groupBy("ord").agg(F.min(F.struct("second", "node_id", "repo_id")).alias("f")).select("ord", "f.repo_id", "f.node_id")
     gone = hunks.filter("is_deleted").join(files, "file_path").select((F.col("ord") + F.col("second") * 0.5).alias("ord"), *ID)
     every = symbol.unionByName(fallback).select(F.col("ord").cast("double").alias("ord"), *ID).unionByName(gone)
-    return every.groupBy(*ID).agg(F.min("ord").alias("ord"))
+    return materialize(every.groupBy(*ID).agg(F.min("ord").alias("ord")))
 
 
 def related_configs(seeds_: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,20 +98,25 @@ def best_upstream(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, depth:
     of its neighbours; so what moves grows with edges times limit, not with what the seeds reach.
     """
     named = scoped(nodes).select(*ID, F.coalesce("importance_score", F.lit(0.0)).alias("score"))
-    back = steps(edges, "in").distinct()
-    # Nodes fewer than depth steps from a seed; their lists are all that is needed.
-    near = [scoped(seeds_).select("repo_id", F.col("node_id").alias("at")).distinct()]
-    for _ in range(depth - 1):
-        ahead = near[-1].join(back, ["repo_id", "at"]).select("repo_id", F.col("to").alias("at"))
-        near.append(materialize(near[-1].unionByName(ahead).distinct()))
+    back = steps(edges, "in")
+    # Nodes fewer than depth steps from a seed, whose lists are all that is needed, and the steps from them.
+    # Only these steps are sent, made distinct and written, those of each node once.
+    fresh = materialize(scoped(seeds_).select("repo_id", F.col("node_id").alias("at")).distinct())
+    near, hops = fresh, []
+    for d in range(depth):
+        found = materialize(back.join(fresh, ["repo_id", "at"], "left_semi").distinct())
+        hops.append(hops[-1].unionByName(found) if hops else found)
+        if d < depth - 1:
+            fresh = materialize(found.select("repo_id", F.col("to").alias("at")).distinct().join(near, ["repo_id", "at"], "left_anti"))
+            near = near.unionByName(fresh)
     order = F.desc("score"), "node_id"
     lists = None
     for d in range(1, depth + 1):
-        hops = back.join(near[depth - d], ["repo_id", "at"], "left_semi")
-        found = hops.withColumnRenamed("to", "node_id").join(named, ID).select("repo_id", "at", "node_id", "score")
+        ahead = hops[depth - d]
+        found = ahead.withColumnRenamed("to", "node_id").join(named, ID).select("repo_id", "at", "node_id", "score")
         if lists is not None:
             further = lists.withColumnRenamed("at", "to")
-            found = found.unionByName(hops.join(further, ["repo_id", "to"]).select("repo_id", "at", "node_id", "score")).distinct()
+            found = found.unionByName(ahead.join(further, ["repo_id", "to"]).select("repo_id", "at", "node_id", "score")).distinct()
         # One more than asked for: a node may be upstream of itself, and isn't counted.
         places = found.withColumn("k", F.row_number().over(W.partitionBy("repo_id", "at").orderBy(*order)))
         lists = materialize(places.filter(F.col("k") <= limit + 1).drop("k"))
@@ -116,11 +126,15 @@ def best_upstream(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, depth:
 
 def expand(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, impact_depth: int = 2, per_seed: int = PER_SEED,
            include=("test", "caller", "callee", "impacted", "related_config")) -> DataFrame:
-    """(repo_id, node_id, reason, distance): neighbours of seeds (repo_id, node_id, tags); seeds themselves aren't among them."""
+    """(repo_id, node_id, reason, distance): neighbours of written seeds (repo_id, node_id, tags); seeds themselves aren't among them."""
     seeds_ = scoped(seeds_)
     near = {"test": find.tests_of, "caller": find.callers, "callee": find.callees}
     shape = lambda df, reason, d: df.select("repo_id", "seed", "node_id", F.lit(reason).alias("reason"), F.lit(d).alias("distance"), F.lit(0).cast("bigint").alias("ord"))
-    parts = [shape(near[r](nodes, edges, seeds_).withColumnRenamed("anchor", "seed"), r, 1) for r in near if r in include]
+    # Written, the seeds' own edges are of known size: few are sent to the nodes, which aren't shuffled then.
+    of_types = scoped(edges).filter(F.col("edge_type").isin("CALLS", "TESTED_BY")).select("repo_id", "edge_type", "src_id", "dst_id")
+    own = [of_types.join(seeds_.select("repo_id", F.col("node_id").alias(end)), ["repo_id", end], "left_semi").select(*of_types.columns) for end in ("src_id", "dst_id")]
+    close = materialize(own[0].unionByName(own[1])) if any(r in include for r in near) else None
+    parts = [shape(near[r](nodes, close, seeds_).withColumnRenamed("anchor", "seed"), r, 1) for r in near if r in include]
     if "impacted" in include and impact_depth > 1:
         # As a query for one target would: the most important ones first.
         top = best_upstream(seeds_, nodes, edges, impact_depth, find.DEFAULT_LIMIT)
@@ -131,7 +145,7 @@ def expand(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, impact_depth:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return cap_and_merge(every, per_seed).join(seeds_.select(*ID), ID, "left_anti")
+    return materialize(cap_and_merge(every, per_seed).join(seeds_.select(*ID), ID, "left_anti"))
 
 
 def trim(blocks: DataFrame, budget: int, model: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright import queries, tables, testgraph
-from meshwright.operators import find, pagerank, traverse
+from meshwright.operators import find, intervals, pagerank, review, traverse
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +73,36 @@ def test_ranks_in_more_buckets_than_partitions(spark, monkeypatch, rows):
     assert len(ranks.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     want = {(r.repo_id, r.node_id): r.rank for r in pagerank.pagerank(links, **options).collect()}
     assert {(r.repo_id, r.node_id): r.rank for r in ranks.collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_a_small_review_shuffles_neither_edges_nor_nodes(spark, monkeypatch):
+    """Where what is near the seeds is small, it is sent to the tables; only what it meets there is made distinct."""
+    nodes = tables.materialize(spark.range(50_000).select(F.lit("").alias("repo_id"), F.concat(F.lit("n"), "id").alias("node_id"), F.lit("Function").alias("node_type"), (F.col("id") % 1009 / 1009).alias("importance_score"), F.array().cast("array<string>").alias("tags")))
+    edges = tables.materialize(spark.range(100_000).select(F.lit("CALLS").alias("edge_type"), F.concat(F.lit("n"), F.col("id") * 7919 % 50_000).alias("src_id"), F.concat(F.lit("n"), F.col("id") % 50_000).alias("dst_id")))
+    seeds = tables.materialize(nodes.filter("node_id in ('n1', 'n2', 'n3')").select("repo_id", "node_id", "tags"))
+    want = {tuple(r) for r in review.expand(seeds, nodes, edges).collect()}
+    plans, write = [], review.materialize
+
+    def recorded(df, *a):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a)
+
+    monkeypatch.setattr(review, "materialize", recorded)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        found = review.expand(seeds, nodes, edges)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        assert {tuple(r) for r in found.collect()} == want and len(want) >= 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [p for p in plans if "SortMergeJoin" in p]
+
+
+def test_hunks_of_the_same_lines_ask_once(spark, monkeypatch):
+    nodes = spark.createDataFrame([("", f"n{i:02d}", "Function", f"f{i}", "a.py", 10 * (i % 5), 10 * (i % 5) + 9) for i in range(50)], "repo_id string, node_id string, node_type string, fqn string, file_path string, start_line int, end_line int")
+    hunks = spark.range(600).selectExpr("id as ord", "id as hunk_id", "'a.py' as file_path", "cast(id % 6 * 10 + 1 as int) as start_line", "cast(id % 6 * 10 + 2 as int) as end_line", "false as is_new", "false as is_deleted")
+    asked, least = [], intervals.least_overlapping
+    monkeypatch.setattr(intervals, "least_overlapping", lambda probes, *a: asked.append(probes.count()) or least(probes, *a))
+    got = {r.hunk_id: r.node_id for r in review.narrowest(hunks, nodes).collect()}
+    assert got == {i: f"n{i % 6:02d}" for i in range(600) if i % 6 < 5} and asked == [6]
+    assert {(r.node_id, r.ord) for r in review.seeds(hunks, nodes).collect()} == {(f"n{i:02d}", float(i)) for i in range(5)}
