@@ -343,8 +343,9 @@ _LINKS = "SELECT DISTINCT '' AS repo, src_id AS src, dst_id AS dst FROM edges WH
 
 @query(_pagerank_sql(10, _LINKS))
 def pagerank_k10(spark, sf):
-    links = testgraph.edges(spark, sf).filter(F.col("edge_type").isin("CALLS", "IMPORTS"))
-    return pagerank.pagerank(links, max_iterations=10, tolerance=None, rows=testgraph.most_edges(spark, sf, "CALLS") + testgraph.most_edges(spark, sf, "IMPORTS")).withColumn("rank", F.round("rank", 9))
+    links = testgraph.links(spark, sf, "CALLS", "IMPORTS")
+    ranks = pagerank.pagerank(links, max_iterations=10, tolerance=None, rows=testgraph.most_edges(spark, sf, "CALLS") + testgraph.most_edges(spark, sf, "IMPORTS"), near=testgraph.near(links))
+    return testgraph.node_name(ranks, "node_id").withColumn("rank", F.round("rank", 9))
 
 
 # Two repositories in one store, with equal ids and paths: A has the graph, B its nodes and the edges whose target's id sorts first
@@ -376,7 +377,10 @@ def dependents_two_repositories(spark, sf):
 
 @query(_pagerank_sql(5, "SELECT DISTINCT 'A' AS repo, src_id AS src, dst_id AS dst FROM edges UNION ALL SELECT DISTINCT 'B', src_id, dst_id FROM edges WHERE dst_id < src_id"))
 def pagerank_two_repositories(spark, sf):
-    return pagerank.pagerank(_two(spark, sf)[1], max_iterations=5, tolerance=None, local_links=0, rows=testgraph.most_edges(spark, sf)).withColumn("rank", F.round("rank", 9))
+    links = testgraph.links(spark, sf)
+    two = links.withColumn("repo_id", F.explode(F.when(testgraph.sorts_first(links, "dst_id", "src_id"), F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))))
+    ranks = pagerank.pagerank(two, max_iterations=5, tolerance=None, local_links=0, rows=testgraph.most_edges(spark, sf), near=testgraph.near(links))
+    return testgraph.node_name(ranks, "node_id").withColumn("rank", F.round("rank", 9))
 
 
 @query(f"""WITH {NODES}, {EDGES}, {_TWO_EDGES}, gone AS (SELECT node_id FROM nodes WHERE file_path LIKE 'orders/p1%')

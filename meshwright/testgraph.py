@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import distinct_by
@@ -101,6 +101,74 @@ def edges(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
     ])
 
 
+#: Letters of the nodes that edges have, in their order.
+_KINDS = "cnoprs"
+#: Keys that fit a number with the place of their letter.
+_LEAST, _MOST = -(1 << 60), (1 << 60) - 1
+#: Keys of the tables that edges are of.
+_KEYS = {"nation": ("n_regionkey", "n_nationkey"), "customer": ("c_nationkey", "c_custkey"), "supplier": ("s_nationkey", "s_suppkey"), "orders": ("o_custkey", "o_orderkey"), "lineitem": ("l_orderkey", "l_suppkey", "l_partkey")}
+
+
+def links(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+    """(src_id, dst_id) of the edges of some types, or of all, repeats included; each table is read once and the lines of orders aren't shuffled.
+
+    A node is a number, eight times its key and the place of its letter, which node_name() turns to
+    text; it is a text already if a key is too large for that.
+    """
+    views(spark, sf_dir, *_KEYS)
+    tables = {t: spark.table(t) for t in _KEYS}
+    wanted = lambda *names: not types or any(n in types for n in names)
+    keys = reduce(DataFrame.unionByName, [t.select(F.explode(F.array(*(F.col(k).cast("long") for k in _KEYS[name]))).alias("key")) for name, t in tables.items()])
+    fits = F.coalesce(F.bool_and(F.col("key").between(_LEAST, _MOST)), F.lit(True))
+    numbers = keys.agg(fits).first()[0]
+
+    def end(kind: str, key: str) -> Column:
+        return F.col(key).cast("long") * 8 + _KINDS.index(kind) if numbers else F.concat(F.lit(kind), F.col(key).cast("string"))
+
+    def pair(src: str, a: str, dst: str, b: str) -> Column:
+        return F.struct(end(src, a).alias("src_id"), end(dst, b).alias("dst_id"))
+
+    found = []
+    if wanted("CONTAINS"):
+        found += [tables[t].select(pair(*ends).alias("link")) for t, ends in (("nation", ("r", "n_regionkey", "n", "n_nationkey")), ("customer", ("n", "c_nationkey", "c", "c_custkey")), ("supplier", ("n", "s_nationkey", "s", "s_suppkey")))]
+    if wanted("CALLS"):
+        found.append(tables["orders"].select(pair("c", "o_custkey", "o", "o_orderkey").alias("link")))
+    of_line = [pair("o", "l_orderkey", "s", "l_suppkey")] if wanted("CALLS") else []
+    if wanted("IMPLEMENTS"):
+        of_line.append(pair("s", "l_suppkey", "p", "l_partkey"))
+    for name, flag in (("READS_FROM", "l_returnflag <> 'R'"), ("WRITES_TO", "l_returnflag = 'R'")):
+        if wanted(name):
+            of_line.append(F.when(F.expr(flag), pair("o", "l_orderkey", "p", "l_partkey")))
+    if of_line:
+        found.append(tables["lineitem"].select(F.explode(F.array(*of_line)).alias("link")).filter("link IS NOT NULL"))
+    if wanted("IMPORTS"):
+        following = tables["orders"].select((F.col("o_orderkey") - 1).alias("at"), F.col("o_custkey").alias("next"))
+        urgent = tables["orders"].filter("o_orderpriority = '1-URGENT'").join(following, F.col("o_orderkey") == F.col("at")).filter("o_custkey <> next")
+        found.append(urgent.select(pair("c", "o_custkey", "c", "next").alias("link")))
+    return reduce(DataFrame.unionByName, found).select("link.*")
+
+
+def node_name(df: DataFrame, column: str) -> DataFrame:
+    """df with the text of a node of links()."""
+    if df.schema[column].dataType.simpleString() != "bigint":
+        return df
+    letter = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col(column).bitwiseAND(7) + 1).cast("int"))
+    return df.withColumn(column, F.concat(letter, F.shiftright(column, 3).cast("string")))
+
+
+def sorts_first(df: DataFrame, a: str, b: str) -> Column:
+    """Whether the text of node a of links() sorts before that of b."""
+    if df.schema[a].dataType.simpleString() != "bigint":
+        return F.col(a) < F.col(b)
+    kind, key = (lambda c: F.col(c).bitwiseAND(7)), (lambda c: F.shiftright(c, 3).cast("string"))
+    return F.when(kind(a) != kind(b), kind(a) < kind(b)).otherwise(key(a) < key(b))
+
+
+def near(df: DataFrame):
+    """What 512 neighbouring keys of nodes of links() have in common; None where they are texts."""
+    return (lambda c: F.shiftright(c, 12)) if df.schema["src_id"].dataType.simpleString() == "bigint" else None
+
+
 
 #: Tables whose rows edges of a type are of, those of all types included.
 _ROWS_OF = {"CALLS": ("orders", "lineitem"), "IMPORTS": ("orders",), None: ("customer", "supplier", "orders", "orders", "lineitem", "lineitem", "lineitem")}
